@@ -1,8 +1,8 @@
 """Benchmark decontamination by a broadcast hash set of normalised benchmark n-grams.
 
 Documents are scanned window by window. A window whose fingerprint may be in the set (a
-bitmap of fixed size, part of the scan) becomes a candidate and carries its words; the
-candidates are then verified word for word against the benchmark's n-grams. Only verified
+bitmap of fixed size, part of the scan, made from fully lower-cased words and so without
+misses) becomes a candidate and carries its words; the candidates are then verified word for word against the benchmark's n-grams. Only verified
 hits count. The n-gram table is broadcast while its measured size is under
 ``BROADCAST_BYTES``; beyond that the same join is shuffled.
 
@@ -29,9 +29,9 @@ BITMAP_BITS = 1 << 20
 BROADCAST_BYTES = 32 << 20
 
 
-def norm_words(text: Column) -> Column:
-    low = ascii_lower(F.coalesce(text, F.lit("")))
-    return F.array_remove(F.split(low, "[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"), "")
+def words_of(text: Column) -> Column:
+    """Words in their own case. Lower-casing a text, by any rule, never moves their bounds."""
+    return F.array_remove(F.split(F.coalesce(text, F.lit("")), "[\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+"), "")
 
 
 def _fingerprint(words: Column, start: Column, length: Column | int) -> Column:
@@ -46,14 +46,15 @@ def benchmark_ngrams(benchmark: DataFrame, n: int = N) -> DataFrame:
     """(item, len, gram, bit), one row for each different window of an item."""
     items = own_columns(benchmark, "item_id", "text").select(
         F.coalesce(F.col("item_id").cast("string"), F.lit("null")).alias("item"),
-        norm_words(F.col("text")).alias("w"),
+        words_of(F.col("text")).alias("own"),
+        words_of(F.lower("text")).alias("w"),
     )
-    items = items.filter(F.size("w") > 0).select("item", "w", F.least(F.size("w"), F.lit(n)).alias("len"))
-    starts = items.select("item", "w", "len", F.explode(F.sequence(F.lit(1), F.size("w") - F.col("len") + 1)).alias("i"))
+    items = items.filter(F.size("w") > 0).select("item", "w", "own", F.least(F.size("w"), F.lit(n)).alias("len"))
+    starts = items.select("item", "w", "own", "len", F.explode(F.sequence(F.lit(1), F.size("w") - F.col("len") + 1)).alias("i"))
     return starts.select(
         "item",
         "len",
-        F.array_join(F.slice("w", F.col("i"), F.col("len")), " ").alias("gram"),
+        ascii_lower(F.array_join(F.slice("own", F.col("i"), F.col("len")), " ")).alias("gram"),
         _bit(_fingerprint(F.col("w"), F.col("i"), F.col("len"))).alias("bit"),
     ).distinct()
 
@@ -65,18 +66,24 @@ def _window_bits(length: int) -> Column:
     return F.when(F.size("w") >= length, bits)
 
 
-def _candidates(set_bits: Column, length: int) -> Column:
-    """(p, len, gram) of the windows whose bit is set."""
+def _starts(set_bits: Column, length: int) -> Column:
+    """Places of the windows whose bit is set."""
 
     def start_or_null(b: Column, i: Column) -> Column:
         word = F.get(set_bits, F.shiftright(b, 6))
         return F.when(F.bit_get(word, b.bitwiseAND(F.lit(63))) == 1, i + 1)
 
+    return F.array_compact(F.transform(f"b{length}", start_or_null))
+
+
+def _windows(length: int) -> Column:
+    """(p, len, gram) of those places, with the words as they are compared."""
+
     def window(p: Column) -> Column:
-        gram = F.array_join(F.slice("w", p, length), " ")
+        gram = ascii_lower(F.array_join(F.slice("own", p, length), " "))
         return F.struct(p.alias("p"), F.lit(length).alias("len"), gram.alias("gram"))
 
-    return F.transform(F.array_compact(F.transform(f"b{length}", start_or_null)), window)
+    return F.transform(f"s{length}", window)
 
 
 def hits(docs: DataFrame, benchmark: DataFrame, n: int = N) -> DataFrame:
@@ -96,16 +103,18 @@ def hits(docs: DataFrame, benchmark: DataFrame, n: int = N) -> DataFrame:
     by_gram = by_gram.select(F.col("gram").alias("g"), F.col("len").alias("g_len"), "items")
     if (size[0] or 0) <= BROADCAST_BYTES:
         by_gram = F.broadcast(by_gram)
-    d = own_columns(docs, "doc_id", "text").select("doc_id", norm_words(F.col("text")).alias("w"))
+    d = own_columns(docs, "doc_id", "text").select("doc_id", "text", words_of(F.lower("text")).alias("w"))
     set_bits = F.lit(bitmap).cast("array<bigint>")
-    d = d.select("doc_id", "w", *[_window_bits(ln).alias(f"b{ln}") for ln in lengths])
-    found = [_candidates(set_bits, ln) for ln in lengths]
-    n_words = F.size("w").cast("long").alias("n_words")
+    d = d.select("doc_id", "text", "w", *[_window_bits(ln).alias(f"b{ln}") for ln in lengths])
+    d = d.select("doc_id", "text", F.size("w").cast("long").alias("n_words"), *[_starts(set_bits, ln).alias(f"s{ln}") for ln in lengths])
+    found = [_windows(ln) for ln in lengths]
+    some = F.array_max(F.array(F.lit(0), *[F.coalesce(F.size(f"s{ln}"), F.lit(0)) for ln in lengths])) > 0
+    d = d.withColumn("own", F.when(some, words_of(F.col("text"))))
     if not found:
         none = F.array().cast("array<struct<p:int,len:int,item:string>>")
-        return d.select("doc_id", n_words, none.alias("found"))
+        return d.select("doc_id", "n_words", none.alias("found"))
     empty = F.array().cast("array<struct<p:int,len:int,gram:string>>")
-    d = d.select("doc_id", n_words, F.concat(*[F.coalesce(x, empty) for x in found]).alias("c"))
+    d = d.select("doc_id", "n_words", F.concat(*[F.coalesce(x, empty) for x in found]).alias("c"))
     d = d.withColumn("row", F.monotonically_increasing_id())
     c = d.select("row", "doc_id", "n_words", F.explode_outer("c").alias("c")).select("row", "doc_id", "n_words", "c.*")
     verified = c.join(by_gram, (F.col("gram") == F.col("g")) & (F.col("len") == F.col("g_len")), "left")

@@ -50,40 +50,44 @@ BASE = Policy("base", ("few_words", "repeated_windows"))
 POLICY = Policy("v1", tuple(RULES))
 
 
+def _occurrences(char: str) -> Column:
+    return F.length("text") - F.length(F.replace("text", F.lit(char), F.lit("")))
+
+
 def measurements(docs: DataFrame) -> DataFrame:
     """doc_id and the measured columns, in stages so that no array is computed twice."""
     d = own_columns(docs, "doc_id", "text").select(
         "doc_id", F.coalesce("text", F.lit("")).alias("text")
     )
-    lines = F.filter(F.split("text", "\n"), lambda x: F.translate(x, SPACES, "") != "")
+    lines = F.filter(F.split("text", "\n"), lambda x: F.btrim(x, F.lit(SPACES)) != "")
     d = d.select(
         "doc_id",
         space_words(F.col("text")).alias("words"),
         lines.alias("lines"),
-        (F.length("text") - F.length(F.translate("text", SPACES, ""))).alias("spaces"),
-        F.length("text").alias("chars"),
-        (F.length("text") - F.length(F.translate("text", SYMBOLS, ""))).alias("symbols"),
-        (F.length("text") - F.length(F.replace("text", F.lit("!"), F.lit("")))).alias("exclaim"),
+        sum(_occurrences(c) for c in SYMBOLS).cast("long").alias("n_symbols"),
+        _occurrences("!").cast("long").alias("n_exclaim"),
     )
-    windows = F.when(
-        F.size("words") > WINDOW,
-        F.sort_array(
-            F.transform(
-                F.sequence(F.lit(1), F.size("words") - (WINDOW - 1)),
-                lambda i: F.struct(F.xxhash64(F.slice("words", i, WINDOW)).alias("h"), i.alias("p")),
-            )
-        ),
+    starts = F.sequence(F.lit(1), F.size("words") - (WINDOW - 1))
+    hashes = F.when(
+        F.size("words") > WINDOW, F.transform(starts, lambda i: F.xxhash64(F.slice("words", i, WINDOW)))
     )
     d = d.select(
         "doc_id",
         F.size("words").cast("long").alias("n_words"),
-        (F.col("chars") - F.col("spaces")).cast("long").alias("word_chars"),
-        F.col("symbols").cast("long").alias("n_symbols"),
-        F.col("exclaim").cast("long").alias("n_exclaim"),
+        F.length(F.array_join("words", "")).cast("long").alias("word_chars"),
+        "n_symbols",
+        "n_exclaim",
         F.size("lines").cast("long").alias("n_lines"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
-        windows.alias("windows"),
+        hashes.alias("hashes"),
     )
+    measured = ["n_words", "word_chars", "n_symbols", "n_exclaim", "n_lines", "n_dup_lines"]
+    # Only texts with two equal windows sort them to find their places.
+    windows = F.when(
+        F.size(F.array_distinct("hashes")) < F.size("hashes"),
+        F.sort_array(F.transform("hashes", lambda h, i: F.struct(h.alias("h"), i.alias("p")))),
+    )
+    d = d.select("doc_id", *measured, windows.alias("windows"))
     equal_neighbours = F.array_compact(
         F.zip_with(
             F.slice("windows", F.lit(1), F.size("windows") - 1),
@@ -92,7 +96,6 @@ def measurements(docs: DataFrame) -> DataFrame:
         )
     )
     starts = F.when(F.col("windows").isNotNull(), F.array_sort(F.array_distinct(F.flatten(equal_neighbours))))
-    measured = ["n_words", "word_chars", "n_symbols", "n_exclaim", "n_lines", "n_dup_lines"]
     d = d.select("doc_id", *measured, starts.alias("starts"))
     # The windows' union: each start adds the distance to the next one, five at most.
     covered = F.aggregate(

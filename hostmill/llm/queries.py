@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
-from . import decontaminate, feistel_shards, quality_ledger
+from . import best_fit, bpe_count, decontaminate, feistel_shards, html_blocks, quality_ledger, url_gbt, zstd_lang
 
 
 def queries() -> dict:
     return {
         "op1_quality_ledger": quality_ledger.op1_quality_ledger,
+        "op2_url_gbt": url_gbt.op2_url_gbt,
+        "op3_bpe_count": bpe_count.op3_bpe_count,
         "op4_decontaminate": decontaminate.op4_decontaminate,
+        "op5_html_blocks": html_blocks.op5_html_blocks,
+        "op8_zstd_lang": zstd_lang.op8_zstd_lang,
         "op9_feistel_shards": feistel_shards.op9_feistel_shards,
+        "op10_best_fit": best_fit.op10_best_fit,
     }
 
 
