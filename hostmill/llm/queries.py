@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import best_fit, bpe_count, decontaminate, feistel_shards, html_blocks, quality_ledger, url_gbt, zstd_lang
+from . import best_fit, bpe_count, decontaminate, feistel_shards, html_blocks, ngram_join, quality_ledger, url_gbt, zstd_lang
 
 
 def queries() -> dict:
@@ -12,6 +12,7 @@ def queries() -> dict:
         "op3_bpe_count": bpe_count.op3_bpe_count,
         "op4_decontaminate": decontaminate.op4_decontaminate,
         "op5_html_blocks": html_blocks.op5_html_blocks,
+        "op7_ngram_join": ngram_join.op7_ngram_join,
         "op8_zstd_lang": zstd_lang.op8_zstd_lang,
         "op9_feistel_shards": feistel_shards.op9_feistel_shards,
         "op10_best_fit": best_fit.op10_best_fit,
