@@ -1,2 +1,56 @@
-"""The corpus pipeline: see STAGES."""
-STAGES: list = []
+"""From raw documents to packed sequences.
+
+Stages, each over all that the one before kept: language identification drops rejected
+documents, the shingle join keeps one document of each near-duplicate group, substring
+dedup cuts passages that occur earlier, decontamination drops documents that hold benchmark
+windows, and best-fit packing places what is left. All stages but the last return the
+columns of documents; each is written as Parquet and read again before the next.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+
+from hostmill.llm import best_fit, decontaminate, ngram_join, substring_dedup, zstd_lang
+from hostmill.llm.common import table, written
+
+
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return zstd_lang.drop_rejected(docs)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return ngram_join.keep_first(docs)
+
+
+def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return substring_dedup.remove(docs)
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return decontaminate.drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return best_fit.place(docs)
+
+
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("language", identify_language),
+    ("near_duplicates", drop_near_duplicates),
+    ("substrings", cut_repeated_passages),
+    ("decontamination", drop_contaminated),
+    ("packing", pack),
+]
+
+#: Compression, similarity components and packing have no SQL form; tests use brute force.
+ORACLE_SQL: str | None = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES:
+        docs = written(stage(spark, docs, sf_dir), name)
+    return docs

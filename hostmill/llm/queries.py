@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import best_fit, bpe_count, decontaminate, feistel_shards, html_blocks, ngram_join, quality_ledger, url_gbt, zstd_lang
+from . import best_fit, bpe_count, decontaminate, feistel_shards, html_blocks, ngram_join, quality_ledger, substring_dedup, url_gbt, zstd_lang
 
 
 def queries() -> dict:
@@ -12,6 +12,7 @@ def queries() -> dict:
         "op3_bpe_count": bpe_count.op3_bpe_count,
         "op4_decontaminate": decontaminate.op4_decontaminate,
         "op5_html_blocks": html_blocks.op5_html_blocks,
+        "op6_substring_dedup": substring_dedup.op6_substring_dedup,
         "op7_ngram_join": ngram_join.op7_ngram_join,
         "op8_zstd_lang": zstd_lang.op8_zstd_lang,
         "op9_feistel_shards": feistel_shards.op9_feistel_shards,
@@ -20,4 +21,8 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_quality_ledger": quality_ledger.OP1_SQL, "op4_decontaminate": decontaminate.OP4_SQL}
+    return {
+        "op1_quality_ledger": quality_ledger.OP1_SQL,
+        "op4_decontaminate": decontaminate.OP4_SQL,
+        "op6_substring_dedup": substring_dedup.OP6_SQL,
+    }
