@@ -12,12 +12,12 @@ Steps, all of them Spark jobs over whole tables:
 1. One pass makes a row per document (set size, set fingerprint) and a bounded summary of
    frequent shingles (Misra-Gries); equal sets become one class, so copies never meet.
 2. Prefix rows are dealt by shingle. Rows of one rare shingle make pairs; a common shingle
-   is salted over tasks and only links each row to a leader (a star).
+   is salted over tasks and only links each row to a few leaders (stars).
 3. Pairs with enough shared prefix shingles are compared exactly.
 4. Components of the links; then pairs of a common shingle whose ends are in different
    components still are compared, so that no link between components is lost.
 
-Pairs inside a component that the star already links are not compared again: they can't
+Pairs inside a component that the stars already link are not compared again: they can't
 change a component. Node identifiers are 64-bit set fingerprints; a second fingerprint is
 checked and the job fails loudly if two different sets share the first.
 
@@ -50,6 +50,8 @@ COUNTERS = 65_536
 #: Salts that a common shingle's rows are spread over.
 SALTS = 32
 MOST_EXTRA = 16
+#: Nodes that stand for a common shingle before pairs across components are looked at.
+LEADERS = 8
 
 
 def shingle_sets(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray]]:
@@ -257,10 +259,17 @@ def _with_end(batches):
 
 
 def star_pairs(rows: DataFrame) -> DataFrame:
-    """Each node of a common shingle with the shingle's leader; leaders are a bounded table."""
-    leaders = rows.groupBy("shingle").agg(F.min(F.struct("n", "node"))["node"].alias("leader"))
-    pairs = rows.join(F.broadcast(leaders), "shingle").filter("node <> leader")
-    return pairs.select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b")).distinct()
+    """Each node of common shingles with those shingles' leaders.
+
+    A shingle has LEADERS leaders, the least nodes by as many hashes, so that a node that
+    differs from one still meets others of its kind. Leaders are a bounded table
+    (MOST_COMMON shingles); a node's leaders are made different before they become rows.
+    """
+    least = [F.min(F.struct(F.xxhash64("node", F.lit(j)), "node"))["node"] for j in range(LEADERS)]
+    leaders = rows.groupBy("shingle").agg(F.array_distinct(F.array(*least)).alias("leaders"))
+    met = rows.join(F.broadcast(leaders), "shingle").groupBy("node").agg(F.collect_set("leaders").alias("l"))
+    met = met.select("node", F.explode(F.array_distinct(F.flatten("l"))).alias("leader")).filter("node <> leader")
+    return met.select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b")).distinct()
 
 
 def compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
