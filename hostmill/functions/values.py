@@ -10,6 +10,11 @@ _NUMBER = r"^[+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?$"
 _OCTET = "(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])"
 
 
+def strip(text: Column) -> Column:
+    """Without white space at both ends, line ends and tabs included."""
+    return F.btrim(text, F.lit(" \t\n\x0b\x0c\r"))
+
+
 def finite_number(text: Column) -> Column:
     """The number a text stands for, or null."""
     n = F.when(text.rlike(_NUMBER), text.try_cast("double"))
@@ -17,13 +22,13 @@ def finite_number(text: Column) -> Column:
 
 
 def is_percent_name(var: Column) -> Column:
-    name = F.lower(F.trim(var))
+    name = F.lower(strip(var))
     return (name == "util") | name.endswith("_util")
 
 
 def kind_is_percent(kind: Column) -> Column:
     """True for the percent names, false for the number names, null for any other."""
-    k = F.trim(F.lower(kind))
+    k = strip(F.lower(kind))
     return F.when(k.isin("number", "num", "uint64"), False).when(k.isin("percent", "pct", "%", "uint8_percent"), True)
 
 
@@ -45,13 +50,13 @@ def short_name(name: Column) -> Column:
 
 
 def device_path(name: Column) -> Column:
-    n = F.trim(name)
+    n = strip(name)
     return F.when(n == "", F.lit("/dev/unknown")).when(n.startswith("/"), n).otherwise(F.concat(F.lit("/dev/"), n))
 
 
 def is_base_disk(name: Column) -> Column:
     """Whole disks and unknown devices; no partition, loop or RAM device, no blank name."""
-    n = F.regexp_replace(F.trim(name), "^/dev/", "")
+    n = F.regexp_replace(strip(name), "^/dev/", "")
     part = r"^(?:(?:sd|vd|xvd|hd)[a-z]+[0-9]+|nvme[0-9]+n[0-9]+p[0-9]+|mmcblk[0-9]+p[0-9]+|(?:loop|ram)[0-9]+)$"
     return (n != "") & ~n.rlike(part)
 

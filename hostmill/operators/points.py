@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.masks import allowed
+from ..functions.values import strip
 from ..schema import POINTS, TAGS
 
 
@@ -24,8 +25,8 @@ def to_points(df: DataFrame, entity: Column, values: dict[str, Column], percents
 
 def normalised_names(points: DataFrame) -> DataFrame:
     """Keys trimmed, blank ones ``total``; variables trimmed, blank ones left out."""
-    key = F.trim(F.coalesce("key", F.lit("")))
-    d = points.withColumn("key", F.when(key == "", F.lit("total")).otherwise(key)).withColumn("var", F.trim("var"))
+    key = strip(F.coalesce("key", F.lit("")))
+    d = points.withColumn("key", F.when(key == "", F.lit("total")).otherwise(key)).withColumn("var", strip(F.col("var")))
     return d.filter("var <> ''")
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.values import strip
 from ..operators.points import to_points
 
 _OUT = ("host", "ts", "key", "var", "raw", "is_percent")
@@ -34,10 +35,10 @@ def swap_points(samples: DataFrame) -> DataFrame:
 
 def fs_points(samples: DataFrame) -> DataFrame:
     """host, ts, mountpoint, opts (array), total, used, free, util, inodes_total/_used/_free/_util."""
-    d = samples.withColumn("mountpoint", F.trim("mountpoint")).filter("mountpoint <> ''")
+    d = samples.withColumn("mountpoint", strip(F.col("mountpoint"))).filter("mountpoint <> ''")
     share = F.col("inodes_util")
     infinite = F.abs(share) == float("inf")
-    readonly = F.coalesce(F.exists("opts", lambda x: F.lower(F.trim(x)) == "ro"), F.lit(False))
+    readonly = F.coalesce(F.exists("opts", lambda x: F.lower(strip(x)) == "ro"), F.lit(False))
     values = {
         "total": F.col("total"),
         "used": F.col("used"),

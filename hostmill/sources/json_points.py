@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.values import finite_number, is_percent_name, kind_is_percent
+from ..functions.values import finite_number, is_percent_name, kind_is_percent, strip
 
 MAX_BYTES = 16 * 1024 * 1024
 
@@ -53,7 +53,7 @@ def _parsed(df: DataFrame, payload: str) -> DataFrame:
     d = with_items(df, payload)
 
     def item(m: Column) -> Column:
-        key = F.trim(m["key"])
+        key = strip(m["key"])
         data = F.from_json(m["data"], "map<string,string>")
         quoted = F.from_json(m["data"], "map<string,variant>")
         names = F.map_entries(data)
@@ -62,7 +62,7 @@ def _parsed(df: DataFrame, payload: str) -> DataFrame:
             # Strings, nulls and arrays are no values; their types are told by the variant.
             kind = F.schema_of_variant(quoted[e["key"]])
             bad = F.coalesce((kind == "STRING") | (kind == "VOID") | kind.startswith("ARRAY"), F.lit(True))
-            return F.struct(F.trim(e["key"]).alias("var"), F.when(~bad, _value(e["key"], e["value"])).alias("v"))
+            return F.struct(strip(e["key"]).alias("var"), F.when(~bad, _value(e["key"], e["value"])).alias("v"))
 
         cells = F.transform(names, cell)
         ok = (key != "") & m["data"].startswith("{") & (F.size(cells) > 0) & F.forall(cells, lambda c: c["v"].isNotNull() & (c["var"] != ""))

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.values import decimal_or_hex, hex_number
+from ..functions.values import decimal_or_hex, hex_number, strip
 from ..operators.counters import STACK
 
 _SPACE = r"\s+"
@@ -122,7 +122,7 @@ def tcp_cc_points(sockets: DataFrame, scrapes: DataFrame, n: int = SOCKETS) -> D
         F.sum("retransmits").alias("retrans"), F.floor(F.sum("cwnd") / F.count(F.lit(1))).alias("cwnd"),
     )
     d = scrapes.join(d, ["host", "ts"], "left").na.fill(0, ["n", "tx", "rx", "retrans", "cwnd"])
-    algo = F.trim(F.coalesce("algo", F.lit("")))
+    algo = strip(F.coalesce("algo", F.lit("")))
     key = F.concat(F.lit("cc:"), F.when(algo == "", F.lit("unknown")).otherwise(algo))
     values = {
         "tcp_sockets": F.col("n"),
