@@ -272,6 +272,28 @@ def star_pairs(rows: DataFrame) -> DataFrame:
     return met.select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b")).distinct()
 
 
+def pairs_across(rows: DataFrame, labels: DataFrame) -> DataFrame:
+    """Pairs of a common shingle in different components that may still be similar.
+
+    A set with common shingles in its prefix has all its rare ones there too, so a pair that
+    shares a rare one has been judged. Any other overlaps in common shingles alone: at most
+    those of the smaller count, and inside the prefixes enough of them. A pair is made at the
+    first shingle that its prefixes share, and so once.
+    """
+    of = rows.groupBy("node").agg(F.collect_list("shingle").alias("prefix"))
+    d = rows.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    ends = d.groupBy("shingle").agg(F.min("label").alias("lo"), F.max("label").alias("hi"))
+    d = d.join(ends.filter("lo <> hi").select("shingle"), "shingle").join(of, "node")
+    d = written(d.select("shingle", "node", "n", (F.col("n") - F.col("p")).alias("rest"), (F.col("n") - F.col("p") + F.col("often")).alias("common"), "label", "prefix"), "open")
+    x = d.select("shingle", *[F.col(c).alias(f"{c}_x") for c in d.columns if c != "shingle"])
+    y = d.select("shingle", *[F.col(c).alias(f"{c}_y") for c in d.columns if c != "shingle"])
+    need = F.ceil((F.col("n_x") + F.col("n_y")) * 3 / F.lit(7))
+    both = F.array_intersect("prefix_x", "prefix_y")
+    may = (F.col("node_x") < F.col("node_y")) & (F.col("label_x") != F.col("label_y")) & (F.least("common_x", "common_y") >= need)
+    may = may & (F.size(both) >= need - F.greatest("rest_x", "rest_y")) & (F.array_min(both) == F.col("shingle"))
+    return x.join(y, "shingle").filter(may).select(F.col("node_x").alias("a"), F.col("node_y").alias("b"))
+
+
 def compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs (a, b) whose sets have a Jaccard similarity of at least 0.75."""
     left = sets.select(F.col("node").alias("a"), F.col("set").alias("sa"))
@@ -346,25 +368,16 @@ def classes_and_components(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataF
     # n - p shingles of its set; the rest must be shared inside the prefixes.
     need = F.ceil((F.col("na") + F.col("nb")) * 3 / F.lit(7)) - F.greatest(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb"))
     pairs = pairs.filter(F.col("shared") + F.col("often") >= need).select("a", "b")
-    common_rows = met.filter("kind = 1").select(F.col("a").alias("shingle"), F.col("b").alias("node"), F.col("na").alias("n"))
+    common_rows = met.filter("kind = 1").select(F.col("a").alias("shingle"), F.col("b").alias("node"), F.col("na").alias("n"), F.col("pa").alias("p"), "often")
     pairs = written(pairs.unionByName(star_pairs(common_rows)).distinct(), "pairs")
     nodes = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
     sets = needed_sets(docs, classes, nodes)
     links = written(compared(pairs, sets), "links")
     labels = components(links)
-    # Common shingles whose nodes are not all in one component yet.
-    labelled = common_rows.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    open_ = labelled.groupBy("shingle").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("shingle")
-    left = written(labelled.join(open_, "shingle"), "open")
-    if left.limit(1).count():
-        x = left.select("shingle", F.col("node").alias("a"), F.col("n").alias("na"), F.col("label").alias("la"))
-        y = left.select("shingle", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("label").alias("lb"))
-        across = x.join(y, "shingle").filter("a < b AND la <> lb AND 3 * na <= 4 * nb AND 3 * nb <= 4 * na").select("a", "b").distinct()
-        across = across.join(pairs, ["a", "b"], "left_anti")
-        more = written(compared(across, sets), "links")
-        links = links.unionByName(more)
-        if more.limit(1).count():
-            labels = components(links)
+    across = pairs_across(common_rows, labels).join(pairs, ["a", "b"], "left_anti")
+    more = written(compared(across, sets), "links")
+    if more.limit(1).count():
+        labels = components(links.unionByName(more))
     least = labels.join(classes, "node").groupBy("label").agg(F.min("rep").alias("component"))
     labels = written(labels.join(least, "label").select("node", "component"), "components")
     return per_doc.select("doc_id", F.col("n").alias("n_shingles"), "node"), classes, labels
@@ -381,7 +394,7 @@ def join(docs: DataFrame) -> DataFrame:
 def keep_first(docs: DataFrame) -> DataFrame:
     """One document of each component, that of the smallest doc_id; all columns kept."""
     later = join(docs).filter("component_id <> doc_id").select("doc_id").distinct()
-    kept = docs.join(later.withColumnRenamed("doc_id", "later_id"), F.col("doc_id") == F.col("later_id"), "left_anti")
+    kept = docs.join(later.withColumnRenamed("doc_id", "later_id__"), F.col("doc_id") == F.col("later_id__"), "left_anti")
     return kept
 
 

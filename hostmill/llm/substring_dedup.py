@@ -215,8 +215,8 @@ _WORD = re.compile(rb"[^\x20\x09-\x0D]+[\x20\x09-\x0D]*")
 
 def with_spans(docs: DataFrame, spans: DataFrame) -> DataFrame:
     key = F.coalesce("doc_id", F.lit(NULL_ID).cast("long"))
-    s = spans.select(F.col("doc_id").alias("span_id"), F.col("spans").alias("gone_spans"))
-    return docs.withColumn("span_key", key).join(s, F.col("span_key") == F.col("span_id"), "left").drop("span_key", "span_id")
+    s = spans.select(F.col("doc_id").alias("span_id__"), F.col("spans").alias("gone_spans__"))
+    return docs.withColumn("span_key__", key).join(s, F.col("span_key__") == F.col("span_id__"), "left").drop("span_key__", "span_id__")
 
 
 def digests(docs: DataFrame, spans: DataFrame) -> DataFrame:
@@ -227,7 +227,7 @@ def digests(docs: DataFrame, spans: DataFrame) -> DataFrame:
         for batch in batches:
             n_words, n_removed, sha = [], [], []
             for part in S.slices(batch):
-                lists = part.column("gone_spans")
+                lists = part.column("gone_spans__")
                 for i, words in enumerate(S.word_lists(part.column("text"), lower=False)):
                     n, gone = len(words), 0
                     if lists[i].is_valid:
@@ -268,8 +268,8 @@ def remove(docs: DataFrame) -> DataFrame:
         return pd.Series(out, dtype=object)
 
     d = with_spans(docs, removed_spans(docs))
-    d = d.withColumn("cut_text", F.when(F.col("gone_spans").isNull(), F.col("text")).otherwise(cut("text", "gone_spans")))
-    d = d.filter("cut_text IS NOT NULL OR text IS NULL").withColumn("text", F.col("cut_text"))
+    d = d.withColumn("cut_text__", F.when(F.col("gone_spans__").isNull(), F.col("text")).otherwise(cut("text", "gone_spans__")))
+    d = d.filter("cut_text__ IS NOT NULL OR text IS NULL").withColumn("text", F.col("cut_text__"))
     if "n_chars" in names:
         d = d.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return d.select(*names)
