@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from ..shipping import ship
 from .values import is_ipv4
 
 UNKNOWN = "::"
@@ -36,6 +37,7 @@ def with_ipv6(df: DataFrame, *names: str) -> DataFrame:
 
     Only texts with a colon go through Python, once for each different text.
     """
+    ship(df.sparkSession)
     colon = [F.when(F.contains(F.col(n), F.lit(":")) & ~is_ipv4(F.col(n)), F.col(n)) for n in names]
     different = df.select(F.explode(F.array_compact(F.array(*colon))).alias("v6_raw")).distinct()
     known = different.select("v6_raw", ipv6_text("v6_raw").alias("v6_text"))

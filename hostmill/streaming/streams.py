@@ -13,6 +13,7 @@ from pyspark.sql.types import StructType
 
 from ..functions.values import before_send
 from ..operators.window import percentile, stored
+from ..shipping import ship
 
 
 def window_series(points: DataFrame, send: str, percentiles: Sequence[int], by: Sequence[str], delay: str = "0 seconds") -> DataFrame:
@@ -115,6 +116,7 @@ class KnownSeries(StatefulProcessor):
 
 def known_series(points: DataFrame, send_seconds: int, delay: str = "0 seconds") -> DataFrame:
     """Closed windows of a stream, known series going on with zeros between samples."""
+    ship(points.sparkSession)
     return (
         points.withWatermark("ts", delay).groupBy("host")
         .transformWithStateInPandas(KnownSeries(1000 * send_seconds), StructType.fromDDL(_KNOWN), "Append", "EventTime")
