@@ -9,6 +9,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..shipping import ship
+
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = "abcdefghijklmnopqrstuvwxyz"
 #: The six white-space characters that end a word.
@@ -57,4 +59,5 @@ def written(df: DataFrame, label: str) -> DataFrame:
 
 def own_columns(docs: DataFrame, *names: str) -> DataFrame:
     """Only the named columns, so that others with clashing names never meet ours."""
+    ship(docs.sparkSession)
     return docs.select(*[F.col(f"`{n}`") for n in names])
