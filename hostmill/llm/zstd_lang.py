@@ -36,6 +36,7 @@ FOLDS = 5
 MARGIN = 0.001
 #: Texts up to so many bytes get the search for short matches; longer ones the fast one.
 SHORT = 1024
+HEAD = 512
 NONE = "und"
 _WORDS = re.compile(r"[^\W\d_]+")
 
@@ -82,25 +83,35 @@ class Compressors:
         import zstandard as z
 
         self.langs = [lang for lang, _ in dicts]
-        self.short, self.long = [], []
-        for _, raw in dicts:
-            data = z.ZstdCompressionDict(raw, dict_type=z.DICT_TYPE_RAWCONTENT)
-            near = z.ZstdCompressionParameters(
+        self.short, self.long, self.heads, self.bare = [], [], [], []
+
+        def near(data):
+            parameters = z.ZstdCompressionParameters(
                 window_log=18, chain_log=17, hash_log=17, search_log=5, min_match=3, target_length=32, strategy=z.STRATEGY_BTOPT,
                 write_content_size=False, write_checksum=False, write_dict_id=False,
             )
+            return z.ZstdCompressor(dict_data=data, compression_params=parameters)
+
+        for _, raw in dicts:
+            data = z.ZstdCompressionDict(raw, dict_type=z.DICT_TYPE_RAWCONTENT)
             fast = z.ZstdCompressionParameters.from_level(
                 1, source_size=1 << 16, dict_size=len(raw), write_content_size=False, write_checksum=False, write_dict_id=False
             )
-            self.short.append(z.ZstdCompressor(dict_data=data, compression_params=near))
+            self.short.append(near(data))
+            # A short text alone is often stored as it is, at one size in all languages. After
+            # a piece of the dictionary it is always coded, and its share is what counts.
+            self.heads.append(raw[-HEAD:] + b" ")
+            self.bare.append(len(self.short[-1].compress(self.heads[-1])))
             self.long.append(z.ZstdCompressor(dict_data=data, compression_params=fast))
 
     def __call__(self, text: str | None) -> tuple[str, float, bool]:
         if text is None or not self.langs or not any(map(str.isalpha, text)):
             return NONE, 0.0, True
         raw = different_words(text).encode("utf-8", "replace")
-        use = self.short if len(raw) <= SHORT else self.long
-        sizes = [len(c.compress(raw)) for c in use]
+        if len(raw) <= SHORT:
+            sizes = [max(1, len(c.compress(h + raw)) - n) for c, h, n in zip(self.short, self.heads, self.bare, strict=True)]
+        else:
+            sizes = [len(c.compress(raw)) for c in self.long]
         k = min(range(len(sizes)), key=sizes.__getitem__)
         if len(sizes) == 1:
             return self.langs[0], 1.0, False
