@@ -17,7 +17,7 @@ from __future__ import annotations
 
 from bisect import bisect_left, insort
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -79,16 +79,19 @@ def place(docs: DataFrame, sizes=SIZES, group: int = GROUP) -> DataFrame:
     groups = max(1, -(-docs.count() // group))
     deal = F.pmod(F.xxhash64("doc_id", "piece"), F.lit(groups)).cast("int")
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["length", "doc_id", "piece"], ascending=[False, True, True], kind="stable")
-        bins, offsets, final = pack(rows["length"].tolist(), sizes)
-        rows["bin"], rows["offset"] = bins, offsets
-        rows["bin_size"] = [final[b] for b in bins]
-        rows["bin_fill"] = rows.groupby("bin")["length"].transform("sum")
+    def run(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by([("length", "descending"), ("doc_id", "ascending"), ("piece", "ascending")])
+        lengths = rows["length"].to_pylist()
+        bins, offsets, final = pack(lengths, sizes)
+        fill = [0] * len(final)
+        for b, n in zip(bins, lengths, strict=True):
+            fill[b] += n
+        for name, values in (("bin", bins), ("offset", offsets), ("bin_size", [final[b] for b in bins]), ("bin_fill", [fill[b] for b in bins])):
+            rows = rows.append_column(name, pa.array(values, pa.int64()))
         return rows
 
     out = "doc_id long, piece long, start long, length long, bin_group int, bin long, offset long, bin_size long, bin_fill long"
-    return d.withColumn("bin_group", deal).groupBy("bin_group").applyInPandas(run, out)
+    return d.withColumn("bin_group", deal).groupBy("bin_group").applyInArrow(run, out)
 
 
 def op10_best_fit(spark, sf_dir: str) -> DataFrame:
