@@ -404,3 +404,21 @@ def test_packing_is_whole(docs, no_docs):
             at += r.length
         assert b[0].bin_fill == at <= b[0].bin_size == min(s for s in best_fit.SIZES if s >= at)
     assert best_fit.place(no_docs).count() == 0
+
+
+def test_null_identifiers(spark, docs):
+    """A null doc_id is kept by every operator; large ones stay exact beside it."""
+    text = by_id(docs)[min(i for i, t in by_id(docs).items() if t and len(t.split()) == 120)]
+    big = (1 << 62) + 1
+    d = spark.createDataFrame([(None, text, None), (big, text, "en"), (None, None, "fr"), (7, None, None)], "doc_id long, text string, lang string")
+    bench = spark.createDataFrame([(None, text)], "item_id long, text string")
+    results = [
+        quality_ledger.ledger(d), bpe_count.token_counts(d), decontaminate.report(d, bench), ngram_join.join(d), zstd_lang.identify(d),
+        substring_dedup.digests(d, substring_dedup.removed_spans(d)), feistel_shards.assign(d), best_fit.place(d),
+    ]
+    for r in results:
+        assert sorted(x.doc_id is None for x in r.collect()) == [False, False, True, True]
+        assert {x.doc_id for x in r.collect()} == {None, big, 7}
+    assert {(r.doc_id, r.n_removed) for r in results[5].collect()} == {(None, 0), (big, 120), (7, 0)}
+    assert {(r.doc_id, r.component_id) for r in results[3].collect()} == {(None, big), (None, None), (big, big), (7, 7)}
+    assert ngram_join.keep_first(d).count() == 4 - 0
