@@ -162,7 +162,10 @@ _PREFIX = "shingle long, node long, n int, p int, often int, salt int"
 
 
 def prefixes(docs: DataFrame, common: np.ndarray, counts: np.ndarray) -> DataFrame:
-    """(shingle, node, set size n, prefix length p, common shingles in it, salt or -1)."""
+    """(shingle, node, set size n, prefix length p, common shingles in it, salt).
+
+    The salt is -1 for rare shingles; SALTS and more for the lengthened part of a prefix.
+    """
     cast = docs.sparkSession.sparkContext.broadcast((common, counts))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -187,6 +190,8 @@ def prefixes(docs: DataFrame, common: np.ndarray, counts: np.ndarray) -> DataFra
                 rare, often = ordered_prefix(t, common, counts)
                 salt = np.full(len(rare) + len(often), -1, np.int32)
                 salt[len(rare) :] = node % SALTS
+                extra = min(len(often), len(salt) - (n - int(least_overlap(np.int64(n))) + 1))
+                salt[len(salt) - max(0, extra) :] += SALTS
                 out.append((np.concatenate([rare, often]), node, n, len(salt), len(often), salt))
                 size += len(salt)
                 if size > 200_000:
@@ -202,7 +207,8 @@ _MET = "kind int, a long, b long, na int, nb int, pa int, pb int, often int"
 
 
 def meetings(rows: DataFrame) -> DataFrame:
-    """kind 0: a pair that shares a rare shingle. kind 1: a row (shingle a, node b) of a common one."""
+    """kind 0: a pair that shares a rare shingle. kind 1: a row (shingle a, node b) of a common one;
+    nb is 1 in the base prefix, 0 in its lengthened part."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("kind", pa.int32()), ("a", pa.int64()), ("b", pa.int64())] + [(x, pa.int32()) for x in ("na", "nb", "pa", "pb", "often")])
@@ -229,7 +235,7 @@ def meetings(rows: DataFrame) -> DataFrame:
             if is_common.any():
                 c = is_common
                 zero = np.zeros(int(c.sum()), np.int32)
-                yield made(1, tok[c], node[c], n[c], zero, p[c], zero, often[c])
+                yield made(1, tok[c], node[c], n[c], salt[c] < SALTS, p[c], zero, often[c])
                 tok, node, n, p, often = (x[~c] for x in (tok, node, n, p, often))
             # Within a shingle rows are in order of set size: partners of a row follow it
             # while their size stays within 4/3 of its own.
@@ -277,20 +283,22 @@ def pairs_across(rows: DataFrame, labels: DataFrame) -> DataFrame:
 
     A set with common shingles in its prefix has all its rare ones there too, so a pair that
     shares a rare one has been judged. Any other overlaps in common shingles alone: at most
-    those of the smaller count, and inside the prefixes enough of them. A pair is made at the
-    first shingle that its prefixes share, and so once.
+    those of the smaller count, and inside the prefixes enough of them. A pair is made at one
+    shingle that its base prefixes share, the least, and so once.
     """
-    of = rows.groupBy("node").agg(F.collect_list("shingle").alias("prefix"))
-    d = rows.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    in_base = F.when(F.col("base") == 1, F.col("shingle"))
+    of = rows.groupBy("node").agg(F.collect_list("shingle").alias("prefix"), F.collect_list(in_base).alias("first"))
+    d = rows.filter("base = 1").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     ends = d.groupBy("shingle").agg(F.min("label").alias("lo"), F.max("label").alias("hi"))
     d = d.join(ends.filter("lo <> hi").select("shingle"), "shingle").join(of, "node")
-    d = written(d.select("shingle", "node", "n", (F.col("n") - F.col("p")).alias("rest"), (F.col("n") - F.col("p") + F.col("often")).alias("common"), "label", "prefix"), "open")
+    d = written(d.select("shingle", "node", "n", (F.col("n") - F.col("p")).alias("rest"), (F.col("n") - F.col("p") + F.col("often")).alias("common"), "label", "prefix", "first"), "open")
     x = d.select("shingle", *[F.col(c).alias(f"{c}_x") for c in d.columns if c != "shingle"])
     y = d.select("shingle", *[F.col(c).alias(f"{c}_y") for c in d.columns if c != "shingle"])
     need = F.ceil((F.col("n_x") + F.col("n_y")) * 3 / F.lit(7))
     both = F.array_intersect("prefix_x", "prefix_y")
     may = (F.col("node_x") < F.col("node_y")) & (F.col("label_x") != F.col("label_y")) & (F.least("common_x", "common_y") >= need)
-    may = may & (F.size(both) >= need - F.greatest("rest_x", "rest_y")) & (F.array_min(both) == F.col("shingle"))
+    may = may & (F.size(both) >= need - F.greatest("rest_x", "rest_y"))
+    may = may & (F.array_min(F.array_intersect("first_x", "first_y")) == F.col("shingle"))
     return x.join(y, "shingle").filter(may).select(F.col("node_x").alias("a"), F.col("node_y").alias("b"))
 
 
@@ -368,8 +376,8 @@ def classes_and_components(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataF
     # n - p shingles of its set; the rest must be shared inside the prefixes.
     need = F.ceil((F.col("na") + F.col("nb")) * 3 / F.lit(7)) - F.greatest(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb"))
     pairs = pairs.filter(F.col("shared") + F.col("often") >= need).select("a", "b")
-    common_rows = met.filter("kind = 1").select(F.col("a").alias("shingle"), F.col("b").alias("node"), F.col("na").alias("n"), F.col("pa").alias("p"), "often")
-    pairs = written(pairs.unionByName(star_pairs(common_rows)).distinct(), "pairs")
+    common_rows = met.filter("kind = 1").select(F.col("a").alias("shingle"), F.col("b").alias("node"), F.col("na").alias("n"), F.col("pa").alias("p"), "often", F.col("nb").alias("base"))
+    pairs = written(pairs.unionByName(star_pairs(common_rows.filter("base = 1"))).distinct(), "pairs")
     nodes = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
     sets = needed_sets(docs, classes, nodes)
     links = written(compared(pairs, sets), "links")
