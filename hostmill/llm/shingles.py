@@ -11,7 +11,7 @@ import pyarrow.compute as pc
 import xxhash
 
 #: Texts of a batch are worked on in slices of about so many bytes.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -33,6 +33,7 @@ def slices(batch: pa.RecordBatch, text: str = "text") -> Iterator[pa.RecordBatch
         end = max(start + 1, int(np.searchsorted(ends, base + SLICE_BYTES, side="right")))
         yield batch.slice(start, end - start)
         start = end
+    pa.default_memory_pool().release_unused()  # workers live on, and so would the memory
 
 
 def word_lists(column: pa.Array, lower: bool) -> list[list[bytes]]:
