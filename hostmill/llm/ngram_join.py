@@ -51,7 +51,9 @@ COUNTERS = 65_536
 SALTS = 32
 MOST_EXTRA = 16
 #: Nodes that stand for a common shingle before pairs across components are looked at.
-LEADERS = 8
+LEADERS = 4
+#: Links that one task folds to a forest, about.
+FOLDED = 200_000
 
 
 def shingle_sets(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray]]:
@@ -319,13 +321,41 @@ def compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.join(right, "b").join(left, "a").select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
 
 
+def forest(links: DataFrame) -> DataFrame:
+    """Links with the same components, no more than a tree a task: connectivity is
+    pre-aggregated before anything is dealt by node. links: a written table."""
+    tasks = max(1, -(-links.count() // FOLDED))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parent: dict[int, int] = {}
+
+        def root(x: int) -> int:
+            top = parent.setdefault(x, x)
+            while parent[top] != top:
+                top = parent[top]
+            while parent[x] != top:
+                parent[x], x = top, parent[x]
+            return top
+
+        for batch in batches:
+            keep = []
+            for a, b in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), strict=True):
+                x, y = root(a), root(b)
+                keep.append(x != y)
+                parent[max(x, y)] = min(x, y)
+            yield batch.filter(pa.array(keep, pa.bool_()))
+
+    return links.select("a", "b").repartition(tasks).mapInArrow(run, "a long, b long")
+
+
 def components(links: DataFrame) -> DataFrame:
     """(node, label): the label is shared by all nodes of a component of the links.
 
     Every round each node takes the least label around it and then that label's own label;
     rounds are written to the shared folder, and end when no label changes.
     """
-    both = links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
+    tree = written(forest(links), "forest")
+    both = tree.unionByName(tree.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
     labels = written(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("label")).withColumnRenamed("a", "node"), "labels")
     both = written(both, "links")
     while True:
@@ -367,11 +397,9 @@ def classes_and_components(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataF
     counts = np.array([r["n"] for r in top], np.int64)
     order = np.argsort(keys)
     rows = prefixes(docs, keys[order], counts[order]).repartition("shingle", "salt").sortWithinPartitions("shingle", "n")
-    met = written(meetings(rows), "met")
-    pairs = met.filter("kind = 0").groupBy("a", "b").agg(
-        F.count(F.lit(1)).alias("shared"), F.first("na").alias("na"), F.first("nb").alias("nb"),
-        F.first("pa").alias("pa"), F.first("pb").alias("pb"), F.first("often").alias("often"),
-    )
+    one = [F.first(c).alias(c) for c in ("na", "nb", "pa", "pb", "often")]
+    met = written(meetings(rows).groupBy("kind", "a", "b").agg(F.count(F.lit(1)).alias("shared"), *one), "met")
+    pairs = met.filter("kind = 0")
     # Overlap needed: ceil(3/7 (na + nb)). Beyond the prefix that ends first lie at most
     # n - p shingles of its set; the rest must be shared inside the prefixes.
     need = F.ceil((F.col("na") + F.col("nb")) * 3 / F.lit(7)) - F.greatest(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb"))
