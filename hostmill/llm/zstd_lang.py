@@ -7,8 +7,10 @@ close, relative to their size, the answer is marked ``rejected``.
 
 Parameters with a bound: ``DOCS_PER_LANG`` documents of a language are sampled, those with
 the lowest hash of doc_id, and their texts fill a dictionary up to ``DICT_BYTES`` (less when
-there are many languages: all dictionaries together stay under ``ALL_BYTES``). Texts to be
-judged are always read whole.
+there are many languages: all dictionaries together stay under ``ALL_BYTES``). Of each sampled
+text only the start is read, four times its equal share of the dictionary. Texts to be judged
+are always read whole: long ones in pieces of ``PIECE`` bytes, so that the dictionary stays in
+the compressor's window, and the sizes are summed.
 
 Defined cases: a null text or one without a letter is ``und`` with score 0; a text judged
 with no language learned is ``und`` too; ties go to the language with more training
@@ -37,6 +39,8 @@ MARGIN = 0.001
 #: Texts up to so many bytes get the search for short matches; longer ones the fast one.
 SHORT = 1024
 HEAD = 512
+#: Bytes of words that are compressed at once; with a dictionary they fit the window.
+PIECE = 64 << 10
 NONE = "und"
 _WORDS = re.compile(r"[^\W\d_]+")
 
@@ -45,6 +49,17 @@ def different_words(text: str) -> str:
     return " ".join(dict.fromkeys(_WORDS.findall(text.lower())))
 
 
+def pieces(raw: bytes) -> Iterator[bytes]:
+    """The words of raw in runs of up to PIECE bytes, cut at spaces; a longer word is cut inside."""
+    at = 0
+    while len(raw) - at > PIECE:
+        end = raw.rfind(b" ", at + 1, at + PIECE + 1)
+        end = end if end > at else at + PIECE
+        yield raw[at:end]
+        at = end + (raw[end : end + 1] == b" ")
+    yield raw[at:]
+
+
 def held_out(doc_id: Column) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % FOLDS == 0
 
@@ -57,10 +72,11 @@ def training_texts(docs: DataFrame) -> list[tuple[str, int, list[str]]]:
     # First which documents, without their texts; then the texts of those alone.
     order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
     chosen = d.select("doc_id", "lang").withColumn("k", F.row_number().over(order)).filter(F.col("k") <= DOCS_PER_LANG)
-    chosen = chosen.select(F.col("doc_id").alias("id"), F.col("lang").alias("l"), "k")
+    picks = F.count(F.lit(1)).over(Window.partitionBy("lang"))
+    chosen = chosen.select(F.col("doc_id").alias("id"), F.col("lang").alias("l"), "k", picks.cast("int").alias("picks"))
     each = min(DICT_BYTES, ALL_BYTES // max(1, len(sizes)))
     picked = d.join(F.broadcast(chosen), (F.col("doc_id") == F.col("id")) & (F.col("lang") == F.col("l")))
-    share = F.substring("text", 1, max(1, 4 * each // DOCS_PER_LANG))
+    share = F.substring("text", F.lit(1), F.greatest(F.lit(1), F.floor(F.lit(4 * each) / F.col("picks")).cast("int")))
     rows = picked.select("l", "k", share.alias("text")).collect()
     texts: dict[str, list] = {}
     for r in sorted(rows, key=lambda r: (r["l"], r["k"], r["text"])):
@@ -111,7 +127,8 @@ class Compressors:
         if len(raw) <= SHORT:
             sizes = [max(1, len(c.compress(h + raw)) - n) for c, h, n in zip(self.short, self.heads, self.bare, strict=True)]
         else:
-            sizes = [len(c.compress(raw)) for c in self.long]
+            parts = list(pieces(raw))
+            sizes = [sum(len(c.compress(p)) for p in parts) for c in self.long]
         k = min(range(len(sizes)), key=sizes.__getitem__)
         if len(sizes) == 1:
             return self.langs[0], 1.0, False

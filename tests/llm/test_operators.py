@@ -309,6 +309,41 @@ def test_language_cases(docs, spark):
     assert {r.lang_pred for r in zstd_lang.identify(unlabelled).collect()} == {"und"}
 
 
+def test_language_of_texts_beyond_the_window():
+    """The dictionary counts for the whole of a long text, not for its first 256 KB."""
+    import random
+
+    rnd = random.Random(5)
+    kinds = {"a": "aeioubcdfg", "b": "aeioulmnpr"}
+    roots = {k: ["".join(rnd.choice(v) for _ in range(6)) for _ in range(3000)] for k, v in kinds.items()}
+    judge = zstd_lang.Compressors([(k, " ".join(v).encode()) for k, v in roots.items()])
+    letters = "hjkqstvwxyz"
+
+    def say(lang, size):
+        words, n = [], 0
+        while n < size:
+            words.append(rnd.choice(roots[lang]) + "".join(rnd.choice(letters) for _ in range(3)))
+            n += len(words[-1]) + 1
+        return " ".join(words)
+
+    lang, score, rejected = judge(say("a", 200_000) + " " + say("b", 1_500_000))
+    assert (lang, rejected) == ("b", False)
+    part = judge(say("a", 60_000))
+    whole = judge(say("a", 1_500_000))
+    assert whole[0] == "a" and not whole[2] and whole[1] > part[1] / 2
+    raw = say("a", 300_000).encode() + b" " + b"x" * 200_000
+    assert b"".join(zstd_lang.pieces(raw)).replace(b" ", b"") == raw.replace(b" ", b"")
+    assert all(0 < len(p) <= zstd_lang.PIECE for p in zstd_lang.pieces(raw))
+
+
+def test_few_training_texts_fill_the_dictionary(spark):
+    """The dictionary's bytes are shared by the texts there are, not by DOCS_PER_LANG."""
+    text = " ".join("w" + "".join("abcdefghij"[int(c)] for c in str(k)) for k in range(8000))
+    d = spark.createDataFrame([(k, text, "en") for k in range(3)], "doc_id long, text string, lang string")
+    ((_, raw),) = zstd_lang.dictionaries(zstd_lang.training_texts(d))
+    assert len(raw) == zstd_lang.DICT_BYTES
+
+
 # 9: sharding
 
 
