@@ -1,7 +1,8 @@
 """URL filter: path rules first, then gradient-boosted trees on lexical features.
 
-The rules label the URLs they fit; the trees learn from a bounded sample of those labels and
-judge the rest. The small forest is grown once from the sample's feature rows and becomes one
+The rules label the URLs they fit; the trees are fitted to a bounded sample of those labels and
+judge the rest. The statistics of suffixes are counted from all labelled URLs, each different
+URL once. The small forest is grown once from the sample's feature rows and becomes one
 column expression, so scoring stays in the scan. Features: lengths, depth, digit ratio, character entropy, parameter counts
 and statistics of suffixes (the share of blocked labels by top-level domain, by registered
 domain, by first path segment and by file ending, smoothed by the overall share).
@@ -20,7 +21,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, UPPER, own_columns, table
+from .common import LOWER, UPPER, own_columns, table, written
 
 #: The rules, as verdict and host with path.
 RULES = (
@@ -67,6 +68,17 @@ def with_rules(pages: DataFrame, rules=RULES) -> DataFrame:
     return d.withColumn("rule", rule).withColumn("ruled", verdict)
 
 
+def suffix_columns() -> list[Column]:
+    """The suffixes of host and path, named as in SUFFIXES."""
+    labels, path = F.split(F.col("host"), r"\."), F.col("path")
+    return [
+        F.coalesce(F.get(labels, F.size(labels) - 1), F.lit("")).alias("tld"),
+        F.concat_ws(".", F.slice(labels, F.greatest(F.size(labels) - 1, F.lit(1)), 2)).alias("domain"),
+        F.coalesce(F.get(F.filter(F.split(path, "/"), lambda x: x != ""), F.lit(0)), F.lit("")).alias("segment"),
+        F.regexp_extract(path, r"\.([A-Za-z0-9]{1,5})$", 1).alias("ending"),
+    ]
+
+
 def features(d: DataFrame) -> DataFrame:
     url, host, path = F.coalesce("url", F.lit("")), F.col("host"), F.col("path")
     query = F.regexp_extract(url, r"\?([^#]*)", 1)
@@ -94,10 +106,7 @@ def features(d: DataFrame) -> DataFrame:
         F.contains(url, F.lit("#")).cast("double").alias("fragment"),
         F.array_max(F.transform(labels, lambda x: F.length(x))).cast("double").alias("longest_label"),
         url.startswith("https").cast("double").alias("secure"),
-        F.coalesce(F.get(labels, F.size(labels) - 1), F.lit("")).alias("tld"),
-        F.concat_ws(".", F.slice(labels, F.greatest(F.size(labels) - 1, F.lit(1)), 2)).alias("domain"),
-        F.coalesce(F.get(F.filter(F.split(path, "/"), lambda x: x != ""), F.lit(0)), F.lit("")).alias("segment"),
-        F.regexp_extract(path, r"\.([A-Za-z0-9]{1,5})$", 1).alias("ending"),
+        *suffix_columns(),
     )
 
 
@@ -150,35 +159,46 @@ def as_column(tree, inputs: list[str]) -> Column:
     return F.when(F.col(inputs[f]) <= cut, as_column(low, inputs)).otherwise(as_column(high, inputs))
 
 
+def suffix_counts(labelled: DataFrame) -> DataFrame:
+    """kind, key, blocked and n: the labelled URLs and the blocked ones of every suffix."""
+    d = labelled.select("ruled", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path")).select("ruled", *suffix_columns())
+    pairs = F.array(*[F.struct(F.lit(s).alias("kind"), d[s].alias("key")) for s in SUFFIXES])
+    d = d.select(F.explode(pairs).alias("s"), (F.col("ruled") == "block").cast("long").alias("block"))
+    return d.groupBy("s.kind", "s.key").agg(F.sum("block").alias("blocked"), F.count(F.lit(1)).alias("n"))
+
+
 def judge(pages: DataFrame, rules=RULES, sample: int = SAMPLE) -> DataFrame:
     spark = pages.sparkSession
     ruled = with_rules(pages, rules)
-    # The bounded sample is the only thing that training sees; it is gathered once.
-    rows = (
-        ruled.filter("ruled IS NOT NULL AND url IS NOT NULL").select("url", "ruled").distinct()
-        .orderBy(F.xxhash64("url"), "url").limit(sample).collect()
-    )
-    kinds = sorted({r["ruled"] for r in rows})
-    if len(kinds) < 2:
-        only = kinds[0] if kinds else "allow"
+    labelled = ruled.filter("ruled IS NOT NULL AND url IS NOT NULL").select("url", "ruled").distinct()
+    stats = written(suffix_counts(labelled), "suffixes")
+    # Every labelled URL has one top-level domain, if an empty one: those rows count them all.
+    of_all = stats.filter(F.col("kind") == "tld").agg(F.sum("blocked").alias("blocked"), F.sum("n").alias("n")).first()
+    blocked, n = of_all["blocked"] or 0, of_all["n"] or 0
+    if blocked in (0, n):
+        only = "block" if blocked else "allow"
         verdict = F.coalesce("ruled", F.lit(only))
         return ruled.select("page_id", "host", "path", "rule", verdict.alias("verdict"), F.lit(None).cast("double").alias("p_block"))
+    overall = blocked / n
+    share = ((F.col("blocked") + SMOOTH * overall) / (F.col("n") + SMOOTH)).alias("share")
+    shares = {s: stats.filter(F.col("kind") == s).select(F.col("key").alias(f"{s}_key"), share.alias(f"{s}_share")) for s in SUFFIXES}
+    # The bounded sample that the trees are fitted to is gathered once.
+    rows = labelled.orderBy(F.xxhash64("url"), "url").limit(sample).collect()
     frame = spark.createDataFrame([(i, r["url"]) for i, r in enumerate(rows)], "page_id long, url string").coalesce(2)
     train = features(with_rules(frame, rules)).select(*NUMBERS, *SUFFIXES, "ruled").toPandas()
     label = (train["ruled"] == "block").to_numpy(float)
-    overall = float(label.mean())
-    stats = {}
     for s in SUFFIXES:
-        # At most one row for each sampled URL: the bound of what is broadcast below.
-        by = train.assign(label=label).groupby(s)["label"]
-        shares = (by.sum() + SMOOTH * overall) / (by.count() + SMOOTH)
-        train[f"{s}_share"] = train[s].map(shares)
-        stats[s] = spark.createDataFrame([(k, float(v)) for k, v in shares.items()], f"{s}_key string, {s}_share double").coalesce(1)
+        # The sample's own suffixes: at most one row for each sampled URL.
+        own = spark.createDataFrame([(k,) for k in sorted(set(train[s]))], "own string").coalesce(1)
+        of_sample = shares[s].join(F.broadcast(own), F.col(f"{s}_key") == F.col("own"), "left_semi").collect()
+        train[f"{s}_share"] = train[s].map({r[0]: r[1] for r in of_sample})
     inputs = [*NUMBERS, *(f"{s}_share" for s in SUFFIXES)]
     first, forest = boost(train[inputs].to_numpy(float), label)
     d = features(ruled)
     for s in SUFFIXES:
-        d = d.join(F.broadcast(stats[s]), F.col(s) == F.col(f"{s}_key"), "left")
+        # These tables have no proven bound: the measured size of what was written decides
+        # whether one is broadcast or the join is shuffled.
+        d = d.join(shares[s], F.col(s) == F.col(f"{s}_key"), "left")
         d = d.withColumn(f"{s}_share", F.coalesce(f"{s}_share", F.lit(overall)))
     score = F.lit(first)
     for tree in forest:

@@ -94,6 +94,28 @@ def test_url_trees_learn(spark, data):
     assert np.mean(np.array(p) == (y[400:] > 0.5)) > 0.9
 
 
+def test_url_statistics_are_of_all_labels(spark, monkeypatch):
+    """The suffix statistics count every labelled URL, also those that the trees aren't fitted to."""
+    urls = [f"http://s{k}.com/p{k % 7}/{k}.html" for k in range(60)] + [f"http://t{k}.net/es/q{k}" for k in range(40)]
+    urls += [urls[0]] * 9 + ["http://s3.com"]
+    df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    seen = []
+    boost = url_gbt.boost
+    monkeypatch.setattr(url_gbt, "boost", lambda x, y: (seen.append((x, y)), boost(x, y))[1])
+    got = {r.page_id: r for r in url_gbt.judge(df, sample=10).collect()}
+    ((x, y),) = seen
+    assert len(y) == 10 and len(got) == len(urls)
+    # 60 different .com URLs are allowed and 40 .net ones blocked; s3.com itself fits no rule.
+    overall = 40 / 100
+    tld = len(url_gbt.NUMBERS)
+    want = {0.0: (5 * overall) / 65, 1.0: (40 + 5 * overall) / 45}
+    assert all(abs(share - want[label]) < 1e-12 for share, label in zip(x[:, tld], y, strict=True))
+    counts = {(r.kind, r.key): (r.blocked, r.n) for r in url_gbt.suffix_counts(url_gbt.with_rules(df).filter("ruled IS NOT NULL").select("url", "ruled").distinct()).collect()}
+    assert counts["tld", "com"] == (0, 60) and counts["tld", "net"] == (40, 40) and counts["segment", "es"] == (40, 40)
+    assert counts["domain", "s3.com"] == (0, 1) and counts["ending", "html"] == (0, 60) and counts["ending", ""] == (40, 40)
+    assert url_gbt.judge(df, sample=1).filter("p_block IS NULL").count() == 0
+
+
 # 3: token counts
 
 
