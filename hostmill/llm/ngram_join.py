@@ -23,7 +23,7 @@ checked and the job fails loudly if two different sets share the first.
 
 Defined cases: a null or word-less text has an empty set, links with nothing and is its own
 component; fewer than five words are one shingle; copies share a component; repeated rows
-with one doc_id count once each; an empty table gives no rows; a null doc_id is kept, and
+with one doc_id count once each, with the sets of their own texts; an empty table gives no rows; a null doc_id is kept, and
 its component is the smallest doc_id of its copies or links, or null; only doc_id and text
 are read.
 """
@@ -34,8 +34,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from . import shingles as S
 from .common import own_columns, table, written
@@ -102,15 +104,15 @@ class Frequent:
             self.keys, self.counts = self.keys[stay], self.counts[stay]
 
 
-_PROFILE = "kind int, doc_id long, a long, b long, n long"
+_PROFILE = "kind int, doc_id long, row long, a long, b long, n long"
 
 
 def profiles(docs: DataFrame) -> DataFrame:
-    """kind 0: doc_id, set fingerprints a and b, set size n. kind 1: shingle a, count n."""
+    """kind 0: doc_id, text hash row, set fingerprints a and b, set size n. kind 1: shingle a, count n."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         summary = Frequent()
-        schema = pa.schema([("kind", pa.int32()), ("doc_id", pa.int64()), ("a", pa.int64()), ("b", pa.int64()), ("n", pa.int64())])
+        schema = pa.schema([("kind", pa.int32()), ("doc_id", pa.int64()), ("row", pa.int64()), ("a", pa.int64()), ("b", pa.int64()), ("n", pa.int64())])
         for batch in batches:
             ids, a, b, n, pending, seen, size = batch.column("doc_id").to_pylist(), [], [], [], [], set(), 0
             for _, t in shingle_sets(batch):
@@ -127,13 +129,13 @@ def profiles(docs: DataFrame) -> DataFrame:
                         pending, size = [], 0
             summary.add(pending)
             kind = pa.array(np.zeros(len(ids), np.int32))
-            yield pa.RecordBatch.from_arrays([kind, pa.array(ids, pa.int64()), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(n, pa.int64())], schema=schema)
+            yield pa.RecordBatch.from_arrays([kind, pa.array(ids, pa.int64()), batch.column("row"), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(n, pa.int64())], schema=schema)
         often = summary.counts > 1
         keys, counts = summary.keys[often].view(np.int64), summary.counts[often]
         nulls = pa.nulls(len(keys), pa.int64())
-        yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(keys), np.int32)), nulls, pa.array(keys), nulls, pa.array(counts)], schema=schema)
+        yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(keys), np.int32)), nulls, nulls, pa.array(keys), nulls, pa.array(counts)], schema=schema)
 
-    return own_columns(docs, "doc_id", "text").mapInArrow(run, _PROFILE)
+    return own_columns(docs, "doc_id", "text").withColumn("row", F.xxhash64("text")).mapInArrow(run, _PROFILE)
 
 
 def least_overlap(n: np.ndarray) -> np.ndarray:
@@ -371,23 +373,33 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def needed_sets(docs: DataFrame, classes: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(node, set as sorted 64-bit words) of the given nodes, from the texts of their classes."""
-    wanted = classes.join(nodes, "node").select(F.col("rep").alias("id"), "node")
-    texts = own_columns(docs, "doc_id", "text").join(wanted, F.col("doc_id") == F.col("id")).select("node", "text")
+    """(node, set as sorted 64-bit words) of the given nodes, from the texts of their classes.
+
+    Rows of one doc_id may have different texts, so a text counts for a node only if it has
+    its fingerprint. Classes without any doc_id are found by the fingerprints of such rows.
+    """
+    wanted = classes.join(nodes, "node")
+    d = own_columns(docs, "doc_id", "text")
+    texts = d.join(wanted.select(F.col("rep").alias("id"), "node"), F.col("doc_id") == F.col("id")).select("node", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            own = [t.tobytes() for _, t in shingle_sets(batch)]
-            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(own, pa.binary())], names=["node", "set"])
+            sets = [t for _, t in shingle_sets(batch)]
+            nodes = pa.array([set_fingerprints(t)[0] for t in sets], pa.int64())
+            made = pa.RecordBatch.from_arrays([nodes, pa.array([t.tobytes() for t in sets], pa.binary())], names=["node", "set"])
+            yield made.filter(pc.equal(nodes, batch.column("node"))) if "node" in batch.schema.names else made
 
-    return written(texts.mapInArrow(run, "node long, set binary").dropDuplicates(["node"]), "sets")
+    made = "node long, set binary"
+    bare = d.filter("doc_id IS NULL").select("text").mapInArrow(run, made)
+    bare = bare.join(wanted.filter("rep IS NULL").select("node"), "node", "left_semi")
+    return written(texts.mapInArrow(run, made).unionByName(bare).dropDuplicates(["node"]), "sets")
 
 
 def classes_and_components(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Per document (doc_id, n_shingles, node); per class (node, rep); per linked class
+    """Per document (doc_id, row, n_shingles, node); per class (node, rep); per linked class
     (node, label, component)."""
     seen = written(profiles(docs), "profiles")
-    per_doc = seen.filter("kind = 0").select("doc_id", F.col("a").alias("node"), F.col("b").alias("check"), "n")
+    per_doc = seen.filter("kind = 0").select("doc_id", "row", F.col("a").alias("node"), F.col("b").alias("check"), "n")
     classes = per_doc.filter("n > 0").groupBy("node").agg(F.min("doc_id").alias("rep"), F.min("check").alias("lo"), F.max("check").alias("hi"))
     safe = F.when(F.col("lo") == F.col("hi"), F.col("rep")).otherwise(F.raise_error(F.lit("two sets share a fingerprint")).cast("long"))
     classes = written(classes.select("node", safe.alias("rep")), "classes")
@@ -415,8 +427,8 @@ def classes_and_components(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataF
     if more.limit(1).count():
         labels = components(links.unionByName(more))
     least = labels.join(classes, "node").groupBy("label").agg(F.min("rep").alias("component"))
-    labels = written(labels.join(least, "label").select("node", "component"), "components")
-    return per_doc.select("doc_id", F.col("n").alias("n_shingles"), "node"), classes, labels
+    labels = written(labels.join(least, "label").select("node", "label", "component"), "components")
+    return per_doc.select("doc_id", "row", F.col("n").alias("n_shingles"), "node"), classes, labels
 
 
 def join(docs: DataFrame) -> DataFrame:
@@ -428,10 +440,35 @@ def join(docs: DataFrame) -> DataFrame:
 
 
 def keep_first(docs: DataFrame) -> DataFrame:
-    """One document of each component, that of the smallest doc_id; all columns kept."""
-    later = join(docs).filter("component_id <> doc_id").select("doc_id").distinct()
-    kept = docs.join(later.withColumnRenamed("doc_id", "later_id__"), F.col("doc_id") == F.col("later_id__"), "left_anti")
-    return kept
+    """Of each component the document of the smallest doc_id, and one of its rows without a
+    doc_id; all columns kept.
+
+    A document is told by doc_id and text, so that texts under one doc_id are judged apart;
+    of several in a component one stays. Repeated rows of one doc_id and text share their
+    fate. Rows without a doc_id are judged among themselves, and rows without words stay.
+    """
+    per_doc, classes, labels = classes_and_components(docs)
+    groups = labels.select(F.col("node").alias("of"), "label")
+    d = per_doc.filter("n_shingles > 0").join(groups, F.col("node") == F.col("of"), "left")
+    d = d.select("doc_id", "row", F.coalesce("label", "node").alias("label"))
+    bare = F.col("doc_id").isNull()
+    least = d.groupBy(F.col("label").alias("of")).agg(
+        F.min(F.when(~bare, F.struct("doc_id", "row"))).alias("first"), F.min(F.when(bare, F.col("row"))).alias("bare")
+    )
+    d = d.join(least, F.col("label") == F.col("of"))
+    later = d.filter(F.when(bare, F.col("row") != F.col("bare")).otherwise(F.struct("doc_id", "row") != F.col("first")))
+    later = written(later.select(F.col("doc_id").alias("later_id__"), F.col("row").alias("later_row__")).distinct(), "later")
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    rows = docs.withColumn("row__", F.xxhash64("text"))
+    same = F.col("row__") == F.col("later_row__")
+    with_id = rows.filter("doc_id IS NOT NULL").join(later, (F.col("doc_id") == F.col("later_id__")) & same, "left_anti")
+    without = rows.filter("doc_id IS NULL").join(later.filter("later_id__ IS NULL"), same, "left_anti")
+    # Of equal texts without a doc_id the first row stays.
+    has_words = F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    order = Window.partitionBy("row__").orderBy(F.monotonically_increasing_id())
+    once = without.filter(has_words).withColumn("copy__", F.row_number().over(order)).filter("copy__ = 1")
+    kept = with_id.select(*columns).unionByName(once.select(*columns))
+    return kept.unionByName(without.filter(~has_words).select(*columns))
 
 
 def op7_ngram_join(spark, sf_dir: str) -> DataFrame:

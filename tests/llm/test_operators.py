@@ -304,6 +304,27 @@ def test_common_chains_and_hot_groups(spark):
     assert got == model_components(dict(rows))
 
 
+def test_join_without_identifiers(spark):
+    """Links through texts without a doc_id count, and so do those of each text of one doc_id."""
+    base = [f"w{k}" for k in range(60)]
+    ends = base[:-6] + [f"x{j}" for j in range(6)]
+    near = {0: " ".join(base), 6: " ".join(ends), 12: " ".join([f"y{j}" for j in range(6)] + ends[6:])}
+    other = " ".join(f"o{k}" for k in range(50))
+    # 0 and 12 are alike only through 6, whose rows have no doc_id.
+    d = spark.createDataFrame([(1, near[0]), (None, near[6]), (None, near[6]), (2, near[12]), (None, " "), (None, " ")], "doc_id long, text string")
+    assert {(r.doc_id, r.component_id) for r in ngram_join.join(d).collect()} == {(1, 1), (2, 1), (None, 1), (None, None)}
+    kept = [(r.doc_id, r.text) for r in ngram_join.keep_first(d).collect()]
+    assert sorted(kept, key=repr) == sorted([(1, near[0]), (None, near[6]), (None, " "), (None, " ")], key=repr)
+    # No row has a doc_id.
+    d = spark.createDataFrame([(None, t) for t in (near[0], near[6], near[6], near[12], other, other)], "doc_id long, text string")
+    kept = [r.text for r in ngram_join.keep_first(d).collect()]
+    assert len(kept) == 2 and other in kept
+    # The smallest doc_id of the link's class has other texts too, which come first.
+    d = spark.createDataFrame([(5, other), (5, near[6]), (7, near[0]), (8, near[12])], "doc_id long, text string").coalesce(1)
+    assert {(r.doc_id, r.component_id) for r in ngram_join.join(d).collect()} == {(5, 5), (7, 5), (8, 5)}
+    assert {(r.doc_id, r.text) for r in ngram_join.keep_first(d).collect()} == {(5, other), (5, near[6])}
+
+
 # 8: language
 
 
