@@ -17,8 +17,11 @@ against itself is done by shuffled fingerprints, exactly:
 3. The windows of opened chunks are compared one by one, by 128-bit fingerprints.
 4. The spans found are joined back to the texts.
 
-Defined cases: a null or short text loses nothing; rows with the same doc_id are one document
-and are judged alike; a null doc_id counts as the smallest; an empty table gives no rows;
+A document is told by its doc_id and the 64-bit hash of its text, in this order.
+
+Defined cases: a null or short text loses nothing; rows with the same doc_id and text are one
+document and are judged alike; a null doc_id counts as the smallest, and its rows are documents
+of their own: of equal ones the first row is the earlier; an empty table gives no rows;
 only doc_id and text are used to decide. Long texts are worked on whole, in one task.
 """
 
@@ -32,6 +35,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from . import shingles as S
 from .common import own_columns, table, written
@@ -41,6 +45,8 @@ MINIMIZER = 8
 #: Bytes of reference text for which automata are broadcast, at most.
 REFERENCE_BYTES = 8 << 20
 NULL_ID = -(1 << 63)
+#: The span of a text that is an exact later copy.
+WHOLE = -1
 
 _ONE, _TWO = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1342543DE82EF95)
 
@@ -59,8 +65,14 @@ def rolling(words: np.ndarray, step: np.uint64) -> tuple[np.ndarray, np.ndarray]
     return h8, join(h16, h4, 16, 4)
 
 
-_CHUNK = "m long, c long, doc_id long, span long, gone boolean"
-_CHUNK_ARROW = pa.schema([("m", pa.int64()), ("c", pa.int64()), ("doc_id", pa.int64()), ("span", pa.int64()), ("gone", pa.bool_())])
+_CHUNK = "m long, c long, doc_id long, row long, span long, gone boolean"
+_CHUNK_ARROW = pa.schema([("m", pa.int64()), ("c", pa.int64()), ("doc_id", pa.int64()), ("row", pa.int64()), ("span", pa.int64()), ("gone", pa.bool_())])
+
+
+def documents(docs: DataFrame) -> DataFrame:
+    """doc_id, row and text: doc_id and row tell a document."""
+    d = own_columns(docs, "doc_id", "text")
+    return d.select(F.coalesce("doc_id", F.lit(NULL_ID).cast("long")).alias("doc_id"), F.xxhash64("text").alias("row"), "text")
 
 
 def chunk_starts(h8: np.ndarray, h20: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -82,10 +94,10 @@ def chunks(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in S.slices(batch):
-                ids = part.column("doc_id").to_numpy(zero_copy_only=False)
+                ids, hashes = (part.column(x).to_numpy(zero_copy_only=False) for x in ("doc_id", "row"))
                 words, bounds = S.fingerprints(S.word_lists(part.column("text"), lower=False))
                 h8, h20 = rolling(words, _ONE)
-                m, c, doc, span = [], [], [], []
+                m, c, doc, row, span = [], [], [], [], []
                 for i in range(part.num_rows):
                     a, b = int(bounds[i]), int(bounds[i + 1])
                     if b - a < W:
@@ -94,34 +106,34 @@ def chunks(docs: DataFrame) -> DataFrame:
                     m.append(least)
                     c.append(content)
                     doc.append(np.full(len(start), ids[i], np.int64))
+                    row.append(np.full(len(start), hashes[i], np.int64))
                     span.append(start.astype(np.int64) * 256 + size)
                 if not m:
                     continue
                 m, c = np.concatenate(m).view(np.int64), np.concatenate(c).view(np.int64)
-                doc, span = np.concatenate(doc), np.concatenate(span)
-                order = np.lexsort((span, doc, c, m))
-                m, c, doc, span = m[order], c[order], doc[order], span[order]
-                first, later = copies(m, c, doc, span)
+                doc, row, span = np.concatenate(doc), np.concatenate(row), np.concatenate(span)
+                order = np.lexsort((span, row, doc, c, m))
+                m, c, doc, row, span = (x[order] for x in (m, c, doc, row, span))
+                first, later = copies(m, c, doc, row, span)
                 keep = first | later
-                cols = [x[keep] for x in (m, c, doc, span, later)]
+                cols = [x[keep] for x in (m, c, doc, row, span, later)]
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in cols], schema=_CHUNK_ARROW)
 
-    d = own_columns(docs, "doc_id", "text").select(F.coalesce("doc_id", F.lit(NULL_ID).cast("long")).alias("doc_id"), "text")
-    return d.mapInArrow(run, _CHUNK)
+    return documents(docs).mapInArrow(run, _CHUNK)
 
 
-def copies(m, c, doc, span) -> tuple[np.ndarray, np.ndarray]:
+def copies(m, c, doc, row, span) -> tuple[np.ndarray, np.ndarray]:
     """Of sorted chunks: the first of each (m, c), and those that come later at another place."""
     first = np.ones(len(m), bool)
     first[1:] = (m[1:] != m[:-1]) | (c[1:] != c[:-1])
     head = np.maximum.accumulate(np.where(first, np.arange(len(m)), 0))
-    return first, ~first & ((doc != doc[head]) | (span != span[head]))
+    return first, ~first & ((doc != doc[head]) | (row != row[head]) | (span != span[head]))
 
 
 def settled(rows: DataFrame) -> DataFrame:
-    """doc_id, span and ``gone``: later copies, and (gone false) chunks to be opened.
+    """doc_id, row, span and ``gone``: later copies, and (gone false) chunks to be opened.
 
-    rows: sorted by m, c, doc_id, span within partitions that hold whole minimizers.
+    rows: sorted by m, c, doc_id, row, span within partitions that hold whole minimizers.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -134,74 +146,76 @@ def settled(rows: DataFrame) -> DataFrame:
         for batch in ended():
             cols = held
             if batch is not None:
-                cols = [batch.column(x).to_numpy(zero_copy_only=False) for x in ("m", "c", "doc_id", "span")]
+                cols = [batch.column(x).to_numpy(zero_copy_only=False) for x in ("m", "c", "doc_id", "row", "span")]
                 if held is not None:
                     cols = [np.concatenate([x, y]) for x, y in zip(held, cols, strict=True)]
             if cols is None or not len(cols[0]):
                 continue
-            m, c, doc, span = cols
+            m, c, doc, row, span = cols
             end = len(m) if batch is None else int(np.searchsorted(m, m[-1], side="left"))
             held = [x[end:] for x in cols]
-            m, c, doc, span = (x[:end] for x in cols)
+            m, c, doc, row, span = (x[:end] for x in cols)
             if not end:
                 continue
-            first, later = copies(m, c, doc, span)
+            first, later = copies(m, c, doc, row, span)
             at = np.flatnonzero(np.concatenate([[True], m[1:] != m[:-1]]))
             kinds = np.add.reduceat(first.astype(np.int64), at)
             opened = first & (np.repeat(kinds, np.diff(np.append(at, end))) > 1)
             out = later | opened
-            yield pa.RecordBatch.from_arrays([pa.array(doc[out]), pa.array(span[out]), pa.array(later[out])], names=["doc_id", "span", "gone"])
+            yield pa.RecordBatch.from_arrays([pa.array(x[out]) for x in (doc, row, span, later)], names=["doc_id", "row", "span", "gone"])
 
-    return rows.select("m", "c", "doc_id", "span").mapInArrow(run, "doc_id long, span long, gone boolean")
+    return rows.select("m", "c", "doc_id", "row", "span").mapInArrow(run, "doc_id long, row long, span long, gone boolean")
 
 
 def window_rows(docs: DataFrame, opened: DataFrame) -> DataFrame:
-    """(h1, h2, doc_id, at): every window of the opened chunks."""
-    lists = opened.groupBy(F.col("doc_id").alias("id")).agg(F.collect_list("span").alias("spans"))
-    d = own_columns(docs, "doc_id", "text").select(F.coalesce("doc_id", F.lit(NULL_ID).cast("long")).alias("doc_id"), "text")
-    d = d.join(lists, F.col("doc_id") == F.col("id")).select("doc_id", "text", "spans")
-    schema = pa.schema([("h1", pa.int64()), ("h2", pa.int64()), ("doc_id", pa.int64()), ("at", pa.int64())])
+    """(h1, h2, doc_id, row, at): every window of the opened chunks."""
+    lists = opened.groupBy(F.col("doc_id").alias("id"), F.col("row").alias("of")).agg(F.collect_list("span").alias("spans"))
+    d = documents(docs).join(lists, (F.col("doc_id") == F.col("id")) & (F.col("row") == F.col("of"))).select("doc_id", "row", "text", "spans")
+    schema = pa.schema([("h1", pa.int64()), ("h2", pa.int64()), ("doc_id", pa.int64()), ("row", pa.int64()), ("at", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in S.slices(batch):
-                ids, spans = part.column("doc_id").to_numpy(), part.column("spans")
+                ids, hashes, spans = part.column("doc_id").to_numpy(), part.column("row").to_numpy(), part.column("spans")
                 words, bounds = S.fingerprints(S.word_lists(part.column("text"), lower=False))
                 one, two = rolling(words, _ONE)[1], rolling(S.mix(words), _TWO)[1]
-                h1, h2, doc, at = [], [], [], []
+                h1, h2, doc, row, at = [], [], [], [], []
                 for i in range(part.num_rows):
                     s = np.unique(spans[i].values.to_numpy())
                     places = np.concatenate([np.arange(x >> 8, (x >> 8) + (x & 255)) for x in s.tolist()])
                     a, b = int(bounds[i]), int(bounds[i + 1])
-                    places = places[places + W <= b - a]  # rows that share a doc_id may differ
+                    places = places[places + W <= b - a]  # texts that share a hash may differ
                     h1.append(one[a + places])
                     h2.append(two[a + places])
                     doc.append(np.full(len(places), ids[i], np.int64))
+                    row.append(np.full(len(places), hashes[i], np.int64))
                     at.append(places)
-                cols = [np.concatenate(h1).view(np.int64), np.concatenate(h2).view(np.int64), np.concatenate(doc), np.concatenate(at)]
+                cols = [np.concatenate(h1).view(np.int64), np.concatenate(h2).view(np.int64), *map(np.concatenate, (doc, row, at))]
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in cols], schema=schema)
 
-    return d.mapInArrow(run, "h1 long, h2 long, doc_id long, at long")
+    return d.mapInArrow(run, "h1 long, h2 long, doc_id long, row long, at long")
 
 
 def removed_spans(docs: DataFrame) -> DataFrame:
-    """(doc_id, spans): per document with removals, window spans as start * 256 + windows."""
+    """(doc_id, row, spans): per document with removals, window spans as start * 256 + windows."""
     rows = chunks(docs)
-    local = rows.filter("gone").select("doc_id", "span", "gone")
-    dealt = rows.filter("NOT gone").repartition("m").sortWithinPartitions("m", "c", "doc_id", "span")
+    local = rows.filter("gone").select("doc_id", "row", "span")
+    dealt = rows.filter("NOT gone").repartition("m").sortWithinPartitions("m", "c", "doc_id", "row", "span")
     found = written(settled(dealt), "spans")
     windows = written(window_rows(docs, found.filter("NOT gone")), "windows")
-    earliest = windows.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "at")).alias("f"), F.count(F.lit(1)).alias("n"))
+    earliest = windows.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "row", "at")).alias("f"), F.count(F.lit(1)).alias("n"))
     earliest = earliest.filter("n > 1").select(F.col("h1").alias("k1"), F.col("h2").alias("k2"), "f")
     single = windows.join(earliest, (F.col("h1") == F.col("k1")) & (F.col("h2") == F.col("k2")))
-    single = single.filter((F.col("doc_id") > F.col("f.doc_id")) | (F.col("at") > F.col("f.at")))
-    single = single.select("doc_id", (F.col("at") * 256 + 1).alias("span"))
-    spans = found.filter("gone").select("doc_id", "span").unionByName(local.select("doc_id", "span")).unionByName(single)
-    return spans.groupBy("doc_id").agg(F.collect_list("span").alias("spans"))
+    single = single.filter(F.struct("doc_id", "row", "at") > F.col("f"))
+    single = single.select("doc_id", "row", (F.col("at") * 256 + 1).alias("span"))
+    spans = found.filter("gone").select("doc_id", "row", "span").unionByName(local).unionByName(single)
+    return spans.groupBy("doc_id", "row").agg(F.collect_list("span").alias("spans"))
 
 
 def covered(n: int, spans: np.ndarray | None) -> np.ndarray:
     """Which of a text's n words lie in a removed window."""
+    if spans is not None and len(spans) and spans[0] == WHOLE:
+        return np.full(n, n >= W)
     edge = np.zeros(n + 1, np.int64)
     if spans is not None and len(spans):
         start, size = spans >> 8, spans & 255
@@ -214,9 +228,20 @@ _WORD = re.compile(rb"[^\x20\x09-\x0D]+[\x20\x09-\x0D]*")
 
 
 def with_spans(docs: DataFrame, spans: DataFrame) -> DataFrame:
-    key = F.coalesce("doc_id", F.lit(NULL_ID).cast("long"))
-    s = spans.select(F.col("doc_id").alias("span_id__"), F.col("spans").alias("gone_spans__"))
-    return docs.withColumn("span_key__", key).join(s, F.col("span_key__") == F.col("span_id__"), "left").drop("span_key__", "span_id__")
+    """docs with ``gone_spans__``. Equal texts without a doc_id share their spans; here the
+    first row of them keeps those and the rest, if long enough for a window, go whole."""
+    rows = docs.withColumn("span_row__", F.xxhash64("text"))
+    long = F.length("text") >= 2 * W - 1
+    bare = rows.filter(F.col("doc_id").isNull() & F.coalesce(long, F.lit(False)))
+    order = Window.partitionBy("span_row__").orderBy(F.monotonically_increasing_id())
+    bare = bare.withColumn("copy__", F.row_number().over(order) > 1)
+    rest = rows.filter(F.col("doc_id").isNotNull() | ~F.coalesce(long, F.lit(False))).withColumn("copy__", F.lit(False))
+    rows = rest.unionByName(bare).withColumn("span_key__", F.coalesce("doc_id", F.lit(NULL_ID).cast("long")))
+    s = spans.select(F.col("doc_id").alias("span_id__"), F.col("row").alias("span_of__"), F.col("spans").alias("gone_spans__"))
+    d = rows.join(s, (F.col("span_key__") == F.col("span_id__")) & (F.col("span_row__") == F.col("span_of__")), "left")
+    whole = F.array(F.lit(WHOLE).cast("long"))
+    d = d.withColumn("gone_spans__", F.when(F.col("copy__"), whole).otherwise(F.col("gone_spans__")))
+    return d.drop("span_key__", "span_row__", "span_id__", "span_of__", "copy__")
 
 
 def digests(docs: DataFrame, spans: DataFrame) -> DataFrame:

@@ -232,6 +232,21 @@ def test_substrings_with_repeated_rows(docs):
     assert sorted(map(tuple, substring_dedup.digests(twice, substring_dedup.removed_spans(twice)).distinct().collect())) == sorted(map(tuple, substring_dedup.digests(docs, substring_dedup.removed_spans(docs)).collect()))
 
 
+def test_substrings_of_rows_without_identifiers(spark):
+    """Rows without a doc_id, and texts that share one, are documents of their own."""
+    say = lambda name, n: " ".join(f"{name}{k}" for k in range(n))
+    passage, clean, copied, short = say("p", 40), say("c", 90), say("d", 60), say("s", 19)
+    d = [(None, passage + " " + say("e", 30)), (None, clean), (None, copied), (None, copied), (None, short), (None, short), (None, None), (None, None)]
+    d += [(4, say("f", 10) + " " + passage), (4, say("g", 80)), (9, copied), (9, copied)]
+    df = spark.createDataFrame(d, "doc_id long, text string").repartition(3)
+    got = sorted(((r.doc_id, r.n_words, r.n_removed) for r in substring_dedup.digests(df, substring_dedup.removed_spans(df)).collect()), key=repr)
+    want = [(None, 70, 0), (None, 90, 0), (None, 60, 0), (None, 60, 60), (None, 19, 0), (None, 19, 0), (None, 0, 0), (None, 0, 0)]
+    want += [(4, 50, 40), (4, 80, 0), (9, 60, 60), (9, 60, 60)]
+    assert got == sorted(want, key=repr)
+    left = sorted(((r.doc_id, r.text) for r in substring_dedup.remove(df).collect()), key=repr)
+    assert left == sorted([x for x in d[:3] + d[4:8]] + [(4, say("f", 10)), (4, say("g", 80))], key=repr)
+
+
 def test_automaton_statistics(spark, docs, texts):
     words = (texts[11] + " tail " + texts[30]).encode().split()[:150]
     refs = [texts[11].encode().split(), texts[-25].encode().split()]
