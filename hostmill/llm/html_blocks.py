@@ -4,6 +4,10 @@ A page is cut into flat blocks at block-level tags. Each block has its word coun
 density, those of its neighbours, and two hints from the tags around it. A small decision
 tree, grown here from the labelled table below, says which blocks are content.
 
+A hint from a class, id or role, or from a form around, is loose. It is cleared where its
+element holds most of the page's unlinked words, and inside an article or main below it,
+unless articles outside such elements have as many unlinked words.
+
 Defined cases: a null, empty or text-less html gives an empty text; unclosed tags, broken
 character references and truncated pages are read as far as they go; equal rows give equal
 results; an empty table gives no rows; only page_id, url and html are read. Long pages cost
@@ -59,15 +63,41 @@ _INLINE = frozenset(
     " strike strong sub sup time tt u var wbr".split()
 )
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-_BOILER_TAGS = frozenset("nav aside footer form menu button dialog fieldset".split())
+_BOILER_TAGS = frozenset("nav aside footer menu button".split())
+_LOOSE_TAGS = frozenset("form dialog fieldset".split())
 _BOILER_WORDS = re.compile(
-    r"(?:^|[\s_-])(?:ad|ads|advert\w*|adsense|sponsor\w*|promo\w*|banner|cookie\w*|consent|notice|popup|modal|nav|navbar|navigation|menu"
+    r"(?:ad|ads|advert\w*|adsense|sponsor\w*|promo\w*|banner|cookie\w*|consent|notice|popup|modal|nav|navbar|navigation|menu"
     r"|breadcrumb\w*|side|sidebar|widget|footer|header|masthead|comment\w*|disqus|replies|reply|respond|share|sharing|social|related"
-    r"|recommend\w*|newsletter|subscribe|subscription|signup|login|search|form|pagination|pager|toolbar|skip|alert|copyright)(?:$|[\s_-])",
+    r"|recommend\w*|newsletter|subscribe|subscription|signup|login|search|form|pagination|pager|toolbar|skip|alert|copyright)",
     re.I,
 )
-_HINTS = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
-_HIDDEN = re.compile(r"\bhidden\b(?!\s*=\s*[\"']?false)|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", re.I)
+#: Parts that a hinting token may have beside such words.
+_NEUTRAL = frozenset("site main left right top bottom primary secondary global area bar list box links link buttons posts section".split())
+_PARTS = re.compile(r"[_-]+")
+_ATTRIBUTE = re.compile(r"""([^\s=/>"']+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
+_UNSEEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
+
+
+def is_hint(token: str) -> bool:
+    """Whether a whole class, id or role says boilerplate: all its parts do or are neutral."""
+    parts = [x for x in _PARTS.split(token.lower()) if x and x not in _NEUTRAL]
+    return bool(parts) and all(map(_BOILER_WORDS.fullmatch, parts))
+
+
+def hints(attrs: str) -> tuple[bool, bool]:
+    """From a tag's attributes: a loose hint, and whether it is hidden."""
+    loose = hidden = False
+    for m in _ATTRIBUTE.finditer(attrs):
+        name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
+        if name in ("class", "id", "role"):
+            loose = loose or any(map(is_hint, value.split()))
+        elif name == "hidden":
+            hidden = hidden or value.lower() != "false"
+        elif name == "aria-hidden":
+            hidden = hidden or value.strip().lower() == "true"
+        elif name == "style":
+            hidden = hidden or bool(_UNSEEN.search(value))
+    return loose, hidden
 
 
 def grow(rows, depth: int = 5, least: int = 1):
@@ -106,8 +136,11 @@ def judge(tree, x) -> int:
 
 def blocks(page: str) -> list[tuple[str, int, int, int, int]]:
     """(text, words, linked words, boiler, article) of every flat block, in page order."""
-    out: list[tuple[str, int, int, int, int]] = []
-    open_tags: list[tuple[str, bool, bool]] = []  # tag, boiler, article: of it and all around it
+    found: list[tuple[str, int, int, bool, bool, int]] = []  # as returned, and the loose place
+    # Tag, boiler, article, loose place: of it and all around it. A loose place is the innermost
+    # element with a loose hint, or article below one; 0 is outside of all.
+    open_tags: list[tuple[str, bool, bool, int]] = []
+    around, is_article = [0], [False]
     parts: list[str] = []
     linked: list[str] = []
     in_link = 0
@@ -119,8 +152,8 @@ def blocks(page: str) -> list[tuple[str, int, int, int, int]]:
         if text:
             n = text.count(" ") + 1
             m = min(n, len(html_lib.unescape(" ".join(linked)).split())) if linked else 0
-            boiler, article = open_tags[-1][1:] if open_tags else (False, False)
-            out.append((text, n, m, int(boiler or own), int(article)))
+            boiler, article, place = open_tags[-1][1:] if open_tags else (False, False, 0)
+            found.append((text, n, m, boiler or own, article, place))
         parts.clear()
         linked.clear()
         own = False
@@ -154,22 +187,52 @@ def blocks(page: str) -> list[tuple[str, int, int, int, int]]:
         if tag in _VOID:
             continue
         attrs = t["attrs"] or ""
-        _, boiler, article = open_tags[-1] if open_tags else ("", False, False)
+        _, boiler, article, place = open_tags[-1] if open_tags else ("", False, False, 0)
         hinted = tag in _BOILER_TAGS or (tag == "header" and not article)
+        loose = tag in _LOOSE_TAGS
         if attrs and tag not in ("html", "body"):
-            names = " ".join(next((g for g in m.groups() if g), "") for m in _HINTS.finditer(attrs))
-            hinted = hinted or bool(names and _BOILER_WORDS.search(names)) or bool(_HIDDEN.search(attrs))
+            named, hidden = hints(attrs)
+            loose, hinted = loose or named, hinted or hidden
         if tag in ("p", "li", "td", "th", "dt", "dd", "h1", "h2", "h3", "h4", "h5", "h6"):
-            own = hinted  # often unclosed: the hint lasts for this block alone
+            own = hinted or loose  # often unclosed: the hint lasts for this block alone
             continue
         if tag in ("article", "main"):
             article = True
-            hinted = hinted and tag != "main"
-        open_tags.append((tag, boiler or hinted, article))
+            if tag == "main":
+                hinted = loose = False
+            if place:
+                around.append(place)
+                is_article.append(True)
+                place = len(around) - 1
+        if loose:
+            around.append(place)
+            is_article.append(False)
+            place = len(around) - 1
+        open_tags.append((tag, boiler or hinted, article, place))
     if at < len(page):
         parts.append(page[at:])
     flush()
-    return out
+    return settled(found, around, is_article)
+
+
+def settled(found: list, around: list[int], is_article: list[bool]) -> list[tuple[str, int, int, int, int]]:
+    """The blocks with those loose hints that aren't cleared."""
+    words = [0] * len(around)
+    free = below = 0
+    for _, n, m, boiler, article, place in found:
+        words[place] += n - m
+        if article and not boiler:
+            free += 0 if place else n - m
+            below += n - m if is_article[place] else 0
+    for k in range(len(around) - 1, 0, -1):
+        words[around[k]] += words[k]
+    hint = [False] * len(around)
+    for k in range(1, len(around)):
+        if is_article[k]:
+            hint[k] = hint[around[k]] and below <= free
+        else:
+            hint[k] = hint[around[k]] or 2 * words[k] <= words[0]
+    return [(text, n, m, int(boiler or hint[place]), int(article)) for text, n, m, boiler, article, place in found]
 
 
 def main_text(page: str | None, tree) -> str:

@@ -194,6 +194,20 @@ def test_html_tree_on_its_table():
     assert right / len(html_blocks.LABELLED) > 0.95
 
 
+@pytest.mark.parametrize("wrapper", ["class='wrapper no-sidebar'", "class=with-sidebar", 'class="long-form"', "class='entry-header'", "class='elementor-widget'", "class='overflow-hidden'", "style='overflow:hidden'", "data-hidden=1", "class='widget'", "id=form"])
+def test_html_loose_hints_do_not_drop_the_article(wrapper):
+    tree = html_blocks.grow(list(html_blocks.LABELLED))
+    words = " ".join(["word"] * 40)
+    menu = "<nav><a>Home</a></nav><div class='cookie-notice'>We use cookies</div><div class='site-footer'>All rights reserved here</div>"
+    for tag in ("article", "div"):
+        page = f"<body>{menu}<div {wrapper}><{tag}><p>{words}</p><div class=comments>I disagree</div></{tag}></div></body>"
+        assert html_blocks.main_text(page, tree) == words
+    comments = f"<div class='comments'><article><p>{'reply ' * 8}</p></article></div>"
+    assert html_blocks.main_text(f"<article><p>{words}</p></article>{comments}", tree) == words
+    for hidden in ("hidden", "style='display: none'", "aria-hidden=true"):
+        assert html_blocks.main_text(f"<article><p>{words}</p></article><div {hidden}><p>{words}</p></div>", tree) == words
+
+
 # 6: substring dedup
 
 
