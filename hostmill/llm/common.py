@@ -61,3 +61,10 @@ def own_columns(docs: DataFrame, *names: str) -> DataFrame:
     """Only the named columns, so that others with clashing names never meet ours."""
     ship(docs.sparkSession)
     return docs.select(*[F.col(f"`{n}`") for n in names])
+
+
+def packed(docs: DataFrame, *names: str) -> DataFrame:
+    """The named columns, and ``all``: a row's own columns in one struct, where no name of
+    theirs can clash with one of ours. ``select("all.*")`` gives the rows back."""
+    d = own_columns(docs, *docs.columns)
+    return d.select(*[F.col(f"`{n}`").alias(n) for n in names], F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("all"))

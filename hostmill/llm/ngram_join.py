@@ -1,36 +1,40 @@
 """Similarity self-join on word shingles by adaptive multi-match prefixes.
 
-A document is its set of 5-word shingles. Sets are ordered by one global order: common
-shingles last, the rest by fingerprint. Two sets with Jaccard similarity of at least 0.75
-share shingles in their prefixes; how many follows from the sizes and the prefix lengths.
-Each document's prefix starts at the shortest that is safe and is lengthened by the
-estimated cost of its candidates (the common shingles in it), and a pair must share
-correspondingly more before its sets are compared.
-
-Steps, all of them Spark jobs over whole tables:
-
-1. One pass makes a row per document (set size, set fingerprint) and a bounded summary of
-   frequent shingles (Misra-Gries); equal sets become one class, so copies never meet.
-2. Prefix rows are dealt by shingle. Rows of one rare shingle make pairs; a common shingle
-   is salted over tasks and only links each row to a few leaders (stars).
-3. Pairs with enough shared prefix shingles are compared exactly.
-4. Components of the links; then pairs of a common shingle whose ends are in different
-   components still are compared, so that no link between components is lost.
-
-Pairs inside a component that the stars already link are not compared again: they can't
-change a component. Node identifiers are 64-bit set fingerprints; a second fingerprint is
-checked and the job fails loudly if two different sets share the first.
+A document is its set of 5-word shingles, in the order of their fingerprints. Two sets with a
+Jaccard similarity of at least 0.75 share shingles in their prefixes; how many follows from
+the sizes and the prefix lengths. Prefixes are lengthened where the rows dealt by shingle
+show that candidates would be costly, and a pair must then share correspondingly more.
+
+1. One pass makes a row per document: set size and fingerprints. Equal sets become one class,
+   so copies never meet.
+2. Every class deals its base prefix by shingle. A shingle of up to ``COMMON`` classes makes
+   pairs, which are counted; beyond that it is common, makes none, and is only counted for
+   each class. A prefix holds more shingles than ``spare`` common ones can account for, so a
+   pair is found unless both of its sets have more common ones than that.
+3. Sets with more common shingles are dealt whole, among themselves, in the same way. What
+   is left are pairs that share common shingles alone, and both sets must consist of them by
+   three quarters. These sets are linked to a few leaders of each shingle of their prefix, and
+   pairs in different components are looked at one by one.
+4. Candidates that share enough are compared exactly; components follow from the links.
+
+The counts of step 2 are exact and made by whoever holds the shingle's rows, as a stream that
+keeps at most ``COMMON`` of them. A shingle that is common within one batch of documents leaves
+only a marker and a count for each class, so that none makes a hot task.
+
+Pairs inside a component are not compared again: they can't change it. Node identifiers are
+64-bit set fingerprints; a second fingerprint is checked and the job fails loudly if two
+different sets share the first.
 
 Defined cases: a null or word-less text has an empty set, links with nothing and is its own
 component; fewer than five words are one shingle; copies share a component; repeated rows
 with one doc_id count once each, with the sets of their own texts; an empty table gives no rows; a null doc_id is kept, and
 its component is the smallest doc_id of its copies or links, or null; only doc_id and text
-are read.
+are read, and other columns may have any names.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -40,19 +44,16 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from . import shingles as S
-from .common import own_columns, table, written
+from .common import own_columns, packed, table, written
 
 K = 5
-#: A shingle is common from so many documents on ...
-COMMON = 64
-#: ... and the most common so many are known to every task (16 bytes each).
-MOST_COMMON = 200_000
-#: Counters of a task's frequency summary.
-COUNTERS = 65_536
-#: Salts that a common shingle's rows are spread over.
+#: A shingle that more classes deal is common.
+COMMON = 32
+#: Rows that a task deals at once.
+DEALT = 400_000
+#: Parts that the rows of a shingle are spread over before its leaders are taken.
 SALTS = 32
-MOST_EXTRA = 16
-#: Nodes that stand for a common shingle before pairs across components are looked at.
+#: Nodes that stand for a common shingle.
 LEADERS = 4
 #: Links that one task folds to a forest, about.
 FOLDED = 200_000
@@ -82,185 +83,180 @@ def set_fingerprints(t: np.ndarray) -> tuple[int, int]:
     return int(one.view(np.int64)[0]), int(two.view(np.int64)[0])
 
 
-class Frequent:
-    """Misra-Gries summary: any shingle in more than 1/COUNTERS of what was added stays."""
-
-    def __init__(self, size: int = COUNTERS):
-        self.size = size
-        self.keys, self.counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
-
-    def add(self, sets: list[np.ndarray]) -> None:
-        if not sets:
-            return
-        keys, counts = np.unique(np.concatenate(sets), return_counts=True)
-        all_keys = np.concatenate([self.keys, keys])
-        all_counts = np.concatenate([self.counts, counts])
-        self.keys, at = np.unique(all_keys, return_inverse=True)
-        self.counts = np.bincount(at, weights=all_counts, minlength=len(self.keys)).astype(np.int64)
-        if len(self.keys) > self.size:
-            cut = np.partition(self.counts, len(self.counts) - self.size - 1)[len(self.counts) - self.size - 1]
-            self.counts = self.counts - cut
-            stay = self.counts > 0
-            self.keys, self.counts = self.keys[stay], self.counts[stay]
-
-
-_PROFILE = "kind int, doc_id long, row long, a long, b long, n long"
+_PROFILE = "doc_id long, row long, node long, check long, n long"
 
 
 def profiles(docs: DataFrame) -> DataFrame:
-    """kind 0: doc_id, text hash row, set fingerprints a and b, set size n. kind 1: shingle a, count n."""
+    """doc_id, hash of the text, both set fingerprints and set size of every document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        summary = Frequent()
-        schema = pa.schema([("kind", pa.int32()), ("doc_id", pa.int64()), ("row", pa.int64()), ("a", pa.int64()), ("b", pa.int64()), ("n", pa.int64())])
         for batch in batches:
-            ids, a, b, n, pending, seen, size = batch.column("doc_id").to_pylist(), [], [], [], [], set(), 0
-            for _, t in shingle_sets(batch):
-                one, two = set_fingerprints(t)
-                a.append(one)
-                b.append(two)
-                n.append(len(t))
-                if one not in seen:
-                    seen.add(one)
-                    pending.append(t)
-                    size += len(t)
-                    if size > 1 << 20:
-                        summary.add(pending)
-                        pending, size = [], 0
-            summary.add(pending)
-            kind = pa.array(np.zeros(len(ids), np.int32))
-            yield pa.RecordBatch.from_arrays([kind, pa.array(ids, pa.int64()), batch.column("row"), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(n, pa.int64())], schema=schema)
-        often = summary.counts > 1
-        keys, counts = summary.keys[often].view(np.int64), summary.counts[often]
-        nulls = pa.nulls(len(keys), pa.int64())
-        yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(keys), np.int32)), nulls, nulls, pa.array(keys), nulls, pa.array(counts)], schema=schema)
+            found = [(*set_fingerprints(t), len(t)) for _, t in shingle_sets(batch)]
+            cols = [pa.array([x[k] for x in found], pa.int64()) for k in range(3)]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), batch.column("row"), *cols], names=["doc_id", "row", "node", "check", "n"])
 
     return own_columns(docs, "doc_id", "text").withColumn("row", F.xxhash64("text")).mapInArrow(run, _PROFILE)
 
 
-def least_overlap(n: np.ndarray) -> np.ndarray:
+def least_overlap(n):
     """The overlap that any partner of similarity 0.75 has with a set of n: ceil(3n / 4)."""
     return (3 * n + 3) // 4
 
 
-def ordered_prefix(t: np.ndarray, common: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The prefix of a set in the global order: its rare and its common shingles.
+def base_length(n: int) -> int:
+    """Shingles of a base prefix: any pair shares at least 1 + n // 24 of the smaller n in it."""
+    return n - least_overlap(n) + 1 + n // 24
 
-    The base prefix has n - ceil(3n/4) + 1 shingles. It is lengthened by one, and so a
-    further match required, for each common shingle in it, up to MOST_EXTRA.
-    """
-    n = len(t)
-    base = n - int(least_overlap(np.int64(n))) + 1
-    at = np.searchsorted(common, t)
-    at[at == len(common)] = 0
-    is_common = common[at] == t if len(common) else np.zeros(n, bool)
-    rare, often = t[~is_common], t[is_common]
-    if len(rare) >= base:
-        return rare[:base], often[:0]
-    extra = min(base - len(rare), MOST_EXTRA)
-    by_count = np.lexsort((often, counts[at[is_common]]))
-    return rare, often[by_count][: min(base + extra, n) - len(rare)]
 
+def spare(n):
+    """Common shingles in a base prefix that can't hide a pair: fewer than 1 + m // 24 for any m from 3n / 4."""
+    return n // 32
 
-_PREFIX = "shingle long, node long, n int, p int, often int, salt int"
 
+_DEALT = "shingle long, node long, n int"
 
-def prefixes(docs: DataFrame, common: np.ndarray, counts: np.ndarray) -> DataFrame:
-    """(shingle, node, set size n, prefix length p, common shingles in it, salt).
 
-    The salt is -1 for rare shingles; SALTS and more for the lengthened part of a prefix.
+def dealt(sets: Iterator[tuple[int, np.ndarray]], length: Callable[[int], int]) -> Iterator[pa.RecordBatch]:
+    """(shingle, node, n) of the first ``length(n)`` shingles of each (node, set).
+
+    A shingle with more than COMMON nodes here is known as common: it gives one row with n = 0,
+    and each of its nodes counts it in a row (node, node, -count).
     """
-    cast = docs.sparkSession.sparkContext.broadcast((common, counts))
+    tok: list[np.ndarray] = []
+    node: list[int] = []
+    size: list[int] = []
+    waiting = 0
+
+    def rows() -> pa.RecordBatch:
+        lengths = np.array([len(x) for x in tok])
+        shingle = np.concatenate(tok)
+        of = np.repeat(np.array(node, np.int64), lengths)
+        n = np.repeat(np.array(size, np.int32), lengths)
+        keys, at, counts = np.unique(shingle, return_inverse=True, return_counts=True)
+        common = counts[at] > COMMON
+        marked = keys[counts > COMMON].view(np.int64)
+        counted, times = np.unique(of[common], return_counts=True)
+        cols = [
+            np.concatenate([shingle[~common].view(np.int64), marked, counted]),
+            np.concatenate([of[~common], np.zeros(len(marked), np.int64), counted]),
+            np.concatenate([n[~common], np.zeros(len(marked), np.int32), -times.astype(np.int32)]),
+        ]
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["shingle", "node", "n"])
+
+    for name, t in sets:
+        tok.append(t[: length(len(t))])
+        node.append(name)
+        size.append(len(t))
+        waiting += len(tok[-1])
+        if waiting > DEALT:
+            yield rows()
+            tok, node, size, waiting = [], [], [], 0
+    if tok:
+        yield rows()
+
+
+def base_rows(docs: DataFrame) -> DataFrame:
+    """The base prefixes of all documents, those of copies in one batch once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        common, counts = cast.value
-        schema = pa.schema([("shingle", pa.int64()), ("node", pa.int64()), ("n", pa.int32()), ("p", pa.int32()), ("often", pa.int32()), ("salt", pa.int32())])
+        def sets(batch):
+            seen = set()
+            for _, t in shingle_sets(batch):
+                name = set_fingerprints(t)[0] if len(t) else None
+                if name is not None and name not in seen:
+                    seen.add(name)
+                    yield name, t
 
-        def rows(out: list) -> pa.RecordBatch:
-            lengths = np.array([len(x[0]) for x in out])
-            cols = [np.repeat(np.array([x[k] for x in out], np.int64), lengths) for k in (1, 2, 3, 4)]
-            salt = np.concatenate([x[5] for x in out])
-            tok = np.concatenate([x[0] for x in out]).view(np.int64)
-            return pa.RecordBatch.from_arrays([pa.array(tok), pa.array(cols[0])] + [pa.array(c.astype(np.int32)) for c in (*cols[1:], salt)], schema=schema)
+        for batch in batches:
+            yield from dealt(sets(batch), base_length)
+
+    return own_columns(docs, "doc_id", "text").select("text").mapInArrow(run, _DEALT)
 
+
+def rows_of_sets(sets: DataFrame, length: Callable[[int], int]) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out, seen, size = [], set(), 0
-            for _, t in shingle_sets(batch):
-                n = len(t)
-                node = set_fingerprints(t)[0]
-                if n == 0 or node in seen:
-                    continue
-                seen.add(node)
-                rare, often = ordered_prefix(t, common, counts)
-                salt = np.full(len(rare) + len(often), -1, np.int32)
-                salt[len(rare) :] = node % SALTS
-                extra = min(len(often), len(salt) - (n - int(least_overlap(np.int64(n))) + 1))
-                salt[len(salt) - max(0, extra) :] += SALTS
-                out.append((np.concatenate([rare, often]), node, n, len(salt), len(often), salt))
-                size += len(salt)
-                if size > 200_000:
-                    yield rows(out)
-                    out, size = [], 0
-            if out:
-                yield rows(out)
-
-    return own_columns(docs, "doc_id", "text").mapInArrow(run, _PREFIX)
-
-
-_MET = "kind int, a long, b long, na int, nb int, pa int, pb int, often int"
+            lists = (x.values.to_numpy().view(np.uint64) for x in batch.column("set"))
+            yield from dealt(zip(batch.column("node").to_pylist(), lists, strict=True), length)
+
+    return sets.select("node", "set").mapInArrow(run, _DEALT)
+
+
+_MET = "kind int, a long, b long, na int, nb int, c long"
 
 
 def meetings(rows: DataFrame) -> DataFrame:
-    """kind 0: a pair that shares a rare shingle. kind 1: a row (shingle a, node b) of a common one;
-    nb is 1 in the base prefix, 0 in its lengthened part."""
+    """kind 0: a pair (a, b), its sizes and the shingles it shares that aren't common.
+    kind 1: a node a and the common shingles among those it dealt."""
+    d = rows.repartition("shingle").sortWithinPartitions("shingle", "n", "node")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("kind", pa.int32()), ("a", pa.int64()), ("b", pa.int64())] + [(x, pa.int32()) for x in ("na", "nb", "pa", "pb", "often")])
+        schema = pa.schema([("kind", pa.int32()), ("a", pa.int64()), ("b", pa.int64()), ("na", pa.int32()), ("nb", pa.int32()), ("c", pa.int64())])
 
-        def made(kind, *cols) -> pa.RecordBatch:
-            ints = [pa.array(np.asarray(c).astype(np.int32)) for c in cols[2:]]
-            return pa.RecordBatch.from_arrays([pa.array(np.full(len(cols[0]), kind, np.int32)), pa.array(cols[0]), pa.array(cols[1]), *ints], schema=schema)
+        def made(kind, a, b, na, nb, c) -> pa.RecordBatch:
+            cols = [np.full(len(a), kind, np.int32), a, b, na.astype(np.int32), nb.astype(np.int32), c.astype(np.int64)]
+            return pa.RecordBatch.from_arrays([pa.array(x) for x in cols], schema=schema)
 
-        held: list[np.ndarray] | None = None
+        def counts(node, c) -> pa.RecordBatch:
+            zero = np.zeros(len(node), np.int64)
+            return made(1, node, zero, zero, zero, c)
+
+        held = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)]
+        going = last = None  # the common shingle whose rows go on, and the last row of it
         for batch in _with_end(batches):
-            cols = None if batch is None else [batch.column(c).to_numpy(zero_copy_only=False) for c in ("shingle", "node", "n", "p", "often", "salt")]
-            if held is not None:
-                cols = held if cols is None else [np.concatenate([x, y]) for x, y in zip(held, cols, strict=True)]
-            if cols is None or not len(cols[0]):
+            if batch is not None:
+                cols = [batch.column(c).to_numpy() for c in ("shingle", "node", "n")]
+                told = cols[2] < 0
+                if told.any():
+                    yield counts(cols[1][told], -cols[2][told])
+                    cols = [c[~told] for c in cols]
+                held = [np.concatenate([x, y]) for x, y in zip(held, cols, strict=True)]
+            tok, node, n = held
+            if not len(tok):
+                continue
+            new = np.ones(len(tok), bool)  # copies in several batches gave equal rows
+            new[1:] = (tok[1:] != tok[:-1]) | (node[1:] != node[:-1])
+            new[0] = last is None or (tok[0], node[0]) != last
+            tok, node, n = tok[new], node[new], n[new]
+            if not len(tok):
+                held = [tok, node, n]
                 continue
-            if batch is None:
-                end = len(cols[0])
-                held = None
-            else:  # the last shingle may go on in the next batch
-                end = int(np.searchsorted(cols[0], cols[0][-1], side="left"))
-                held = [c[end:] for c in cols]
-            tok, node, n, p, often, salt = (c[:end] for c in cols)
-            is_common = salt >= 0
-            if is_common.any():
-                c = is_common
-                zero = np.zeros(int(c.sum()), np.int32)
-                yield made(1, tok[c], node[c], n[c], salt[c] < SALTS, p[c], zero, often[c])
-                tok, node, n, p, often = (x[~c] for x in (tok, node, n, p, often))
+            at = np.flatnonzero(np.concatenate([[True], tok[1:] != tok[:-1]]))
+            size = np.diff(np.append(at, len(tok)))
+            common = (size > COMMON) | (n[at] == 0)
+            if going is not None:
+                common |= tok[at] == going
+            end, going, last = len(tok), None, None
+            if batch is not None:
+                if common[-1]:
+                    going, last = tok[-1], (tok[-1], node[-1])
+                else:  # the rest of its rows may follow
+                    end, at, size, common = int(at[-1]), at[:-1], size[:-1], common[:-1]
+            held = [x[end:] for x in (tok, node, n)]
+            tok, node, n = tok[:end], node[:end], n[:end]
+            often = np.repeat(common, size)
+            if often.any():
+                name, c = np.unique(node[often & (n > 0)], return_counts=True)
+                yield counts(name, c)
+                tok, node, n = tok[~often], node[~often], n[~often]
             # Within a shingle rows are in order of set size: partners of a row follow it
             # while their size stays within 4/3 of its own.
-            new = np.ones(len(tok), bool)
-            new[1:] = tok[1:] != tok[:-1]
-            step = 1
             first = np.arange(len(tok))
+            step = 1
             while len(first):
                 second = first + step
                 first, second = first[second < len(tok)], second[second < len(tok)]
                 same = (tok[first] == tok[second]) & (3 * n[second].astype(np.int64) <= 4 * n[first].astype(np.int64))
-                first, second = first[same], second[same]
-                other = node[first] != node[second]
-                x, y = first[other], second[other]
+                x, y = first, second = first[same], second[same]
                 if len(x):
                     flip = node[x] > node[y]
                     x, y = np.where(flip, y, x), np.where(flip, x, y)
-                    yield made(0, node[x], node[y], n[x], n[y], p[x], p[y], np.minimum(often[x], often[y]))
+                    yield made(0, node[x], node[y], n[x], n[y], np.ones(len(x)))
                 step += 1
 
-    return rows.mapInArrow(run, _MET)
+    met = d.mapInArrow(run, _MET)
+    met = met.groupBy("kind", "a", "b").agg(F.first("na").alias("na"), F.first("nb").alias("nb"), F.sum("c").alias("c"))
+    return written(met, "met")
 
 
 def _with_end(batches):
@@ -268,42 +264,53 @@ def _with_end(batches):
     yield None
 
 
+#: Shingles that a pair must share.
+NEED = "ceil((na + nb) * 3 / 7D)"
+
+
+def base_pairs(met: DataFrame) -> DataFrame:
+    """Candidates of the base prefixes. Beyond the prefix that ends first lie at most its set's
+    other shingles, and one set at least has no more common ones than are spare."""
+    rest = F.greatest(*[F.expr(f"({x} * 3 + 3) div 4 - 1 - {x} div 24") for x in ("na", "nb")])
+    enough = F.col("c") + rest + F.expr("greatest(na, nb) div 32") >= F.expr(NEED)
+    return met.filter((F.col("kind") == 0) & enough).select("a", "b")
+
+
 def star_pairs(rows: DataFrame) -> DataFrame:
-    """Each node of common shingles with those shingles' leaders.
+    """Each node of a shingle's rows with that shingle's leaders, its least nodes.
 
-    A shingle has LEADERS leaders, the least nodes by as many hashes, so that a node that
-    differs from one still meets others of its kind. Leaders are a bounded table
-    (MOST_COMMON shingles); a node's leaders are made different before they become rows.
+    Leaders are taken in each part of a shingle first, then among the leaders of its parts.
     """
     least = [F.min(F.struct(F.xxhash64("node", F.lit(j)), "node"))["node"] for j in range(LEADERS)]
-    leaders = rows.groupBy("shingle").agg(F.array_distinct(F.array(*least)).alias("leaders"))
-    met = rows.join(F.broadcast(leaders), "shingle").groupBy("node").agg(F.collect_set("leaders").alias("l"))
-    met = met.select("node", F.explode(F.array_distinct(F.flatten("l"))).alias("leader")).filter("node <> leader")
-    return met.select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b")).distinct()
+
+    def leaders(d: DataFrame, *by: str) -> DataFrame:
+        return d.groupBy(*by).agg(F.array_distinct(F.array(*least)).alias("leaders"))
+
+    d = rows.select("shingle", F.pmod("node", F.lit(SALTS)).alias("part"), "node")
+    parts = written(leaders(d, "shingle", "part"), "leaders")
+    heads = parts.select("shingle", F.explode("leaders").alias("node"))
+    led = d.join(parts, ["shingle", "part"]).select("node", F.explode("leaders").alias("leader"))
+    led = led.unionByName(heads.join(leaders(heads, "shingle"), "shingle").select("node", F.explode("leaders").alias("leader")))
+    return led.filter("node <> leader").select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b")).distinct()
 
 
 def pairs_across(rows: DataFrame, labels: DataFrame) -> DataFrame:
-    """Pairs of a common shingle in different components that may still be similar.
+    """Pairs of prefix rows in different components that may still be similar: their sizes allow
+    it, both have enough common shingles, and their prefixes share enough.
 
-    A set with common shingles in its prefix has all its rare ones there too, so a pair that
-    shares a rare one has been judged. Any other overlaps in common shingles alone: at most
-    those of the smaller count, and inside the prefixes enough of them. A pair is made at one
-    shingle that its base prefixes share, the least, and so once.
+    rows: shingle, node, n and common, the number of common shingles in the node's set.
     """
-    in_base = F.when(F.col("base") == 1, F.col("shingle"))
-    of = rows.groupBy("node").agg(F.collect_list("shingle").alias("prefix"), F.collect_list(in_base).alias("first"))
-    d = rows.filter("base = 1").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    ends = d.groupBy("shingle").agg(F.min("label").alias("lo"), F.max("label").alias("hi"))
-    d = d.join(ends.filter("lo <> hi").select("shingle"), "shingle").join(of, "node")
-    d = written(d.select("shingle", "node", "n", (F.col("n") - F.col("p")).alias("rest"), (F.col("n") - F.col("p") + F.col("often")).alias("common"), "label", "prefix", "first"), "open")
-    x = d.select("shingle", *[F.col(c).alias(f"{c}_x") for c in d.columns if c != "shingle"])
-    y = d.select("shingle", *[F.col(c).alias(f"{c}_y") for c in d.columns if c != "shingle"])
-    need = F.ceil((F.col("n_x") + F.col("n_y")) * 3 / F.lit(7))
-    both = F.array_intersect("prefix_x", "prefix_y")
-    may = (F.col("node_x") < F.col("node_y")) & (F.col("label_x") != F.col("label_y")) & (F.least("common_x", "common_y") >= need)
-    may = may & (F.size(both) >= need - F.greatest("rest_x", "rest_y"))
-    may = may & (F.array_min(F.array_intersect("first_x", "first_y")) == F.col("shingle"))
-    return x.join(y, "shingle").filter(may).select(F.col("node_x").alias("a"), F.col("node_y").alias("b"))
+    d = rows.join(labels.select(F.col("node").alias("of"), "label"), F.col("node") == F.col("of"), "left")
+    d = d.select("shingle", "node", "n", "common", F.coalesce("label", "node").alias("label"))
+    ends = d.groupBy("shingle").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi")
+    d = written(d.join(ends.select("shingle"), "shingle", "left_semi"), "open")
+    salt = F.pmod("node", F.lit(SALTS)).cast("int")
+    x = d.select("shingle", F.col("node").alias("a"), F.col("n").alias("na"), F.col("common").alias("ca"), F.col("label").alias("la"), salt.alias("salt"))
+    y = d.select("shingle", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("common").alias("cb"), F.col("label").alias("lb"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    may = (F.col("a") < F.col("b")) & (F.col("la") != F.col("lb")) & (F.least("ca", "cb") >= F.expr(NEED))
+    met = x.join(y, ["shingle", "salt"]).filter(may).groupBy("a", "b").agg(F.first("na").alias("na"), F.first("nb").alias("nb"), F.count(F.lit(1)).alias("shared"))
+    rest = F.greatest(*[F.expr(f"({x} * 3 + 3) div 4 - 1") for x in ("na", "nb")])
+    return met.filter(F.col("shared") + rest >= F.expr(NEED)).select("a", "b")
 
 
 def compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -315,7 +322,7 @@ def compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
         for batch in batches:
             keep = np.zeros(batch.num_rows, bool)
             for i, (x, y) in enumerate(zip(batch.column("sa"), batch.column("sb"), strict=True)):
-                x, y = (np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y))
+                x, y = x.values.to_numpy(), y.values.to_numpy()
                 shared = len(np.intersect1d(x, y, assume_unique=True))
                 keep[i] = 100 * shared >= 75 * (len(x) + len(y) - shared)
             yield batch.select(["a", "b"]).filter(pa.array(keep))
@@ -373,56 +380,70 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def needed_sets(docs: DataFrame, classes: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(node, set as sorted 64-bit words) of the given nodes, from the texts of their classes.
+    """(node, set in order of fingerprints) of the given nodes, from the texts of their classes.
 
     Rows of one doc_id may have different texts, so a text counts for a node only if it has
     its fingerprint. Classes without any doc_id are found by the fingerprints of such rows.
     """
-    wanted = classes.join(nodes, "node")
+    wanted = classes.join(nodes, "node").select("node", F.col("rep").alias("id"))
     d = own_columns(docs, "doc_id", "text")
-    texts = d.join(wanted.select(F.col("rep").alias("id"), "node"), F.col("doc_id") == F.col("id")).select("node", "text")
+    texts = d.join(wanted, F.col("doc_id") == F.col("id")).select("node", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = [t for _, t in shingle_sets(batch)]
             nodes = pa.array([set_fingerprints(t)[0] for t in sets], pa.int64())
-            made = pa.RecordBatch.from_arrays([nodes, pa.array([t.tobytes() for t in sets], pa.binary())], names=["node", "set"])
+            made = pa.RecordBatch.from_arrays([nodes, pa.array([t.view(np.int64) for t in sets], pa.list_(pa.int64()))], names=["node", "set"])
             yield made.filter(pc.equal(nodes, batch.column("node"))) if "node" in batch.schema.names else made
 
-    made = "node long, set binary"
+    made = "node long, set array<long>"
     bare = d.filter("doc_id IS NULL").select("text").mapInArrow(run, made)
-    bare = bare.join(wanted.filter("rep IS NULL").select("node"), "node", "left_semi")
+    bare = bare.join(wanted.filter("id IS NULL").select("node"), "node", "left_semi")
     return written(texts.mapInArrow(run, made).unionByName(bare).dropDuplicates(["node"]), "sets")
 
 
+def nodes_of(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.explode(F.array("a", "b")).alias("node"))
+
+
+def crowded(met: DataFrame, classes: DataFrame) -> DataFrame:
+    """(node, n, common) of the nodes that dealt common shingles."""
+    counts = met.filter("kind = 1").select(F.col("a").alias("node"), F.col("c").alias("common"))
+    return counts.join(classes.select("node", "n"), "node")
+
+
+def pairs_of_crowded(sets: DataFrame, few: DataFrame, classes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Candidates among the sets of the nodes ``few``, and (node, n, common) of those of them
+    that may be similar by common shingles alone."""
+    met = meetings(rows_of_sets(sets.join(few.select("node"), "node", "left_semi"), lambda n: n))
+    counts = written(crowded(met, classes), "crowded")
+    common = counts.select("node", "common")
+    pairs = met.filter("kind = 0").join(common.select(F.col("node").alias("a"), F.col("common").alias("ca")), "a", "left")
+    pairs = pairs.join(common.select(F.col("node").alias("b"), F.col("common").alias("cb")), "b", "left")
+    both = F.least(F.coalesce("ca", F.lit(0)), F.coalesce("cb", F.lit(0)))
+    pairs = pairs.filter(F.col("c") + both >= F.expr(NEED)).select("a", "b")
+    return pairs, counts.filter("common >= (n * 3 + 3) div 4")
+
+
 def classes_and_components(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Per document (doc_id, row, n_shingles, node); per class (node, rep); per linked class
+    """Per document (doc_id, row, n_shingles, node); per class (node, rep, n); per linked class
     (node, label, component)."""
-    seen = written(profiles(docs), "profiles")
-    per_doc = seen.filter("kind = 0").select("doc_id", "row", F.col("a").alias("node"), F.col("b").alias("check"), "n")
-    classes = per_doc.filter("n > 0").groupBy("node").agg(F.min("doc_id").alias("rep"), F.min("check").alias("lo"), F.max("check").alias("hi"))
+    per_doc = written(profiles(docs), "profiles")
+    classes = per_doc.filter("n > 0").groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.min("check").alias("lo"), F.max("check").alias("hi"))
     safe = F.when(F.col("lo") == F.col("hi"), F.col("rep")).otherwise(F.raise_error(F.lit("two sets share a fingerprint")).cast("long"))
-    classes = written(classes.select("node", safe.alias("rep")), "classes")
-    often = seen.filter("kind = 1").groupBy("a").agg(F.sum("n").alias("n")).filter(F.col("n") >= COMMON)
-    top = often.orderBy(F.desc("n"), "a").limit(MOST_COMMON).collect()
-    keys = np.array([r["a"] for r in top], np.int64).view(np.uint64)
-    counts = np.array([r["n"] for r in top], np.int64)
-    order = np.argsort(keys)
-    rows = prefixes(docs, keys[order], counts[order]).repartition("shingle", "salt").sortWithinPartitions("shingle", "n")
-    one = [F.first(c).alias(c) for c in ("na", "nb", "pa", "pb", "often")]
-    met = written(meetings(rows).groupBy("kind", "a", "b").agg(F.count(F.lit(1)).alias("shared"), *one), "met")
-    pairs = met.filter("kind = 0")
-    # Overlap needed: ceil(3/7 (na + nb)). Beyond the prefix that ends first lie at most
-    # n - p shingles of its set; the rest must be shared inside the prefixes.
-    need = F.ceil((F.col("na") + F.col("nb")) * 3 / F.lit(7)) - F.greatest(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb"))
-    pairs = pairs.filter(F.col("shared") + F.col("often") >= need).select("a", "b")
-    common_rows = met.filter("kind = 1").select(F.col("a").alias("shingle"), F.col("b").alias("node"), F.col("na").alias("n"), F.col("pa").alias("p"), "often", F.col("nb").alias("base"))
-    pairs = written(pairs.unionByName(star_pairs(common_rows.filter("base = 1"))).distinct(), "pairs")
-    nodes = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-    sets = needed_sets(docs, classes, nodes)
+    classes = written(classes.select("node", safe.alias("rep"), "n"), "classes")
+    met = meetings(base_rows(docs))
+    pairs = written(base_pairs(met), "pairs")
+    few = written(crowded(met, classes).filter("common > n div 32"), "few")
+    sets = needed_sets(docs, classes, nodes_of(pairs).unionByName(few.select("node")).distinct())
+    more, alike = pairs_of_crowded(sets, few, classes)
+    prefix = F.slice("set", F.lit(1), (F.col("n") - F.expr("(n * 3 + 3) div 4") + 1).cast("int"))
+    rows = sets.join(alike, "node").select(F.explode(prefix).alias("shingle"), "node", "n", "common")
+    rows = written(rows, "rows")
+    pairs = written(pairs.unionByName(more).unionByName(star_pairs(rows)).distinct(), "pairs")
     links = written(compared(pairs, sets), "links")
     labels = components(links)
-    across = pairs_across(common_rows, labels).join(pairs, ["a", "b"], "left_anti")
+    across = pairs_across(rows, labels).join(pairs, ["a", "b"], "left_anti")
     more = written(compared(across, sets), "links")
     if more.limit(1).count():
         labels = components(links.unionByName(more))
@@ -457,18 +478,17 @@ def keep_first(docs: DataFrame) -> DataFrame:
     )
     d = d.join(least, F.col("label") == F.col("of"))
     later = d.filter(F.when(bare, F.col("row") != F.col("bare")).otherwise(F.struct("doc_id", "row") != F.col("first")))
-    later = written(later.select(F.col("doc_id").alias("later_id__"), F.col("row").alias("later_row__")).distinct(), "later")
-    columns = [F.col(f"`{c}`") for c in docs.columns]
-    rows = docs.withColumn("row__", F.xxhash64("text"))
-    same = F.col("row__") == F.col("later_row__")
-    with_id = rows.filter("doc_id IS NOT NULL").join(later, (F.col("doc_id") == F.col("later_id__")) & same, "left_anti")
-    without = rows.filter("doc_id IS NULL").join(later.filter("later_id__ IS NULL"), same, "left_anti")
+    later = written(later.select(F.col("doc_id").alias("id"), F.col("row").alias("of")).distinct(), "later")
+    rows = packed(docs, "doc_id", "text").withColumn("row", F.xxhash64("text"))
+    same = F.col("row") == F.col("of")
+    with_id = rows.filter("doc_id IS NOT NULL").join(later, (F.col("doc_id") == F.col("id")) & same, "left_anti")
+    without = rows.filter("doc_id IS NULL").join(later.filter("id IS NULL"), same, "left_anti")
     # Of equal texts without a doc_id the first row stays.
     has_words = F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
-    order = Window.partitionBy("row__").orderBy(F.monotonically_increasing_id())
-    once = without.filter(has_words).withColumn("copy__", F.row_number().over(order)).filter("copy__ = 1")
-    kept = with_id.select(*columns).unionByName(once.select(*columns))
-    return kept.unionByName(without.filter(~has_words).select(*columns))
+    order = Window.partitionBy("row").orderBy(F.monotonically_increasing_id())
+    once = without.filter(has_words).withColumn("copy", F.row_number().over(order)).filter("copy = 1")
+    kept = with_id.select("all").unionByName(once.select("all")).unionByName(without.filter(~has_words).select("all"))
+    return kept.select("all.*")
 
 
 def op7_ngram_join(spark, sf_dir: str) -> DataFrame:
