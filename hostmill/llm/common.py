@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..scratch import fresh_path
 from ..shipping import ship
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -33,22 +32,6 @@ def ascii_lower(text: Column) -> Column:
     )
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; only where that is unset, as in tests, one of our own."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = getattr(shared_dir, "own", None) or tempfile.mkdtemp(prefix="spark-")
-        shared_dir.own = root
-        spark.sparkContext.setCheckpointDir(root)
-    elif spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(root)
-    return root
-
-
-def fresh_path(spark: SparkSession, label: str) -> str:
-    return os.path.join(shared_dir(spark), f"{label}-{uuid.uuid4().hex}")
-
-
 def written(df: DataFrame, label: str) -> DataFrame:
     """Cut the lineage through a table in the shared folder."""
     spark = df.sparkSession
@@ -57,6 +40,16 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bucketed(df: DataFrame, label: str, key: str) -> DataFrame:
+    """As ``written``, dealt by key for good: joins on it read the table as it lies."""
+    spark = df.sparkSession
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    name = f"{label}_{uuid.uuid4().hex}"
+    d = df.repartition(n, key).dropDuplicates([key])
+    d.write.bucketBy(n, key).sortBy(key).option("path", fresh_path(spark, label)).saveAsTable(name)
+    return spark.table(name)
+
+
 def own_columns(docs: DataFrame, *names: str) -> DataFrame:
     """Only the named columns, so that others with clashing names never meet ours."""
     ship(docs.sparkSession)
@@ -64,7 +57,14 @@ def own_columns(docs: DataFrame, *names: str) -> DataFrame:
 
 
 def packed(docs: DataFrame, *names: str) -> DataFrame:
-    """The named columns, and ``all``: a row's own columns in one struct, where no name of
-    theirs can clash with one of ours. ``select("all.*")`` gives the rows back."""
+    """The named columns, and the others in one struct ``rest``, where no name of theirs can
+    clash with one of ours. ``unpacked`` gives the rows back."""
     d = own_columns(docs, *docs.columns)
-    return d.select(*[F.col(f"`{n}`").alias(n) for n in names], F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("all"))
+    others = [F.col(f"`{c}`") for c in docs.columns if c not in names]
+    rest = F.struct(*others) if others else F.lit(None).cast("int")
+    return d.select(*[F.col(f"`{n}`").alias(n) for n in names], rest.alias("rest"))
+
+
+def unpacked(d: DataFrame, columns: list[str], *names: str) -> DataFrame:
+    """The given columns of packed rows; names: those that aren't in ``rest``."""
+    return d.select(*[F.col(c) if c in names else F.col("rest").getField(c).alias(c) for c in columns])

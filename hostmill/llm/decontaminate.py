@@ -1,9 +1,9 @@
 """Benchmark decontamination by a broadcast hash set of normalised benchmark n-grams.
 
 Documents are scanned window by window. A window whose fingerprint may be in the set (a
-bitmap of fixed size, part of the scan, made from fully lower-cased words and so without
-misses) becomes a candidate and carries its words; the candidates are then verified word for word against the benchmark's n-grams. Only verified
-hits count. The n-gram table is broadcast while its measured size is under
+bitmap of fixed size, part of the scan, made from the words as they are compared and so without
+misses) becomes a candidate and carries its words; the candidates are then verified word for
+word against the benchmark's n-grams. Only verified hits count. The n-gram table is broadcast while its measured size is under
 ``BROADCAST_BYTES``; beyond that the same join is shuffled.
 
 Words: A-Z lower-cased, then runs outside \\x00-\\x2F, \\x3A-\\x60 and \\x7B-\\x7F. An item of
@@ -11,8 +11,9 @@ fewer than ``n`` words, but not none, is one window of its own length.
 
 Defined cases: null texts have no words and no hits; an empty benchmark or an empty table
 gives zero hits or no rows; repeated items count once each by item_id, a null item_id counts
-as the id ``null``; repeated document rows are kept apart by a row key made before the scan;
-columns other than doc_id and text (item_id and text) are not read.
+as the id ``null``; repeated document rows are kept apart by a row key made before the scan,
+and texts under one doc_id are judged apart; very long texts are worked on whole, in one row;
+columns other than doc_id and text (item_id and text) are not read and may have any names.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, own_columns, table
+from .common import ascii_lower, own_columns, packed, table, unpacked
 
 N = 10
 #: Bits of the scan's bitmap: a fixed size whatever the benchmark's.
@@ -30,8 +31,7 @@ BROADCAST_BYTES = 32 << 20
 
 
 def words_of(text: Column) -> Column:
-    """Words in their own case. Lower-casing a text, by any rule, never moves their bounds."""
-    return F.array_remove(F.split(F.coalesce(text, F.lit("")), "[\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+"), "")
+    return F.array_remove(F.split(ascii_lower(F.coalesce(text, F.lit(""))), "[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"), "")
 
 
 def _fingerprint(words: Column, start: Column, length: Column | int) -> Column:
@@ -46,15 +46,14 @@ def benchmark_ngrams(benchmark: DataFrame, n: int = N) -> DataFrame:
     """(item, len, gram, bit), one row for each different window of an item."""
     items = own_columns(benchmark, "item_id", "text").select(
         F.coalesce(F.col("item_id").cast("string"), F.lit("null")).alias("item"),
-        words_of(F.col("text")).alias("own"),
-        words_of(F.lower("text")).alias("w"),
+        words_of(F.col("text")).alias("w"),
     )
-    items = items.filter(F.size("w") > 0).select("item", "w", "own", F.least(F.size("w"), F.lit(n)).alias("len"))
-    starts = items.select("item", "w", "own", "len", F.explode(F.sequence(F.lit(1), F.size("w") - F.col("len") + 1)).alias("i"))
+    items = items.filter(F.size("w") > 0).select("item", "w", F.least(F.size("w"), F.lit(n)).alias("len"))
+    starts = items.select("item", "w", "len", F.explode(F.sequence(F.lit(1), F.size("w") - F.col("len") + 1)).alias("i"))
     return starts.select(
         "item",
         "len",
-        ascii_lower(F.array_join(F.slice("own", F.col("i"), F.col("len")), " ")).alias("gram"),
+        F.array_join(F.slice("w", F.col("i"), F.col("len")), " ").alias("gram"),
         _bit(_fingerprint(F.col("w"), F.col("i"), F.col("len"))).alias("bit"),
     ).distinct()
 
@@ -77,17 +76,17 @@ def _starts(set_bits: Column, length: int) -> Column:
 
 
 def _windows(length: int) -> Column:
-    """(p, len, gram) of those places, with the words as they are compared."""
+    """(p, len, gram) of those places."""
 
     def window(p: Column) -> Column:
-        gram = ascii_lower(F.array_join(F.slice("own", p, length), " "))
+        gram = F.array_join(F.slice("w", p, length), " ")
         return F.struct(p.alias("p"), F.lit(length).alias("len"), gram.alias("gram"))
 
     return F.transform(f"s{length}", window)
 
 
 def hits(docs: DataFrame, benchmark: DataFrame, n: int = N) -> DataFrame:
-    """One row per document: its columns doc_id and n_words, and ``found``, an array of
+    """One row per document: doc_id, the hash of its text, n_words, and ``found``, an array of
     (p, len, item) of verified windows (start positions from 1)."""
     grams = benchmark_ngrams(benchmark, n)
     # Bounded by construction: 64-bit words of a fixed bitmap, and at most n lengths.
@@ -103,29 +102,30 @@ def hits(docs: DataFrame, benchmark: DataFrame, n: int = N) -> DataFrame:
     by_gram = by_gram.select(F.col("gram").alias("g"), F.col("len").alias("g_len"), "items")
     if (size[0] or 0) <= BROADCAST_BYTES:
         by_gram = F.broadcast(by_gram)
-    d = own_columns(docs, "doc_id", "text").select("doc_id", "text", words_of(F.lower("text")).alias("w"))
+    keys = ["doc_id", "text_key", "n_words"]
+    d = own_columns(docs, "doc_id", "text").select("doc_id", "text", F.xxhash64("text").alias("text_key"), words_of(F.col("text")).alias("w"))
     set_bits = F.lit(bitmap).cast("array<bigint>")
-    d = d.select("doc_id", "text", "w", *[_window_bits(ln).alias(f"b{ln}") for ln in lengths])
-    d = d.select("doc_id", "text", F.size("w").cast("long").alias("n_words"), *[_starts(set_bits, ln).alias(f"s{ln}") for ln in lengths])
+    d = d.select("doc_id", "text_key", "text", "w", *[_window_bits(ln).alias(f"b{ln}") for ln in lengths])
+    d = d.select("doc_id", "text_key", "text", F.size("w").cast("long").alias("n_words"), *[_starts(set_bits, ln).alias(f"s{ln}") for ln in lengths])
     found = [_windows(ln) for ln in lengths]
     some = F.array_max(F.array(F.lit(0), *[F.coalesce(F.size(f"s{ln}"), F.lit(0)) for ln in lengths])) > 0
-    d = d.withColumn("own", F.when(some, words_of(F.col("text"))))
+    d = d.withColumn("w", F.when(some, words_of(F.col("text"))))
     if not found:
         none = F.array().cast("array<struct<p:int,len:int,item:string>>")
-        return d.select("doc_id", "n_words", none.alias("found"))
+        return d.select(*keys, none.alias("found"))
     empty = F.array().cast("array<struct<p:int,len:int,gram:string>>")
-    d = d.select("doc_id", "n_words", F.concat(*[F.coalesce(x, empty) for x in found]).alias("c"))
+    d = d.select(*keys, F.concat(*[F.coalesce(x, empty) for x in found]).alias("c"))
     d = d.withColumn("row", F.monotonically_increasing_id())
-    c = d.select("row", "doc_id", "n_words", F.explode_outer("c").alias("c")).select("row", "doc_id", "n_words", "c.*")
+    c = d.select("row", *keys, F.explode_outer("c").alias("c")).select("row", *keys, "c.*")
     verified = c.join(by_gram, (F.col("gram") == F.col("g")) & (F.col("len") == F.col("g_len")), "left")
     hit = F.struct("p", "len", "items")
-    per_doc = verified.groupBy("row", "doc_id", "n_words").agg(
+    per_doc = verified.groupBy("row", *keys).agg(
         F.collect_list(F.when(F.col("items").isNotNull(), hit)).alias("h")
     )
     flat = F.flatten(
         F.transform("h", lambda x: F.transform(x["items"], lambda t: F.struct(x["p"].alias("p"), x["len"].alias("len"), t.alias("item"))))
     )
-    return per_doc.select("doc_id", "n_words", flat.alias("found"))
+    return per_doc.select(*keys, flat.alias("found"))
 
 
 def hit_words(found: Column) -> Column:
@@ -144,9 +144,7 @@ def hit_words(found: Column) -> Column:
 
 def report(docs: DataFrame, benchmark: DataFrame, n: int = N) -> DataFrame:
     items = F.array_sort(F.array_distinct(F.transform("found", lambda x: x["item"])))
-    r = hits(docs, benchmark, n).select(
-        "doc_id", "n_words", hit_words(F.col("found")).alias("n_hit"), items.alias("items")
-    )
+    r = hits(docs, benchmark, n).select("doc_id", "n_words", hit_words(F.col("found")).alias("n_hit"), items.alias("items"))
     return r.select(
         "doc_id",
         "n_words",
@@ -159,8 +157,10 @@ def report(docs: DataFrame, benchmark: DataFrame, n: int = N) -> DataFrame:
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, n: int = N) -> DataFrame:
     """The documents without a verified benchmark window, all columns kept."""
-    bad = report(docs, benchmark, n).filter("contaminated").select("doc_id").distinct()
-    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["doc_id"]), "left_anti")
+    bad = hits(docs, benchmark, n).filter(F.size("found") > 0).select(F.col("doc_id").alias("id"), F.col("text_key").alias("of")).distinct()
+    rows = packed(docs, "doc_id", "text").withColumn("text_key", F.xxhash64("text"))
+    same = F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("text_key") == F.col("of"))
+    return unpacked(rows.join(bad, same, "left_anti"), docs.columns, "doc_id", "text")
 
 
 def op4_decontaminate(spark, sf_dir: str) -> DataFrame:
