@@ -12,8 +12,11 @@ against itself is done by shuffled fingerprints, exactly:
 
 1. Each window belongs to the least 8-word fingerprint inside it (its minimizer); the windows
    of one minimizer in a row make a chunk. Equal chunks have equal windows.
-2. Chunks are dealt by minimizer, after each task has settled its own copies. Later copies of
-   a chunk go whole; where a minimizer has different chunks, their first copies are opened.
+2. Chunks are dealt by minimizer, after each task has settled its own copies, and settled as a
+   stream. Later copies of a chunk go whole; where a minimizer has different chunks, their first
+   copies are opened. A minimizer with more than ``KINDS`` chunks in one slice of documents is
+   known to have its chunks opened: those are dealt by their content instead, so that a phrase
+   in every document makes no hot task.
 3. The windows of opened chunks are compared one by one, by 128-bit fingerprints.
 4. The spans found are joined back to the texts.
 
@@ -22,7 +25,8 @@ A document is told by its doc_id and the 64-bit hash of its text, in this order.
 Defined cases: a null or short text loses nothing; rows with the same doc_id and text are one
 document and are judged alike; a null doc_id counts as the smallest, and its rows are documents
 of their own: of equal ones the first row is the earlier; an empty table gives no rows;
-only doc_id and text are used to decide. Long texts are worked on whole, in one task.
+only doc_id and text are used to decide, and other columns may have any names. Long texts are
+worked on whole, in one task.
 """
 
 from __future__ import annotations
@@ -38,10 +42,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from . import shingles as S
-from .common import own_columns, table, written
+from .common import own_columns, packed, table, unpacked, written
 
 W = 20
 MINIMIZER = 8
+#: Different chunks of a minimizer in a slice before they are dealt apart.
+KINDS = 64
 #: Bytes of reference text for which automata are broadcast, at most.
 REFERENCE_BYTES = 8 << 20
 NULL_ID = -(1 << 63)
@@ -65,8 +71,11 @@ def rolling(words: np.ndarray, step: np.uint64) -> tuple[np.ndarray, np.ndarray]
     return h8, join(h16, h4, 16, 4)
 
 
-_CHUNK = "m long, c long, doc_id long, row long, span long, gone boolean"
-_CHUNK_ARROW = pa.schema([("m", pa.int64()), ("c", pa.int64()), ("doc_id", pa.int64()), ("row", pa.int64()), ("span", pa.int64()), ("gone", pa.bool_())])
+#: What a row of chunks says: a chunk, a later copy, a chunk to be opened, a minimizer whose
+#: chunks are opened.
+CHUNK, GONE, OPEN, MARK = range(4)
+_CHUNK = "m long, c long, doc_id long, row long, span long, what int"
+_CHUNK_ARROW = pa.schema([("m", pa.int64()), ("c", pa.int64()), ("doc_id", pa.int64()), ("row", pa.int64()), ("span", pa.int64()), ("what", pa.int32())])
 
 
 def documents(docs: DataFrame) -> DataFrame:
@@ -89,7 +98,7 @@ def chunk_starts(h8: np.ndarray, h20: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 
 def chunks(docs: DataFrame) -> DataFrame:
-    """Chunks of every document; ``gone`` where the same task has an earlier copy."""
+    """The chunks of every document, to be dealt by ``m``; copies in one slice are settled."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -116,8 +125,17 @@ def chunks(docs: DataFrame) -> DataFrame:
                 m, c, doc, row, span = (x[order] for x in (m, c, doc, row, span))
                 first, later = copies(m, c, doc, row, span)
                 keep = first | later
-                cols = [x[keep] for x in (m, c, doc, row, span, later)]
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in cols], schema=_CHUNK_ARROW)
+                m, c, doc, row, span, first, later = (x[keep] for x in (m, c, doc, row, span, first, later))
+                at = np.flatnonzero(np.concatenate([[True], m[1:] != m[:-1]]))
+                many = np.add.reduceat(first.astype(np.int64), at) > KINDS
+                marked = m[at][many]
+                apart = np.repeat(many, np.diff(np.append(at, len(m))))
+                what = np.where(later, GONE, np.where(apart, OPEN, CHUNK)).astype(np.int32)
+                deal = S.mix((c ^ m).view(np.uint64)).view(np.int64)
+                m = np.where(later, row, np.where(apart, deal, m))
+                least, none = np.full(len(marked), NULL_ID), np.zeros(len(marked), np.int64)
+                cols = [np.append(x, y) for x, y in ((m, marked), (c, least), (doc, none), (row, none), (span, none), (what, none + MARK))]
+                yield pa.RecordBatch.from_arrays([pa.array(x.astype(t.to_pandas_dtype())) for x, t in zip(cols, _CHUNK_ARROW.types, strict=True)], schema=_CHUNK_ARROW)
 
     return documents(docs).mapInArrow(run, _CHUNK)
 
@@ -133,38 +151,39 @@ def copies(m, c, doc, row, span) -> tuple[np.ndarray, np.ndarray]:
 def settled(rows: DataFrame) -> DataFrame:
     """doc_id, row, span and ``gone``: later copies, and (gone false) chunks to be opened.
 
-    rows: sorted by m, c, doc_id, row, span within partitions that hold whole minimizers.
+    rows: sorted by m, c, doc_id, row, span within partitions that hold whole minimizers. What
+    is kept from batch to batch is the first copy of the last chunk.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] | None = None
-
-        def ended():
-            yield from batches
-            yield None
-
-        for batch in ended():
-            cols = held
-            if batch is not None:
-                cols = [batch.column(x).to_numpy(zero_copy_only=False) for x in ("m", "c", "doc_id", "row", "span")]
-                if held is not None:
-                    cols = [np.concatenate([x, y]) for x, y in zip(held, cols, strict=True)]
-            if cols is None or not len(cols[0]):
-                continue
-            m, c, doc, row, span = cols
-            end = len(m) if batch is None else int(np.searchsorted(m, m[-1], side="left"))
-            held = [x[end:] for x in cols]
-            m, c, doc, row, span = (x[:end] for x in cols)
-            if not end:
+        kept, kept_opened = None, False
+        for batch in batches:
+            cols = [batch.column(x).to_numpy() for x in ("m", "c", "doc_id", "row", "span", "what")]
+            done = cols[5] == GONE
+            if done.any():
+                yield pa.RecordBatch.from_arrays([pa.array(x[done]) for x in cols[2:5]] + [pa.array(done[done])], names=["doc_id", "row", "span", "gone"])
+                cols = [x[~done] for x in cols]
+            if not len(cols[0]):
                 continue
+            if kept is not None:
+                cols = [np.append(x, y) for x, y in zip(kept, cols, strict=True)]
+            m, c, doc, row, span, what = cols
             first, later = copies(m, c, doc, row, span)
-            at = np.flatnonzero(np.concatenate([[True], m[1:] != m[:-1]]))
-            kinds = np.add.reduceat(first.astype(np.int64), at)
-            opened = first & (np.repeat(kinds, np.diff(np.append(at, end))) > 1)
+            new = np.concatenate([[True], m[1:] != m[:-1]])
+            at = np.flatnonzero(new)
+            open_ = np.add.reduceat(first.astype(np.int64), at) > 1
+            open_ |= np.logical_or.reduceat(what != CHUNK, at)
+            if kept is not None:
+                open_[0] |= kept_opened
+            opened = first & np.repeat(open_, np.diff(np.append(at, len(m)))) & (what != MARK)
             out = later | opened
+            if kept is not None:  # it was put out by the batch before, if it had to be
+                out[0] &= not kept_opened
             yield pa.RecordBatch.from_arrays([pa.array(x[out]) for x in (doc, row, span, later)], names=["doc_id", "row", "span", "gone"])
+            head = int(np.flatnonzero(first)[-1])
+            kept, kept_opened = [x[head : head + 1] for x in cols], bool(open_[-1])
 
-    return rows.select("m", "c", "doc_id", "row", "span").mapInArrow(run, "doc_id long, row long, span long, gone boolean")
+    return rows.select("m", "c", "doc_id", "row", "span", "what").mapInArrow(run, "doc_id long, row long, span long, gone boolean")
 
 
 def window_rows(docs: DataFrame, opened: DataFrame) -> DataFrame:
@@ -198,9 +217,7 @@ def window_rows(docs: DataFrame, opened: DataFrame) -> DataFrame:
 
 def removed_spans(docs: DataFrame) -> DataFrame:
     """(doc_id, row, spans): per document with removals, window spans as start * 256 + windows."""
-    rows = chunks(docs)
-    local = rows.filter("gone").select("doc_id", "row", "span")
-    dealt = rows.filter("NOT gone").repartition("m").sortWithinPartitions("m", "c", "doc_id", "row", "span")
+    dealt = chunks(docs).repartition("m").sortWithinPartitions("m", "c", "doc_id", "row", "span")
     found = written(settled(dealt), "spans")
     windows = written(window_rows(docs, found.filter("NOT gone")), "windows")
     earliest = windows.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "row", "at")).alias("f"), F.count(F.lit(1)).alias("n"))
@@ -208,7 +225,7 @@ def removed_spans(docs: DataFrame) -> DataFrame:
     single = windows.join(earliest, (F.col("h1") == F.col("k1")) & (F.col("h2") == F.col("k2")))
     single = single.filter(F.struct("doc_id", "row", "at") > F.col("f"))
     single = single.select("doc_id", "row", (F.col("at") * 256 + 1).alias("span"))
-    spans = found.filter("gone").select("doc_id", "row", "span").unionByName(local).unionByName(single)
+    spans = found.filter("gone").select("doc_id", "row", "span").unionByName(single)
     return spans.groupBy("doc_id", "row").agg(F.collect_list("span").alias("spans"))
 
 
@@ -227,21 +244,21 @@ def covered(n: int, spans: np.ndarray | None) -> np.ndarray:
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+[\x20\x09-\x0D]*")
 
 
-def with_spans(docs: DataFrame, spans: DataFrame) -> DataFrame:
-    """docs with ``gone_spans__``. Equal texts without a doc_id share their spans; here the
-    first row of them keeps those and the rest, if long enough for a window, go whole."""
-    rows = docs.withColumn("span_row__", F.xxhash64("text"))
-    long = F.length("text") >= 2 * W - 1
-    bare = rows.filter(F.col("doc_id").isNull() & F.coalesce(long, F.lit(False)))
-    order = Window.partitionBy("span_row__").orderBy(F.monotonically_increasing_id())
-    bare = bare.withColumn("copy__", F.row_number().over(order) > 1)
-    rest = rows.filter(F.col("doc_id").isNotNull() | ~F.coalesce(long, F.lit(False))).withColumn("copy__", F.lit(False))
-    rows = rest.unionByName(bare).withColumn("span_key__", F.coalesce("doc_id", F.lit(NULL_ID).cast("long")))
-    s = spans.select(F.col("doc_id").alias("span_id__"), F.col("row").alias("span_of__"), F.col("spans").alias("gone_spans__"))
-    d = rows.join(s, (F.col("span_key__") == F.col("span_id__")) & (F.col("span_row__") == F.col("span_of__")), "left")
+def with_spans(rows: DataFrame, spans: DataFrame) -> DataFrame:
+    """rows (doc_id, text and ``rest``) with ``spans``. Equal texts without a doc_id share their
+    spans; here the first row of them keeps those and the rest, if long enough for a window, go
+    whole."""
+    own = rows.columns
+    rows = rows.withColumn("row", F.xxhash64("text"))
+    bare = F.col("doc_id").isNull() & F.coalesce(F.length("text") >= 2 * W - 1, F.lit(False))
+    order = Window.partitionBy("row").orderBy(F.monotonically_increasing_id())
+    alike = rows.filter(bare).withColumn("copy", F.row_number().over(order) > 1)
+    rows = rows.filter(~bare).withColumn("copy", F.lit(False)).unionByName(alike)
+    rows = rows.withColumn("key", F.coalesce("doc_id", F.lit(NULL_ID).cast("long")))
+    s = spans.select(F.col("doc_id").alias("id"), F.col("row").alias("of"), "spans")
+    d = rows.join(s, (F.col("key") == F.col("id")) & (F.col("row") == F.col("of")), "left")
     whole = F.array(F.lit(WHOLE).cast("long"))
-    d = d.withColumn("gone_spans__", F.when(F.col("copy__"), whole).otherwise(F.col("gone_spans__")))
-    return d.drop("span_key__", "span_row__", "span_id__", "span_of__", "copy__")
+    return d.select(*own, F.when(F.col("copy"), whole).otherwise(F.col("spans")).alias("spans"))
 
 
 def digests(docs: DataFrame, spans: DataFrame) -> DataFrame:
@@ -252,7 +269,7 @@ def digests(docs: DataFrame, spans: DataFrame) -> DataFrame:
         for batch in batches:
             n_words, n_removed, sha = [], [], []
             for part in S.slices(batch):
-                lists = part.column("gone_spans__")
+                lists = part.column("spans")
                 for i, words in enumerate(S.word_lists(part.column("text"), lower=False)):
                     n, gone = len(words), 0
                     if lists[i].is_valid:
@@ -292,12 +309,13 @@ def remove(docs: DataFrame) -> DataFrame:
             out.append(kept.decode().rstrip(" \t\n\x0b\x0c\r") if kept else None)
         return pd.Series(out, dtype=object)
 
-    d = with_spans(docs, removed_spans(docs))
-    d = d.withColumn("cut_text__", F.when(F.col("gone_spans__").isNull(), F.col("text")).otherwise(cut("text", "gone_spans__")))
-    d = d.filter("cut_text__ IS NOT NULL OR text IS NULL").withColumn("text", F.col("cut_text__"))
-    if "n_chars" in names:
-        d = d.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return d.select(*names)
+    d = with_spans(packed(docs, "doc_id", "text"), removed_spans(docs))
+    d = d.withColumn("cut", F.when(F.col("spans").isNull(), F.col("text")).otherwise(cut("text", "spans")))
+    d = d.filter("cut IS NOT NULL OR text IS NULL").withColumn("text", F.col("cut"))
+    if "n_chars" not in names:
+        return unpacked(d, names, "doc_id", "text")
+    d = d.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return unpacked(d, names, "doc_id", "text", "n_chars")
 
 
 class Automaton:
