@@ -1,14 +1,17 @@
 """Reproducible shuffle and sharding by a Feistel permutation with cycle walking.
 
-Global row numbers come from a count per hash bucket of doc_id and a row number inside the
-bucket, so no task ever sorts more than its buckets. A Feistel network over the smallest
+Global row numbers come from a count per hash bucket of a row (doc_id, size and CRC of the
+text) and a row number inside the bucket, so no task ever sorts more than its buckets. Rows
+equal in all three are counted first, before anything is sorted, and number off from there, so
+that a value that many rows share makes no hot bucket. A Feistel network over the smallest
 power of two that holds all rows, applied again while the value falls outside, permutes the
 row numbers. Permuted number r goes to shard r mod k, slot r div k: counts are at most one
 apart (law ``rows``), slots are gapless, and both can be computed for any row number alone.
 
 Defined cases: a null text has size 1 and the CRC of no bytes, 0; a null doc_id is a value
-of its own; repeated rows get different numbers; an empty table gives no rows; columns other
-than doc_id and text are not read.
+of its own, and its rows are spread by their texts; repeated rows get different numbers; very
+long texts are only measured; an empty table gives no rows; columns other than doc_id and text
+are not read and may have any names.
 """
 
 from __future__ import annotations
@@ -58,24 +61,24 @@ def permute(row: Column, n: int, seed: int = SEED) -> Column:
 
 def row_numbers(docs: DataFrame, buckets: int = BUCKETS) -> tuple[DataFrame, int]:
     """doc_id, size, text_crc32 and ``row`` from 0 without gaps; and the number of rows."""
-    bucket = F.pmod(F.xxhash64("doc_id"), F.lit(buckets)).cast("int")
-    counts = own_columns(docs, "doc_id").groupBy(bucket.alias("bucket")).count().collect()
-    base, total = [], 0
-    for r in sorted(counts, key=lambda r: r["bucket"]):
-        base.append((r["bucket"], total))
-        total += r["count"]
-    starts = docs.sparkSession.createDataFrame(base, "at int, base long")
     text = F.coalesce("text", F.lit(""))
+    bucket = F.pmod(F.xxhash64("doc_id", "size", "text_crc32"), F.lit(buckets)).cast("int")
     d = own_columns(docs, "doc_id", "text").select(
         "doc_id",
         (F.octet_length(text) + 1).cast("long").alias("size"),
         F.crc32(text.cast("binary")).alias("text_crc32"),
-        bucket.alias("bucket"),
     )
+    d = d.groupBy(bucket.alias("bucket"), "doc_id", "size", "text_crc32").agg(F.count(F.lit(1)).alias("copies"))
+    base, total = [], 0
+    for r in sorted(d.groupBy("bucket").agg(F.sum("copies").alias("n")).collect(), key=lambda r: r["bucket"]):
+        base.append((r["bucket"], total))
+        total += r["n"]
+    starts = docs.sparkSession.createDataFrame(base, "at int, base long")
     w = Window.partitionBy("bucket").orderBy("doc_id", "text_crc32", "size")
-    d = d.withColumn("rn", F.row_number().over(w) - 1)
+    d = d.withColumn("before", F.sum("copies").over(w.rowsBetween(Window.unboundedPreceding, 0)) - F.col("copies"))
     d = d.join(F.broadcast(starts), F.col("bucket") == F.col("at"))
-    return d.select("doc_id", "size", "text_crc32", (F.col("base") + F.col("rn")).alias("row")), total
+    d = d.select("doc_id", "size", "text_crc32", (F.col("base") + F.col("before")).alias("first"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)).alias("copy"))
+    return d.select("doc_id", "size", "text_crc32", (F.col("first") + F.col("copy")).alias("row")), total
 
 
 def assign(docs: DataFrame, shards: int = SHARDS, seed: int = SEED) -> DataFrame:
