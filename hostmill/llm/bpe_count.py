@@ -21,9 +21,10 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..shipping import ship
 from .common import own_columns, table
 
 MODEL = "piece_bpe_32k.model"
@@ -144,18 +145,22 @@ def counter(path: str) -> Counter:
     return _counters[path]
 
 
-def token_counts(docs: DataFrame, model: str = MODEL, limit: int = LIMIT) -> DataFrame:
+def n_tokens(docs: DataFrame, model: str = MODEL) -> Column:
+    """The token count of docs.text, as a column."""
+    ship(docs.sparkSession)
+
     @F.pandas_udf("long")
-    def n_tokens(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         count = counter(model_path(model))
         for batch in batches:
             yield pd.Series([count(x) for x in batch], dtype="int64")
 
-    d = own_columns(docs, "doc_id", "text").select(
-        "doc_id",
-        F.octet_length(F.coalesce("text", F.lit(""))).cast("long").alias("n_bytes"),
-        n_tokens("text").alias("n_tokens"),
-    )
+    return run(F.col("`text`"))
+
+
+def token_counts(docs: DataFrame, model: str = MODEL, limit: int = LIMIT) -> DataFrame:
+    d = own_columns(docs, "doc_id", "text")
+    d = d.select("doc_id", F.octet_length(F.coalesce("text", F.lit(""))).cast("long").alias("n_bytes"), n_tokens(d, model).alias("n_tokens"))
     return d.withColumn("over_limit", F.col("n_tokens") > limit)
 
 
