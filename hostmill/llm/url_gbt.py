@@ -2,20 +2,24 @@
 
 The rules label the URLs they fit; the trees are fitted to a bounded sample of those labels and
 judge the rest. The statistics of suffixes are counted from all labelled URLs, each different
-URL once. The small forest is grown once from the sample's feature rows and becomes one
-column expression, so scoring stays in the scan. Features: lengths, depth, digit ratio, character entropy, parameter counts
-and statistics of suffixes (the share of blocked labels by top-level domain, by registered
-domain, by first path segment and by file ending, smoothed by the overall share).
+URL once, and out of fold for the sample: a URL that the trees are fitted to has the shares of
+the labelled URLs in the other folds, so that its own label isn't among its features. The small
+forest is grown once from the sample's feature rows and becomes one column expression, so
+scoring stays in the scan. Features: lengths, depth, digit ratio, character entropy, parameter
+counts and statistics of suffixes (the share of blocked labels by top-level domain, by registered
+domain, by first path segment and by file ending, smoothed by the overall share, which also
+stands for suffixes that have no label). Cuts lie half way between neighbouring values.
 
 Defined cases: a url that is null or has no ``://`` has empty host and path, fits no rule and
 is judged by its (empty) features; without labels of both kinds the verdict is the only kind
-seen, or ``allow``; repeated rows get equal verdicts; an empty table gives no rows; only
-page_id and url are read.
+seen, or ``allow``; repeated rows get equal verdicts; very long URLs are read whole; an empty
+table gives no rows; only page_id and url are read, and other columns may have any names.
 """
 
 from __future__ import annotations
 
 import math
+from dataclasses import dataclass
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -39,6 +43,8 @@ RATE = 0.3
 LEAST = 10
 CUTS = 32
 SMOOTH = 5.0
+#: Folds that a sampled URL is left out of by its own share of the statistics.
+FOLDS = 5
 
 SUFFIXES = ("tld", "domain", "segment", "ending")
 NUMBERS = (
@@ -110,12 +116,21 @@ def features(d: DataFrame) -> DataFrame:
     )
 
 
+def halves(values: np.ndarray) -> np.ndarray:
+    """Up to CUTS places between different values, evenly by rank."""
+    own = np.unique(values)
+    between = (own[1:] + own[:-1]) / 2
+    if len(between) <= CUTS:
+        return between
+    return between[np.linspace(0, len(between) - 1, CUTS).round().astype(int)]
+
+
 def boost(x: np.ndarray, y: np.ndarray) -> tuple[float, list]:
     """Gradient boosting of the log loss with Newton leaves: the first score and the trees.
 
-    A leaf is a number, a node (feature, cut, low, high). Cuts are quantiles of a feature.
+    A leaf is a number, a node (feature, cut, low, high).
     """
-    cuts = [np.unique(np.quantile(col, np.linspace(0, 1, CUTS + 2)[1:-1])) for col in x.T]
+    cuts = [halves(col) for col in x.T]
     share = min(max(float(y.mean()), 1e-3), 1 - 1e-3)
     first = math.log(share / (1 - share))
     score = np.full(len(y), first)
@@ -160,52 +175,97 @@ def as_column(tree, inputs: list[str]) -> Column:
 
 
 def suffix_counts(labelled: DataFrame) -> DataFrame:
-    """kind, key, blocked and n: the labelled URLs and the blocked ones of every suffix."""
-    d = labelled.select("ruled", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path")).select("ruled", *suffix_columns())
+    """kind, key, fold, blocked and n: the labelled URLs and the blocked ones of every suffix."""
+    d = labelled.select("ruled", fold_of(F.col("url")).alias("fold"), host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
+    d = d.select("ruled", "fold", *suffix_columns())
     pairs = F.array(*[F.struct(F.lit(s).alias("kind"), d[s].alias("key")) for s in SUFFIXES])
-    d = d.select(F.explode(pairs).alias("s"), (F.col("ruled") == "block").cast("long").alias("block"))
-    return d.groupBy("s.kind", "s.key").agg(F.sum("block").alias("blocked"), F.count(F.lit(1)).alias("n"))
+    d = d.select("fold", F.explode(pairs).alias("s"), (F.col("ruled") == "block").cast("long").alias("block"))
+    return d.groupBy("s.kind", "s.key", "fold").agg(F.sum("block").alias("blocked"), F.count(F.lit(1)).alias("n"))
 
 
-def judge(pages: DataFrame, rules=RULES, sample: int = SAMPLE) -> DataFrame:
-    spark = pages.sparkSession
-    ruled = with_rules(pages, rules)
-    labelled = ruled.filter("ruled IS NOT NULL AND url IS NOT NULL").select("url", "ruled").distinct()
-    stats = written(suffix_counts(labelled), "suffixes")
+def fold_of(url: Column) -> Column:
+    return F.pmod(F.xxhash64(url), F.lit(FOLDS)).cast("int")
+
+
+def labelled_urls(ruled: DataFrame) -> DataFrame:
+    return ruled.filter("ruled IS NOT NULL AND url IS NOT NULL").select("url", "ruled").distinct()
+
+
+@dataclass(frozen=True)
+class Model:
+    """The forest, and the table of blocked shares by suffix."""
+
+    first: float
+    forest: list
+    overall: float
+    stats: DataFrame
+
+    @property
+    def inputs(self) -> list[str]:
+        return [*NUMBERS, *(f"{s}_share" for s in SUFFIXES)]
+
+
+def smoothed(blocked, n, overall: float):
+    return (blocked + SMOOTH * overall) / (n + SMOOTH)
+
+
+def fit(labelled: DataFrame, sample: int = SAMPLE, rules=RULES) -> Model | str:
+    """The model of the labelled URLs (url, ruled), or the only verdict there is."""
+    spark = labelled.sparkSession
+    counts = written(suffix_counts(labelled), "suffixes")
     # Every labelled URL has one top-level domain, if an empty one: those rows count them all.
-    of_all = stats.filter(F.col("kind") == "tld").agg(F.sum("blocked").alias("blocked"), F.sum("n").alias("n")).first()
+    of_all = counts.filter(F.col("kind") == "tld").agg(F.sum("blocked").alias("blocked"), F.sum("n").alias("n")).first()
     blocked, n = of_all["blocked"] or 0, of_all["n"] or 0
     if blocked in (0, n):
-        only = "block" if blocked else "allow"
-        verdict = F.coalesce("ruled", F.lit(only))
-        return ruled.select("page_id", "host", "path", "rule", verdict.alias("verdict"), F.lit(None).cast("double").alias("p_block"))
+        return "block" if blocked else "allow"
     overall = blocked / n
-    share = ((F.col("blocked") + SMOOTH * overall) / (F.col("n") + SMOOTH)).alias("share")
-    shares = {s: stats.filter(F.col("kind") == s).select(F.col("key").alias(f"{s}_key"), share.alias(f"{s}_share")) for s in SUFFIXES}
     # The bounded sample that the trees are fitted to is gathered once.
     rows = labelled.orderBy(F.xxhash64("url"), "url").limit(sample).collect()
     frame = spark.createDataFrame([(i, r["url"]) for i, r in enumerate(rows)], "page_id long, url string").coalesce(2)
-    train = features(with_rules(frame, rules)).select(*NUMBERS, *SUFFIXES, "ruled").toPandas()
-    label = (train["ruled"] == "block").to_numpy(float)
+    train = features(with_rules(frame, rules)).select(*NUMBERS, *SUFFIXES, fold_of(F.col("url")).alias("fold"), "page_id").toPandas()
+    label = np.array([rows[i]["ruled"] == "block" for i in train["page_id"]], float)
     for s in SUFFIXES:
-        # The sample's own suffixes: at most one row for each sampled URL.
+        # The sample's own suffixes: at most one key for each sampled URL, and FOLDS rows a key.
         own = spark.createDataFrame([(k,) for k in sorted(set(train[s]))], "own string").coalesce(1)
-        of_sample = shares[s].join(F.broadcast(own), F.col(f"{s}_key") == F.col("own"), "left_semi").collect()
-        train[f"{s}_share"] = train[s].map({r[0]: r[1] for r in of_sample})
+        mine = counts.filter(F.col("kind") == s).join(F.broadcast(own), F.col("key") == F.col("own"), "left_semi").collect()
+        total: dict[str, list[int]] = {}
+        of_fold = {(r["key"], r["fold"]): (r["blocked"], r["n"]) for r in mine}
+        for (key, _), (b, m) in of_fold.items():
+            t = total.setdefault(key, [0, 0])
+            t[0], t[1] = t[0] + b, t[1] + m
+        shares = []
+        for key, fold in zip(train[s], train["fold"], strict=True):
+            b, m = of_fold.get((key, fold), (0, 0))
+            shares.append(smoothed(total[key][0] - b, total[key][1] - m, overall))
+        train[f"{s}_share"] = shares
     inputs = [*NUMBERS, *(f"{s}_share" for s in SUFFIXES)]
     first, forest = boost(train[inputs].to_numpy(float), label)
+    stats = counts.groupBy("kind", "key").agg(F.sum("blocked").alias("blocked"), F.sum("n").alias("n"))
+    return Model(first, forest, overall, written(stats.select("kind", "key", smoothed(F.col("blocked"), F.col("n"), overall).alias("share")), "shares"))
+
+
+def scored(ruled: DataFrame, model: Model) -> DataFrame:
+    """The features of with_rules' rows, and p_block, the trees' probability."""
     d = features(ruled)
     for s in SUFFIXES:
         # These tables have no proven bound: the measured size of what was written decides
         # whether one is broadcast or the join is shuffled.
-        d = d.join(shares[s], F.col(s) == F.col(f"{s}_key"), "left")
-        d = d.withColumn(f"{s}_share", F.coalesce(f"{s}_share", F.lit(overall)))
-    score = F.lit(first)
-    for tree in forest:
-        score = score + as_column(tree, inputs)
-    d = d.withColumn("p_block", 1 / (1 + F.exp(-score)))
+        share = model.stats.filter(F.col("kind") == s).select(F.col("key").alias(f"{s}_key"), F.col("share").alias(f"{s}_share"))
+        d = d.join(share, F.col(s) == F.col(f"{s}_key"), "left")
+        d = d.withColumn(f"{s}_share", F.coalesce(f"{s}_share", F.lit(model.overall)))
+    score = F.lit(model.first)
+    for tree in model.forest:
+        score = score + as_column(tree, model.inputs)
+    return d.withColumn("p_block", 1 / (1 + F.exp(-score)))
+
+
+def judge(pages: DataFrame, rules=RULES, sample: int = SAMPLE) -> DataFrame:
+    ruled = with_rules(pages, rules)
+    model = fit(labelled_urls(ruled), sample, rules)
+    if isinstance(model, str):
+        return ruled.select("page_id", "host", "path", "rule", F.coalesce("ruled", F.lit(model)).alias("verdict"), F.lit(None).cast("double").alias("p_block"))
     own = F.when(F.col("p_block") > 0.5, "block").otherwise("allow")
-    return d.select("page_id", "host", "path", "rule", F.coalesce("ruled", own).alias("verdict"), "p_block")
+    return scored(ruled, model).select("page_id", "host", "path", "rule", F.coalesce("ruled", own).alias("verdict"), "p_block")
 
 
 def op2_url_gbt(spark, sf_dir: str) -> DataFrame:
