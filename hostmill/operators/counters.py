@@ -16,13 +16,16 @@ from ..functions.values import average_or_zero, device_path, is_base_disk
 from .points import to_points
 
 
-def with_previous(snapshots: DataFrame, counters: Sequence[str], entity: Sequence[str], host: str = "host", ts: str = "ts") -> DataFrame:
+def with_previous(
+    snapshots: DataFrame, counters: Sequence[str], entity: Sequence[str], host: str = "host", ts: str = "ts", scrapes: DataFrame | None = None
+) -> DataFrame:
     """Adds prev_<counter> (null without a previous row) and seconds since the host's scrape before.
 
     Scrapes are numbered per host from its different times alone; a large host's rows are
-    then spread by entity.
+    then spread by entity. ``scrapes`` has the times where the snapshots were filtered: a scrape
+    of which no row is left is still the one before the next.
     """
-    times = snapshots.select(host, ts).distinct()
+    times = (snapshots if scrapes is None else scrapes).select(host, ts).distinct()
     w = Window.partitionBy(host).orderBy(ts)
     times = times.withColumn("scrape_no", F.row_number().over(w)).withColumn("before", F.lag(ts).over(w))
     d = snapshots.join(times, [host, ts])
@@ -48,7 +51,11 @@ DISK = ("read_count", "write_count", "read_bytes", "write_bytes", "read_time", "
 
 def disk_points(snapshots: DataFrame) -> DataFrame:
     """host, ts, device, the DISK counters and inflight to points of base disks."""
-    d = with_previous(snapshots.filter(is_base_disk(F.col("device"))), DISK, ["device"])
+    return disk_values(with_previous(snapshots.filter(is_base_disk(F.col("device"))), DISK, ["device"], scrapes=snapshots))
+
+
+def disk_values(d: DataFrame) -> DataFrame:
+    """The points of rows that have their previous counters and seconds."""
     reads, writes, ms = delta("read_count"), delta("write_count"), F.col("seconds") * 1000
     read_time, write_time = delta("read_time"), delta("write_time")
     return to_points(
@@ -137,7 +144,7 @@ def process_points(snapshots: DataFrame) -> DataFrame:
     """
     d = snapshots.filter(F.coalesce("name", F.lit("")) != "")
     d = d.withColumns({c: F.coalesce(c, F.lit(0)) for c in ("reads", "writes")})
-    d = with_previous(d, ("reads", "writes"), ["pid"])
+    d = with_previous(d, ("reads", "writes"), ["pid"], scrapes=snapshots)
     d = d.withColumn("seq", F.col("pid").cast("bigint"))
     ram = F.when(F.col("ram_total") > 0, F.col("rss") / F.col("ram_total") * 100).otherwise(F.lit(0.0))
     values = {"cpu_util": F.col("cpu_util"), "ram_util": ram, "iops": rate(delta("reads") + delta("writes"))}

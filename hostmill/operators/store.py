@@ -16,11 +16,21 @@ KEEP_MONTHS = 4
 
 
 def flatten_events(events: DataFrame) -> DataFrame:
-    """One row per variable and aggregate; values that are no integers become 0."""
+    """One row per variable and aggregate; texts that are no integers become 0, and values
+    beyond 64 bits, which are null, stay out (``overflow_rejects``)."""
+    d = _values(events).filter("v IS NOT NULL")
+    return d.withColumn("value", int_or_zero(F.col("v").cast("string"))).drop("v")
+
+
+def _values(events: DataFrame) -> DataFrame:
     rest = [c for c in events.columns if c != "data"]
     d = events.select(*rest, F.explode("data").alias("var", "aggs"))
-    d = d.select(*rest, "var", F.explode("aggs").alias("agg", "v"))
-    return d.withColumn("value", int_or_zero(F.col("v").cast("string"))).drop("v")
+    return d.select(*rest, "var", F.explode("aggs").alias("agg", "v"))
+
+
+def overflow_rejects(events: DataFrame) -> DataFrame:
+    """The values that ``flatten_events`` leaves out, without a value."""
+    return _values(events).filter("v IS NULL").drop("v")
 
 
 def stamp(rows: DataFrame, at: Column | None = None) -> DataFrame:
@@ -79,14 +89,18 @@ def write_json_lines(df: DataFrame, path: str, mode: str = "append") -> None:
     df.write.mode(mode).json(path)
 
 
-def fan_out(df: DataFrame, sinks: Sequence[Callable[[DataFrame], None]]) -> None:
-    """Every sink gets all rows; a failing one doesn't stop the rest, and the first error is raised."""
+Sink = Callable[[DataFrame, int], None]
+
+
+def fan_out(df: DataFrame, sinks: Sequence[Sink], batch: int = 0) -> None:
+    """Every sink gets all rows and the batch's number; a failing one doesn't stop the rest, and
+    the first error is raised."""
     d = df.persist()
     first = None
     try:
         for sink in sinks:
             try:
-                sink(d)
+                sink(d, batch)
             except Exception as e:  # noqa: BLE001  raised below
                 first = first or e
     finally:
@@ -95,6 +109,27 @@ def fan_out(df: DataFrame, sinks: Sequence[Callable[[DataFrame], None]]) -> None
         raise first
 
 
+def table_sink(root: str, made_from: Callable[[DataFrame], DataFrame] = lambda d: d) -> Sink:
+    """A folder per batch, replaced when a stream repeats the batch. ``made_from`` gives the rows
+    of this target, such as the pairs of netflow rows."""
+
+    def write(d: DataFrame, batch: int) -> None:
+        made_from(d).write.mode("overwrite").parquet(f"{root}/batch={batch}")
+
+    return write
+
+
+def metric_sink(root: str) -> Sink:
+    """Metric rows by metric, day and batch: what a stream repeats replaces what it wrote before."""
+
+    def write(d: DataFrame, batch: int) -> None:
+        spread = F.pmod(F.xxhash64("host"), F.lit(64))
+        d = d.withColumn("batch", F.lit(batch)).repartition("metric", "day", spread).sortWithinPartitions("metric", "day", "dt", "host", "key")
+        d.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("metric", "day", "batch").parquet(root)
+
+    return write
+
+
 def create_metric_tables(spark: SparkSession, database: str, names: Sequence[str] = BUILTIN_METRICS) -> list[str]:
     """A table with the METRIC_ROWS columns for each name, partitioned by day."""
     columns = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in StructType.fromDDL(METRIC_ROWS) if f.name != "metric")

@@ -1,7 +1,8 @@
 """Windows: points to aggregates, events and long rows.
 
 Two shuffles: one on worker, window, key and variable for the series, and one on worker,
-window and key for the events; the worker's window time reuses the series' partial minimum.
+window and key for the events. A worker's window time is one row for a window, pre-aggregated
+from the points (or from the series, where their last samples count) and joined to the events.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ from pyspark.sql.window import Window
 from ..functions.rules import drop_events
 from ..functions.values import before_send, normalised
 from ..plans.spec import MetricSpec
-from .points import normalised_names, resample, select_vars
+from .points import normalised_names, select_vars
 from .store import flatten_events, stamp
 
 #: Below so many samples every percentile is 0; a fixed value.
@@ -27,21 +28,38 @@ def percentile(column: str, p: int) -> Column:
     return F.expr(f"percentile_disc({p}/100D) WITHIN GROUP (ORDER BY `{column}`)")
 
 
-def series(points: DataFrame, send: str, percentiles: Sequence[int], by: Sequence[str]) -> DataFrame:
-    """One row per window and series: last, pXX (raw), count, greatest raw value, first time."""
+def series_aggregates(percentiles: Sequence[int], last_only: bool = False) -> list[Column]:
+    """last, is_percent, n, raw_max, first_ts and pXX (all raw) of a group of points.
+
+    last_only: only the last sample counts, as if the window were one scrape.
+    """
     order = F.struct("ts", "seq")
-    aggs = [
-        F.max_by("raw", order).alias("last"),
+    last = F.max_by("raw", order)
+    return [
+        last.alias("last"),
         F.max_by("is_percent", order).alias("is_percent"),
-        F.count(F.lit(1)).alias("n"),
-        F.max("raw").alias("raw_max"),
-        F.min("ts").alias("first_ts"),
+        F.lit(1).cast("long").alias("n") if last_only else F.count(F.lit(1)).alias("n"),
+        (last if last_only else F.max("raw")).alias("raw_max"),
+        (F.max("ts") if last_only else F.min("ts")).alias("first_ts"),
         *[percentile("raw", p).alias(f"p{p}") for p in percentiles],
     ]
-    d = points.groupBy(*by, "key", "var", F.window("ts", send).alias("w")).agg(*aggs)
+
+
+def series(points: DataFrame, send: str, percentiles: Sequence[int], by: Sequence[str], last_only: bool = False) -> DataFrame:
+    """One row per window and series: last, pXX (raw), count, greatest raw value, first time."""
+    d = points.groupBy(*by, "key", "var", F.window("ts", send).alias("w")).agg(*series_aggregates(percentiles, last_only))
     return d.withColumn("send_at", F.col("w.end")).drop("w")
 
 
+def joined(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """A join on keys of which a null equals a null, with the left side's keys kept."""
+    other = right.withColumnsRenamed({k: f"of_{k}" for k in keys})
+    on = F.lit(True)
+    for k in keys:
+        on = on & F.col(k).eqNullSafe(F.col(f"of_{k}"))
+    return left.join(other, on, how).drop(*[f"of_{k}" for k in keys])
+
+
 def stored(aggregates: DataFrame, percentiles: Sequence[int]) -> DataFrame:
     """Normalised values; percentiles of fewer than four samples are 0."""
     d = aggregates
@@ -62,24 +80,40 @@ def zero_filled(aggregates: DataFrame, send: str, percentiles: Sequence[int], by
     if until is None:
         # The worker's last window, from one row a worker: no window over all its series.
         last = known.groupBy(*by).agg(F.max("own_last").alias("to_"))
-        known = known.join(last, list(by))
+        known = joined(known, last, by)
     else:
         known = known.withColumn("to_", until)
     grid = known.withColumn("send_at", F.explode(F.sequence("from_", "to_", F.expr(f"interval {send}"))))
     grid = grid.select(*by, "key", "var", "send_at", "known_percent")
-    d = grid.join(aggregates, [*by, "key", "var", "send_at"], "left")
+    d = joined(grid, aggregates, [*by, "key", "var", "send_at"], "left")
     zero = {c: F.coalesce(c, F.lit(0)) for c in ("n", "last", *[f"p{p}" for p in percentiles])}
     return d.withColumns(zero | {"raw_max": F.coalesce("raw_max", F.lit(0.0)), "is_percent": F.coalesce("is_percent", "known_percent")}).drop("known_percent")
 
 
-def with_window_time(aggregates: DataFrame, by: Sequence[str], fallback_ms: int) -> DataFrame:
-    """dt (ms) and dts (s): the worker's first kept sample of the window, or send - fallback,
-    always below the send second."""
-    w = Window.partitionBy(*by, "send_at")
-    first = F.unix_millis(F.min("first_ts").over(w))
+def window_times(aggregates: DataFrame, by: Sequence[str]) -> DataFrame:
+    """The first time of a worker's samples in each window: one row for each."""
+    return aggregates.groupBy(*by, "send_at").agg(F.min("first_ts").alias("first_ts"))
+
+
+def first_times(points: DataFrame, send: str, by: Sequence[str]) -> DataFrame:
+    """The same from the points alone, pre-aggregated to a row for each worker and window."""
+    d = points.groupBy(*by, F.window("ts", send).alias("w")).agg(F.min("ts").alias("first_ts"))
+    return d.withColumn("send_at", F.col("w.end")).drop("w")
+
+
+def timed(d: DataFrame, fallback_ms: int) -> DataFrame:
+    """dt (ms) and dts (s) from first_ts and send_at: the first time, or send - fallback, always
+    below the send second."""
     sent = F.unix_millis("send_at")
     dts = F.floor(sent / 1000).cast("bigint")
-    return aggregates.withColumn("dts", dts).withColumn("dt", before_send(F.coalesce(first, sent - fallback_ms), dts))
+    first = F.coalesce(F.unix_millis("first_ts"), sent - fallback_ms)
+    return d.withColumn("dts", dts).withColumn("dt", before_send(first, dts)).drop("first_ts")
+
+
+def with_window_time(aggregates: DataFrame, by: Sequence[str], fallback_ms: int) -> DataFrame:
+    """The aggregates with their worker's dt and dts."""
+    d = joined(aggregates.drop("first_ts"), window_times(aggregates, by), [*by, "send_at"])
+    return timed(d, fallback_ms)
 
 
 def process_threshold(aggregates: DataFrame, by: Sequence[str], limits: dict[str, float]) -> DataFrame:
@@ -102,33 +136,59 @@ def emit_filter(aggregates: DataFrame, by: Sequence[str], condition: Column) ->
     return aggregates.join(good, keys, "left_semi")
 
 
-def events(aggregates: DataFrame, percentiles: Sequence[int], by: Sequence[str]) -> DataFrame:
-    """One event per key and window: data maps each variable to its values by name."""
+def series_cell(percentiles: Sequence[int]) -> Column:
+    """A stored series as an element of its key's cells: var, n, raw_max and its values by name."""
     cells = [F.lit("last"), F.col("last")]
     for p in percentiles:
         cells += [F.lit(f"p{p}"), F.col(f"p{p}")]
-    pair = F.struct("var", F.create_map(*cells).alias("aggs"))
-    return aggregates.groupBy(*by, "key", "dt", "dts").agg(F.map_from_entries(F.collect_list(pair)).alias("data"))
+    return F.struct("var", "n", "raw_max", F.create_map(*cells).alias("aggs"))
+
+
+def reaches(cells: Column, limits: dict[str, float]) -> Column:
+    """Whether a key's greatest raw value of some variable reaches its limit; no limits, no keys."""
+
+    def most(var: str) -> Column:
+        own = F.filter(cells, lambda c: c["var"] == var)
+        return F.coalesce(F.array_max(F.transform(own, lambda c: c["raw_max"])), F.lit(0.0))
+
+    reached = F.lit(False)
+    for var, limit in limits.items():
+        reached = reached | (most(var) >= limit)
+    return reached
+
+
+def assembled(keys: DataFrame, spec: MetricSpec) -> DataFrame:
+    """Rows with key, ``cells``, dt and dts to events: thresholds and the emit filter on raw
+    values, then drop rules on stored ones. Batches and streams share it."""
+    d = keys
+    if spec.thresholds is not None:
+        d = d.filter(reaches(F.col("cells"), spec.thresholds))
+    if spec.emit is not None:
+        d = d.filter(spec.emit(F.col("key"), F.col("cells")))
+    pairs = F.transform("cells", lambda c: F.struct(c["var"], c["aggs"]))
+    d = d.withColumn("data", F.map_from_entries(pairs)).drop("cells", "send_at")
+    if "metric" not in d.columns:
+        d = d.withColumn("metric", F.lit(spec.metric))
+    return drop_events(d, spec.drop_event).drop("instance")
+
+
+def chosen_points(points: DataFrame, spec: MetricSpec) -> DataFrame:
+    return select_vars(normalised_names(points), spec.keep, spec.drop)
 
 
 def window_events(points: DataFrame, spec: MetricSpec, by: Sequence[str]) -> DataFrame:
     """Points to events, in the order: names, variable masks, window time, aggregates, zeros,
-    thresholds on raw values, stored values, drop rules on stored values."""
+    thresholds and emit filter on raw values, stored values, drop rules on stored values."""
     send = f"{spec.send} seconds"
-    d = select_vars(normalised_names(points), spec.keep, spec.drop)
-    if not spec.percentiles and spec.scrape == spec.send:
-        d = resample(d, send, *by)
-    agg = series(d, send, spec.percentiles, by)
+    chosen = chosen_points(points, spec)
+    agg = series(chosen, send, spec.percentiles, by, spec.last_only)
+    times = window_times(agg, by) if spec.last_only else first_times(chosen, send, by)
     if spec.zero_fill:
         agg = zero_filled(agg, send, spec.percentiles, by)
-    fallback = 1000 * (spec.send if spec.push else spec.scrape)
-    agg = with_window_time(agg, by, fallback)
-    if spec.thresholds is not None:
-        agg = process_threshold(agg, by, spec.thresholds)
-    made = events(stored(agg, spec.percentiles), spec.percentiles, by)
-    if "metric" not in by:
-        made = made.withColumn("metric", F.lit(spec.metric))
-    return drop_events(made, spec.drop_event).drop("instance")
+    cells = F.collect_list(series_cell(spec.percentiles)).alias("cells")
+    made = stored(agg, spec.percentiles).groupBy(*by, "key", "send_at").agg(cells)
+    made = timed(joined(made, times, [*by, "send_at"], "left"), spec.fallback_ms)
+    return assembled(made, spec)
 
 
 def metric_rows(points: DataFrame, spec: MetricSpec, by: Sequence[str], stamped_at: Column | None = None) -> DataFrame:

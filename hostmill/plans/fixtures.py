@@ -33,10 +33,10 @@ def as_samples(e: DataFrame) -> DataFrame:
 
 
 def snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Cumulative counters of four hosts by day, with a reset and missing scrapes."""
+    """Cumulative counters by host and day, with a reset and missing scrapes; eight users are a host."""
     _events(spark, sf_dir).createOrReplaceTempView("fixture_events")
     return spark.sql("""
-        WITH d AS (SELECT concat('h', user_id % 4) AS host, event_type AS entity, extract(day FROM ts) AS d,
+        WITH d AS (SELECT concat('h', user_id div 8) AS host, event_type AS entity, extract(day FROM ts) AS d,
                           CAST(sum(floor(value * 100)) AS BIGINT) AS b, count(*) AS c FROM fixture_events GROUP BY 1, 2, 3)
         SELECT host, entity, d, timestamp_seconds(d * 86400) AS ts,
                sum(b) OVER (PARTITION BY host, entity, d >= 16 ORDER BY d) AS bytes,
@@ -71,20 +71,26 @@ def packets_of(d: DataFrame) -> DataFrame:
 
 
 def json_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = read(spark, sf_dir, "events")
+    return json_payloads_of(read(spark, sf_dir, "events")).select("event_id", "payload")
+
+
+def json_payloads_of(e: DataFrame) -> DataFrame:
+    """The events with ``payload``; every 17th and 19th is bad, in one of six ways."""
     good = F.concat(
         F.lit('{"key":"'), "event_type", F.lit('","data":{"value":'), F.col("value").cast("string"),
         F.lit(',"util":{"last":'), F.regexp_extract("props", "([0-9]+)", 1), F.lit('},"flag":true}}'),
     )
-    payload = F.when(F.col("event_id") % 17 == 0, '{"key":7,"data":{"value":1}}').when(F.col("event_id") % 19 == 0, '{"key":"x"}').otherwise(good)
-    return e.select("event_id", payload.alias("payload"))
+    bad = ['{"key":7,"data":{"value":1}}', '{"key":"x","data":"{\\"v\\":1}"}', '{"key":"x","data":{"v":{"value":"12"}}}', '{"key":"x","data":{"v":{"value":null,"last":3}}}', "{'key':'x','data':{'v':1}}"]
+    seventeenth = F.get(F.array(*map(F.lit, bad)), (F.col("event_id") / 17).cast("int") % len(bad))
+    payload = F.when(F.col("event_id") % 17 == 0, seventeenth).when(F.col("event_id") % 19 == 0, '{"key":"x"}').otherwise(good)
+    return e.withColumn("payload", payload)
 
 
 def prometheus_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One text for each of eight hosts and day."""
+    """One text for each host and day; eight users are a host."""
     e = _events(spark, sf_dir)
     line = F.concat(F.lit("app_"), "event_type", F.lit('{u="'), F.col("user_id").cast("string"), F.lit(' }"} '), F.floor("value").cast("bigint").cast("string"))
-    d = e.groupBy(F.concat(F.lit("h"), (F.col("user_id") % 8).cast("string")).alias("host"), F.dayofmonth("ts").alias("d"))
+    d = e.groupBy(F.concat(F.lit("h"), F.expr("user_id div 8").cast("string")).alias("host"), F.dayofmonth("ts").alias("d"))
     d = d.agg(F.collect_list(line).alias("lines"), F.collect_set("event_type").alias("types"))
     kind = lambda t: F.when(t == "view", "gauge").when(t == "error", "histogram").otherwise("counter")
     declared = F.transform("types", lambda t: F.concat(F.lit("# TYPE app_"), t, F.lit(" "), kind(t)))

@@ -9,19 +9,19 @@ _V1 = """v1 AS (
 
 
 def _norm(x: str, pct: str = "pct") -> str:
-    return f"CAST(CASE WHEN {pct} THEN least(round(greatest({x}, 0)), 100) ELSE round(greatest({x}, 0)) END AS BIGINT)"
+    return f"TRY_CAST(CASE WHEN {pct} THEN least(round(greatest({x}, 0)), 100) ELSE round(greatest({x}, 0)) END AS BIGINT)"
 
 
 def _rank(p: int) -> str:
     return f"list_sort(list(raw))[greatest(1, ceil({p} / 100::DOUBLE * count(*)))::INT]"
 
 
-def _agg(send: str, pcts: tuple[int, ...], source: str = "v1") -> str:
+def _agg(send: str, pcts: tuple[int, ...], source: str = "v1", first: str = "min") -> str:
     """CTE ``a``: host, key, var, dts, n, last, pXX, raw_max and the worker's dt."""
     p = "".join(f", CASE WHEN count(*) < 4 THEN 0::BIGINT ELSE {_norm(_rank(x), 'bool_or(pct)')} END AS p{x}" for x in pcts)
     return f"""g AS (
   SELECT host, key, var, epoch(w)::BIGINT + epoch(INTERVAL '{send}')::BIGINT AS dts, count(*) AS n, bool_or(pct) AS pct,
-         {_norm('arg_max(raw, row(ts, seq))', 'bool_or(pct)')} AS last, max(raw) AS raw_max, min(ts) AS first_ts{p}
+         {_norm('arg_max(raw, row(ts, seq))', 'bool_or(pct)')} AS last, max(raw) AS raw_max, {first}(ts) AS first_ts{p}
   FROM (SELECT *, time_bucket(INTERVAL '{send}', ts, TIMESTAMP '1970-01-01') AS w FROM {source}) GROUP BY host, key, var, w),
 a AS (
   SELECT *, CASE WHEN m // 1000 >= dts THEN (dts - 1) * 1000 ELSE m END AS dt
@@ -32,7 +32,7 @@ _A = f"WITH {_V1}, {_agg('6 hours', (50, 90, 99))}"
 _LONG = _A + """, r AS (
   SELECT host, key, var, dt, dts, unnest(['last', 'p50', 'p90', 'p99']) AS agg, unnest([last, p50, p90, p99]) AS value FROM a)"""
 
-_HALF = f"WITH {_V1}, half AS (SELECT * FROM v1 WHERE var = 'value' OR host IN ('h0', 'h2', 'h4', 'h6')), {_agg('6 hours', (), 'half')}"
+_HALF = f"""WITH {_V1}, half AS (SELECT * REPLACE (CASE WHEN var = 'value' OR host IN ('h0', 'h2', 'h4', 'h6') THEN var ELSE 'other' END AS var) FROM v1), {_agg('6 hours', (), 'half')}"""
 _EV = _HALF + """, e AS (
   SELECT host, key, dts, max(CASE WHEN var = 'value' THEN last END) AS v, max(CASE WHEN var = 'k_util' THEN last END) AS k FROM a GROUP BY 1, 2, 3)"""
 
@@ -43,18 +43,19 @@ def _dropped(condition: str) -> str:
 
 _V2 = """v2 AS (
   SELECT host, entity, d, CAST(sum(b) OVER w AS BIGINT) AS bytes, CAST(sum(c) OVER w AS BIGINT) AS cnt
-  FROM (SELECT concat('h', user_id % 4) AS host, event_type AS entity, CAST(extract(day FROM ts) AS INT) AS d,
+  FROM (SELECT concat('h', user_id // 8) AS host, event_type AS entity, CAST(extract(day FROM ts) AS INT) AS d,
                CAST(sum(floor(value * 100)) AS BIGINT) AS b, count(*) AS c FROM events GROUP BY 1, 2, 3)
   WHERE (d + length(entity)) % 7 <> 0
   WINDOW w AS (PARTITION BY host, entity, CASE WHEN d < 16 THEN 0 ELSE 1 END ORDER BY d))"""
 
 
-def _deltas(name: str, where: str) -> str:
+def _deltas(name: str, where: str, source: str = "v2") -> str:
     """CTEs ``sc`` and ``x``: delta db of bytes and dc of cnt, and the seconds s, per ``name``."""
     return f"""WITH {_V2},
-own AS (SELECT *, {name} AS name FROM v2 WHERE {where}),
+vs AS (SELECT host, d, '' AS entity, max(bytes) AS bytes, max(cnt) AS cnt FROM v2 GROUP BY 1, 2),
+own AS (SELECT *, {name} AS name FROM {source} WHERE {where}),
 sc AS (SELECT host, d, row_number() OVER (PARTITION BY host ORDER BY d) AS i, (d - lag(d) OVER (PARTITION BY host ORDER BY d)) * 86400 AS s
-       FROM (SELECT DISTINCT host, d FROM own)),
+       FROM (SELECT DISTINCT host, d FROM v2)),
 y AS (SELECT own.*, sc.i, coalesce(sc.s, 0) AS s, lag(sc.i) OVER e AS pi, lag(bytes) OVER e AS pb, lag(cnt) OVER e AS pc
       FROM own JOIN sc USING (host, d) WINDOW e AS (PARTITION BY host, name ORDER BY d)),
 x AS (SELECT host, name, entity, d * 86400 AS at_s, s, CASE WHEN pi = i - 1 THEN greatest(bytes - pb, 0) ELSE 0 END AS db,
@@ -73,12 +74,13 @@ def _points(cte: str, key: str, values: dict[str, str], source: str = "x", perce
     return cte + " " + " UNION ALL ".join(parts)
 
 
-# Counters take cnt and bytes in turn, in the order the operator lists them.
+# Counters take cnt and bytes in turn, in the order the operator lists them; those of disks
+# also one more time for each place in that order.
 _DISK = {
-    "rx_io": _rate("dc"), "tx_io": _rate("db"), "rx_bytes": "dc", "tx_bytes": "db", "rx_bytes_per_sec": _rate("dc"), "tx_bytes_per_sec": _rate("db"),
-    "rx_await": "CASE WHEN dc > 0 THEN dc / dc ELSE 0 END", "tx_await": "CASE WHEN db > 0 THEN db / db ELSE 0 END",
-    "await": "CASE WHEN dc + db > 0 THEN (dc + db) / (dc + db) ELSE 0 END", "qdepth": "CASE WHEN s > 0 THEN db / (s * 1000.0::DOUBLE) ELSE 0 END",
-    "util": "CASE WHEN s > 0 THEN dc / (s * 1000.0::DOUBLE) * 100 ELSE 0 END", "inflight": "1",
+    "rx_io": _rate("dc"), "tx_io": _rate("(2 * db)"), "rx_bytes": "3 * dc", "tx_bytes": "4 * db", "rx_bytes_per_sec": _rate("(3 * dc)"), "tx_bytes_per_sec": _rate("(4 * db)"),
+    "rx_await": "CASE WHEN dc > 0 THEN 5 * dc / dc ELSE 0 END", "tx_await": "CASE WHEN db > 0 THEN 6 * db / (2 * db) ELSE 0 END",
+    "await": "CASE WHEN dc + db > 0 THEN (5 * dc + 6 * db) / (dc + 2 * db) ELSE 0 END", "qdepth": "CASE WHEN s > 0 THEN 8 * db / (s * 1000.0::DOUBLE) ELSE 0 END",
+    "util": "CASE WHEN s > 0 THEN 7 * dc / (s * 1000.0::DOUBLE) * 100 ELSE 0 END", "inflight": "1",
 }
 _NET = {
     "tx_bytes": "dc", "rx_bytes": "db", "tx_bytes_per_sec": _rate("dc"), "rx_bytes_per_sec": _rate("db"), "tx_pkt": _rate("dc"), "rx_pkt": _rate("db"),
@@ -93,7 +95,7 @@ _KERNEL = {
     "softirq_per_sec": _rate("dc"), "forks_per_sec": _rate("db"),
 }
 
-_V5 = """v5 AS (SELECT concat('h', user_id % 8) AS host, CAST(extract(day FROM ts) AS INT) AS d, concat('app_', event_type) AS name, floor(value) AS v
+_V5 = """v5 AS (SELECT concat('h', user_id // 8) AS host, CAST(extract(day FROM ts) AS INT) AS d, concat('app_', event_type) AS name, floor(value) AS v
   FROM events WHERE event_type <> 'error')"""
 
 _V3 = """v3 AS (
@@ -145,16 +147,16 @@ def oracle_sql() -> dict[str, str]:
         "prom_points": f"WITH {_V5} SELECT host, d, 'total' AS key, name AS var, sum(v)::DOUBLE AS raw, false AS is_percent FROM v5 GROUP BY ALL",
         "prom_short": f"WITH {_V5} SELECT host, d, substr(name, 5) AS var, sum(v)::DOUBLE AS raw FROM v5 GROUP BY ALL",
         "prom_type_asof": f"WITH {_V5} SELECT name, count(*)::BIGINT AS n, min(v)::DOUBLE AS least FROM v5 GROUP BY ALL",
-        "disk_rates": _points(_deltas("concat('sd', substr(entity, 1, 1))", "true"), "concat('/dev/', name)", _DISK, percents=("util",)),
+        "disk_rates": _points(_deltas("concat('sd', substr(entity, 1, 1))", "d % 6 <> 0"), "concat('/dev/', name)", _DISK, percents=("util",)),
         "net_rates": _points(_deltas("entity", "true"), "name", _NET),
-        "net_stack": _points(_deltas("entity", "entity = 'click'"), "'total'", {n: "db" if k % 2 else "dc" for k, n in enumerate(_STACK)}),
-        "kernel_rates": _points(_deltas("entity", "entity = 'view'"), "'total'", _KERNEL),
+        "net_stack": _points(_deltas("entity", "true", "vs"), "'total'", {n: "db" if k % 2 else "dc" for k, n in enumerate(_STACK)}),
+        "kernel_rates": _points(_deltas("entity", "true", "vs"), "'total'", _KERNEL),
         "process_iops": "",
         "base_disks": f"""WITH {_V2} SELECT concat('/dev/', dev) AS key, count(*)::BIGINT AS n
             FROM (SELECT ['sda', 'sda1', 'nvme0n1', 'loop0', 'dm-0'][length(entity) % 5 + 1] AS dev FROM v2) WHERE dev NOT IN ('sda1', 'loop0') GROUP BY 1""",
         "cpu_points": f"""WITH {_V2} SELECT host, (d * 86400)::BIGINT AS at_s, CASE WHEN entity = 'view' THEN 'total' ELSE concat('core', length(entity)) END AS key, 'util' AS var,
             (cnt % 101)::DOUBLE AS raw, true AS is_percent FROM v2""",
-        "ram_swap_points": f"""WITH {_V2}, u AS (SELECT host, (d * 86400)::BIGINT AS at_s, cnt AS used, CASE WHEN d % 4 = 0 THEN 0 ELSE bytes END AS total FROM v2 WHERE entity = 'click'),
+        "ram_swap_points": f"""WITH {_V2}, u AS (SELECT host, (d * 86400)::BIGINT AS at_s, cnt AS used, CASE WHEN d % 4 = 0 THEN 0 ELSE bytes END AS total FROM (SELECT host, d, max(bytes) AS bytes, max(cnt) AS cnt FROM v2 GROUP BY 1, 2)),
             m AS (SELECT host, at_s, unnest(['total', 'used', 'util', 'free']) AS var, unnest([total, used, CASE WHEN total > 0 THEN used / total * 100 ELSE 0 END, total - used]) AS raw FROM u)
             SELECT host, at_s, 'total' AS key, var, round(raw::DOUBLE, 6) AS raw, var = 'util' AS is_percent, 'ram' AS "of" FROM m
             UNION ALL SELECT host, at_s, 'total', var, round(raw::DOUBLE, 6), var = 'util', 'swap' FROM m WHERE var <> 'free'""",
@@ -168,7 +170,7 @@ def oracle_sql() -> dict[str, str]:
             0.5::DOUBLE AS load1, 2.0::DOUBLE AS load15 FROM v2 WHERE d % 5 <> 0""",
         "tcp_cc": f"""WITH {_V2}, s AS (
               SELECT host, d, cnt + k AS tx, bytes % 1000 AS rx, k AS retrans, cnt AS cwnd
-              FROM v2, (SELECT unnest([1, 3]) AS k), (SELECT unnest([1, 2]) AS copy) WHERE copy = 1 OR entity = 'view'),
+              FROM v2, (SELECT unnest([1, 3]) AS k), (SELECT unnest([1, 2]) AS copy)),
             t AS (SELECT *, row_number() OVER (PARTITION BY host, d ORDER BY tx + rx DESC, retrans DESC, cwnd DESC, tx DESC) AS place FROM s),
             m AS (SELECT host, d, count(*) AS n, sum(tx) AS tx, sum(rx) AS rx, sum(retrans) AS re, sum(cwnd) // count(*) AS cw FROM t WHERE place <= 5 GROUP BY 1, 2)
             SELECT host, (d * 86400)::BIGINT AS at_s, CASE WHEN d % 2 = 1 THEN 'cc:cubic' ELSE 'cc:unknown' END AS key,
@@ -202,19 +204,70 @@ def oracle_sql() -> dict[str, str]:
         "fan_out_parity": _LONG + " SELECT unnest(['one', 'two']) AS target, n, n > 0 AS parity FROM (SELECT count(*)::BIGINT AS n FROM r)",
         "stream_window": f"""WITH {_V1}, {_agg('1 day', (50, 90))}, m AS (SELECT epoch_us(max(ts)) / 1000000 AS at_s FROM events)
             SELECT host, key, var, dts, dt, n::BIGINT AS n, last, p50, p90 FROM a, m WHERE dts <= m.at_s""",
-        "stream_zero_fill": f"""WITH {_V1}, {_agg('6 hours', ())}, m AS (SELECT epoch_us(max(ts)) / 1000000 AS at_s FROM events),
-            k AS (SELECT host, key, var, min(dts) AS f FROM a GROUP BY 1, 2, 3), t AS (SELECT host, max(dts) AS t FROM a GROUP BY 1),
+        "stream_zero_fill": f"""WITH {_V1}, {_agg('6 hours', ())}, m AS (SELECT epoch_us(max(ts)) / 1000000 AS at_s FROM events), c AS (SELECT a.* FROM a, m WHERE dts <= m.at_s),
+            k AS (SELECT host, key, var, min(dts) AS f FROM c GROUP BY 1, 2, 3), t AS (SELECT host, max(dts) AS t FROM c GROUP BY 1),
             grid AS (SELECT host, key, var, unnest(range(f, t + 1, 21600)) AS dts FROM k JOIN t USING (host))
-            SELECT host, key, var, dts, coalesce(n, 0)::BIGINT AS n, coalesce(last, 0)::BIGINT AS last FROM grid LEFT JOIN a USING (host, key, var, dts), m WHERE dts <= m.at_s""",
+            SELECT host, key, var, dts, coalesce(n, 0)::BIGINT AS n, coalesce(last, 0)::BIGINT AS last FROM grid LEFT JOIN c USING (host, key, var, dts)""",
         "stream_udp_flows": f"""WITH {_V3}, u AS (SELECT *, sum(starts::INT) OVER (PARTITION BY host, iface, src_ip, src_port, dst_ip, dst_port ORDER BY t, seq) AS f FROM st WHERE proto = 17),
             s AS (SELECT host, iface, src_port, src_ip, dst_ip, count(*)::BIGINT AS packets, sum(bytes)::BIGINT AS bytes, min(t)::BIGINT AS start, max(t) AS stop
                   FROM u GROUP BY host, iface, src_port, src_ip, dst_ip, f)
             SELECT host, iface, src_port, packets, bytes, start, concat(repeat('0', 24), '0A00000', right(src_ip, 1)) AS src, concat(repeat('0', 24), '0A00010', right(dst_ip, 1)) AS dst
             FROM s WHERE stop + 10 <= (SELECT max(t) FROM v3 WHERE proto = 17)""",
     }
+    found |= _more()
     found["process_iops"] = (
         _deltas("ascii(entity)", "true")
         + f""", p AS (SELECT host, at_s, substr(entity, 1, 1) AS key, unnest(['cpu_util', 'ram_util', 'iops']) AS var, unnest([5, 25 / 200 * 100, {_rate("(dc + db)")}])::DOUBLE AS raw FROM x)
         SELECT host, at_s::BIGINT AS at_s, key, var, round(raw, 6) AS raw, var <> 'iops' AS is_percent FROM p"""
     )
     return found
+
+
+_CLOSED = "m AS (SELECT epoch_us(max(ts)) / 1000000 AS at_s FROM events)"
+
+
+def _known(cte: str, values: tuple[str, ...], fallback_ms: int, dropped: str = "false") -> str:
+    """Rows of closed windows (CTE ``a``) with zeros for known series, without keys that are dropped."""
+    grid = "".join(f", coalesce({v}, 0) AS {v}" for v in values)
+    return f"""{cte}, c AS (SELECT a.* FROM a, m WHERE dts <= m.at_s),
+        k AS (SELECT host, key, var, min(dts) AS f FROM c GROUP BY 1, 2, 3), t AS (SELECT host, max(dts) AS t FROM c GROUP BY 1),
+        grid AS (SELECT host, key, var, unnest(range(f, t + 1, 21600)) AS dts FROM k JOIN t USING (host)), w AS (SELECT DISTINCT host, dts, dt FROM c),
+        z AS (SELECT grid.host, grid.key, grid.var, grid.dts, coalesce(w.dt, grid.dts * 1000 - {fallback_ms})::BIGINT AS dt{grid}
+              FROM grid LEFT JOIN c USING (host, key, var, dts) LEFT JOIN w ON grid.host = w.host AND grid.dts = w.dts),
+        bad AS (SELECT host, key, dts FROM z GROUP BY 1, 2, 3 HAVING bool_or({dropped}))
+        SELECT host, key, var, unnest({list(values)}) AS agg, unnest([{', '.join(values)}])::BIGINT AS value, dt, dts FROM z ANTI JOIN bad USING (host, key, dts)"""
+
+
+def _more() -> dict[str, str]:
+    long = " SELECT host, key, var, agg, value, dt, dts FROM r"
+    big = f"WITH {_V1}, v1x AS (SELECT * REPLACE (CASE WHEN var = 'value' AND key = 'click' THEN raw * 1e19 ELSE raw END AS raw) FROM v1), {_agg('6 hours', (50, 90, 99), 'v1x')}"
+    big += ", r AS (SELECT key, var, unnest(['last', 'p50', 'p90', 'p99']) AS agg, unnest([last, p50, p90, p99]) AS value FROM a)"
+    pushed = """vj AS (SELECT concat('h', user_id % 8) AS host, event_type AS key, 'util' AS var, CAST(regexp_extract(props, '([0-9]+)', 1) AS DOUBLE) AS raw, true AS pct, ts, event_id AS seq
+        FROM events WHERE event_id % 17 <> 0 AND event_id % 19 <> 0)"""
+    return {
+        "event_log": _LONG + long,
+        "overflow_rejects": big + """ SELECT key, var, agg, count(*)::BIGINT AS n, CASE WHEN value IS NULL THEN 'rejects' ELSE 'rows' END AS "of" FROM r GROUP BY ALL""",
+        "custom_source": f"""WITH {_V1} SELECT 'dc1' AS dc, concat('p', substr(host, 2, 1)) AS project, 'web' AS role, host, 'app' AS metric, count(*)::BIGINT AS n, max(raw) AS most
+            FROM v1 GROUP BY host""",
+        "two_definitions": f"""(WITH {_V1}, {_agg('6 hours', (50, 90))} SELECT 'six hours' AS "of", host, key, var, unnest(['last', 'p50', 'p90']) AS agg, unnest([last, p50, p90]) AS value, dts FROM a)
+            UNION ALL (WITH {_V1}, {_agg('1 day', ())} SELECT 'a day', host, key, var, 'last', last, dts FROM a)""",
+        "emit_filter": _A + """ SELECT host, key, count(*)::BIGINT AS n, min(dts) AS first
+            FROM (SELECT host, key, dts FROM a WHERE key <> 'error' GROUP BY 1, 2, 3 HAVING max(n) >= 5) GROUP BY 1, 2""",
+        "resampled": f"""WITH {_V1} SELECT host, key, var, arg_max(raw, row(ts, seq)) AS raw, epoch_us(max(ts)) AS us, arg_max(seq, row(ts, seq)) AS seq
+            FROM v1 GROUP BY host, key, var, time_bucket(INTERVAL '1 day', ts, TIMESTAMP '1970-01-01')""",
+        "first_error": _LONG + ", h AS (SELECT host, count(*)::BIGINT AS n FROM r GROUP BY 1) SELECT host, n, 'out of reach' AS error FROM h UNION ALL SELECT host, n, 'out of reach' FROM h",
+        "metric_tables": _LONG + " SELECT key AS metric, host, agg, count(*)::BIGINT AS n, sum(value)::BIGINT AS total FROM r WHERE key IN ('click', 'view') GROUP BY 1, 2, 3",
+        "kinds": "SELECT event_type, CASE WHEN event_type = 'view' THEN false WHEN event_type <> 'error' THEN true END AS is_percent, count(*)::BIGINT AS n FROM events GROUP BY 1, 2",
+        "ipv6_pairs": """SELECT CASE WHEN k = 0 THEN '2001:db8::' ELSE concat('2001:db8::', k) END AS ip, sum(n)::BIGINT AS n
+            FROM (SELECT l_suppkey % 5 AS k, CAST(trunc(l_quantity) AS BIGINT) AS n FROM lineitem) GROUP BY k""",
+        "stream_disk_rates": _points(_deltas("concat('sd', substr(entity, 1, 1))", "d % 6 <> 0"), "concat('/dev/', name)", _DISK, percents=("util",)),
+        "stream_events": _A + f""", {_CLOSED}, good AS (SELECT host, key, dts FROM a WHERE key <> 'error' GROUP BY 1, 2, 3 HAVING max(CASE WHEN var = 'value' THEN raw_max END) >= 100)
+            SELECT host, key, var, unnest(['last', 'p50', 'p90', 'p99']) AS agg, unnest([last, p50, p90, p99]) AS value, dt, dts
+            FROM a JOIN good USING (host, key, dts), m WHERE dts <= m.at_s""",
+        "stream_known_events": _known(f"WITH {_V1}, {_agg('6 hours', (50,))}, {_CLOSED}", ("last", "p50"), 5000, "var = 'k_util' AND last > 90"),
+        "stream_push": _known(f"WITH {pushed}, {_agg('6 hours', (), 'vj', 'max')}, m AS (SELECT epoch_us(max(ts)) / 1000000 AS at_s FROM vj)", ("last",), 21_600_000),
+        "stream_fan_out": f"""WITH {_V1}, {_agg('6 hours', (50,))}, {_CLOSED}
+            SELECT unnest(['one', 'two']) AS target, n, n > 0 AS parity FROM (SELECT 2 * count(*)::BIGINT AS n FROM a, m WHERE dts <= m.at_s)""",
+        "stream_pairs": f"""WITH {_PAIRS} SELECT host, dts, iface, proto, src_ip, src_port, dst_ip, dst_port, bytes, packets, n_flows
+            FROM pr WHERE dts < (SELECT max(at_s) + 300 FROM top)""",
+    }

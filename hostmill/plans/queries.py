@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.values import device_path, is_base_disk
+from ..functions import addresses
+from ..functions.values import device_path, is_base_disk, kind_is_percent
 from ..operators import audit, counters, flows, points, store, window
+from ..scratch import fresh_path
 from ..sources import frames, hosts, json_points, procfs, prometheus
 from ..streaming import streams
 from . import fixtures as fx
@@ -68,8 +66,9 @@ def filter_drop_vars(spark, d):
 
 
 def _dropped(spark, d, *rules):
-    # Half of the hosts have no percentage, so that rules on names have both cases.
-    p = fx.samples(spark, d).filter("var = 'value' OR host IN ('h0', 'h2', 'h4', 'h6')")
+    # Half of the hosts name their percentage otherwise, so that rules on names have both cases.
+    own = F.expr("var = 'value' OR host IN ('h0', 'h2', 'h4', 'h6')")
+    p = fx.samples(spark, d).withColumn("var", F.when(own, F.col("var")).otherwise("other"))
     e = _events(spark, d, p, drop_event=rules)
     return e.groupBy("host", "key").agg(F.count(F.lit(1)).alias("n"))
 
@@ -123,23 +122,45 @@ def _flat(p: DataFrame) -> DataFrame:
     return p.select("host", F.unix_seconds("ts").alias("at_s"), "key", "var", F.round("raw", 6).alias("raw"), "is_percent")
 
 
+def _disks(s: DataFrame) -> DataFrame:
+    """Disk counters that all differ. Every sixth day a host has partitions alone."""
+    own = F.concat(F.lit("sd"), F.substring("entity", 1, 1))
+    cols = {c: (F.col("bytes" if k % 2 else "cnt") * (k + 1)).alias(c) for k, c in enumerate(counters.DISK)}
+    device = F.when(F.col("d") % 6 == 0, F.concat(own, F.lit("1"))).otherwise(own)
+    return s.select("host", "ts", device.alias("device"), F.lit(1).alias("inflight"), *cols.values())
+
+
 def disk_rates(spark, d):
-    s = _counted(spark, d, counters.DISK, device=F.concat(F.lit("sd"), F.substring("entity", 1, 1)), inflight=F.lit(1))
-    return _flat(counters.disk_points(s))
+    return _flat(counters.disk_points(_disks(fx.snapshots(spark, d))))
+
+
+def stream_disk_rates(spark, d):
+    """The same metric from a stream of the snapshots."""
+    path = fresh_path(spark, "snapshots")
+    _disks(fx.snapshots(spark, d)).write.parquet(path)
+    stream = spark.readStream.schema(spark.read.parquet(path).schema).parquet(path)
+    with streams.state_in_rocksdb(spark):
+        return _flat(streams.run_to_end(streams.disk_points(stream)))
 
 
 def net_rates(spark, d):
     return _flat(counters.net_iface_points(_counted(spark, d, counters.NET, iface=F.col("entity"))))
 
 
+def _per_scrape(spark, d, names, **named):
+    """One row for each host and scrape, from the greatest counters of its entities."""
+    s = fx.snapshots(spark, d).groupBy("host", "ts", "d").agg(F.max("bytes").alias("bytes"), F.max("cnt").alias("cnt"))
+    cols = {c: F.col("bytes" if k % 2 else "cnt") for k, c in enumerate(names)}
+    return s.select("host", "ts", "d", *[v.alias(k) for k, v in (cols | named).items()])
+
+
 def net_stack(spark, d):
-    s = _counted(spark, d, counters.STACK).filter("entity = 'click'")
-    return _flat(counters.net_stack_points(s))
+    return _flat(counters.net_stack_points(_per_scrape(spark, d, counters.STACK)))
 
 
 def kernel_rates(spark, d):
     gauges = {"load1": F.lit(0.5), "load5": F.lit(1.0), "load15": F.lit(2.0), "procs_running": F.lit(3), "procs_blocked": F.lit(0)}
-    return _flat(counters.kernel_points(_counted(spark, d, counters.KERNEL, **gauges).filter("entity = 'view'")))
+    return _flat(counters.kernel_points(_per_scrape(spark, d, counters.KERNEL, **gauges)))
 
 
 def process_iops(spark, d):
@@ -165,7 +186,7 @@ def cpu_points(spark, d):
 
 
 def ram_swap_points(spark, d):
-    s = fx.snapshots(spark, d).filter("entity = 'click'")
+    s = _per_scrape(spark, d, (), bytes=F.col("bytes"), cnt=F.col("cnt"))
     used, total = F.col("cnt"), F.when(F.col("d") % 4 == 0, F.lit(0)).otherwise(F.col("bytes"))
     ram = hosts.ram_points(s.select("host", "ts", total.alias("total"), used.alias("used"), (total - used).alias("available")))
     swap = hosts.swap_points(s.select("host", "ts", total.alias("total"), used.alias("used")))
@@ -194,7 +215,7 @@ def kernel_capture(spark, d):
 def tcp_cc(spark, d):
     t = fx.proc_texts(spark, d)
     one = procfs.tcp_socket_samples(t, "tcp", ["host", "ts"])
-    both = one.unionByName(procfs.tcp_socket_samples(t.filter("entity = 'view'"), "tcp", ["host", "ts"]))
+    both = one.unionByName(procfs.tcp_socket_samples(t, "tcp", ["host", "ts"]))
     scrapes = t.select("host", "ts", F.when(F.dayofmonth("ts") % 2 == 0, "cubic").otherwise(" ").alias("algo")).distinct()
     return _flat(procfs.tcp_cc_points(both, scrapes, 5))
 
@@ -286,34 +307,183 @@ def retention_keep(spark, d):
     return store.apply_retention(o, F.lit("1997-06-30 12:00:00").cast("timestamp")).select(F.col("o_orderkey").alias("k"))
 
 
-def _scratch(spark: SparkSession) -> str:
-    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-")
-    return os.path.join(root, uuid.uuid4().hex)
-
-
 def route_roundtrip(spark, d):
-    root = _scratch(spark)
+    root = fresh_path(spark, "rows")
     store.write_metric_rows(_rows(spark, d).withColumn("metric", F.col("key")), root)
     r = store.read_metric(spark, root, "click", "2024-01-03", "2024-01-20")
     return r.groupBy("metric", "host", "agg").agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total"))
 
 
 def fan_out_parity(spark, d):
-    roots = {"one": _scratch(spark), "two": _scratch(spark)}
-    store.fan_out(_rows(spark, d), [lambda x, r=r: x.write.parquet(r) for r in roots.values()])
+    roots = {"one": fresh_path(spark, "target"), "two": fresh_path(spark, "target")}
+    store.fan_out(_rows(spark, d), [store.table_sink(r) for r in roots.values()])
     return audit.target_parity({k: spark.read.parquet(r) for k, r in roots.items()})
 
 
+def event_log(spark, d):
+    """Events written as JSON lines and read again."""
+    path = fresh_path(spark, "events")
+    store.write_json_lines(_events(spark, d), path)
+    return _long(store.flatten_events(store.read_events(spark, path)))
+
+
+def _long(rows: DataFrame) -> DataFrame:
+    return rows.select("host", "key", "var", "agg", "value", "dt", "dts")
+
+
+def overflow_rejects(spark, d):
+    """Values scaled beyond 64 bits leave the rows and show among the rejects."""
+    p = fx.samples(spark, d).withColumn("raw", F.when((F.col("var") == "value") & (F.col("key") == "click"), F.col("raw") * 1e19).otherwise(F.col("raw")))
+    e = _events(spark, d, p)
+    kept = store.flatten_events(e).groupBy("key", "var", "agg").agg(F.count(F.lit(1)).alias("n")).withColumn("of", F.lit("rows"))
+    return kept.unionByName(store.overflow_rejects(e).groupBy("key", "var", "agg").agg(F.count(F.lit(1)).alias("n")).withColumn("of", F.lit("rejects")))
+
+
+def custom_source(spark, d):
+    """A user's source with tags: constant ones, and those of the host table."""
+
+    def source(session):
+        p = fx.samples(session, d).withColumns({"metric": F.lit("app"), "instance": F.lit("1")})
+        hosts_ = p.select("host").distinct().withColumns({"dc": F.lit("dc1"), "project": F.concat(F.lit("p"), F.substring("host", 2, 1)), "role": F.lit("web")})
+        return points.with_tags(points.with_tags(p, dc="x", project="y", role="z"), hosts_)
+
+    p = points.from_source(spark, source)
+    return p.groupBy("dc", "project", "role", "host", "metric").agg(F.count(F.lit(1)).alias("n"), F.max("raw").alias("most"))
+
+
+def two_definitions(spark, d):
+    """One metric defined twice, with other windows and percentiles each."""
+    p = fx.samples(spark, d)
+    one = window.metric_rows(p, MetricSpec.of("app", send=DAY, percentiles=[90, 50], defaults=[99]), ["host"], F.timestamp_seconds(F.lit(0)))
+    two = window.metric_rows(p, MetricSpec.of("app", send=4 * DAY, percentiles=[]), ["host"], F.timestamp_seconds(F.lit(0)))
+    both = one.withColumn("of", F.lit("six hours")).unionByName(two.withColumn("of", F.lit("a day")))
+    return both.select("of", "host", "key", "var", "agg", "value", F.unix_seconds("dts").alias("dts"))
+
+
+def emit_filter(spark, d):
+    """Keys of which some series had enough samples."""
+    emit = lambda key, cells: (key != "error") & F.exists(cells, lambda c: c["n"] >= 5)
+    return _events(spark, d, emit=emit).groupBy("host", "key").agg(F.count(F.lit(1)).alias("n"), F.min("dts").alias("first"))
+
+
+def resampled(spark, d):
+    p = points.resample(fx.samples(spark, d), "1 day", "host")
+    return p.select("host", "key", "var", "raw", F.unix_micros("ts").alias("us"), "seq")
+
+
+def first_error(spark, d):
+    """A target that fails in between: the others have all rows, and its error is the one raised."""
+    roots = [fresh_path(spark, "target"), fresh_path(spark, "target")]
+
+    def broken(rows, batch):
+        raise OSError("out of reach")
+
+    said = "none"
+    try:
+        store.fan_out(_rows(spark, d), [store.table_sink(roots[0]), broken, store.table_sink(roots[1])])
+    except OSError as e:
+        said = str(e)
+    both = [spark.read.parquet(r).groupBy("host").agg(F.count(F.lit(1)).alias("n")) for r in roots]
+    return both[0].unionByName(both[1]).withColumn("error", F.lit(said))
+
+
+def metric_tables(spark, d):
+    """Tables by metric, filled with the rows whose key is their name."""
+    name = "m" + fresh_path(spark, "x")[-32:]
+    made = store.create_metric_tables(spark, name, ["click", "view"])
+    r = _rows(spark, d)
+    counted = None
+    for table, key in zip(made, ("click", "view"), strict=True):
+        own = r.filter(F.col("key") == key)
+        own.select(*spark.table(table).columns).write.mode("append").insertInto(table)
+        n = spark.table(table).groupBy("host", "agg").agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total")).withColumn("metric", F.lit(key))
+        counted = n if counted is None else counted.unionByName(n)
+    return counted
+
+
+def kinds(spark, d):
+    """Kinds as texts: event types stand for five of them."""
+    e = fx.read(spark, d, "events")
+    told = {"click": " PCT ", "view": "number", "purchase": "uint8_percent", "signup": "%", "error": "odd"}
+    kind = F.lit("num")
+    for k, v in told.items():
+        kind = F.when(F.col("event_type") == k, v).otherwise(kind)
+    return e.groupBy("event_type", kind_is_percent(kind).alias("is_percent")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def ipv6_pairs(spark, d):
+    """Different texts of one IPv6 address become one."""
+    li = fx.read(spark, d, "lineitem")
+    k = F.col("l_suppkey") % 5
+    text = F.when(F.col("l_partkey") % 2 == 0, F.concat(F.lit("2001:DB8::"), k.cast("string"))).otherwise(F.concat(F.lit("2001:0db8:0:0:0:0:0:"), k.cast("string")))
+    rows = li.select(text.alias("ip"), F.col("l_quantity").cast("long").alias("n"))
+    rows = rows.groupBy("ip").agg(F.sum("n").alias("n"))
+    return addresses.with_ipv6(rows, "ip").groupBy("ip").agg(F.sum("n").alias("n"))
+
+
+def _sample_stream(spark, d):
+    e = streams.table_stream(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    return fx.as_samples(e)
+
+
 def stream_window(spark, d):
-    return streams.window_query(spark, d)
+    return streams.run_to_end(streams.window_series(_sample_stream(spark, d), "1 day", (50, 90), ["host"]))
 
 
 def stream_zero_fill(spark, d):
-    return streams.zero_fill_query(spark, d)
+    with streams.state_in_rocksdb(spark):
+        return streams.run_to_end(streams.known_series(_sample_stream(spark, d), DAY))
 
 
 def stream_udp_flows(spark, d):
-    return streams.udp_flows_query(spark, d)
+    rows = fx.packets_of(streams.table_stream(spark, d, "lineitem"))
+    r = streams.run_to_end(streams.udp_flows(rows, 10))
+    return r.select("host", "iface", "src_port", "packets", "bytes", F.unix_seconds("start").alias("start"), F.hex("src_addr").alias("src"), F.hex("dst_addr").alias("dst"))
+
+
+def stream_events(spark, d):
+    """The whole window job over a stream: masks, thresholds, drop rules, percentiles, rows."""
+    spec = MetricSpec("app", 5, DAY, PCTS, drop=("k_x*",), thresholds={"value": 100.0}, drop_event=("key=error",))
+    return _long(store.flatten_events(streams.run_to_end(streams.window_events(_sample_stream(spark, d), spec, ["host"]))))
+
+
+def stream_known_events(spark, d):
+    """The whole job with zeros for known series, by percentiles; dt of empty windows is told by the scrape."""
+    spec = MetricSpec("app", 5, DAY, (50,), zero_fill=True, drop_event=("k_util>90",))
+    with streams.state_in_rocksdb(spark):
+        return _long(store.flatten_events(streams.run_to_end(streams.window_events(_sample_stream(spark, d), spec, ["host"]))))
+
+
+def stream_push(spark, d):
+    """JSON payloads pushed as a stream; what a window without samples lacks in time is the send interval."""
+    e = streams.table_stream(spark, d, "events")
+    p = fx.json_payloads_of(e).withColumns({"ts": F.col("ts").cast("timestamp"), "host": F.concat(F.lit("h"), (F.col("user_id") % 8).cast("string")), "seq": F.col("event_id")})
+    p = json_points.points_from_json(p, "payload")
+    spec = MetricSpec("app", DAY, DAY, (), push=True, zero_fill=True, keep=("util",))
+    with streams.state_in_rocksdb(spark):
+        return _long(store.flatten_events(streams.run_to_end(streams.window_events(p, spec, ["host"]))))
+
+
+def stream_fan_out(spark, d):
+    """Micro-batches to metric tables and to a plain target."""
+    one, two = fresh_path(spark, "target"), fresh_path(spark, "target")
+    events = streams.window_events(_sample_stream(spark, d), MetricSpec("app", 5, DAY, (50,)), ["host"])
+    rows = store.stamp(store.flatten_events(events), F.timestamp_seconds(F.lit(0))).withColumn("metric", F.col("key"))
+    streams.to_sinks(rows, [store.metric_sink(one), store.table_sink(two)], fresh_path(spark, "state"))
+    return audit.target_parity({"one": store.read_metric(spark, one), "two": spark.read.parquet(two)})
+
+
+def stream_pairs(spark, d):
+    """Netflow rows streamed to a pairs table: each batch appends the pairs of its rows."""
+    t = flows.flow_points(_top(spark, d))
+    path, root = fresh_path(spark, "points"), fresh_path(spark, "pairs")
+    t.write.parquet(path)
+    p = spark.readStream.schema(t.schema).parquet(path)
+    events = streams.window_events(p, MetricSpec("netflow", 300, 3600, ()), ["host"])
+    rows = store.stamp(store.flatten_events(events), F.timestamp_seconds(F.lit(0)))
+    streams.to_sinks(rows, [store.table_sink(root, flows.netflow_pairs)], fresh_path(spark, "state"))
+    r = spark.read.parquet(root)
+    return r.select("host", F.unix_seconds("dts").alias("dts"), "iface", "proto", "src_ip", "src_port", "dst_ip", "dst_port", "bytes", "packets", F.col("flows").alias("n_flows"))
 
 
 def queries() -> dict:
@@ -323,5 +493,7 @@ def queries() -> dict:
         kernel_rates, process_iops, base_disks, cpu_points, ram_swap_points, fs_points, proc_sections, kernel_capture, tcp_cc, flows_topn,
         packets_from_frames, netflow_pairs, pair_lookup, pair_search, latest_value, latest_values, recent_rows, delivery_audit, dt_audit,
         non_last_audit, host_ip_audit, throughput, retention_keep, route_roundtrip, fan_out_parity, stream_window, stream_zero_fill, stream_udp_flows,
+        event_log, overflow_rejects, custom_source, two_definitions, emit_filter, resampled, first_error, metric_tables, kinds, ipv6_pairs,
+        stream_disk_rates, stream_events, stream_known_events, stream_push, stream_fan_out, stream_pairs,
     ]
     return {f.__name__: f for f in named} | {"json_points": json_point_rows}

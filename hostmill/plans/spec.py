@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
+from pyspark.sql import Column
+
 #: Defaults in seconds; fixed values.
 SCRAPE, SEND, PROCESS_SCRAPE = 5, 30, 20
 #: Metrics whose known series go on with zeros; the others report what they saw.
@@ -30,12 +33,23 @@ class MetricSpec:
     zero_fill: bool = False
     push: bool = False
     thresholds: dict[str, float] | None = field(default=None)
+    #: Whether a key's event goes out: from the key and the array of its series (var, n, raw_max, aggs).
+    emit: Callable[[Column, Column], Column] | None = field(default=None)
 
     def __post_init__(self):
         object.__setattr__(self, "percentiles", tuple(resolve_percentiles(list(self.percentiles))))
         if self.scrape <= 0 or self.send <= 0:
             raise ValueError("scrape and send must be positive")
 
+    @property
+    def last_only(self) -> bool:
+        """Without percentiles a window is one scrape, and its last sample is all there is."""
+        return not self.percentiles and self.scrape == self.send
+
+    @property
+    def fallback_ms(self) -> int:
+        return 1000 * (self.send if self.push else self.scrape)
+
     @staticmethod
     def of(metric: str, scrape: int | None = None, send: int | None = None, percentiles: list[int] | None = None, defaults: list[int] = (), **rest) -> MetricSpec:
         """Defaults applied: netflow inherits no percentiles, and without any the scrape is the send."""

@@ -1,7 +1,7 @@
 """JSON payloads: an object or array of {key, data} items.
 
-One bad item rejects its whole payload. Values are parsed as maps (which keep the last of
-repeated names), types are checked on the raw text of each value.
+One bad item rejects its whole payload. A payload is parsed once, into variants; the types and
+the numbers of its values are read from them. Names that repeat keep their last value.
 """
 
 from __future__ import annotations
@@ -9,76 +9,84 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.values import finite_number, is_percent_name, kind_is_percent, strip
+from ..functions.values import is_percent_name, kind_is_percent, strip
 
 MAX_BYTES = 16 * 1024 * 1024
 
-_ITEM = "map<string,string>"
-
+_ITEM = "struct<key:variant,data:map<string,variant>>"
+_OPTIONS = {"mode": "PERMISSIVE", "allowSingleQuotes": "false", "allowNonNumericNumbers": "false"}
+_NUMBER = "^(?:TINYINT|SMALLINT|INT|BIGINT|FLOAT|DOUBLE|DECIMAL.*)$"
 
 
 def with_items(df: DataFrame, payload: str) -> DataFrame:
-    """Adds ``items`` (one map per item, its members as raw JSON text), null where the payload
-    is no object or array of objects or is too large; and ``string_keys``, whether every key
-    is a JSON string."""
+    """Adds ``items`` (key and data of each), null where the payload is no object or array of
+    objects or is too large.
+
+    The text is parsed inside brackets of our own, so that anything after it shows as an error
+    or as a second element.
+    """
     text = F.btrim(F.coalesce(payload, F.lit("")), F.lit(" \t\r\n"))
     fits = F.octet_length(F.coalesce(payload, F.lit(""))) <= MAX_BYTES
-    wrapped = F.when(text.startswith("{"), F.concat(F.lit("["), text, F.lit("]"))).when(text.startswith("["), text)
-    valid = F.from_json(wrapped, f"array<{_ITEM}>", {"mode": "PERMISSIVE"})
-    # A JSON string keeps its quotes in the raw text of its record, so the type shows.
-    records = F.from_json(wrapped, "array<struct<key:variant>>")
-    strings = F.forall(records, lambda r: F.coalesce(F.schema_of_variant(r["key"]) == "STRING", F.lit(False)))
-    return df.withColumn("items", F.when(fits, valid)).withColumn("string_keys", F.coalesce(strings, F.lit(False)))
-
-
-def _value(name: Column, raw: Column) -> Column:
-    """struct(raw double, is_percent) of one value's JSON text, or null if it breaks the contract."""
-    text = F.btrim(raw, F.lit(" \t\r\n"))
-    inferred = is_percent_name(name)
-    fields = F.from_json(text, "map<string,string>")
-    number = F.coalesce(fields["value"], fields["last"])
-    kind_given = F.map_contains_key(fields, F.lit("kind"))
-    kind = F.when(kind_given, kind_is_percent(fields["kind"])).otherwise(inferred)
-    made = lambda n, p: F.when(n.isNotNull() & p.isNotNull(), F.struct(n.alias("raw"), p.alias("is_percent")))
-    return (
-        F.when(text == "true", made(F.lit(1.0), F.lit(False)))
-        .when(text == "false", made(F.lit(0.0), F.lit(False)))
-        .when(text.startswith("{"), made(finite_number(number), kind))
-        .otherwise(made(finite_number(text), inferred))
-    )
+    wrapped = F.concat(F.lit("["), text, F.lit("]"))
+    one = F.when(fits & text.startswith("{"), F.from_json(wrapped, f"array<{_ITEM}>", _OPTIONS))
+    many = F.when(fits & text.startswith("["), F.from_json(wrapped, f"array<array<{_ITEM}>>", _OPTIONS))
+    d = df.withColumns({"one": one, "many": many})
+    items = F.when(F.size("one") == 1, F.col("one")).when(F.size("many") == 1, F.col("many")[0])
+    return d.withColumn("items", items).drop("one", "many")
+
+
+def _type(value: Column) -> Column:
+    return F.schema_of_variant(value)
+
+
+def _within(value: Column, path: str) -> Column:
+    return F.try_variant_get(value, path, "variant")
+
+
+def _cells(data: Column) -> Column:
+    """(var, raw, is_percent) of each value; raw or is_percent is null where the contract is broken.
+
+    Three passes, so that each value's type and parts are read once.
+    """
+    typed = F.transform(F.map_entries(data), lambda e: F.struct(strip(e["key"]).alias("var"), e["value"].alias("v"), _type(e["value"]).alias("t")))
+
+    def opened(c: Column) -> Column:
+        has_parts = c["t"].startswith("OBJECT")
+        number = F.when(has_parts, F.coalesce(_within(c["v"], "$.value"), _within(c["v"], "$.last"))).otherwise(c["v"])
+        return F.struct(c["var"].alias("var"), c["t"].alias("t"), number.alias("n"), F.when(has_parts, _within(c["v"], "$.kind")).alias("kind"))
+
+    def read(c: Column) -> Column:
+        is_flag = c["t"] == "BOOLEAN"
+        flag = F.try_variant_get(c["n"], "$", "boolean").cast("double")
+        number = F.when(_type(c["n"]).rlike(_NUMBER), F.try_variant_get(c["n"], "$", "double"))
+        named = F.when(_type(c["kind"]) == "STRING", kind_is_percent(F.try_variant_get(c["kind"], "$", "string")))
+        percent = F.when(is_flag, False).when(c["kind"].isNull(), is_percent_name(c["var"])).otherwise(named)
+        return F.struct(c["var"].alias("var"), F.when(is_flag, flag).otherwise(number).alias("raw"), percent.alias("is_percent"))
+
+    return F.transform(F.transform(typed, opened), read)
 
 
 def _parsed(df: DataFrame, payload: str) -> DataFrame:
-    """Adds ``point_sets`` (per item: key and named values, null for a bad item) and ``good``."""
+    """Adds ``point_sets`` (per item: key and cells) and ``good``."""
     d = with_items(df, payload)
+    keyed = F.transform("items", lambda m: F.struct(_type(m["key"]).alias("t"), F.try_variant_get(m["key"], "$", "string").alias("key"), _cells(m["data"]).alias("cells")))
+    d = d.withColumn("point_sets", keyed).drop("items")
 
-    def item(m: Column) -> Column:
-        key = strip(m["key"])
-        data = F.from_json(m["data"], "map<string,string>")
-        quoted = F.from_json(m["data"], "map<string,variant>")
-        names = F.map_entries(data)
-
-        def cell(e: Column) -> Column:
-            # Strings, nulls and arrays are no values; their types are told by the variant.
-            kind = F.schema_of_variant(quoted[e["key"]])
-            bad = F.coalesce((kind == "STRING") | (kind == "VOID") | kind.startswith("ARRAY"), F.lit(True))
-            return F.struct(strip(e["key"]).alias("var"), F.when(~bad, _value(e["key"], e["value"])).alias("v"))
+    def holds(c: Column) -> Column:
+        return (c["var"] != "") & (F.abs(c["raw"]) < float("inf")) & c["is_percent"].isNotNull()
 
-        cells = F.transform(names, cell)
-        ok = (key != "") & m["data"].startswith("{") & (F.size(cells) > 0) & F.forall(cells, lambda c: c["v"].isNotNull() & (c["var"] != ""))
-        return F.when(F.coalesce(ok, F.lit(False)), F.struct(key.alias("key"), cells.alias("cells")))
+    def whole(p: Column) -> Column:
+        return F.coalesce((p["t"] == "STRING") & (strip(p["key"]) != "") & (F.size(p["cells"]) > 0) & F.forall(p["cells"], lambda c: F.coalesce(holds(c), F.lit(False))), F.lit(False))
 
-    d = d.withColumn("point_sets", F.transform("items", item))
-    good = F.col("string_keys") & F.forall("point_sets", lambda p: p.isNotNull())
-    return d.withColumn("good", F.coalesce(good, F.lit(False)))
+    return d.withColumn("good", F.coalesce(F.forall("point_sets", whole), F.lit(False)))
 
 
 def points_from_json(df: DataFrame, payload: str) -> DataFrame:
     """The other columns with key, var, raw and is_percent, for every good payload."""
     rest = [c for c in df.columns if c != payload]
     d = _parsed(df, payload).filter("good").select(*rest, F.explode("point_sets").alias("p"))
-    d = d.select(*rest, F.col("p.key").alias("key"), F.explode("p.cells").alias("c"))
-    return d.select(*rest, "key", F.col("c.var").alias("var"), F.col("c.v.raw").alias("raw"), F.col("c.v.is_percent").alias("is_percent"))
+    d = d.select(*rest, strip(F.col("p.key")).alias("key"), F.explode("p.cells").alias("c"))
+    return d.select(*rest, "key", "c.var", "c.raw", "c.is_percent")
 
 
 def json_rejects(df: DataFrame, payload: str) -> DataFrame:

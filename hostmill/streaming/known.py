@@ -1,4 +1,5 @@
-"""The state of known series. It imports nothing of this package, as it is sent by value."""
+"""State that streams keep from batch to batch. It imports nothing of this package, as it is
+sent by value."""
 
 from __future__ import annotations
 
@@ -9,75 +10,98 @@ from pyspark.sql.streaming import StatefulProcessor
 
 
 class KnownSeries(StatefulProcessor):
-    """Per host: the last sample of every series in each open window, and all series known.
+    """Per worker: every series seen so far, and the last window's end.
 
-    A timer at each window's end emits every known series, with 0 where it had no sample,
-    and sets the next one while the host has open windows.
+    A row comes for each closed window with samples, holding its aggregates. It goes on with
+    those and a zero for each known series it lacks; windows without any row, between the last
+    one and this, are made of zeros. What comes out is one row for a window and key.
     """
 
-    def __init__(self, send_ms: int):
-        self.send = send_ms
+    def __init__(self, by: list[str], send_us: int, names: list[str]):
+        self.by, self.send, self.names = by, send_us, names
 
     def init(self, handle) -> None:
-        self.handle = handle
-        self.known = handle.getMapState("known", "key string, var string", "percent boolean, since bigint")
-        self.open = handle.getMapState("open", "end bigint, key string, var string", "ts bigint, seq bigint, raw double, n bigint")
-        self.next = handle.getValueState("next", "end bigint")
-
-    def _end(self, ts_us: int) -> int:
-        return (ts_us // 1000 // self.send + 1) * self.send
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        ends = set()
-        for batch in rows:
-            for r in batch.itertuples(index=False):
-                us = r.ts.value // 1000
-                end = self._end(us)
-                ends.add(end)
-                slot = (end, r.key, r.var)
-                old = self.open.getValue(slot) if self.open.containsKey(slot) else None
-                n = 1 if old is None else old[3] + 1
-                if old is None or (us, r.seq) > (old[0], old[1]):
-                    self.open.updateValue(slot, (us, int(r.seq), float(r.raw), n))
-                else:
-                    self.open.updateValue(slot, (old[0], old[1], old[2], n))
-                name = (r.key, r.var)
-                since = self.known.getValue(name)[1] if self.known.containsKey(name) else end
-                self.known.updateValue(name, (bool(r.is_percent), min(since, end)))
-        if ends and (not self.next.exists() or self.next.get()[0] > min(ends)):
-            if self.next.exists():
-                self.handle.deleteTimer(self.next.get()[0])
-            self.next.update((min(ends),))
-            self.handle.registerTimer(min(ends))
-        yield pd.DataFrame(columns=["host", "key", "var", "dts", "n", "last"])
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        """Every window that has ended by the watermark, while open ones are left."""
-        end, mark = self.next.get()[0], timerValues.getCurrentWatermarkInMs()
-        known = sorted((tuple(k), tuple(v)) for k, v in self.known.iterator())
-        waiting = {k[0] for k in self.open.keys()}
+        self.known = handle.getMapState("known", "key string, var string", "percent boolean")
+        self.last = handle.getValueState("last", "end bigint")
+
+    def _window(self, worker, end: int, first, have: dict, known: dict) -> Iterator[tuple]:
+        zero = [0.0] * len(self.names)
+        by_key: dict[str, list] = {}
+        for (key, var), percent in sorted(known.items()):
+            values = have.get((key, var))
+            cell = {"var": var, "is_percent": percent, "n": 0, **dict(zip(self.names, zero, strict=True))} if values is None else values
+            by_key.setdefault(key, []).append(cell)
+        for key, cells in by_key.items():
+            yield (*worker, pd.Timestamp(end, unit="us"), first, key, cells)
+
+    def handleInputRows(self, worker, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        known = {tuple(k): bool(v[0]) for k, v in self.known.iterator()}
+        last = self.last.get()[0] if self.last.exists() else None
+        windows = [(r.send_at.value // 1000, r.first_ts, r.cells) for batch in rows for r in batch.itertuples(index=False)]
+        out = []
+        for end, first, cells in sorted(windows, key=lambda w: w[0]):
+            while last is not None and last + self.send < end:
+                last += self.send
+                out += self._window(worker, last, None, {}, known)
+            have = {}
+            for c in cells:
+                c = c.asDict() if hasattr(c, "asDict") else dict(c)
+                name = (c.pop("key"), c["var"])
+                have[name] = c
+                if known.get(name) != bool(c["is_percent"]):
+                    known[name] = bool(c["is_percent"])
+                    self.known.updateValue(name, (known[name],))
+            out += self._window(worker, end, first, have, known)
+            last = end
+        if last is not None:
+            self.last.update((last,))
+        yield pd.DataFrame(out, columns=[*self.by, "send_at", "first_ts", "key", "cells"])
+
+    def close(self) -> None:
+        pass
+
+
+class PreviousScrapes(StatefulProcessor):
+    """Per host: the counters of the scrape before the newest, and of the newest, whose rows may
+    still be coming. Rows of older scrapes are left out."""
+
+    def __init__(self, counters: list[str], entity: str, columns: list[str]):
+        self.counters, self.entity, self.columns = counters, entity, columns
+
+    def init(self, handle) -> None:
+        values = ", ".join(f"c{k} double" for k in range(len(self.counters)))
+        self.before = handle.getMapState("before", "entity string", values)
+        self.newest = handle.getMapState("newest", "entity string", values)
+        self.times = handle.getValueState("times", "before bigint, newest bigint")
+
+    def handleInputRows(self, host, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        batches = [b for b in rows if len(b)]
         out = []
-        while True:
-            for name, (percent, since) in known:
-                if since > end:
+        if batches:
+            d = pd.concat(batches).sort_values(["ts", self.entity], kind="stable")
+            at, now = (self.times.get() if self.times.exists() else (None, None))
+            before = {k[0]: tuple(v) for k, v in self.before.iterator()}
+            newest = {k[0]: tuple(v) for k, v in self.newest.iterator()}
+            for ts, scrape in d.groupby("ts", sort=True):
+                us = ts.value // 1000
+                if now is not None and us < now:
                     continue
-                slot, n, raw = (end, *name), 0, 0.0
-                if end in waiting and self.open.containsKey(slot):
-                    _, _, raw, n = self.open.getValue(slot)
-                    self.open.removeKey(slot)
-                raw = max(raw, 0.0)
-                value = int(raw) + (raw - int(raw) >= 0.5)
-                out.append((key[0], *name, end // 1000, n, min(value, 100) if percent else value))
-            waiting.discard(end)
-            if not waiting:
-                self.next.clear()
-                break
-            end += self.send
-            if end > mark:
-                self.next.update((end,))
-                self.handle.registerTimer(end)
-                break
-        yield pd.DataFrame(out, columns=["host", "key", "var", "dts", "n", "last"])
+                if us != now:
+                    before, newest, at, now = newest, {}, now, us
+                seconds = 0.0 if at is None else (now - at) / 1e6
+                values = list(zip(*(scrape[c].astype(float) for c in self.counters), strict=True))
+                olds = [before.get(e) for e in scrape[self.entity]]
+                made = scrape.assign(seconds=seconds, has_prev=[o is not None for o in olds])
+                for k, c in enumerate(self.counters):
+                    made[f"prev_{c}"] = pd.Series([None if o is None else o[k] for o in olds], dtype="float64", index=scrape.index)
+                newest.update(zip(scrape[self.entity], values, strict=True))
+                out.append(made)
+            for state, held in ((self.before, before), (self.newest, newest)):
+                state.clear()
+                for k, v in held.items():
+                    state.updateValue((k,), v)
+            self.times.update((at, now))
+        yield pd.concat(out)[self.columns] if out else pd.DataFrame(columns=self.columns)
 
     def close(self) -> None:
         pass

@@ -1,51 +1,126 @@
-"""The windows as Structured Streaming: aggregates, known series, UDP sessions."""
+"""The window job, counters and UDP sessions as Structured Streaming, and sinks for streams."""
 
 from __future__ import annotations
 
-import uuid
-from collections.abc import Sequence
+import contextlib
+from collections.abc import Iterator, Sequence
 
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from ..functions.values import before_send
-from ..operators.window import percentile, stored
+from ..operators import counters, store
+from ..operators.window import assembled, chosen_points, series_aggregates, series_cell, stored, timed
+from ..plans.spec import MetricSpec
+from ..scratch import fresh_path
 from . import known
 
 
-def window_series(points: DataFrame, send: str, percentiles: Sequence[int], by: Sequence[str], delay: str = "0 seconds") -> DataFrame:
-    """Closed windows of a stream of points, with the worker's window time.
+def closed_windows(points: DataFrame, send: str, percentiles: Sequence[int], by: Sequence[str], delay: str, last_only: bool = False) -> DataFrame:
+    """A worker's closed windows: by, w, first_ts and cells, the raw aggregates of its series.
 
-    The second aggregation is by worker and window alone: dt is the first time of all its
+    Two aggregations: by series, then by worker and window, whose first time is that of all its
     series. Windows close when the watermark passes their end.
     """
-    order = F.struct("ts", "seq")
-    aggs = [
-        F.max_by("raw", order).alias("last"), F.max_by("is_percent", order).alias("is_percent"), F.count(F.lit(1)).alias("n"),
-        F.min("ts").alias("first_ts"), *[percentile("raw", p).alias(f"p{p}") for p in percentiles],
-    ]
-    d = points.withWatermark("ts", delay).groupBy(*by, "key", "var", F.window("ts", send).alias("w")).agg(*aggs)
-    cells = F.struct("key", "var", "last", "is_percent", "n", *[f"p{p}" for p in percentiles])
-    d = d.groupBy(*by, "w").agg(F.min("first_ts").alias("first_ts"), F.collect_list(cells).alias("cells"))
-    d = d.select(*by, "w", "first_ts", F.inline("cells"))
-    dts = F.unix_seconds("w.end")
-    d = d.withColumn("dts", dts).withColumn("dt", before_send(F.unix_millis("first_ts"), dts))
-    return stored(d, percentiles).drop("w", "first_ts", "is_percent")
+    d = points.withWatermark("ts", delay).groupBy(*by, "key", "var", F.window("ts", send).alias("w")).agg(*series_aggregates(percentiles, last_only))
+    cells = F.struct("key", "var", "is_percent", "n", "last", "raw_max", *[f"p{p}" for p in percentiles])
+    return d.groupBy(*by, "w").agg(F.min("first_ts").alias("first_ts"), F.collect_list(cells).alias("cells"))
 
 
-_KNOWN = "host string, key string, var string, dts bigint, n bigint, last bigint"
+def window_series(points: DataFrame, send: str, percentiles: Sequence[int], by: Sequence[str], delay: str = "0 seconds") -> DataFrame:
+    """Closed windows of a stream of points, with the worker's window time."""
+    d = closed_windows(points, send, percentiles, by, delay)
+    d = d.select(*by, F.col("w.end").alias("send_at"), "first_ts", F.inline("cells"))
+    return stored(timed(d, 0), percentiles).drop("send_at", "raw_max", "is_percent")
 
 
-def known_series(points: DataFrame, send_seconds: int, delay: str = "0 seconds") -> DataFrame:
-    """Closed windows of a stream, known series going on with zeros between samples."""
+def with_known_series(windows: DataFrame, send_seconds: int, percentiles: Sequence[int], by: Sequence[str]) -> DataFrame:
+    """Closed windows to one row for a window and key, known series going on with zeros."""
     # The runner that starts the processor takes no shipped files, so the class goes by value.
     cloudpickle.register_pickle_by_value(known)
-    return (
-        points.withWatermark("ts", delay).groupBy("host")
-        .transformWithStateInPandas(known.KnownSeries(1000 * send_seconds), StructType.fromDDL(_KNOWN), "Append", "EventTime")
-    )
+    names = ["last", "raw_max", *[f"p{p}" for p in percentiles]]
+    keys = [windows.schema[c] for c in by]
+    cell = ", ".join(f"{c}: double" for c in names)
+    out = StructType(keys + StructType.fromDDL(f"send_at timestamp, first_ts timestamp, key string, cells array<struct<var: string, is_percent: boolean, n: bigint, {cell}>>").fields)
+    d = windows.select(*by, F.col("w.end").alias("send_at"), "first_ts", "cells")
+    return d.groupBy(*by).transformWithStateInPandas(known.KnownSeries(list(by), 1_000_000 * send_seconds, names), out, "Append", "None")
+
+
+def known_series(points: DataFrame, send_seconds: int, delay: str = "0 seconds") -> DataFrame:
+    """Last values of a host's closed windows, known series going on with zeros."""
+    d = with_known_series(closed_windows(points, f"{send_seconds} seconds", (), ["host"], delay), send_seconds, (), ["host"])
+    d = d.select("host", "key", F.unix_seconds("send_at").alias("dts"), F.inline("cells")).withColumn("last", F.coalesce("last", F.lit(0.0)))
+    return stored(d, ()).select("host", "key", "var", "dts", "n", "last")
+
+
+def window_events(points: DataFrame, spec: MetricSpec, by: Sequence[str], delay: str = "0 seconds") -> DataFrame:
+    """The whole window job over a stream: names, masks, aggregates, zeros, thresholds, emit
+    filter, stored values, drop rules. The events of a window come when it closes."""
+    d = closed_windows(chosen_points(points, spec), f"{spec.send} seconds", spec.percentiles, by, delay, spec.last_only)
+    if spec.zero_fill:
+        d = with_known_series(d, spec.send, spec.percentiles, by)
+        d = d.withColumn("cells", F.transform("cells", lambda c: _stored_cell(c, spec.percentiles)))
+    else:
+        d = d.select(*by, "w", "first_ts", F.inline("cells"))
+        d = stored(d, spec.percentiles).groupBy(*by, "w", "first_ts", "key").agg(F.collect_list(series_cell(spec.percentiles)).alias("cells"))
+        d = d.withColumn("send_at", F.col("w.end")).drop("w")
+    return assembled(timed(d, spec.fallback_ms), spec)
+
+
+def _stored_cell(cell, percentiles: Sequence[int]):
+    from ..functions.values import normalised
+    from ..operators.window import LEAST_SAMPLES
+
+    def value(name: str):
+        return normalised(F.coalesce(cell[name], F.lit(0.0)), cell["is_percent"])  # state turns NaN into null
+
+    pairs = [F.lit("last"), value("last")]
+    for p in percentiles:
+        pairs += [F.lit(f"p{p}"), F.when(cell["n"] < LEAST_SAMPLES, F.lit(0).cast("bigint")).otherwise(value(f"p{p}"))]
+    return F.struct(cell["var"].alias("var"), cell["n"].alias("n"), cell["raw_max"].alias("raw_max"), F.create_map(*pairs).alias("aggs"))
+
+
+def with_previous(snapshots: DataFrame, names: Sequence[str], entity: str) -> DataFrame:
+    """Counters of a stream of scrapes (host and ts) with those of the host's scrape before, as
+    ``counters.with_previous`` has them for a table: has_prev, prev_<counter> and seconds."""
+    cloudpickle.register_pickle_by_value(known)
+    own = snapshots.schema.fields
+    more = StructType.fromDDL(", ".join(["seconds double", "has_prev boolean", *[f"prev_{c} double" for c in names]])).fields
+    schema = StructType(own + more)
+    state = known.PreviousScrapes(list(names), entity, schema.names)
+    return snapshots.groupBy("host").transformWithStateInPandas(state, schema, "Append", "None")
+
+
+def disk_points(snapshots: DataFrame) -> DataFrame:
+    """``counters.disk_points`` over a stream. All devices pass the state, so that a scrape
+    without a base disk is still the one before the next."""
+    from ..functions.values import is_base_disk
+
+    d = with_previous(snapshots, counters.DISK, "device").filter(is_base_disk(F.col("device")))
+    return counters.disk_values(d)
+
+
+def to_sinks(stream: DataFrame, sinks: Sequence[store.Sink], checkpoint: str) -> None:
+    """Every micro-batch to every sink, with its number; a stream started again goes on after
+    the last whole batch. Runs through what is there."""
+    q = stream.writeStream.foreachBatch(lambda d, batch: store.fan_out(d, sinks, batch)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    q.awaitTermination()
+
+
+@contextlib.contextmanager
+def state_in_rocksdb(spark: SparkSession) -> Iterator[None]:
+    """The state store that processors need, for queries started inside."""
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(name)
+        else:
+            spark.conf.set(name, before)
 
 
 def udp_flows(packets: DataFrame, idle: int, delay: str = "0 seconds") -> DataFrame:
@@ -58,41 +133,16 @@ def udp_flows(packets: DataFrame, idle: int, delay: str = "0 seconds") -> DataFr
     return d.withColumn("start", F.col("s.start")).drop("s")
 
 
-def run_to_end(stream: DataFrame, name: str | None = None) -> DataFrame:
+def run_to_end(stream: DataFrame) -> DataFrame:
     """All that a bounded stream puts out, as a table written to the shared folder."""
-    import os
-    import tempfile
-
     spark = stream.sparkSession
-    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-")
-    base = os.path.join(root, name or f"stream-{uuid.uuid4().hex}")
+    base = fresh_path(spark, "stream")
     q = stream.writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/state").outputMode("append").trigger(availableNow=True).start()
     q.awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{base}/out")
 
 
-def _stream(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+def table_stream(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    """A given table of one file as a stream; the folder around it is the source's path."""
     schema = spark.read.parquet(f"{sf_dir}/{table}.parquet").schema
     return spark.readStream.schema(schema).option("pathGlobFilter", f"{table}.parquet").option("recursiveFileLookup", "false").parquet(sf_dir)
-
-
-def window_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from ..plans.fixtures import as_samples
-
-    e = _stream(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
-    return run_to_end(window_series(as_samples(e), "1 day", (50, 90), ["host"]))
-
-
-def zero_fill_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from ..plans.fixtures import as_samples
-
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    e = _stream(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
-    return run_to_end(known_series(as_samples(e), 6 * 3600))
-
-
-def udp_flows_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from ..plans import fixtures as fx
-
-    rows = fx.packets_of(_stream(spark, sf_dir, "lineitem"))
-    return run_to_end(udp_flows(rows, 10)).select("host", "iface", "src_port", "packets", "bytes", F.unix_seconds("start").alias("start"), F.hex("src_addr").alias("src"), F.hex("dst_addr").alias("dst"))

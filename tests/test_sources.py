@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from hostmill.operators import counters, flows
 from hostmill.plans.spec import MetricSpec
 from hostmill.sources import frames, hosts, json_points, procfs, prometheus
+from hostmill.streaming import streams
 
 
 def at(seconds):
@@ -29,6 +30,9 @@ def test_json_points(spark):
         "", "7", '{"key":7,"data":{"v":1}}', '{"key":" ","data":{"v":1}}', '{"data":{"v":1}}', '{"key":"x"}', '{"key":"x","data":[]}', '{"key":"x","data":{}}',
         '{"key":"x","data":{"v":"1"}}', '{"key":"x","data":{"v":null}}', '{"key":"x","data":{"v":[1]}}', '{"key":"x","data":{"v":{}}}',
         '{"key":"x","data":{"v":{"value":1,"kind":"odd"}}}', '[{"key":"x","data":{"v":1}},{"key":"y"}]', '{"key":"x","data":{" ":1}}', '{"key":"x"', None,
+        '{"key":"x","data":"{\\"v\\":1}"}', '{"key":"x","data":{"v":{"value":"12"}}}', '{"key":"x","data":{"v":{"value":null,"last":3}}}', "{'key':'x','data':{'v':1}}",
+        '{"key":"x","data":{"v":1}},{"key":"y","data":{"v":1}}', '[{"key":"x","data":{"v":1}}] 7', '[1]', '{"key":"x","data":{"v":NaN}}', '{"key":"x","data":{"v":1e400}}',
+        '{"key":"x","data":{"v":{"value":1,"kind":null}}}', '{"key":"x","data":{"v":{"value":1,"kind":7}}}', '{"key":null,"data":{"v":1}}',
     ],
 )
 def test_json_rejects(spark, payload):
@@ -115,6 +119,20 @@ def test_net_deltas(spark):
     assert got[(times[2], "e1", "tx_bytes")] == 0 and got[(times[3], "e1", "tx_bytes_per_sec")] == 2
 
 
+def test_a_scrape_without_base_disks_is_still_the_one_before(spark, tmp_path):
+    cols = "host string, ts timestamp, device string, inflight int, " + ", ".join(f"{c} bigint" for c in counters.DISK)
+    rows = [("h", at(0), "sda", 0, *[100] * 8), ("h", at(10), "sda1", 0, *[150] * 8), ("h", at(20), "sda", 0, *[300] * 8), ("h", at(30), "sda", 0, *[340] * 8)]
+    df = spark.createDataFrame(rows, cols)
+    got = sorted((r.ts.timestamp(), r.raw) for r in counters.disk_points(df).filter("var = 'rx_bytes'").collect())
+    assert [x for _, x in got] == [0, 0, 40]
+    for k, part in enumerate((df.filter("ts < timestamp_seconds(15)"), df.filter("ts > timestamp_seconds(15)"))):
+        part.coalesce(1).write.parquet(f"{tmp_path}/{k}")
+    stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(str(tmp_path))
+    with streams.state_in_rocksdb(spark):
+        made = streams.run_to_end(streams.disk_points(stream)).filter("var = 'rx_bytes'").collect()
+    assert sorted((r.ts.timestamp(), r.raw) for r in made) == got
+
+
 def test_process_samples_of_one_name(spark):
     cols = "host string, ts timestamp, pid int, name string, cpu_util double, rss bigint, ram_total bigint, reads bigint, writes bigint"
     rows = [("h", at(t), p, "pg", 1.0, 10, 100, 10 * t, None) for t in (0, 10) for p in (1, 2)] + [("h", at(0), 3, "", 1.0, 1, 1, 1, 1)]
@@ -138,14 +156,17 @@ def test_frames(spark):
     v6 = struct.pack(">IHBB", 6 << 28, len(UDP) + 8, 0, 64) + b"\0" * 15 + b"\1" + b"\0" * 15 + b"\2" + bytes([17, 0]) + b"\0" * 6 + UDP
     auth = struct.pack(">IHBB", 6 << 28, len(UDP) + 16, 51, 64) + b"\0" * 32 + bytes([17, 2]) + b"\0" * 14 + UDP
     later = struct.pack(">IHBB", 6 << 28, len(UDP) + 8, 44, 64) + b"\0" * 32 + bytes([17, 0, 0, 8]) + b"\0" * 4 + UDP
+    many = struct.pack(">IHBB", 6 << 28, len(UDP) + 96, 0, 64) + b"\0" * 32 + b"".join(bytes([60 if k < 11 else 17, 0]) + b"\0" * 6 for k in range(12)) + UDP
     mac = b"\0" * 12
     cases = {
         1: _ip4(6, _tcp(2)), 2: _ip4(6, _tcp(0x12)), 3: mac + b"\x81\x00\x00\x01" + _ip4(17, UDP)[12:], 4: mac + b"\x88\xa8\x00\x01\x81\x00\x00\x02" + _ip4(17, UDP)[12:],
         5: mac + b"\x86\xdd" + v6, 6: mac + b"\x86\xdd" + auth, 7: mac + b"\x86\xdd" + later, 8: _ip4(17, UDP, frag=1), 9: _ip4(1, UDP), 10: _ip4(6, _tcp(2), cut=40), 11: b"", 12: mac, 13: _ip4(17, UDP, cut=40),
+        14: mac + b"\x81\x00\x00\x01" * 9 + _ip4(17, UDP)[12:], 15: mac + b"\x86\xdd" + many, 16: mac + b"\x81\x00" * 3,
     }
     df = spark.createDataFrame([(k, bytearray(v)) for k, v in cases.items()], "id int, frame binary")
     got = {r.id: r for r in frames.packets_from_frames(df).collect()}
-    assert set(got) == {1, 2, 3, 4, 5, 6, 13}
+    assert set(got) == {1, 2, 3, 4, 5, 6, 13, 14, 15}
+    assert got[14].bytes == 32 and got[15].src_port == 53
     assert (got[1].bytes, got[1].tcp_start, got[1].src_port, got[1].dst_port) == (40, True, 1234, 443)
     assert not got[2].tcp_start and got[3].bytes == 32 and got[4].proto == 17
     assert got[5].bytes == 60 and bytes(got[5].src_addr)[-1] == 1 and not got[5].src_v4

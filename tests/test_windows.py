@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from hostmill.operators import audit, points, store, window
 from hostmill.plans.spec import MetricSpec, resolve_percentiles
+from hostmill.streaming import streams
 
 POINT = "host string, key string, var string, raw double, is_percent boolean, ts timestamp, seq bigint"
 
@@ -137,15 +138,69 @@ def test_retention_and_tables(spark):
 def test_fan_out_keeps_the_first_error(spark):
     got = []
 
-    def bad(_):
+    def bad(d, batch):
         raise RuntimeError("first")
 
-    def worse(_):
+    def worse(d, batch):
         raise RuntimeError("second")
 
     with pytest.raises(RuntimeError, match="first"):
-        store.fan_out(spark.range(3), [lambda d: got.append(d.count()), bad, worse, lambda d: got.append(d.count())])
-    assert got == [3, 3]
+        store.fan_out(spark.range(3), [lambda d, batch: got.append((d.count(), batch)), bad, worse, lambda d, batch: got.append((d.count(), batch))], 7)
+    assert got == [(3, 7), (3, 7)]
+
+
+def test_sinks_replace_a_repeated_batch(spark, tmp_path):
+    data = {"util": {"last": 71, "p90": 95}}
+    e = spark.createDataFrame([(1000, 2000, "cpu", "total", "h", data)], "dt bigint, dts bigint, metric string, key string, host string, data map<string,map<string,bigint>>")
+    rows = store.stamp(store.flatten_events(e), F.timestamp_seconds(F.lit(5)))
+    for batch in (0, 0, 1):
+        store.fan_out(rows, [store.metric_sink(f"{tmp_path}/m"), store.table_sink(f"{tmp_path}/t", lambda d: d.limit(1))], batch)
+    assert store.read_metric(spark, f"{tmp_path}/m", "cpu").count() == 4 and spark.read.parquet(f"{tmp_path}/t").count() == 2
+
+
+def test_values_beyond_64_bits_are_rejects(spark):
+    e = window.window_events(_points(spark, [("k", "big", 1e19, False, 1), ("k", "nan", float("nan"), False, 1), ("k", "inf", float("inf"), True, 2)]), MetricSpec("m", 60, 60), ["host"])
+    assert {(r["var"], r.value) for r in store.flatten_events(e).collect()} == {("nan", 0), ("inf", 100)}
+    assert [(r["var"], r.agg) for r in store.overflow_rejects(e).collect()] == [("big", "last")]
+
+
+def test_emit_filter_of_a_metric(spark):
+    rows = [("a", "v", 1, False, 1), ("a", "w", 9, False, 2), ("b", "v", 2, False, 3)]
+    emit = lambda key, cells: (key == "a") & F.exists(cells, lambda c: c["raw_max"] > 5)
+    assert _data(spark, rows, emit=emit).keys() == {("a", 60)}
+    assert _data(spark, rows, emit=emit, thresholds={"v": 2.0}) == {}
+
+
+def test_shuffles_of_the_window_job(spark):
+    """What a run shuffles: series once, keys once, and a row for each worker and window."""
+    p = _points(spark, [("a", "v", n, False, n) for n in range(200)])
+    for spec in (MetricSpec("m", 5, 60, (50,)), MetricSpec("m", 60, 60)):
+        made = window.window_events(p, spec, ["host"])
+        made.write.format("noop").mode("overwrite").save()
+        made.collect()
+        plan = made._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+        by = [x[: x.index(", 4)")] for x in plan.split(" Exchange hashpartitioning(")[1:]]
+        # Where last samples count, the window times come from the series' times, shuffled apart.
+        assert sum("var#" in x for x in by) == 1 + spec.last_only and sum("key#" in x and "var#" not in x for x in by) == 1
+        assert sum("key#" not in x for x in by) <= 3  # window times, and both sides of their join
+
+
+def test_null_tags_have_a_window_time(spark):
+    p = _points(spark, [("a", "v", 1, False, 7)]).withColumn("dc", F.lit(None).cast("string"))
+    assert [(r.dt, r.dts) for r in window.window_events(p, MetricSpec("m", 5, 60, zero_fill=True), ["host", "dc"]).collect()] == [(7000, 60)]
+
+
+def test_streams_take_nan_and_null(spark, tmp_path):
+    """A bad sample or a null sequence number stops no stream, and gives what a table gives."""
+    rows = [("h", "k", "v", float("nan"), False, at(1), None), ("h", "k", "w", float("inf"), True, at(2), 1), ("h", "k", "v", 3.0, False, at(65), None), ("h", "k", "v", 1.0, False, at(400), 1)]
+    d = spark.createDataFrame(rows, POINT).coalesce(1)
+    d.write.parquet(f"{tmp_path}/p")
+    spec = MetricSpec("m", 60, 60, zero_fill=True)
+    with streams.state_in_rocksdb(spark):
+        made = streams.run_to_end(streams.window_events(spark.readStream.schema(d.schema).parquet(f"{tmp_path}/p"), spec, ["host"]))
+    key = lambda r: (r.key, r.dts, r.dt, sorted((v, sorted(a.items())) for v, a in r.data.items()))
+    want = window.window_events(d.filter("ts < timestamp_seconds(120)"), spec, ["host"])
+    assert sorted(map(key, made.collect())) == sorted(map(key, want.collect()))
 
 
 def test_audits(spark):
