@@ -13,14 +13,18 @@ show that candidates would be costly, and a pair must then share correspondingly
    pair is found unless both of its sets have more common ones than that.
 3. Sets with more common shingles are dealt whole, among themselves, in the same way. What
    is left are pairs that share common shingles alone, and both sets must consist of them by
-   three quarters. These sets are linked to a few leaders of each shingle of their prefix, and
-   pairs in different components are looked at one by one.
+   three quarters. Their prefixes are taken in the order of exact counts among these sets, rare
+   shingles first. They are linked to a few leaders of each such shingle, those with the fewest
+   shingles of their own first, and pairs in different components are looked at one by one.
 4. Candidates that share enough are compared exactly; components follow from the links.
 
 The counts of step 2 are exact and made by whoever holds the shingle's rows, as a stream that
 keeps at most ``COMMON`` of them. A shingle that is common within one batch of documents leaves
 only a marker and a count for each class, so that none makes a hot task.
 
+None of these tables has a proven bound, so their joins are merge joins by hint and behave alike
+at every size; only the names of wanted classes may be broadcast, by their measured size.
+
 Pairs inside a component are not compared again: they can't change it. Node identifiers are
 64-bit set fingerprints; a second fingerprint is checked and the job fails loudly if two
 different sets share the first.
@@ -44,7 +48,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from . import shingles as S
-from .common import own_columns, packed, table, written
+from .common import bucketed, own_columns, packed, table, unpacked, written
 
 K = 5
 #: A shingle that more classes deal is common.
@@ -53,6 +57,10 @@ COMMON = 32
 DEALT = 400_000
 #: Parts that the rows of a shingle are spread over before its leaders are taken.
 SALTS = 32
+#: Rows of a shingle in one task, about, where they meet each other.
+PART = 1000
+#: Bits of a set's sketch.
+BITS = 512
 #: Nodes that stand for a common shingle.
 LEADERS = 4
 #: Links that one task folds to a forest, about.
@@ -276,41 +284,84 @@ def base_pairs(met: DataFrame) -> DataFrame:
     return met.filter((F.col("kind") == 0) & enough).select("a", "b")
 
 
+def with_group(rows: DataFrame, *aggs, again) -> DataFrame:
+    """rows (with shingle and part) and aggregates of all rows of their shingle.
+
+    Aggregated by part, then by shingle over its parts (``again``); the result goes back by
+    shingle and part, so that the rows of one shingle are never in one task.
+    """
+    parts = written(rows.groupBy("shingle", "part").agg(*aggs), "parts")
+    whole = parts.groupBy(F.col("shingle").alias("of")).agg(*again)
+    back = parts.select("shingle", "part").join(whole.hint("merge"), F.col("shingle") == F.col("of")).drop("of")
+    return rows.join(back.hint("merge"), ["shingle", "part"])
+
+
+def prefix_rows(sets: DataFrame, alike: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(shingle, part, node, n, common) of the prefixes of the sets of ``alike``, in the order of
+    the shingles' counts among them; shingles of one set alone are left out. And per node a
+    sketch: the number of its shingles that others of these sets have, and BITS bits of them."""
+    d = sets.join(alike.hint("merge"), "node").select(F.explode("set").alias("shingle"), F.pmod("node", F.lit(SALTS)).alias("part"), "node", "n", "common")
+    d = written(with_group(written(d, "tokens"), F.count(F.lit(1)).alias("m"), again=[F.sum("m").alias("m")]), "tokens")
+    order = Window.partitionBy("node").orderBy("m", "shingle")
+    rows = d.withColumn("k", F.row_number().over(order)).filter(F.expr("k <= n - (n * 3 + 3) div 4 + 1 AND m > 1"))
+    bit = F.pmod("shingle", F.lit(BITS))
+    words = [F.bit_or(F.when(F.floor(bit / 64) == j, F.expr("shiftleft(1L, cast(pmod(shingle, 64) as int))")).otherwise(F.lit(0).cast("long"))).alias(f"w{j}") for j in range(BITS // 64)]
+    sketch = d.filter("m > 1").groupBy("node").agg(F.count(F.lit(1)).alias("met"), *words)
+    return written(rows.select("shingle", "part", "node", "n", "common"), "rows"), sketch
+
+
 def star_pairs(rows: DataFrame) -> DataFrame:
-    """Each node of a shingle's rows with that shingle's leaders, its least nodes.
+    """Each node of a shingle's rows with that shingle's leaders.
 
-    Leaders are taken in each part of a shingle first, then among the leaders of its parts.
+    Leaders are taken in each part of a shingle first, then among the leaders of its parts: half
+    of them by the fewest shingles that aren't common, as such sets are like most others.
     """
-    least = [F.min(F.struct(F.xxhash64("node", F.lit(j)), "node"))["node"] for j in range(LEADERS)]
+    least = []
+    for j in range(LEADERS):
+        own = [] if j % 2 else [F.col("n") - F.col("common")]
+        least.append(F.min(F.struct(*own, F.xxhash64("node", F.lit(j)).alias("h"), "node", "n", "common")))
+    some = F.array(*[F.struct(x["node"].alias("node"), x["n"].alias("n"), x["common"].alias("common")) for x in least])
 
     def leaders(d: DataFrame, *by: str) -> DataFrame:
-        return d.groupBy(*by).agg(F.array_distinct(F.array(*least)).alias("leaders"))
+        return d.groupBy(*by).agg(F.array_distinct(some).alias("leaders"))
 
-    d = rows.select("shingle", F.pmod("node", F.lit(SALTS)).alias("part"), "node")
-    parts = written(leaders(d, "shingle", "part"), "leaders")
-    heads = parts.select("shingle", F.explode("leaders").alias("node"))
-    led = d.join(parts, ["shingle", "part"]).select("node", F.explode("leaders").alias("leader"))
-    led = led.unionByName(heads.join(leaders(heads, "shingle"), "shingle").select("node", F.explode("leaders").alias("leader")))
+    parts = written(leaders(rows, "shingle", "part"), "leaders")
+    heads = parts.select("shingle", F.explode("leaders").alias("x")).select("shingle", "x.*")
+    led = rows.join(parts.hint("merge"), ["shingle", "part"]).select("node", F.explode("leaders.node").alias("leader"))
+    led = led.unionByName(heads.join(leaders(heads, "shingle").hint("merge"), "shingle").select("node", F.explode("leaders.node").alias("leader")))
     return led.filter("node <> leader").select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b")).distinct()
 
 
-def pairs_across(rows: DataFrame, labels: DataFrame) -> DataFrame:
+def pairs_across(rows: DataFrame, labels: DataFrame, sketch: DataFrame) -> DataFrame:
     """Pairs of prefix rows in different components that may still be similar: their sizes allow
-    it, both have enough common shingles, and their prefixes share enough.
+    it, both have enough common shingles, and enough are left without those whose bit the other
+    set lacks.
 
-    rows: shingle, node, n and common, the number of common shingles in the node's set.
+    rows: shingle, part, node, n and common, the number of common shingles in the node's set. A
+    node with so few of them that it needs a smaller partner than its shingle has is left out.
     """
-    d = rows.join(labels.select(F.col("node").alias("of"), "label"), F.col("node") == F.col("of"), "left")
-    d = d.select("shingle", "node", "n", "common", F.coalesce("label", "node").alias("label"))
-    ends = d.groupBy("shingle").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi")
-    d = written(d.join(ends.select("shingle"), "shingle", "left_semi"), "open")
-    salt = F.pmod("node", F.lit(SALTS)).cast("int")
-    x = d.select("shingle", F.col("node").alias("a"), F.col("n").alias("na"), F.col("common").alias("ca"), F.col("label").alias("la"), salt.alias("salt"))
-    y = d.select("shingle", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("common").alias("cb"), F.col("label").alias("lb"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-    may = (F.col("a") < F.col("b")) & (F.col("la") != F.col("lb")) & (F.least("ca", "cb") >= F.expr(NEED))
-    met = x.join(y, ["shingle", "salt"]).filter(may).groupBy("a", "b").agg(F.first("na").alias("na"), F.first("nb").alias("nb"), F.count(F.lit(1)).alias("shared"))
-    rest = F.greatest(*[F.expr(f"({x} * 3 + 3) div 4 - 1") for x in ("na", "nb")])
-    return met.filter(F.col("shared") + rest >= F.expr(NEED)).select("a", "b")
+    d = rows.join(labels.select(F.col("node").alias("of"), "label").hint("merge"), F.col("node") == F.col("of"), "left")
+    d = d.select("shingle", "part", "node", "n", "common", F.coalesce("label", "node").alias("label"))
+    d = with_group(written(d, "labelled"), F.min("n").alias("least"), again=[F.min("least").alias("least")]).filter("7 * common - 3 * n >= 3 * least").drop("least")
+    ends = [F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("m")]
+    d = with_group(written(d, "able"), *ends, again=[F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.sum("m").alias("m")]).filter("lo <> hi").drop("lo", "hi")
+    # Rows of one side meet those of the other in tasks of about PART rows of a shingle.
+    d = written(d.withColumn("salts", F.ceil(F.col("m") / PART).cast("int")).join(sketch.hint("merge"), "node"), "open")
+    words = [f"w{j}" for j in range(BITS // 64)]
+
+    def side(x: str) -> list:
+        return ["shingle", F.col("node").alias(x)] + [F.col(c).alias(f"{c}_{x}") for c in ("label", "common", "met", *words)] + [F.col("n").alias(f"n{x}")]
+
+    def left(x: str, y: str):
+        """The shingles of x that y may share."""
+        lacked = [F.bit_count(F.col(f"{w}_{x}").bitwiseAND(F.bitwise_not(F.col(f"{w}_{y}")))) for w in words]
+        return F.col(f"met_{x}") - sum(lacked[1:], lacked[0])
+
+    a = d.select(*side("a"), F.expr("cast(pmod(xxhash64(node), salts) as int)").alias("salt"))
+    b = d.select(*side("b"), F.explode(F.expr("sequence(0, salts - 1)")).alias("salt"))
+    most = F.least("common_a", "common_b", left("a", "b"), left("b", "a"))
+    may = (F.col("a") < F.col("b")) & (F.col("label_a") != F.col("label_b")) & (most >= F.expr(NEED))
+    return a.join(b.hint("merge"), ["shingle", "salt"]).filter(may).select("a", "b").distinct()
 
 
 def compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -327,7 +378,7 @@ def compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
                 keep[i] = 100 * shared >= 75 * (len(x) + len(y) - shared)
             yield batch.select(["a", "b"]).filter(pa.array(keep))
 
-    return pairs.join(right, "b").join(left, "a").select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
+    return pairs.hint("merge").join(right, "b").hint("merge").join(left, "a").select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
 
 
 def forest(links: DataFrame) -> DataFrame:
@@ -399,7 +450,7 @@ def needed_sets(docs: DataFrame, classes: DataFrame, nodes: DataFrame) -> DataFr
     made = "node long, set array<long>"
     bare = d.filter("doc_id IS NULL").select("text").mapInArrow(run, made)
     bare = bare.join(wanted.filter("id IS NULL").select("node"), "node", "left_semi")
-    return written(texts.mapInArrow(run, made).unionByName(bare).dropDuplicates(["node"]), "sets")
+    return bucketed(texts.mapInArrow(run, made).unionByName(bare), "sets", "node")
 
 
 def nodes_of(pairs: DataFrame) -> DataFrame:
@@ -409,17 +460,17 @@ def nodes_of(pairs: DataFrame) -> DataFrame:
 def crowded(met: DataFrame, classes: DataFrame) -> DataFrame:
     """(node, n, common) of the nodes that dealt common shingles."""
     counts = met.filter("kind = 1").select(F.col("a").alias("node"), F.col("c").alias("common"))
-    return counts.join(classes.select("node", "n"), "node")
+    return counts.join(classes.select("node", "n").hint("merge"), "node")
 
 
 def pairs_of_crowded(sets: DataFrame, few: DataFrame, classes: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Candidates among the sets of the nodes ``few``, and (node, n, common) of those of them
     that may be similar by common shingles alone."""
-    met = meetings(rows_of_sets(sets.join(few.select("node"), "node", "left_semi"), lambda n: n))
+    met = meetings(rows_of_sets(sets.join(few.select("node").hint("merge"), "node", "left_semi"), lambda n: n))
     counts = written(crowded(met, classes), "crowded")
     common = counts.select("node", "common")
-    pairs = met.filter("kind = 0").join(common.select(F.col("node").alias("a"), F.col("common").alias("ca")), "a", "left")
-    pairs = pairs.join(common.select(F.col("node").alias("b"), F.col("common").alias("cb")), "b", "left")
+    pairs = met.filter("kind = 0").join(common.select(F.col("node").alias("a"), F.col("common").alias("ca")).hint("merge"), "a", "left")
+    pairs = pairs.join(common.select(F.col("node").alias("b"), F.col("common").alias("cb")).hint("merge"), "b", "left")
     both = F.least(F.coalesce("ca", F.lit(0)), F.coalesce("cb", F.lit(0)))
     pairs = pairs.filter(F.col("c") + both >= F.expr(NEED)).select("a", "b")
     return pairs, counts.filter("common >= (n * 3 + 3) div 4")
@@ -437,13 +488,11 @@ def classes_and_components(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataF
     few = written(crowded(met, classes).filter("common > n div 32"), "few")
     sets = needed_sets(docs, classes, nodes_of(pairs).unionByName(few.select("node")).distinct())
     more, alike = pairs_of_crowded(sets, few, classes)
-    prefix = F.slice("set", F.lit(1), (F.col("n") - F.expr("(n * 3 + 3) div 4") + 1).cast("int"))
-    rows = sets.join(alike, "node").select(F.explode(prefix).alias("shingle"), "node", "n", "common")
-    rows = written(rows, "rows")
+    rows, sketch = prefix_rows(sets, alike)
     pairs = written(pairs.unionByName(more).unionByName(star_pairs(rows)).distinct(), "pairs")
     links = written(compared(pairs, sets), "links")
     labels = components(links)
-    across = pairs_across(rows, labels).join(pairs, ["a", "b"], "left_anti")
+    across = pairs_across(rows, labels, sketch).join(pairs, ["a", "b"], "left_anti")
     more = written(compared(across, sets), "links")
     if more.limit(1).count():
         labels = components(links.unionByName(more))
@@ -487,8 +536,9 @@ def keep_first(docs: DataFrame) -> DataFrame:
     has_words = F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
     order = Window.partitionBy("row").orderBy(F.monotonically_increasing_id())
     once = without.filter(has_words).withColumn("copy", F.row_number().over(order)).filter("copy = 1")
-    kept = with_id.select("all").unionByName(once.select("all")).unionByName(without.filter(~has_words).select("all"))
-    return kept.select("all.*")
+    own = ["doc_id", "text", "rest"]
+    kept = with_id.select(*own).unionByName(once.select(*own)).unionByName(without.filter(~has_words).select(*own))
+    return unpacked(kept, docs.columns, "doc_id", "text")
 
 
 def op7_ngram_join(spark, sf_dir: str) -> DataFrame:
