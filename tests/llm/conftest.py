@@ -2,10 +2,12 @@ import random
 
 import pytest
 
-SCHEMA = (
-    "doc_id long, text string, lang string, source string, n_chars long, node long, row string, words string, span long,"
-    " later_id long, gone_spans string, cut_text string, `odd name` string, bucket int"
-)
+#: Names that the operators use themselves, inside.
+CLASHES = (
+    "node", "row", "words", "span", "spans", "cut", "copy", "key", "id", "of", "rest", "later_id__", "later_row__", "gone_spans__", "cut_text__", "span_key__",
+    "span_id__", "span_of__", "copy__", "row__", "text_key", "found", "w", "bucket", "label", "n", "piece", "length", "bin_group", "n_tokens", "size", "odd name", "a.b", "p",
+)
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{c}` string" for c in CLASHES)
 
 
 @pytest.fixture(scope="session")
@@ -36,9 +38,23 @@ def docs(spark, texts):
     """The texts as rows with extra columns whose names clash with the operators' own."""
     langs = ["en", "fr", None]
     rows = [(100 - 1 * k if k % 2 else 1000 + k, t, langs[k % 3]) for k, t in enumerate(texts)]
-    return spark.createDataFrame([(r[0], r[1], r[2], "s", len(r[1] or ""), 3, "x", "y", 1, 5, "g", "c", "o", 5) for r in rows], SCHEMA).repartition(3)
+    return spark.createDataFrame([(r[0], r[1], r[2], "s", len(r[1] or ""), *(f"{c} {r[0]}" for c in CLASHES)) for r in rows], SCHEMA).repartition(3)
 
 
 @pytest.fixture(scope="session")
 def no_docs(spark):
     return spark.createDataFrame([], SCHEMA)
+
+
+def unchanged(docs, kept):
+    """The rows kept have all other columns as they were."""
+    assert kept.columns == docs.columns
+    names = [f"`{c}`" for c in docs.columns if c not in ("text", "n_chars")]
+    have = set(map(tuple, kept.select(*names).collect()))
+    assert have <= set(map(tuple, docs.select(*names).collect()))
+    return have
+
+
+@pytest.fixture(scope="session")
+def same_columns():
+    return unchanged
