@@ -5,6 +5,13 @@ documents, the shingle join keeps one document of each near-duplicate group, sub
 dedup cuts passages that occur earlier, decontamination drops documents that hold benchmark
 windows, and best-fit packing places what is left. All stages but the last return the
 columns of documents; each is written as Parquet and read again before the next.
+
+Defined cases, as its operators state them: a null, empty or letterless text has no language
+and goes with the first stage; a text in no single language goes too; of copies and near copies
+the smallest doc_id stays, and beside it one of their rows without a doc_id; texts under one
+doc_id are judged apart; a document all of whose words occur earlier goes; very long texts are
+read whole and packed in pieces; an empty table gives no rows; other columns than doc_id, text,
+lang and n_chars may have any names and stay as they are, n_chars follows the text.
 """
 
 from __future__ import annotations
@@ -45,7 +52,8 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
     ("packing", pack),
 ]
 
-#: Compression, similarity components and packing have no SQL form; tests use brute force.
+#: Compression, similarity components and packing have no SQL form; tests/llm/test_pipeline.py
+#: holds each stage against brute force.
 ORACLE_SQL: str | None = None
 
 
