@@ -23,5 +23,20 @@ def shared_dir(spark: SparkSession) -> str:
     return root
 
 
+_made: list[str] = []
+
+
 def fresh_path(spark: SparkSession, label: str) -> str:
-    return os.path.join(shared_dir(spark), f"{label}-{uuid.uuid4().hex}")
+    path = os.path.join(shared_dir(spark), f"{label}-{uuid.uuid4().hex}")
+    _made.append(path)
+    return path
+
+
+def clear(spark: SparkSession) -> None:
+    """Remove the intermediate tables made so far by this driver. Results that read them must
+    have been taken."""
+    jvm = spark.sparkContext._jvm
+    configuration = spark.sparkContext._jsc.hadoopConfiguration()
+    while _made:
+        path = jvm.org.apache.hadoop.fs.Path(_made.pop())
+        path.getFileSystem(configuration).delete(path, True)
