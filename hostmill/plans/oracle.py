@@ -193,7 +193,7 @@ def oracle_sql() -> dict[str, str]:
         "delivery_audit": f"""WITH {_ORDERS}, s AS (SELECT count(DISTINCT key) FILTER (agg = 'last' AND key <> 'stopped')::BIGINT AS delivered,
               count(*) FILTER (agg = 'last' AND key <> 'stopped')::BIGINT AS rows_last, count(*)::BIGINT AS rows_total, count(*) FILTER (bad_dt)::BIGINT AS bad_dt,
               count(*) FILTER (bad_ip)::BIGINT AS bad_ip FROM o)
-            SELECT 1000::BIGINT AS expected, *, delivered = 1000 AS complete, rows_last > 1000 AS duplicates FROM s""",
+            SELECT e.n AS expected, s.*, delivered = e.n AS complete, rows_last > e.n AS duplicates FROM s, (SELECT count(*)::BIGINT AS n FROM orders) e""",
         "dt_audit": f"WITH {_ORDERS} SELECT metric, count(*)::BIGINT AS n, count(*) FILTER (bad_dt)::BIGINT AS bad_dt FROM o GROUP BY 1",
         "non_last_audit": f"WITH {_ORDERS} SELECT metric, count(*) FILTER (agg <> 'last')::BIGINT AS not_last FROM o GROUP BY 1",
         "host_ip_audit": f"WITH {_ORDERS} SELECT metric, count(*) FILTER (bad_ip)::BIGINT AS no_host_ip FROM o GROUP BY 1",

@@ -283,7 +283,7 @@ def _orders(spark, d):
 
 
 def delivery_audit(spark, d):
-    return audit.delivery_audit(_orders(spark, d), 1000)
+    return audit.delivery_audit(_orders(spark, d), fx.read(spark, d, "orders").count())
 
 
 def dt_audit(spark, d):

@@ -70,7 +70,8 @@ def _parsed(df: DataFrame, payload: str) -> DataFrame:
     """Adds ``point_sets`` (per item: key and cells) and ``good``."""
     d = with_items(df, payload)
     keyed = F.transform("items", lambda m: F.struct(_type(m["key"]).alias("t"), F.try_variant_get(m["key"], "$", "string").alias("key"), _cells(m["data"]).alias("cells")))
-    d = d.withColumn("point_sets", keyed).drop("items")
+    # A row of one element, made by a generator: no filter moves below it, so nothing is parsed again.
+    d = d.select(*df.columns, F.explode_outer(F.array(keyed)).alias("point_sets"))
 
     def holds(c: Column) -> Column:
         return (c["var"] != "") & (F.abs(c["raw"]) < float("inf")) & c["is_percent"].isNotNull()

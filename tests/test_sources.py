@@ -41,6 +41,13 @@ def test_json_rejects(spark, payload):
     assert json_points.points_from_json(df, "payload").count() == 0
 
 
+def test_json_is_parsed_once(spark):
+    """One parse for objects and one for arrays, wherever filters and explodes end up."""
+    df = _json(spark, "{}")
+    for d in (json_points.points_from_json(df, "payload"), json_points.json_rejects(df, "payload")):
+        assert d._jdf.queryExecution().executedPlan().toString().count("from_json") == 2
+
+
 def test_prometheus(spark):
     text = """# HELP x y
 late 3
