@@ -1,8 +1,8 @@
 """Benchmark decontamination by a broadcast hash set of normalised benchmark n-grams.
 
 Documents are scanned window by window. A window whose fingerprint may be in the set (a
-bitmap of fixed size, part of the scan, made from the words as they are compared and so without
-misses) becomes a candidate and carries its words; the candidates are then verified word for
+bitmap of fixed size, part of the scan, made from wholly lower-cased words with one sigma, and
+so without misses: equal words are equal there too) becomes a candidate and carries its words; the candidates are then verified word for
 word against the benchmark's n-grams. Only verified hits count. The n-gram table is broadcast while its measured size is under
 ``BROADCAST_BYTES``; beyond that the same join is shuffled.
 
@@ -31,7 +31,14 @@ BROADCAST_BYTES = 32 << 20
 
 
 def words_of(text: Column) -> Column:
-    return F.array_remove(F.split(ascii_lower(F.coalesce(text, F.lit(""))), "[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"), "")
+    """Words in their own case. Lower-casing a text, by any rule, never moves their bounds."""
+    return F.array_remove(F.split(F.coalesce(text, F.lit("")), "[\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+"), "")
+
+
+def folded(text: Column) -> Column:
+    """Lower case whatever stands beside a letter: of all letters a capital sigma alone becomes
+    one of two by its place in the word."""
+    return F.replace(F.lower(text), F.lit("\u03c2"), F.lit("\u03c3"))
 
 
 def _fingerprint(words: Column, start: Column, length: Column | int) -> Column:
@@ -46,14 +53,15 @@ def benchmark_ngrams(benchmark: DataFrame, n: int = N) -> DataFrame:
     """(item, len, gram, bit), one row for each different window of an item."""
     items = own_columns(benchmark, "item_id", "text").select(
         F.coalesce(F.col("item_id").cast("string"), F.lit("null")).alias("item"),
-        words_of(F.col("text")).alias("w"),
+        words_of(F.col("text")).alias("own"),
+        words_of(folded(F.col("text"))).alias("w"),
     )
-    items = items.filter(F.size("w") > 0).select("item", "w", F.least(F.size("w"), F.lit(n)).alias("len"))
-    starts = items.select("item", "w", "len", F.explode(F.sequence(F.lit(1), F.size("w") - F.col("len") + 1)).alias("i"))
+    items = items.filter(F.size("w") > 0).select("item", "w", "own", F.least(F.size("w"), F.lit(n)).alias("len"))
+    starts = items.select("item", "w", "own", "len", F.explode(F.sequence(F.lit(1), F.size("w") - F.col("len") + 1)).alias("i"))
     return starts.select(
         "item",
         "len",
-        F.array_join(F.slice("w", F.col("i"), F.col("len")), " ").alias("gram"),
+        ascii_lower(F.array_join(F.slice("own", F.col("i"), F.col("len")), " ")).alias("gram"),
         _bit(_fingerprint(F.col("w"), F.col("i"), F.col("len"))).alias("bit"),
     ).distinct()
 
@@ -76,10 +84,10 @@ def _starts(set_bits: Column, length: int) -> Column:
 
 
 def _windows(length: int) -> Column:
-    """(p, len, gram) of those places."""
+    """(p, len, gram) of those places, with the words as they are compared."""
 
     def window(p: Column) -> Column:
-        gram = F.array_join(F.slice("w", p, length), " ")
+        gram = ascii_lower(F.array_join(F.slice("own", p, length), " "))
         return F.struct(p.alias("p"), F.lit(length).alias("len"), gram.alias("gram"))
 
     return F.transform(f"s{length}", window)
@@ -103,13 +111,13 @@ def hits(docs: DataFrame, benchmark: DataFrame, n: int = N) -> DataFrame:
     if (size[0] or 0) <= BROADCAST_BYTES:
         by_gram = F.broadcast(by_gram)
     keys = ["doc_id", "text_key", "n_words"]
-    d = own_columns(docs, "doc_id", "text").select("doc_id", "text", F.xxhash64("text").alias("text_key"), words_of(F.col("text")).alias("w"))
+    d = own_columns(docs, "doc_id", "text").select("doc_id", "text", F.xxhash64("text").alias("text_key"), words_of(folded(F.col("text"))).alias("w"))
     set_bits = F.lit(bitmap).cast("array<bigint>")
     d = d.select("doc_id", "text_key", "text", "w", *[_window_bits(ln).alias(f"b{ln}") for ln in lengths])
     d = d.select("doc_id", "text_key", "text", F.size("w").cast("long").alias("n_words"), *[_starts(set_bits, ln).alias(f"s{ln}") for ln in lengths])
     found = [_windows(ln) for ln in lengths]
     some = F.array_max(F.array(F.lit(0), *[F.coalesce(F.size(f"s{ln}"), F.lit(0)) for ln in lengths])) > 0
-    d = d.withColumn("w", F.when(some, words_of(F.col("text"))))
+    d = d.withColumn("own", F.when(some, words_of(F.col("text"))))
     if not found:
         none = F.array().cast("array<struct<p:int,len:int,item:string>>")
         return d.select(*keys, none.alias("found"))
