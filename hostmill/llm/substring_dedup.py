@@ -132,7 +132,8 @@ def chunks(docs: DataFrame) -> DataFrame:
                 apart = np.repeat(many, np.diff(np.append(at, len(m))))
                 what = np.where(later, GONE, np.where(apart, OPEN, CHUNK)).astype(np.int32)
                 deal = S.mix((c ^ m).view(np.uint64)).view(np.int64)
-                m = np.where(later, row, np.where(apart, deal, m))
+                by_document = S.mix((doc ^ row).view(np.uint64)).view(np.int64)  # copies share their row
+                m = np.where(later, by_document, np.where(apart, deal, m))
                 least, none = np.full(len(marked), NULL_ID), np.zeros(len(marked), np.int64)
                 cols = [np.append(x, y) for x, y in ((m, marked), (c, least), (doc, none), (row, none), (span, none), (what, none + MARK))]
                 yield pa.RecordBatch.from_arrays([pa.array(x.astype(t.to_pandas_dtype())) for x, t in zip(cols, _CHUNK_ARROW.types, strict=True)], schema=_CHUNK_ARROW)
