@@ -10,7 +10,7 @@ Parameters with a bound: ``DOCS_PER_LANG`` training documents of a language are
 with the lowest hashes of doc_id. Their whole texts are read; the words that most of them
 hold, then by name, are the dictionary, up to ``DICT_BYTES``, the most frequent last. More
 than ``MOST_LANGUAGES`` languages are refused. ``MARGIN`` was set on training documents of
-sf0.1: of those, 0.7 % score below it, and three in five of these are judged wrong.
+sf0.1 that are in no dictionary: of 1,860, 9 score below it and 3 of these are judged wrong.
 
 Defined cases: a null text or one without a letter is ``und`` with score 0; a text judged
 with no language learned is ``und`` too; with one language learned every text is of it, score
