@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import best_fit, bpe_count, decontaminate, feistel_shards, html_blocks, induced_suffixes, ngram_join, quality_ledger, substring_dedup, token_alignment, url_gbt, zstd_lang
+from . import best_fit, bpe_count, collocations, decontaminate, feistel_shards, html_blocks, induced_suffixes, ngram_join, quality_ledger, substring_dedup, token_alignment, url_gbt, zstd_lang
 
 
 def queries() -> dict:
@@ -19,6 +19,7 @@ def queries() -> dict:
         "op10_best_fit": best_fit.op10_best_fit,
         "op11_induced_suffixes": induced_suffixes.op11_induced_suffixes,
         "op12_token_alignment": token_alignment.op12_token_alignment,
+        "op13_trie_collocations": collocations.op13_trie_collocations,
     }
 
 
@@ -28,4 +29,5 @@ def oracle_sql() -> dict[str, str]:
         "op4_decontaminate": decontaminate.OP4_SQL,
         "op6_substring_dedup": substring_dedup.OP6_SQL,
         "op11_induced_suffixes": induced_suffixes.OP11_SQL,
+        "op13_trie_collocations": collocations.OP13_SQL,
     }
