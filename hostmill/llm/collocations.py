@@ -496,7 +496,7 @@ def op13_trie_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP13_SQL = r"""
 WITH p AS (SELECT coalesce(lang, 'und') AS lang, doc_id,
-             unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS x FROM documents),
+             unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^.,;:!?\x0A-\x0D]+')) AS x FROM documents),
 w AS (SELECT row_number() OVER () AS p, lang, regexp_extract_all(x, '[^\x20\x09]+') AS w FROM p),
 u AS (SELECT lang, p, unnest(w) AS w1, unnest(range(len(w))) AS i FROM w),
 t AS (SELECT lang, w1, lead(w1) OVER o AS w2, lead(w1, 2) OVER o AS w3 FROM u WINDOW o AS (PARTITION BY p ORDER BY i)),
@@ -505,9 +505,11 @@ g AS (SELECT lang, 1 AS k, w1 AS g, NULL AS g1, NULL AS h1, NULL AS g2, NULL AS
       UNION ALL SELECT lang, 3, w1 || ' ' || w2 || ' ' || w3, w1, w2 || ' ' || w3, w1 || ' ' || w2, w3 FROM t WHERE w3 IS NOT NULL),
 f AS (SELECT lang, k, g, any_value(g1) AS g1, any_value(h1) AS h1, any_value(g2) AS g2, any_value(h2) AS h2, count(*) AS f FROM g GROUP BY ALL HAVING k = 1 OR count(*) >= 10),
 n AS (SELECT lang, sum(f)::BIGINT AS n FROM f WHERE k = 1 GROUP BY 1),
-c AS (SELECT lang, k AS size, g, f, 1 AS k, g1 AS x, h1 AS y FROM f WHERE k > 1 UNION ALL SELECT lang, k, g, f, 2, g2, h2 FROM f WHERE k = 3),
+q AS (SELECT lang || chr(1) || g AS q, f FROM f WHERE k < 3),
+c AS (SELECT lang, k AS size, g, f, 1 AS k, lang || chr(1) || g1 AS x, lang || chr(1) || h1 AS y FROM f WHERE k > 1
+      UNION ALL SELECT lang, k, g, f, 2, lang || chr(1) || g2, lang || chr(1) || h2 FROM f WHERE k = 3),
 s AS (SELECT c.lang, c.size, c.g, c.f AS a, c.k, l.f AS l, r.f AS r, (1000000::HUGEINT * c.f * c.f) // (l.f::HUGEINT * r.f) AS score
-      FROM c JOIN f l ON l.lang = c.lang AND l.g = c.x JOIN f r ON r.lang = c.lang AND r.g = c.y),
+      FROM c JOIN q l ON l.q = c.x JOIN q r ON r.q = c.y),
 b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, g ORDER BY score, k) = 1),
 m AS (SELECT lang, g, max(f) AS m FROM (SELECT lang, g2 AS g, f FROM f WHERE k = 3 UNION ALL SELECT lang, h1, f FROM f WHERE k = 3) GROUP BY ALL),
 k AS (SELECT b.* FROM b LEFT JOIN m ON b.lang = m.lang AND b.g = m.g WHERE m.m IS NULL OR 100 * m.m < 50 * b.a),
