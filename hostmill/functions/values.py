@@ -10,9 +10,13 @@ _NUMBER = r"^[+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?$"
 _OCTET = "(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])"
 
 
+#: The characters that Unicode calls white space; fixed values.
+WHITE_SPACE = " \t\n\x0b\x0c\r\x85\xa0\u1680" + "".join(chr(c) for c in range(0x2000, 0x200B)) + "\u2028\u2029\u202f\u205f\u3000"
+
+
 def strip(text: Column) -> Column:
     """Without white space at both ends, line ends and tabs included."""
-    return F.btrim(text, F.lit(" \t\n\x0b\x0c\r"))
+    return F.btrim(text, F.lit(WHITE_SPACE))
 
 
 def finite_number(text: Column) -> Column:

@@ -7,25 +7,43 @@ from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StructType, VariantType
 
 from ..functions.values import int_or_zero
-from ..schema import BUILTIN_METRICS, EVENTS, METRIC_ROWS
+from ..schema import BUILTIN_METRICS, LOGGED_EVENTS, METRIC_ROWS
 
 KEEP_MONTHS = 4
 
 
 def flatten_events(events: DataFrame) -> DataFrame:
-    """One row per variable and aggregate; texts that are no integers become 0, and values
-    beyond 64 bits, which are null, stay out (``overflow_rejects``)."""
-    d = _values(events).filter("v IS NOT NULL")
-    return d.withColumn("value", int_or_zero(F.col("v").cast("string"))).drop("v")
+    """One row per variable and aggregate. Values beyond 64 bits of the library's own events,
+    which are null, stay out (``overflow_rejects``). Where ``data`` is a variant, entries that
+    are no objects give no rows and values that are no integers become one (``variant_int``)."""
+    d = _values(events)
+    if _is_logged(events):
+        return d.withColumn("value", variant_int(F.col("v"))).drop("v")
+    return d.filter("v IS NOT NULL").withColumn("value", int_or_zero(F.col("v").cast("string"))).drop("v")
+
+
+def _is_logged(events: DataFrame) -> bool:
+    return events.schema["data"].dataType == VariantType()
+
+
+def variant_int(value: Column) -> Column:
+    """Numbers without their fraction, held within 64 bits; truth as 1 and 0; texts of an
+    integer; 0 for all else."""
+    kind = F.schema_of_variant(value)
+    wide, text = F.try_variant_get(value, "$", "double"), F.try_variant_get(value, "$", "string")
+    number = F.when(wide >= 2.0**63, (1 << 63) - 1).when(wide < -(2.0**63), -(1 << 63)).otherwise(F.try_variant_get(value, "$", "bigint"))
+    read = F.when(kind == "STRING", F.when(text.rlike("^[+-]?[0-9]+$"), text.try_cast("bigint"))).when(kind == "BOOLEAN", F.try_variant_get(value, "$", "boolean").cast("bigint"))
+    return F.coalesce(read.when(kind.rlike("^(?:TINYINT|SMALLINT|INT|BIGINT|FLOAT|DOUBLE|DECIMAL.*)$"), number), F.lit(0).cast("bigint"))
 
 
 def _values(events: DataFrame) -> DataFrame:
     rest = [c for c in events.columns if c != "data"]
-    d = events.select(*rest, F.explode("data").alias("var", "aggs"))
-    return d.select(*rest, "var", F.explode("aggs").alias("agg", "v"))
+    entries = (lambda c: F.try_variant_get(c, "$", "map<string,variant>")) if _is_logged(events) else (lambda c: F.col(c))
+    d = events.select(*rest, F.explode(entries("data")).alias("var", "aggs"))
+    return d.select(*rest, "var", F.explode(entries("aggs")).alias("agg", "v"))
 
 
 def overflow_rejects(events: DataFrame) -> DataFrame:
@@ -80,9 +98,23 @@ def expired_days(rows: DataFrame, as_of: Column, months: int = KEEP_MONTHS) -> D
     return rows.select("metric", "day").distinct().filter(F.col("day") < limit)
 
 
+def _logged(spark: SparkSession, path: str, streaming: bool) -> DataFrame:
+    """``line`` and ``e``: each line as LOGGED_EVENTS, with ``bad`` where it is none."""
+    spark.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
+    lines = (spark.readStream if streaming else spark.read).text(path).withColumnRenamed("value", "line").filter("trim(line) <> ''")
+    return lines.withColumn("e", F.from_json("line", f"{LOGGED_EVENTS}, bad string", {"columnNameOfCorruptRecord": "bad"}))
+
+
 def read_events(spark: SparkSession, path: str, streaming: bool = False) -> DataFrame:
-    """Events logged as one JSON object a line."""
-    return (spark.readStream if streaming else spark.read).schema(EVENTS).json(path)
+    """Events logged as one JSON object a line, whoever wrote them; lines that can't be read, or
+    with a field that isn't of its type, stay out (``event_rejects``)."""
+    d = _logged(spark, path, streaming).filter("e IS NOT NULL AND e.bad IS NULL")
+    return d.select(*[f"e.{n}" for n in StructType.fromDDL(LOGGED_EVENTS).names])
+
+
+def event_rejects(spark: SparkSession, path: str, streaming: bool = False) -> DataFrame:
+    """The lines that ``read_events`` leaves out."""
+    return _logged(spark, path, streaming).filter("e IS NULL OR e.bad IS NOT NULL").select("line")
 
 
 def write_json_lines(df: DataFrame, path: str, mode: str = "append") -> None:
@@ -109,27 +141,91 @@ def fan_out(df: DataFrame, sinks: Sequence[Sink], batch: int = 0) -> None:
         raise first
 
 
+def writer_of(d: DataFrame) -> str:
+    """The identity of the stream whose batch runs here: it stays with the checkpoint over
+    restarts and differs for any other one. ``batch`` outside of streams."""
+    return d.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId") or "batch"
+
+
 def table_sink(root: str, made_from: Callable[[DataFrame], DataFrame] = lambda d: d) -> Sink:
-    """A folder per batch, replaced when a stream repeats the batch. ``made_from`` gives the rows
-    of this target, such as the pairs of netflow rows."""
+    """A folder per stream and batch, replaced when the stream repeats the batch. ``made_from``
+    gives the rows of this target, such as the pairs of netflow rows."""
 
     def write(d: DataFrame, batch: int) -> None:
-        made_from(d).write.mode("overwrite").parquet(f"{root}/batch={batch}")
+        made_from(d).write.mode("overwrite").parquet(f"{root}/writer={writer_of(d)}/batch={batch}")
 
     return write
 
 
 def metric_sink(root: str) -> Sink:
-    """Metric rows by metric, day and batch: what a stream repeats replaces what it wrote before."""
+    """Metric rows by metric, day, stream and batch: what a stream repeats replaces what it wrote
+    before, and nothing of another stream."""
 
     def write(d: DataFrame, batch: int) -> None:
         spread = F.pmod(F.xxhash64("host"), F.lit(64))
-        d = d.withColumn("batch", F.lit(batch)).repartition("metric", "day", spread).sortWithinPartitions("metric", "day", "dt", "host", "key")
-        d.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("metric", "day", "batch").parquet(root)
+        d = d.withColumns({"writer": F.lit(writer_of(d)), "batch": F.lit(batch)})
+        d = d.repartition("metric", "day", spread).sortWithinPartitions("metric", "day", "dt", "host", "key")
+        d.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("metric", "day", "writer", "batch").parquet(root)
 
     return write
 
 
+def compact_day(spark: SparkSession, root: str, metric: str, day: str, files: int = 4) -> int:
+    """Rewrite one finished day of a metric, whoever wrote it, into at most ``files`` sorted files;
+    the number of its rows. The rows lie aside, with the names of what they replace, before
+    anything goes: a call after a lost job first ends what that one began. Rows that come later
+    have folders of their own and stay."""
+    fs, folder = _folder(spark, f"{root}/metric={metric}/day={day}")
+    aside = f"{root}/.merging-{metric}-{day}"
+
+    def swap() -> None:
+        for r in spark.read.text(f"{aside}/_old").collect():
+            fs.delete(_folder(spark, r["value"])[1], True)
+        fs.rename(_folder(spark, aside)[1], _folder(spark, f"{folder}/writer=merged")[1])
+
+    if fs.exists(_folder(spark, f"{aside}/_old/_SUCCESS")[1]):
+        swap()
+    if not fs.exists(folder):
+        return 0
+    old = [(s.getPath().toString(),) for s in fs.listStatus(folder)]
+    d = spark.read.option("recursiveFileLookup", "true").parquet(folder.toString())
+    if any(not p.endswith("/writer=merged") for (p,) in old):
+        fs.delete(_folder(spark, aside)[1], True)
+        d.repartitionByRange(files, "dt", "host").sortWithinPartitions("dt", "host", "key").write.parquet(f"{aside}/batch=0")
+        spark.createDataFrame(old, "value string").coalesce(1).write.text(f"{aside}/_old")
+        swap()
+    return spark.read.option("recursiveFileLookup", "true").parquet(folder.toString()).count()
+
+
+def _folder(spark: SparkSession, path: str):
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
+
+
+def remove_expired(spark: SparkSession, root: str, as_of: Column, months: int = KEEP_MONTHS) -> list[tuple[str, str]]:
+    """Delete the day folders all of whose rows are past the retention; (metric, day) of each.
+    Only folder names are read."""
+    fs, folder = _folder(spark, root)
+    limit = spark.range(1).select(F.to_date(as_of.cast("timestamp") - F.make_interval(months=F.lit(months)))).first()[0]
+    gone = []
+    for m in [s.getPath() for s in fs.listStatus(folder) if s.getPath().getName().startswith("metric=")]:
+        for p in [s.getPath() for s in fs.listStatus(m) if s.getPath().getName().startswith("day=")]:
+            day = p.getName().split("=", 1)[1]
+            if day < str(limit) and fs.delete(p, True):
+                gone.append((m.getName().split("=", 1)[1], day))
+    return sorted(gone)
+
+
+def drop_expired_partitions(spark: SparkSession, table: str, as_of: Column, months: int = KEEP_MONTHS) -> list[str]:
+    """The same for a catalog table partitioned by day: its expired partitions are dropped."""
+    limit = spark.range(1).select(F.to_date(as_of.cast("timestamp") - F.make_interval(months=F.lit(months)))).first()[0]
+    days = sorted(r[0].split("=", 1)[1] for r in spark.sql(f"SHOW PARTITIONS {table}").collect())
+    gone = [d for d in days if d < str(limit)]
+    for d in gone:
+        spark.sql(f"ALTER TABLE {table} DROP IF EXISTS PARTITION (day = DATE '{d}')")
+    return gone
+
+
 def create_metric_tables(spark: SparkSession, database: str, names: Sequence[str] = BUILTIN_METRICS) -> list[str]:
     """A table with the METRIC_ROWS columns for each name, partitioned by day."""
     columns = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in StructType.fromDDL(METRIC_ROWS) if f.name != "metric")

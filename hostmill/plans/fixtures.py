@@ -75,11 +75,17 @@ def json_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def json_payloads_of(e: DataFrame) -> DataFrame:
-    """The events with ``payload``; every 17th and 19th is bad, in one of six ways."""
+    """The events with ``payload``; every 17th and 19th is bad, in one of six ways. Every fifth
+    says the same with names that repeat, capitals and other white space around."""
     good = F.concat(
         F.lit('{"key":"'), "event_type", F.lit('","data":{"value":'), F.col("value").cast("string"),
         F.lit(',"util":{"last":'), F.regexp_extract("props", "([0-9]+)", 1), F.lit('},"flag":true}}'),
     )
+    odd = F.concat(
+        F.lit('\xa0{"key":"none","key":"'), "event_type", F.lit('","data":{"value":"bad","util":7,"flag":false,"value":{"value":0,"VALUE":1,"value":'), F.col("value").cast("string"),
+        F.lit('},"util":{"LAST":'), F.regexp_extract("props", "([0-9]+)", 1), F.lit(',"Kind":"percent"}," flag ":true}}\u2003'),
+    )
+    good = F.when(F.col("event_id") % 5 == 1, odd).otherwise(good)
     bad = ['{"key":7,"data":{"value":1}}', '{"key":"x","data":"{\\"v\\":1}"}', '{"key":"x","data":{"v":{"value":"12"}}}', '{"key":"x","data":{"v":{"value":null,"last":3}}}', "{'key':'x','data':{'v':1}}"]
     seventeenth = F.get(F.array(*map(F.lit, bad)), (F.col("event_id") / 17).cast("int") % len(bad))
     payload = F.when(F.col("event_id") % 17 == 0, seventeenth).when(F.col("event_id") % 19 == 0, '{"key":"x"}').otherwise(good)
@@ -129,3 +135,17 @@ def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
         .otherwise(F.lit("0000000000000000000000000800"))
     )
     return d.select(F.concat(F.lit("h"), (F.col("l_suppkey") % 3).cast("string")).alias("host"), F.lit("eth0").alias("iface"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("seq"), F.unhex(hexed).alias("frame"))
+
+
+def foreign_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of an event log as another program may write it: values of all types, entries that
+    are no objects, repeated names; every 11th line is cut and every 13th has no object of data."""
+    e = read(spark, sf_dir, "events")
+    line = F.concat(
+        F.lit('{"dts":1700000000,"dt":1699999999000,"metric":"m","host":"h","more":{"x":1},"key":"'), F.col("event_id").cast("string"),
+        F.lit('","data":{"a":5,"c":[1],"d":null,"b":{"last":"7","p50":"x","p90":'), F.col("value").cast("string"),
+        F.lit(',"p99":-3.7,"t":true,"n":null,"o":{"z":1},"f":"3.5","w":1e30,"r":1,"r":2}}}'),
+    )
+    bare = F.concat(F.lit('{"dts":1700000000,"key":"'), F.col("event_id").cast("string"), F.lit('","data":9}'))
+    cut = F.substring(line, 1, 100)
+    return e.select(F.when(F.col("event_id") % 11 == 0, cut).when(F.col("event_id") % 13 == 0, bare).otherwise(line).alias("line"))

@@ -246,6 +246,12 @@ def _more() -> dict[str, str]:
         FROM events WHERE event_id % 17 <> 0 AND event_id % 19 <> 0)"""
     return {
         "event_log": _LONG + long,
+        "foreign_events": """WITH e AS (SELECT event_id AS i, value AS x FROM events)
+            SELECT CAST(i AS VARCHAR) AS key, 'b' AS var, unnest(['last', 'p50', 'p90', 'p99', 't', 'n', 'o', 'f', 'w', 'r']) AS agg,
+                   unnest([7, 0, trunc(x)::BIGINT, -3, 1, 0, 0, 0, 9223372036854775807, 2]) AS value, 1699999999000 AS dt, 1700000000::BIGINT AS dts
+            FROM e WHERE i % 11 <> 0 AND i % 13 <> 0 UNION ALL SELECT 'rejects', '', '', count(*), 0, 0 FROM e WHERE i % 11 = 0""",
+        "retention_removed": """SELECT substr(o_orderpriority, 1, 1) AS metric, CAST(date_trunc('month', o_orderdate) AS DATE) AS day, count(*)::BIGINT AS n, max(o_orderkey) AS most
+            FROM orders WHERE date_trunc('month', o_orderdate) >= DATE '1997-02-28' GROUP BY 1, 2""",
         "overflow_rejects": big + """ SELECT key, var, agg, count(*)::BIGINT AS n, CASE WHEN value IS NULL THEN 'rejects' ELSE 'rows' END AS "of" FROM r GROUP BY ALL""",
         "custom_source": f"""WITH {_V1} SELECT 'dc1' AS dc, concat('p', substr(host, 2, 1)) AS project, 'web' AS role, host, 'app' AS metric, count(*)::BIGINT AS n, max(raw) AS most
             FROM v1 GROUP BY host""",

@@ -327,6 +327,26 @@ def event_log(spark, d):
     return _long(store.flatten_events(store.read_events(spark, path)))
 
 
+def foreign_events(spark, d):
+    """Rows of a log that the library didn't write, and how many of its lines can't be read."""
+    path = fresh_path(spark, "log")
+    fx.foreign_events(spark, d).write.text(path)
+    rows = store.flatten_events(store.read_events(spark, path)).select("key", "var", "agg", "value", "dt", "dts")
+    bad = store.event_rejects(spark, path).agg(F.count(F.lit(1)).alias("value"))
+    none = F.lit(0).cast("bigint")
+    return rows.unionByName(bad.select(F.lit("rejects").alias("key"), F.lit("").alias("var"), F.lit("").alias("agg"), "value", none.alias("dt"), none.alias("dts")))
+
+
+def retention_removed(spark, d):
+    """Orders as metric rows by day, removed past the retention: what is left in the folders."""
+    root = fresh_path(spark, "orders")
+    o = fx.read(spark, d, "orders")
+    day = F.date_trunc("month", F.col("o_orderdate").cast("timestamp")).cast("date")
+    o.select(F.col("o_orderkey").alias("k"), F.col("o_orderpriority").substr(1, 1).alias("metric"), day.alias("day")).repartition("metric", "day").write.partitionBy("metric", "day").parquet(root)
+    store.remove_expired(spark, root, F.lit("1997-06-30 12:00:00").cast("timestamp"))
+    return spark.read.schema("k long, metric string, day date").parquet(root).groupBy("metric", "day").agg(F.count(F.lit(1)).alias("n"), F.max("k").alias("most"))
+
+
 def _long(rows: DataFrame) -> DataFrame:
     return rows.select("host", "key", "var", "agg", "value", "dt", "dts")
 
@@ -493,7 +513,7 @@ def queries() -> dict:
         kernel_rates, process_iops, base_disks, cpu_points, ram_swap_points, fs_points, proc_sections, kernel_capture, tcp_cc, flows_topn,
         packets_from_frames, netflow_pairs, pair_lookup, pair_search, latest_value, latest_values, recent_rows, delivery_audit, dt_audit,
         non_last_audit, host_ip_audit, throughput, retention_keep, route_roundtrip, fan_out_parity, stream_window, stream_zero_fill, stream_udp_flows,
-        event_log, overflow_rejects, custom_source, two_definitions, emit_filter, resampled, first_error, metric_tables, kinds, ipv6_pairs,
+        event_log, foreign_events, retention_removed, overflow_rejects, custom_source, two_definitions, emit_filter, resampled, first_error, metric_tables, kinds, ipv6_pairs,
         stream_disk_rates, stream_events, stream_known_events, stream_push, stream_fan_out, stream_pairs,
     ]
     return {f.__name__: f for f in named} | {"json_points": json_point_rows}

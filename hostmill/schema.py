@@ -10,6 +10,8 @@ EVENTS = (
     "dt bigint, dts bigint, metric string, dc string, host string, project string, role string, key string,"
     " data map<string,map<string,bigint>>, host_ip string"
 )
+#: Events as others may log them: what ``data`` holds is judged entry by entry.
+LOGGED_EVENTS = EVENTS.replace("map<string,map<string,bigint>>", "variant")
 METRIC_ROWS = (
     "dt timestamp, dts timestamp, dtv timestamp, dc string, host string, project string, role string, host_ip string,"
     " key string, var string, agg string, value bigint, metric string, day date"

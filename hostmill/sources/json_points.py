@@ -1,7 +1,12 @@
 """JSON payloads: an object or array of {key, data} items.
 
 One bad item rejects its whole payload. A payload is parsed once, into variants; the types and
-the numbers of its values are read from them. Names that repeat keep their last value.
+the numbers of its values are read from them. Names that repeat keep their last value, inside
+value objects too, whose fields are found whatever their case (of names that differ in case
+alone, the one in lower case counts).
+
+Variants refuse repeated names unless spark.sql.variant.allowDuplicateKeys is set: these
+functions set it in their session.
 """
 
 from __future__ import annotations
@@ -25,7 +30,8 @@ def with_items(df: DataFrame, payload: str) -> DataFrame:
     The text is parsed inside brackets of our own, so that anything after it shows as an error
     or as a second element.
     """
-    text = F.btrim(F.coalesce(payload, F.lit("")), F.lit(" \t\r\n"))
+    df.sparkSession.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
+    text = strip(F.coalesce(payload, F.lit("")))
     fits = F.octet_length(F.coalesce(payload, F.lit(""))) <= MAX_BYTES
     wrapped = F.concat(F.lit("["), text, F.lit("]"))
     one = F.when(fits & text.startswith("{"), F.from_json(wrapped, f"array<{_ITEM}>", _OPTIONS))
@@ -39,8 +45,18 @@ def _type(value: Column) -> Column:
     return F.schema_of_variant(value)
 
 
-def _within(value: Column, path: str) -> Column:
-    return F.try_variant_get(value, path, "variant")
+def _within(parts: Column, name: str) -> Column:
+    """A field of an object's sorted entries, whatever its case; upper case comes first."""
+    own = F.filter(parts, lambda e: F.lower(e["key"]) == name)
+    return F.try_element_at(F.transform(own, lambda e: e["value"]), F.lit(-1))
+
+
+def _last_of_each(entries: Column, name: str) -> Column:
+    """The entries without those whose name comes again later."""
+    names = F.transform(entries, lambda e: e[name])
+    backwards = F.reverse(names)
+    last = F.filter(entries, lambda e, k: F.array_position(backwards, e[name]) == F.size(names) - k)
+    return F.when(F.size(F.array_distinct(names)) < F.size(names), last).otherwise(entries)
 
 
 def _cells(data: Column) -> Column:
@@ -48,12 +64,13 @@ def _cells(data: Column) -> Column:
 
     Three passes, so that each value's type and parts are read once.
     """
-    typed = F.transform(F.map_entries(data), lambda e: F.struct(strip(e["key"]).alias("var"), e["value"].alias("v"), _type(e["value"]).alias("t")))
+    typed = F.transform(_last_of_each(F.map_entries(data), "key"), lambda e: F.struct(strip(e["key"]).alias("var"), e["value"].alias("v"), _type(e["value"]).alias("t")))
 
     def opened(c: Column) -> Column:
         has_parts = c["t"].startswith("OBJECT")
-        number = F.when(has_parts, F.coalesce(_within(c["v"], "$.value"), _within(c["v"], "$.last"))).otherwise(c["v"])
-        return F.struct(c["var"].alias("var"), c["t"].alias("t"), number.alias("n"), F.when(has_parts, _within(c["v"], "$.kind")).alias("kind"))
+        parts = F.when(has_parts, F.map_entries(F.try_variant_get(c["v"], "$", "map<string,variant>")))
+        number = F.when(has_parts, F.coalesce(_within(parts, "value"), _within(parts, "last"))).otherwise(c["v"])
+        return F.struct(c["var"].alias("var"), c["t"].alias("t"), number.alias("n"), _within(parts, "kind").alias("kind"))
 
     def read(c: Column) -> Column:
         is_flag = c["t"] == "BOOLEAN"
@@ -86,7 +103,7 @@ def points_from_json(df: DataFrame, payload: str) -> DataFrame:
     """The other columns with key, var, raw and is_percent, for every good payload."""
     rest = [c for c in df.columns if c != payload]
     d = _parsed(df, payload).filter("good").select(*rest, F.explode("point_sets").alias("p"))
-    d = d.select(*rest, strip(F.col("p.key")).alias("key"), F.explode("p.cells").alias("c"))
+    d = d.select(*rest, strip(F.col("p.key")).alias("key"), F.explode(_last_of_each(F.col("p.cells"), "var")).alias("c"))
     return d.select(*rest, "key", "c.var", "c.raw", "c.is_percent")
 
 
