@@ -44,7 +44,7 @@ LEAST = 10
 TOP = 2000
 #: Of a longer candidate's share that makes a phrase part of it.
 INSIDE_PERCENT = 50
-SLICE_BYTES = 16 << 20
+SLICE_BYTES = 6 << 20
 LEAST_BITS, MOST_BITS = 16, 27
 SHARD = 1 << 20
 DIGIT = 10
@@ -114,6 +114,7 @@ def slice_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, pa.Arra
     for batch in batches:
         for k in range(batch.num_rows):
             yield batch.column("lang")[k].as_py(), batch.column("words")[k].values, opened(batch.column("codes")[k].as_py(), np.int32).astype(np.int64)
+            pa.default_memory_pool().release_unused()  # workers live on, and so would the memory
 
 
 def prints(lang: str, words: pa.Array) -> np.ndarray:
@@ -204,9 +205,10 @@ def triples(slices: DataFrame, frequent: Bits) -> DataFrame:
             p = prints(lang, words)
             a, b = codes[:-1], codes[1:]
             key, pair = np.unique(a * len(p) + b, return_inverse=True)
+            pair = pair.astype(np.int32)
             may = cast.value.of(pair_print(p[key // len(p)], p[key % len(p)])) & (key // len(p) > 0) & (key % len(p) > 0)
             both = may[pair[:-1]] & may[pair[1:]]
-            found, n = np.unique(pair[:-1][both] * len(p) + codes[2:][both], return_counts=True)
+            found, n = np.unique(pair[:-1][both].astype(np.int64) * len(p) + codes[2:][both], return_counts=True)
             first, third = key[found // len(p)], found % len(p)
             yield from arrow_rows([p[first // len(p)], p[first % len(p)], p[third], n], "p1 p2 p3 n")
 
