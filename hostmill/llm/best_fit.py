@@ -10,9 +10,9 @@ rest; nothing is dropped. The length of a document is its tokens (as counted by
 and one separator, or the column given for it.
 
 Defined cases: a null or empty text has length 1, its separator; a null length counts as 1 too;
-repeated rows are packed each for itself, and rows that share a doc_id, null included, are dealt
-by their texts and places; equal lengths go in order of doc_id; an empty table gives no rows; only
-doc_id, text and the length are read, and other columns may have any names. The texts
+repeated rows are packed each for itself; rows are dealt by doc_id, text and, where both are the same,
+a number of the copy, and equal lengths go in that order, so that the bins are the same however the
+rows were split; an empty table gives no rows; only doc_id, text and the length are read, and other columns may have any names. The texts
 themselves are never shuffled.
 """
 
@@ -29,6 +29,8 @@ from .common import own_columns, table
 
 SIZES = (512, 1024, 2048, 4096)
 GROUP = 4000
+#: Copies of a row that are numbered at once.
+COPIES = 1 << 16
 
 
 def cost(size: int) -> float:
@@ -92,20 +94,26 @@ def place(docs: DataFrame, sizes=SIZES, group: int = GROUP, length: str | None =
     largest = max(sizes)
     d = own_columns(docs, "doc_id", "text", *([length] if length else []))
     n = F.greatest(F.coalesce(F.col(f"`{length}`"), F.lit(1)), F.lit(1)) if length else n_tokens(d) + 1
-    d = d.select("doc_id", F.xxhash64("text", F.monotonically_increasing_id()).alias("row"), n.cast("long").alias("n_tokens"))
+    # Equal rows are counted and numbered, so that nothing depends on how the scan was split.
+    d = d.select("doc_id", F.xxhash64("text").alias("row"), n.cast("long").alias("n_tokens"))
+    d = d.groupBy("doc_id", "row", "n_tokens").agg(F.count(F.lit(1)).alias("copies"))
+    zero = F.lit(0).cast("long")
+    d = d.withColumn("block", F.explode(F.sequence(zero, F.expr(f"(copies - 1) div {COPIES}"))))
+    within = F.sequence(zero, F.least(F.lit(COPIES).cast("long"), F.col("copies") - F.col("block") * COPIES) - 1)
+    d = d.withColumn("within", F.explode(within)).withColumn("copy", F.col("block") * COPIES + F.col("within"))
     n_pieces = F.ceil(F.col("n_tokens") / F.lit(largest)).cast("long")
-    d = d.select("doc_id", "row", "n_tokens", F.explode(F.sequence(F.lit(0).cast("long"), n_pieces - 1)).alias("piece"))
+    d = d.select("doc_id", "row", "copy", "n_tokens", F.explode(F.sequence(zero, n_pieces - 1)).alias("piece"))
     start = F.col("piece") * largest
-    d = d.select("doc_id", "row", "piece", start.alias("start"), F.least(F.col("n_tokens") - start, F.lit(largest).cast("long")).alias("length"))
+    d = d.select("doc_id", "row", "copy", "piece", start.alias("start"), F.least(F.col("n_tokens") - start, F.lit(largest).cast("long")).alias("length"))
     # No more pieces than this, as a token has a byte at least; they are dealt, so no group is hot.
     size = F.ceil((F.octet_length(F.coalesce("`text`", F.lit(""))) + 1) / F.lit(largest))
     size = F.ceil(F.col(f"`{length}`") / F.lit(largest)) if length else size
     pieces = docs.agg(F.sum(F.greatest(F.coalesce(size, F.lit(1)), F.lit(1))).alias("n")).first()["n"]
     groups = max(1, -(-(pieces or 0) // group))
-    deal = F.pmod(F.xxhash64("doc_id", "row", "piece"), F.lit(groups)).cast("int")
+    deal = F.pmod(F.xxhash64("doc_id", "row", "copy", "piece"), F.lit(groups)).cast("int")
 
     def run(rows: pa.Table) -> pa.Table:
-        rows = rows.sort_by([("length", "descending"), ("doc_id", "ascending"), ("piece", "ascending")])
+        rows = rows.sort_by([("length", "descending"), *((c, "ascending") for c in ("doc_id", "row", "copy", "piece"))])
         lengths = rows["length"].to_pylist()
         bins, offsets, final = pack(lengths, sizes)
         fill = [0] * len(final)
@@ -113,10 +121,10 @@ def place(docs: DataFrame, sizes=SIZES, group: int = GROUP, length: str | None =
             fill[b] += n
         for name, values in (("bin", bins), ("offset", offsets), ("bin_size", [final[b] for b in bins]), ("bin_fill", [fill[b] for b in bins])):
             rows = rows.append_column(name, pa.array(values, pa.int64()))
-        return rows
+        return rows.drop_columns(["row", "copy"])
 
     out = "doc_id long, piece long, start long, length long, bin_group int, bin long, offset long, bin_size long, bin_fill long"
-    return d.withColumn("bin_group", deal).drop("row").groupBy("bin_group").applyInArrow(run, out)
+    return d.withColumn("bin_group", deal).groupBy("bin_group").applyInArrow(run, out)
 
 
 def op10_best_fit(spark, sf_dir: str) -> DataFrame:

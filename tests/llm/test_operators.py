@@ -670,7 +670,26 @@ def test_bin_sizes_follow_what_is_left():
     assert best_fit.open_size(300, [-200, -10], 0) == 512
     assert best_fit.open_size(300, [-290] * 2, 0) == 1024
     assert best_fit.open_size(600, [-590, -500, -300], 0) == 2048
-    assert len({best_fit.pack([n] * 9)[2][0] for n in (300, 500, 1000, 1300, 3000)}) >= 3
+    # Costs: 592, 1152, 2368 and 5184. Nine pieces of a length, and the prices of the four sizes:
+    cases = {
+        300: 1024,  # 592/300 = 1.97, 1152/900 = 1.28, 2368/1800 = 1.32, 5184/2700 = 1.92
+        500: 1024,  # 592/500 = 1.184, 1152/1000 = 1.152, 2368/2000 = 1.184, 5184/4000 = 1.30
+        680: 2048,  # 1152/680 = 1.69, 2368/2040 = 1.16, 5184/4080 = 1.27
+        1000: 1024,  # 1152/1000 = 1.152, 2368/2000 = 1.184, 5184/4000 = 1.30
+        1300: 4096,  # 2368/1300 = 1.82, 5184/3900 = 1.33
+        3000: 4096,
+    }
+    for n, size in cases.items():
+        assert best_fit.pack([n] * 9)[2][0] == size
+    assert best_fit.pack([300])[2] == [512]  # 592/300 = 1.97 is all there is
+
+
+def test_packing_is_the_same_however_the_rows_are_split(spark, docs):
+    """Copies, and rows without a doc_id, fall into the same bins from any split."""
+    rows = docs.select("doc_id", "text").filter("length(text) < 3000")
+    rows = rows.unionByName(rows.filter("doc_id < 95")).unionByName(rows.withColumn("doc_id", F.lit(None).cast("long")))
+    found = [sorted(map(str, best_fit.place(rows.repartition(n), group=20).collect())) for n in (1, 5)]
+    assert found[0] == found[1]
 
 
 def test_packing_is_whole(docs, no_docs):
