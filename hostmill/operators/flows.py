@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.addresses import with_ipv6
+from ..functions.addresses import to_ipv6
 from ..functions.masks import any_mask
 from ..functions.values import address_text, flow_key, flow_parts, port_or_zero
 from ..plans.spec import MetricSpec
@@ -67,26 +67,24 @@ def flow_points(d: DataFrame, src: Column | None = None, dst: Column | None = No
 
 
 def netflow_pairs(rows: DataFrame) -> DataFrame:
-    """Last values of six-part keys, summed by tuple and window."""
+    """Last values of six-part keys, summed by tuple and window. Addresses are made canonical
+    first, so that different texts of one address meet."""
     d = rows.filter("agg = 'last'").withColumn("parts", flow_parts(F.col("key"))).filter(F.size("parts") == 6)
     base = ["dt", "dts", "dc", "host", "project", "role", "host_ip"]
     d = d.select(
         *base,
         F.get("parts", F.lit(0)).alias("iface"),
         F.get("parts", F.lit(1)).alias("proto"),
-        F.get("parts", F.lit(2)).alias("src_ip"),
+        to_ipv6(F.get("parts", F.lit(2))).alias("src_ip"),
         port_or_zero(F.get("parts", F.lit(3))).alias("src_port"),
-        F.get("parts", F.lit(4)).alias("dst_ip"),
+        to_ipv6(F.get("parts", F.lit(4))).alias("dst_ip"),
         port_or_zero(F.get("parts", F.lit(5))).alias("dst_port"),
         "var",
         "value",
     )
     total = [F.coalesce(F.sum(F.when(F.col("var") == v, F.col("value"))), F.lit(0)).cast("bigint").alias(v) for v in ("bytes", "packets", "flows")]
     tuple_ = ["iface", "proto", "src_ip", "src_port", "dst_ip", "dst_port"]
-    summed = d.groupBy(*base, *tuple_).agg(*total)
-    # Different texts of one address meet after they are made canonical.
-    canonical = with_ipv6(summed, "src_ip", "dst_ip")
-    return canonical.groupBy(*base, *tuple_).agg(*[F.sum(v).alias(v) for v in ("bytes", "packets", "flows")])
+    return d.groupBy(*base, *tuple_).agg(*total)
 
 
 def netflow_job(packets: DataFrame, spec: MetricSpec, masks: Iterable[str] = (), idle: int = IDLE, n: int = TOP) -> DataFrame:

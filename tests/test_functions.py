@@ -93,3 +93,30 @@ def test_ipv6(spark):
     got = with_ipv6(spark.createDataFrame(rows, "ip string, want string"), "ip").collect()
     assert len(got) == len(rows)
     assert all(r.ip == r.want for r in got)
+
+
+def test_ipv6_text_against_the_standard_library(spark):
+    """Random texts with zeros, dotted tails, zones and mistakes; no Python in the plan."""
+    import ipaddress
+    import random
+
+    rnd = random.Random(4)
+    texts = ["::", "1::", "::1", "1:2:3:4:5:6:7::", "::2:3:4:5:6:7:8", "1::2:3:4:5:6:7:8", ":::", "1:::2", "1::2::3", ":1", "1:", "::1.2.3.4", "::FFFF:1.2.3.4", "64:ff9b::192.0.2.33",
+             "1:2:3:4:5:6:1.2.3.4", "1.2.3.4::", "::1.2.3", "::1.2.3.256", "fe80::1%eth0", "0:0:1:0:0:0:1:0", "1:0:0:2:0:0:3:4", "00001::", "::g", "::1\n", "", "a", "::0:0", "0:0:0:0:0:ffff:102:304"]
+    for _ in range(1500):
+        parts = [rnd.choice(["0", "0", "0", "", "00a", "FFFF", "1", "12345", "x", "1.2.3.4"] if rnd.random() < 0.4 else ["0", "0", "0db8", "ffff", "1"]) for _ in range(rnd.choice([3, 7, 8, 8, 8, 9]))]
+        texts.append(":".join(parts))
+        if rnd.random() < 0.5:
+            k = rnd.randrange(len(texts[-1]))
+            texts[-1] = texts[-1][:k] + "::" + texts[-1][k:].lstrip(":")
+
+    def want(t):
+        try:
+            return str(ipaddress.IPv6Address(t)) if ":" in t and "%" not in t else "::"
+        except ValueError:
+            return "::"
+
+    d = with_ipv6(spark.createDataFrame([(t, t) for t in texts], "t string, ip string"), "ip")
+    assert "Python" not in d._jdf.queryExecution().toString()
+    bad = [(r.t, r.ip, want(r.t)) for r in d.collect() if r.ip != want(r.t)]
+    assert not bad, bad[:5]
