@@ -14,6 +14,7 @@ from pyspark.sql.window import Window
 
 from ..functions.values import average_or_zero, device_path, is_base_disk
 from .points import to_points
+from .window import joined
 
 
 def with_previous(
@@ -28,7 +29,7 @@ def with_previous(
     times = (snapshots if scrapes is None else scrapes).select(host, ts).distinct()
     w = Window.partitionBy(host).orderBy(ts)
     times = times.withColumn("scrape_no", F.row_number().over(w)).withColumn("before", F.lag(ts).over(w))
-    d = snapshots.join(times, [host, ts])
+    d = joined(snapshots, times, [host, ts])  # a host may be null
     e = Window.partitionBy(host, *entity).orderBy(ts)
     near = F.lag("scrape_no").over(e) == F.col("scrape_no") - 1
     d = d.withColumn("has_prev", F.coalesce(near, F.lit(False)))

@@ -1,8 +1,9 @@
 """Windows: points to aggregates, events and long rows.
 
-Two shuffles: one on worker, window, key and variable for the series, and one on worker,
-window and key for the events. A worker's window time is one row for a window, pre-aggregated
-from the points (or from the series, where their last samples count) and joined to the events.
+One scan and two shuffles: one on worker, window, key and variable for the series, and one of the
+series on worker and window, which gives the window's time and, without another, its events. Zeros
+for known series take two more: of the series by worker, key and variable, where the gap to the next
+window is filled, and of one row a worker for its last window.
 """
 
 from __future__ import annotations
@@ -72,22 +73,21 @@ def stored(aggregates: DataFrame, percentiles: Sequence[int]) -> DataFrame:
 def zero_filled(aggregates: DataFrame, send: str, percentiles: Sequence[int], by: Sequence[str], until: Column | None = None) -> DataFrame:
     """Every series in each window from its first one to the worker's last (or ``until``).
 
-    Windows without samples have 0 everywhere and a null first time.
+    Each window is followed by those up to the series' next one; these have 0 everywhere and a
+    null first time.
     """
-    known = aggregates.groupBy(*by, "key", "var").agg(
-        F.min("send_at").alias("from_"), F.max("send_at").alias("own_last"), F.max_by("is_percent", "send_at").alias("known_percent")
-    )
+    step = F.expr(f"interval {send}")
     if until is None:
         # The worker's last window, from one row a worker: no window over all its series.
-        last = known.groupBy(*by).agg(F.max("own_last").alias("to_"))
-        known = joined(known, last, by)
+        d = joined(aggregates, aggregates.groupBy(*by).agg(F.max("send_at").alias("to_")), by)
     else:
-        known = known.withColumn("to_", until)
-    grid = known.withColumn("send_at", F.explode(F.sequence("from_", "to_", F.expr(f"interval {send}"))))
-    grid = grid.select(*by, "key", "var", "send_at", "known_percent")
-    d = joined(grid, aggregates, [*by, "key", "var", "send_at"], "left")
-    zero = {c: F.coalesce(c, F.lit(0)) for c in ("n", "last", *[f"p{p}" for p in percentiles])}
-    return d.withColumns(zero | {"raw_max": F.coalesce("raw_max", F.lit(0.0)), "is_percent": F.coalesce("is_percent", "known_percent")}).drop("known_percent")
+        d = aggregates.withColumn("to_", until)
+    series_ = Window.partitionBy(*by, "key", "var").orderBy("send_at")
+    stop = F.coalesce(F.lead("send_at").over(series_) - step, F.greatest("send_at", "to_"))
+    d = d.withColumn("stop", stop).withColumn("slot", F.explode(F.sequence("send_at", "stop", step)))
+    own = F.col("slot") == F.col("send_at")
+    zero = {c: F.when(own, F.col(c)).otherwise(F.lit(0)) for c in ("n", "last", "raw_max", *[f"p{p}" for p in percentiles])}
+    return d.withColumns(zero | {"first_ts": F.when(own, F.col("first_ts")), "send_at": F.col("slot")}).drop("to_", "stop", "slot")
 
 
 def window_times(aggregates: DataFrame, by: Sequence[str]) -> DataFrame:
@@ -95,12 +95,6 @@ def window_times(aggregates: DataFrame, by: Sequence[str]) -> DataFrame:
     return aggregates.groupBy(*by, "send_at").agg(F.min("first_ts").alias("first_ts"))
 
 
-def first_times(points: DataFrame, send: str, by: Sequence[str]) -> DataFrame:
-    """The same from the points alone, pre-aggregated to a row for each worker and window."""
-    d = points.groupBy(*by, F.window("ts", send).alias("w")).agg(F.min("ts").alias("first_ts"))
-    return d.withColumn("send_at", F.col("w.end")).drop("w")
-
-
 def timed(d: DataFrame, fallback_ms: int) -> DataFrame:
     """dt (ms) and dts (s) from first_ts and send_at: the first time, or send - fallback, always
     below the send second."""
@@ -182,12 +176,13 @@ def window_events(points: DataFrame, spec: MetricSpec, by: Sequence[str]) -> Dat
     send = f"{spec.send} seconds"
     chosen = chosen_points(points, spec)
     agg = series(chosen, send, spec.percentiles, by, spec.last_only)
-    times = window_times(agg, by) if spec.last_only else first_times(chosen, send, by)
     if spec.zero_fill:
         agg = zero_filled(agg, send, spec.percentiles, by)
+    # A worker's series of one window meet for its time; their keys then lie together already.
+    first = F.min("first_ts").over(Window.partitionBy(*by, "send_at"))
     cells = F.collect_list(series_cell(spec.percentiles)).alias("cells")
-    made = stored(agg, spec.percentiles).groupBy(*by, "key", "send_at").agg(cells)
-    made = timed(joined(made, times, [*by, "send_at"], "left"), spec.fallback_ms)
+    made = stored(agg, spec.percentiles).withColumn("first_ts", first).groupBy(*by, "key", "send_at")
+    made = timed(made.agg(cells, F.min("first_ts").alias("first_ts")), spec.fallback_ms)
     return assembled(made, spec)
 
 

@@ -209,3 +209,40 @@ def test_audits(spark):
     got = audit.delivery_audit(df, 2).first()
     assert (got.delivered, got.rows_last, got.bad_dt, got.bad_ip, got.complete, got.duplicates) == (2, 3, 1, 1, True, True)
     assert audit.throughput(df.withColumn("metric", F.lit("m")), 0).first().rows_per_s == 0.0
+
+
+def plan_of(df):
+    import re
+
+    text = df._jdf.queryExecution().executedPlan().toString()
+    return len(re.findall(r"Exchange hashpartitioning", text)), len(re.findall(r"FileScan|Scan parquet", text))
+
+
+def test_windows_take_one_scan_and_few_shuffles(spark, data):
+    """Plain windows: one scan, two shuffles. Zeros: the worker's last window is one more pruned
+    scan, and two shuffles at most besides."""
+    from hostmill.operators import window
+    from hostmill.plans import fixtures as fx
+    from hostmill.plans.spec import MetricSpec
+
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        p = fx.samples(spark, data)
+        found = {}
+        for name, settings in {"plain": {}, "last only": {"percentiles": []}, "zeros": {"zero_fill": True}}.items():
+            spec = MetricSpec.of("app", send=21600, **{"percentiles": [50]} | settings)
+            found[name] = plan_of(window.window_events(p, spec, ["host"]))
+        assert found["plain"] == found["last only"] == (2, 1)
+        assert found["zeros"][0] <= 6 and found["zeros"][1] <= 2
+        print(found)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+
+
+def test_counters_of_a_null_host_are_kept(spark):
+    from hostmill.operators import counters
+
+    rows = [(h, "sda", f"2024-01-01 00:00:{s:02d}", s * 10.0) for h in (None, "h") for s in (0, 10)]
+    d = spark.createDataFrame(rows, "host string, dev string, at string, reads double").withColumn("ts", F.col("at").cast("timestamp"))
+    got = sorted((r.host or "", r.reads, r.prev_reads, r.seconds) for r in counters.with_previous(d, ["reads"], ["dev"]).collect())
+    assert got == [("", 0.0, None, 0.0), ("", 100.0, 0.0, 10.0), ("h", 0.0, None, 0.0), ("h", 100.0, 0.0, 10.0)]
