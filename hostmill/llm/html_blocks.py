@@ -47,6 +47,11 @@ LABELLED = (
     (2, 0.0, 2, 0.0, 2, 0.0, 0, 1, 1), (30, 0.1, 50, 0.0, 40, 0.0, 0, 1, 1), (5, 0.0, 60, 0.0, 15, 0.0, 0, 1, 1),
     (12, 0.3, 60, 0.0, 60, 0.0, 0, 1, 1), (4, 1.0, 60, 0.0, 60, 0.0, 0, 1, 1), (1, 1.0, 1, 0.0, 1, 0.0, 0, 1, 1),
     (3, 0.0, 0, 0.0, 0, 0.0, 0, 1, 1), (9, 0.0, 1, 1.0, 0, 0.0, 0, 1, 1), (6, 0.0, 1, 1.0, 1, 1.0, 0, 1, 1),
+    # titles and short lines of the article after a menu or a linked line
+    (2, 0.0, 1, 1.0, 30, 0.0, 0, 1, 1), (3, 0.0, 4, 1.0, 60, 0.0, 0, 1, 1), (1, 0.0, 2, 1.0, 80, 0.0, 0, 1, 1), (2, 0.0, 6, 1.0, 0, 0.0, 0, 1, 1),
+    (4, 0.0, 1, 1.0, 12, 0.0, 0, 1, 1), (5, 0.0, 3, 0.8, 20, 0.0, 0, 1, 1), (2, 0.0, 1, 1.0, 1, 1.0, 0, 1, 1), (1, 0.0, 5, 0.7, 3, 0.0, 0, 1, 1),
+    # the same without an article element: a short line before a long text is a title
+    (2, 0.0, 1, 1.0, 60, 0.0, 0, 0, 1), (3, 0.0, 1, 1.0, 80, 0.0, 0, 0, 1), (4, 0.0, 2, 1.0, 45, 0.0, 0, 0, 1), (1, 0.0, 1, 1.0, 120, 0.0, 0, 0, 1),
     # pages without an article element
     (60, 0.0, 5, 0.0, 70, 0.0, 0, 0, 1), (45, 0.1, 90, 0.0, 3, 1.0, 0, 0, 1), (30, 0.0, 50, 0.0, 40, 0.1, 0, 0, 1),
     (8, 0.0, 60, 0.0, 70, 0.0, 0, 0, 1), (2, 0.0, 60, 0.0, 70, 0.0, 0, 0, 1), (20, 0.0, 2, 1.0, 50, 0.0, 0, 0, 1),

@@ -260,6 +260,20 @@ def test_html_without_an_article_element(spark):
     assert html_blocks.extract(df).first().text == "\n".join([words.strip()] * 2)
 
 
+def test_titles_and_short_lines_after_menus_are_kept():
+    tree = html_blocks.grow(list(html_blocks.LABELLED))
+    menu = "<div><a href='/'>Home</a></div><div><a href='/n'>News today</a></div>"
+    long = "A long text of some words that goes on and on, with no link in it at all, so that it is told from menus by its words alone. " * 3
+    body = f"<h1>Short title</h1><p>{long}</p><p><a href='/x'>Read the other one</a></p><p>Then this.</p><p>{long}</p><p>End.</p>"
+    want = ["Short title", long.strip(), "Read the other one", "Then this.", long.strip(), "End."]
+    assert html_blocks.main_text(f"<nav><a href='/'>Home</a></nav><article>{body}</article>", tree).split("\n") == want
+    assert html_blocks.main_text(f"{menu}<article>{body}</article>{menu}", tree).split("\n") == want
+    assert html_blocks.main_text(f"{menu}<main>{body}</main>{menu}", tree).split("\n") == want
+    # without the element and without names, a title before a long text stays and the menu goes
+    got = html_blocks.main_text(f"{menu}<div><h2>Short title</h2><p>{long}</p></div>{menu}", tree).split("\n")
+    assert got == ["Short title", long.strip()]
+
+
 def test_html_tree_on_its_table():
     tree = html_blocks.grow(list(html_blocks.LABELLED))
     right = sum(html_blocks.judge(tree, r[:-1]) == r[-1] for r in html_blocks.LABELLED)
