@@ -63,7 +63,7 @@ class KnownSeries(StatefulProcessor):
 
 class PreviousScrapes(StatefulProcessor):
     """Per host: the counters of the scrape before the newest, and of the newest, whose rows may
-    still be coming. Rows of older scrapes are left out."""
+    still be coming. Rows of older scrapes come out marked ``late``, without a previous row."""
 
     def __init__(self, counters: list[str], entity: str, columns: list[str]):
         self.counters, self.entity, self.columns = counters, entity, columns
@@ -85,13 +85,15 @@ class PreviousScrapes(StatefulProcessor):
             for ts, scrape in d.groupby("ts", sort=True):
                 us = ts.value // 1000
                 if now is not None and us < now:
+                    none = {f"prev_{c}": pd.Series([None] * len(scrape), dtype="float64", index=scrape.index) for c in self.counters}
+                    out.append(scrape.assign(seconds=0.0, has_prev=False, late=True, **none))
                     continue
                 if us != now:
                     before, newest, at, now = newest, {}, now, us
                 seconds = 0.0 if at is None else (now - at) / 1e6
                 values = list(zip(*(scrape[c].astype(float) for c in self.counters), strict=True))
                 olds = [before.get(e) for e in scrape[self.entity]]
-                made = scrape.assign(seconds=seconds, has_prev=[o is not None for o in olds])
+                made = scrape.assign(seconds=seconds, has_prev=[o is not None for o in olds], late=False)
                 for k, c in enumerate(self.counters):
                     made[f"prev_{c}"] = pd.Series([None if o is None else o[k] for o in olds], dtype="float64", index=scrape.index)
                 newest.update(zip(scrape[self.entity], values, strict=True))

@@ -83,10 +83,12 @@ def _stored_cell(cell, percentiles: Sequence[int]):
 
 def with_previous(snapshots: DataFrame, names: Sequence[str], entity: str) -> DataFrame:
     """Counters of a stream of scrapes (host and ts) with those of the host's scrape before, as
-    ``counters.with_previous`` has them for a table: has_prev, prev_<counter> and seconds."""
+    ``counters.with_previous`` has them for a table: has_prev, prev_<counter> and seconds. Rows of
+    a scrape older than the newest seen have ``late``: they can't be matched any more, and whoever
+    reads the stream decides where they go."""
     cloudpickle.register_pickle_by_value(known)
     own = snapshots.schema.fields
-    more = StructType.fromDDL(", ".join(["seconds double", "has_prev boolean", *[f"prev_{c} double" for c in names]])).fields
+    more = StructType.fromDDL(", ".join(["seconds double", "has_prev boolean", "late boolean", *[f"prev_{c} double" for c in names]])).fields
     schema = StructType(own + more)
     state = known.PreviousScrapes(list(names), entity, schema.names)
     return snapshots.groupBy("host").transformWithStateInPandas(state, schema, "Append", "None")
@@ -98,7 +100,12 @@ def disk_points(snapshots: DataFrame) -> DataFrame:
     from ..functions.values import is_base_disk
 
     d = with_previous(snapshots, counters.DISK, "device").filter(is_base_disk(F.col("device")))
-    return counters.disk_values(d)
+    return counters.disk_values(d.filter("NOT late").drop("late"))
+
+
+def late_disk_rows(snapshots: DataFrame) -> DataFrame:
+    """The rows of late scrapes, which ``disk_points`` leaves out."""
+    return with_previous(snapshots, counters.DISK, "device").filter("late").select(*snapshots.columns)
 
 
 def to_sinks(stream: DataFrame, sinks: Sequence[store.Sink], checkpoint: str) -> None:

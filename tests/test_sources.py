@@ -209,3 +209,16 @@ def test_netflow_job_and_pairs(spark):
     raw = raw.withColumn("dt", F.timestamp_seconds(F.lit(1))).withColumn("dts", F.timestamp_seconds(F.lit(2)))
     r = flows.netflow_pairs(raw).collect()
     assert [(x.src_ip, x.src_port, x.dst_ip, x.dst_port, x["bytes"], x["packets"]) for x in r] == [("::1", 0, "::1", 0, 5, 0)]
+
+
+def test_rows_of_late_scrapes_are_kept_apart(spark, tmp_path):
+    """What comes after a newer scrape is marked, not lost."""
+    cols = "host string, ts timestamp, device string, inflight int, " + ", ".join(f"{c} bigint" for c in counters.DISK)
+    df = spark.createDataFrame([("h", at(s), "sda", 0, *[100 + s] * 8) for s in (0, 10, 20, 30)], cols)
+    df.filter("ts <> timestamp_seconds(10)").coalesce(1).write.parquet(f"{tmp_path}/0")
+    stream = lambda: spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").option("latestFirst", "false").parquet(str(tmp_path))
+    df.filter("ts = timestamp_seconds(10)").coalesce(1).write.parquet(f"{tmp_path}/1")
+    with streams.state_in_rocksdb(spark):
+        made = streams.run_to_end(streams.disk_points(stream())).filter("var = 'rx_bytes'").count()
+        late = streams.run_to_end(streams.late_disk_rows(stream())).collect()
+    assert made + len(late) == 4 and [r.ts for r in late] == [r.ts for r in df.filter("ts = timestamp_seconds(10)").collect()]

@@ -246,3 +246,14 @@ def test_counters_of_a_null_host_are_kept(spark):
     d = spark.createDataFrame(rows, "host string, dev string, at string, reads double").withColumn("ts", F.col("at").cast("timestamp"))
     got = sorted((r.host or "", r.reads, r.prev_reads, r.seconds) for r in counters.with_previous(d, ["reads"], ["dev"]).collect())
     assert got == [("", 0.0, None, 0.0), ("", 100.0, 0.0, 10.0), ("h", 0.0, None, 0.0), ("h", 100.0, 0.0, 10.0)]
+
+
+def test_delivery_counts_different_keys_by_bits(spark):
+    keys = ["0", "1", "1", "01", "32768", "32769", "999999999999999999", "1000000000000000000", "9" * 30, "x", "-1", ""]
+    cols = "key string, agg string, var string, dt timestamp, dts timestamp, host_ip string"
+    t = datetime(2024, 1, 1, tzinfo=timezone.utc)
+    d = spark.createDataFrame([(k, "last", "value", t, t, "::") for k in keys] + [("77", "p50", "value", t, t, "::")], cols)
+    (r,) = audit.delivery_audit(d, 8).collect()
+    assert (r.delivered, r.rows_last, r.rows_total, r.bad_dt, r.bad_ip, r.complete, r.duplicates) == (8, 9, 13, 13, 13, True, True)
+    (r,) = audit.delivery_audit(d.limit(0), 0).collect()
+    assert (r.delivered, r.rows_last, r.rows_total, r.complete, r.duplicates) == (0, 0, 0, True, False)
