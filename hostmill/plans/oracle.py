@@ -168,6 +168,8 @@ def oracle_sql() -> dict[str, str]:
             unnest([bytes, cnt, cnt]) AS value FROM v2""",
         "kernel_capture": f"""WITH {_V2} SELECT host, entity, d, cnt AS ctxt, bytes AS intr, 7::BIGINT AS softirq, cnt AS forks, 2::BIGINT AS procs_running, 0::BIGINT AS procs_blocked,
             0.5::DOUBLE AS load1, 2.0::DOUBLE AS load15 FROM v2 WHERE d % 5 <> 0""",
+        "kernel_rejects": f"WITH {_V2} SELECT host, entity, d FROM v2 WHERE d % 5 = 0",
+        "prometheus_rejects": "SELECT DISTINCT concat('h', user_id // 8) AS host, CAST(extract(day FROM ts) AS INT) AS d FROM events WHERE extract(day FROM ts) % 7 = 0",
         "tcp_cc": f"""WITH {_V2}, s AS (
               SELECT host, d, cnt + k AS tx, bytes % 1000 AS rx, k AS retrans, cnt AS cwnd
               FROM v2, (SELECT unnest([1, 3]) AS k), (SELECT unnest([1, 2]) AS copy)),

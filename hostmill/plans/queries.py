@@ -212,6 +212,18 @@ def kernel_capture(spark, d):
     return procfs.kernel_snapshots(t, "stat", "loadavg").select("host", "entity", "d", "ctxt", "intr", "softirq", "forks", "procs_running", "procs_blocked", "load1", "load15")
 
 
+def kernel_rejects(spark, d):
+    """Captures that lack a number the kernel metric needs."""
+    return procfs.kernel_rejects(fx.proc_texts(spark, d), "stat", "loadavg").select("host", "entity", "d")
+
+
+def prometheus_rejects(spark, d):
+    """Texts without a usable sample: every seventh day has comments and broken lines alone."""
+    empty = F.lit("# HELP x y\n# TYPE x counter\nx not_a_number\n{} 3\n")
+    t = fx.prometheus_payloads(spark, d).withColumn("payload", F.when(F.col("d") % 7 == 0, empty).otherwise(F.col("payload")))
+    return prometheus.prometheus_rejects(t, "payload", ["host", "d"]).select("host", "d")
+
+
 def tcp_cc(spark, d):
     t = fx.proc_texts(spark, d)
     one = procfs.tcp_socket_samples(t, "tcp", ["host", "ts"])
@@ -510,7 +522,7 @@ def queries() -> dict:
     named = [
         window_last_pct, window_last_only, window_zero_fill, window_dt, flatten_rows, filter_drop_vars, drop_event_key, drop_event_var,
         drop_event_numeric, process_threshold, json_rejects, prom_points, prom_short, prom_type_asof, disk_rates, net_rates, net_stack,
-        kernel_rates, process_iops, base_disks, cpu_points, ram_swap_points, fs_points, proc_sections, kernel_capture, tcp_cc, flows_topn,
+        kernel_rates, process_iops, base_disks, cpu_points, ram_swap_points, fs_points, proc_sections, kernel_capture, kernel_rejects, prometheus_rejects, tcp_cc, flows_topn,
         packets_from_frames, netflow_pairs, pair_lookup, pair_search, latest_value, latest_values, recent_rows, delivery_audit, dt_audit,
         non_last_audit, host_ip_audit, throughput, retention_keep, route_roundtrip, fan_out_parity, stream_window, stream_zero_fill, stream_udp_flows,
         event_log, foreign_events, retention_removed, overflow_rejects, custom_source, two_definitions, emit_filter, resampled, first_error, metric_tables, kinds, ipv6_pairs,
