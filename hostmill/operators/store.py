@@ -7,7 +7,7 @@ from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType, VariantType
+from pyspark.sql.types import StructType
 
 from ..functions.values import int_or_zero
 from ..schema import BUILTIN_METRICS, LOGGED_EVENTS, METRIC_ROWS
@@ -16,17 +16,10 @@ KEEP_MONTHS = 4
 
 
 def flatten_events(events: DataFrame) -> DataFrame:
-    """One row per variable and aggregate. Values beyond 64 bits of the library's own events,
-    which are null, stay out (``overflow_rejects``). Where ``data`` is a variant, entries that
-    are no objects give no rows and values that are no integers become one (``variant_int``)."""
-    d = _values(events)
-    if _is_logged(events):
-        return d.withColumn("value", variant_int(F.col("v"))).drop("v")
-    return d.filter("v IS NOT NULL").withColumn("value", int_or_zero(F.col("v").cast("string"))).drop("v")
-
-
-def _is_logged(events: DataFrame) -> bool:
-    return events.schema["data"].dataType == VariantType()
+    """One row per variable and aggregate; texts that are no integers become 0, and values
+    beyond 64 bits, which are null, stay out (``overflow_rejects``)."""
+    d = _values(events).filter("v IS NOT NULL")
+    return d.withColumn("value", int_or_zero(F.col("v").cast("string"))).drop("v")
 
 
 def variant_int(value: Column) -> Column:
@@ -39,11 +32,19 @@ def variant_int(value: Column) -> Column:
     return F.coalesce(read.when(kind.rlike("^(?:TINYINT|SMALLINT|INT|BIGINT|FLOAT|DOUBLE|DECIMAL.*)$"), number), F.lit(0).cast("bigint"))
 
 
+def judged_data(data: Column) -> Column:
+    """A variant as the map of maps that events have. Each entry is judged alone: those that are no
+    objects go, values become integers (``variant_int``); null where there is no object at all."""
+    of = lambda v: F.map_entries(F.try_variant_get(v, "$", "map<string,variant>"))
+    objects = F.filter(of(data), lambda e: F.schema_of_variant(e["value"]).startswith("OBJECT"))
+    inner = lambda v: F.map_from_entries(F.transform(of(v), lambda a: F.struct(a["key"], variant_int(a["value"]))))
+    return F.map_from_entries(F.transform(objects, lambda e: F.struct(e["key"], inner(e["value"]))))
+
+
 def _values(events: DataFrame) -> DataFrame:
     rest = [c for c in events.columns if c != "data"]
-    entries = (lambda c: F.try_variant_get(c, "$", "map<string,variant>")) if _is_logged(events) else (lambda c: F.col(c))
-    d = events.select(*rest, F.explode(entries("data")).alias("var", "aggs"))
-    return d.select(*rest, "var", F.explode(entries("aggs")).alias("agg", "v"))
+    d = events.select(*rest, F.explode("data").alias("var", "aggs"))
+    return d.select(*rest, "var", F.explode("aggs").alias("agg", "v"))
 
 
 def overflow_rejects(events: DataFrame) -> DataFrame:
@@ -109,7 +110,8 @@ def read_events(spark: SparkSession, path: str, streaming: bool = False) -> Data
     """Events logged as one JSON object a line, whoever wrote them; lines that can't be read, or
     with a field that isn't of its type, stay out (``event_rejects``)."""
     d = _logged(spark, path, streaming).filter("e IS NOT NULL AND e.bad IS NULL")
-    return d.select(*[f"e.{n}" for n in StructType.fromDDL(LOGGED_EVENTS).names])
+    d = d.select(*[f"e.{n}" for n in StructType.fromDDL(LOGGED_EVENTS).names])
+    return d.withColumn("data", judged_data(F.col("data")))
 
 
 def event_rejects(spark: SparkSession, path: str, streaming: bool = False) -> DataFrame:
