@@ -85,7 +85,10 @@ NET = ("bytes_sent", "bytes_recv", "packets_sent", "packets_recv", "errin", "err
 
 def net_iface_points(snapshots: DataFrame) -> DataFrame:
     """host, ts, iface and the NET counters to points by interface."""
-    d = with_previous(snapshots, NET, ["iface"])
+    return net_iface_values(with_previous(snapshots, NET, ["iface"]))
+
+
+def net_iface_values(d: DataFrame) -> DataFrame:
     return to_points(
         d,
         F.col("iface"),
@@ -122,7 +125,10 @@ STACK = {
 
 def net_stack_points(counters: DataFrame) -> DataFrame:
     """host, ts and the STACK counters to deltas under the key total."""
-    d = with_previous(counters, list(STACK), [])
+    return net_stack_values(with_previous(counters, list(STACK), []))
+
+
+def net_stack_values(d: DataFrame) -> DataFrame:
     return to_points(d, F.lit("total"), {name: delta(name) for name in STACK}).select("host", "ts", "key", "var", "raw", "is_percent")
 
 
@@ -131,21 +137,36 @@ KERNEL = ("ctxt", "intr", "softirq", "forks")
 
 def kernel_points(snapshots: DataFrame) -> DataFrame:
     """host, ts, loads, running and blocked processes and the KERNEL counters to one point."""
-    d = with_previous(snapshots, KERNEL, [])
+    return kernel_values(with_previous(snapshots, KERNEL, []))
+
+
+def kernel_values(d: DataFrame) -> DataFrame:
     gauges = {c: F.col(c) for c in ("load1", "load5", "load15", "procs_running", "procs_blocked")}
     rates = {f"{c}_per_sec": rate(delta(c)) for c in KERNEL}
     return to_points(d, F.lit("total"), gauges | rates).select("host", "ts", "key", "var", "raw", "is_percent")
 
 
+PROCESS = ("reads", "writes")
+
+
 def process_points(snapshots: DataFrame) -> DataFrame:
     """host, ts, pid, name, cpu_util, rss, ram_total, reads and writes to points by name.
 
     Processes of one name give one sample each, in order of pid (``seq``). Unreadable I/O
     counters count as 0.
     """
-    d = snapshots.filter(F.coalesce("name", F.lit("")) != "")
-    d = d.withColumns({c: F.coalesce(c, F.lit(0)) for c in ("reads", "writes")})
-    d = with_previous(d, ("reads", "writes"), ["pid"], scrapes=snapshots)
+    return process_values(with_previous(named_processes(snapshots), PROCESS, ["pid"], scrapes=snapshots))
+
+
+def named_processes(snapshots: DataFrame) -> DataFrame:
+    return readable_io(snapshots).filter(F.coalesce("name", F.lit("")) != "")
+
+
+def readable_io(snapshots: DataFrame) -> DataFrame:
+    return snapshots.withColumns({c: F.coalesce(c, F.lit(0)) for c in PROCESS})
+
+
+def process_values(d: DataFrame) -> DataFrame:
     d = d.withColumn("seq", F.col("pid").cast("bigint"))
     ram = F.when(F.col("ram_total") > 0, F.col("rss") / F.col("ram_total") * 100).otherwise(F.lit(0.0))
     values = {"cpu_util": F.col("cpu_util"), "ram_util": ram, "iops": rate(delta("reads") + delta("writes"))}

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterable
+from math import gcd
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -45,6 +46,30 @@ def flows(packets: DataFrame, scrape: str, idle: int = IDLE) -> DataFrame:
     )
 
 
+def flow_totals(packets: DataFrame, scrape: int, idle: int = IDLE) -> DataFrame:
+    """What ``flows`` gives, by aggregations alone, so that it runs over a stream (with a watermark
+    on ts) and a busy tuple is summed before any shuffle. Both times are whole seconds.
+
+    Packets are first summed in slots no longer than the idle time, inside which no flow can start
+    but at the first packet. A scrape then takes its own slots and those of the idle time before
+    it: whether a slot starts a flow is told by the packet before.
+    """
+    slot = f"{gcd(scrape, idle)} seconds"
+    us = F.unix_micros("ts")
+    d = packets.groupBy("host", *TUPLE, F.window("ts", slot).alias("slot")).agg(
+        F.min(us).alias("first"), F.max(us).alias("last"), F.sum("bytes").alias("bytes"), F.count(F.lit(1)).alias("packets"), F.count_if("tcp_start").alias("syns")
+    )
+    reach = F.window("slot", f"{scrape + idle} seconds", f"{scrape} seconds", f"{-idle % scrape} seconds").alias("w")
+    d = d.groupBy("host", *TUPLE, reach).agg(F.array_sort(F.collect_list(F.struct("first", "last", "bytes", "packets", "syns"))).alias("slots"))
+    start = F.col("w.end") - F.expr(f"interval {scrape} seconds")
+    slots = F.transform("slots", lambda s, i: s.withField("before", F.get(F.col("slots"), i - 1)["last"]))
+    d = d.withColumn("own", F.filter(slots, lambda s: s["first"] >= F.unix_micros(start))).filter("size(own) > 0")
+    total = lambda c: F.aggregate("own", F.lit(0).cast("bigint"), lambda a, s: a + F.coalesce(s[c], F.lit(0).cast("bigint"))).alias(c)
+    begun = F.size(F.filter("own", lambda s: s["before"].isNull() | (s["first"] - s["before"] >= idle * 1_000_000))).cast("bigint")
+    n = F.when(F.col("proto") == 6, total("syns")).when(F.col("proto") == 17, begun).otherwise(F.lit(0).cast("bigint"))
+    return d.select("host", *TUPLE, F.struct(start.alias("start"), F.col("w.end").alias("end")).alias("w"), total("bytes"), total("packets"), n.alias("flows"))
+
+
 def top_flows(d: DataFrame, n: int = TOP) -> DataFrame:
     """The n largest flows of a host and scrape: bytes, packets, then the tuple, IPv4 first."""
     order: list[Column] = [

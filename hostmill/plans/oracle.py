@@ -207,8 +207,8 @@ def oracle_sql() -> dict[str, str]:
         "stream_window": f"""WITH {_V1}, {_agg('1 day', (50, 90))}, m AS (SELECT epoch_us(max(ts)) / 1000000 AS at_s FROM events)
             SELECT host, key, var, dts, dt, n::BIGINT AS n, last, p50, p90 FROM a, m WHERE dts <= m.at_s""",
         "stream_zero_fill": f"""WITH {_V1}, {_agg('6 hours', ())}, m AS (SELECT epoch_us(max(ts)) / 1000000 AS at_s FROM events), c AS (SELECT a.* FROM a, m WHERE dts <= m.at_s),
-            k AS (SELECT host, key, var, min(dts) AS f FROM c GROUP BY 1, 2, 3), t AS (SELECT host, max(dts) AS t FROM c GROUP BY 1),
-            grid AS (SELECT host, key, var, unnest(range(f, t + 1, 21600)) AS dts FROM k JOIN t USING (host))
+            k AS (SELECT host, key, var, min(dts) AS f FROM c GROUP BY 1, 2, 3),
+            grid AS (SELECT host, key, var, unnest(range(f, floor(at_s)::BIGINT + 1, 21600)) AS dts FROM k, m)
             SELECT host, key, var, dts, coalesce(n, 0)::BIGINT AS n, coalesce(last, 0)::BIGINT AS last FROM grid LEFT JOIN c USING (host, key, var, dts)""",
         "stream_udp_flows": f"""WITH {_V3}, u AS (SELECT *, sum(starts::INT) OVER (PARTITION BY host, iface, src_ip, src_port, dst_ip, dst_port ORDER BY t, seq) AS f FROM st WHERE proto = 17),
             s AS (SELECT host, iface, src_port, src_ip, dst_ip, count(*)::BIGINT AS packets, sum(bytes)::BIGINT AS bytes, min(t)::BIGINT AS start, max(t) AS stop
@@ -217,11 +217,20 @@ def oracle_sql() -> dict[str, str]:
             FROM s WHERE stop + 10 <= (SELECT max(t) FROM v3 WHERE proto = 17)""",
     }
     found |= _more()
+    found["stream_silent_worker"] = f"""WITH {_V1}, vq AS (SELECT * REPLACE (CASE WHEN host = 'h3' AND ts >= TIMESTAMP '2024-01-15' THEN 'h4' ELSE host END AS host) FROM v1),
+        {_agg('6 hours', (), 'vq')}, {_CLOSED}, c AS (SELECT a.*, at_s FROM a, m WHERE dts <= m.at_s),
+        k AS (SELECT *, least(lead(dts) OVER (PARTITION BY host, key, var ORDER BY dts) - 21600, dts + 432000, floor(at_s)::BIGINT) AS t FROM c),
+        grid AS (SELECT host, key, var, unnest(range(dts, t + 1, 21600)) AS dts FROM k)
+        SELECT host, key, var, dts, coalesce(n, 0)::BIGINT AS n, coalesce(last, 0)::BIGINT AS last FROM grid LEFT JOIN c USING (host, key, var, dts)"""
+    found["stream_netflow"] = f"""WITH {_PAIRS} SELECT host, dts, iface, proto, src_ip, src_port, dst_ip, dst_port, bytes, packets, n_flows
+        FROM pr WHERE dts < (SELECT max(at_s) + 300 FROM top WHERE at_s + 300 <= (SELECT max(t) FROM v3))"""
     found["process_iops"] = (
         _deltas("ascii(entity)", "true")
         + f""", p AS (SELECT host, at_s, substr(entity, 1, 1) AS key, unnest(['cpu_util', 'ram_util', 'iops']) AS var, unnest([5, 25 / 200 * 100, {_rate("(dc + db)")}])::DOUBLE AS raw FROM x)
         SELECT host, at_s::BIGINT AS at_s, key, var, round(raw, 6) AS raw, var <> 'iops' AS is_percent FROM p"""
     )
+    for name in ("net_rates", "net_stack", "kernel_rates", "process_iops"):
+        found[f"stream_{name}"] = found[name]
     return found
 
 
@@ -232,8 +241,8 @@ def _known(cte: str, values: tuple[str, ...], fallback_ms: int, dropped: str = "
     """Rows of closed windows (CTE ``a``) with zeros for known series, without keys that are dropped."""
     grid = "".join(f", coalesce({v}, 0) AS {v}" for v in values)
     return f"""{cte}, c AS (SELECT a.* FROM a, m WHERE dts <= m.at_s),
-        k AS (SELECT host, key, var, min(dts) AS f FROM c GROUP BY 1, 2, 3), t AS (SELECT host, max(dts) AS t FROM c GROUP BY 1),
-        grid AS (SELECT host, key, var, unnest(range(f, t + 1, 21600)) AS dts FROM k JOIN t USING (host)), w AS (SELECT DISTINCT host, dts, dt FROM c),
+        k AS (SELECT host, key, var, min(dts) AS f FROM c GROUP BY 1, 2, 3),
+        grid AS (SELECT host, key, var, unnest(range(f, floor(at_s)::BIGINT + 1, 21600)) AS dts FROM k, m), w AS (SELECT DISTINCT host, dts, dt FROM c),
         z AS (SELECT grid.host, grid.key, grid.var, grid.dts, coalesce(w.dt, grid.dts * 1000 - {fallback_ms})::BIGINT AS dt{grid}
               FROM grid LEFT JOIN c USING (host, key, var, dts) LEFT JOIN w ON grid.host = w.host AND grid.dts = w.dts),
         bad AS (SELECT host, key, dts FROM z GROUP BY 1, 2, 3 HAVING bool_or({dropped}))

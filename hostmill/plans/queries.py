@@ -16,6 +16,8 @@ from .spec import MetricSpec
 
 DAY = 6 * 3600
 PCTS = (50, 90, 99)
+#: When one host falls silent in ``stream_silent_worker``: 2024-01-15.
+_HALF_TIME = 1705276800
 
 
 def _series(spark, d, percentiles=PCTS, send="6 hours"):
@@ -134,17 +136,30 @@ def disk_rates(spark, d):
     return _flat(counters.disk_points(_disks(fx.snapshots(spark, d))))
 
 
-def stream_disk_rates(spark, d):
-    """The same metric from a stream of the snapshots."""
+def _streamed(spark, snapshots: DataFrame, made) -> DataFrame:
+    """The points of a stream of the snapshots."""
     path = fresh_path(spark, "snapshots")
-    _disks(fx.snapshots(spark, d)).write.parquet(path)
+    snapshots.write.parquet(path)
     stream = spark.readStream.schema(spark.read.parquet(path).schema).parquet(path)
     with streams.state_in_rocksdb(spark):
-        return _flat(streams.run_to_end(streams.disk_points(stream)))
+        return _flat(streams.run_to_end(made(stream)))
+
+
+def stream_disk_rates(spark, d):
+    """The same metric from a stream of the snapshots."""
+    return _streamed(spark, _disks(fx.snapshots(spark, d)), streams.disk_points)
 
 
 def net_rates(spark, d):
-    return _flat(counters.net_iface_points(_counted(spark, d, counters.NET, iface=F.col("entity"))))
+    return _flat(counters.net_iface_points(_ifaces(spark, d)))
+
+
+def _ifaces(spark, d):
+    return _counted(spark, d, counters.NET, iface=F.col("entity"))
+
+
+def stream_net_rates(spark, d):
+    return _streamed(spark, _ifaces(spark, d), streams.net_iface_points)
 
 
 def _per_scrape(spark, d, names, **named):
@@ -158,14 +173,33 @@ def net_stack(spark, d):
     return _flat(counters.net_stack_points(_per_scrape(spark, d, counters.STACK)))
 
 
-def kernel_rates(spark, d):
+def stream_net_stack(spark, d):
+    return _streamed(spark, _per_scrape(spark, d, counters.STACK), streams.net_stack_points)
+
+
+def _kernels(spark, d):
     gauges = {"load1": F.lit(0.5), "load5": F.lit(1.0), "load15": F.lit(2.0), "procs_running": F.lit(3), "procs_blocked": F.lit(0)}
-    return _flat(counters.kernel_points(_per_scrape(spark, d, counters.KERNEL, **gauges)))
+    return _per_scrape(spark, d, counters.KERNEL, **gauges)
+
+
+def kernel_rates(spark, d):
+    return _flat(counters.kernel_points(_kernels(spark, d)))
+
+
+def stream_kernel_rates(spark, d):
+    return _streamed(spark, _kernels(spark, d), streams.kernel_points)
+
+
+def _processes(spark, d):
+    return _counted(spark, d, counters.PROCESS, pid=F.ascii("entity"), name=F.substring("entity", 1, 1), cpu_util=F.lit(5.0), rss=F.lit(25), ram_total=F.lit(200))
 
 
 def process_iops(spark, d):
-    s = _counted(spark, d, ("reads", "writes"), pid=F.ascii("entity"), name=F.substring("entity", 1, 1), cpu_util=F.lit(5.0), rss=F.lit(25), ram_total=F.lit(200))
-    return _flat(counters.process_points(s))
+    return _flat(counters.process_points(_processes(spark, d)))
+
+
+def stream_process_iops(spark, d):
+    return _streamed(spark, _processes(spark, d), streams.process_points)
 
 
 #: Device names that stand for the five event types.
@@ -459,31 +493,41 @@ def _sample_stream(spark, d):
 
 
 def stream_window(spark, d):
-    return streams.run_to_end(streams.window_series(_sample_stream(spark, d), "1 day", (50, 90), ["host"]))
+    return streams.run_to_end(streams.window_series(_sample_stream(spark, d), "1 day", (50, 90), ["host"], "0 seconds"))
 
 
 def stream_zero_fill(spark, d):
     with streams.state_in_rocksdb(spark):
-        return streams.run_to_end(streams.known_series(_sample_stream(spark, d), DAY))
+        return streams.run_to_end(streams.known_series(_sample_stream(spark, d), DAY, "0 seconds"))
+
+
+def stream_silent_worker(spark, d):
+    """One host's samples come from another after half of the time: its series go on with zeros up
+    to the watermark, and end when they have had no sample for five days."""
+    e = _sample_stream(spark, d)
+    moved = (F.col("host") == "h3") & (F.col("ts") >= F.timestamp_seconds(F.lit(_HALF_TIME)))
+    p = e.withColumn("host", F.when(moved, "h4").otherwise(F.col("host")))
+    with streams.state_in_rocksdb(spark):
+        return streams.run_to_end(streams.known_series(p, DAY, "0 seconds", 5 * 86400))
 
 
 def stream_udp_flows(spark, d):
     rows = fx.packets_of(streams.table_stream(spark, d, "lineitem"))
-    r = streams.run_to_end(streams.udp_flows(rows, 10))
+    r = streams.run_to_end(streams.udp_flows(rows, 10, "0 seconds"))
     return r.select("host", "iface", "src_port", "packets", "bytes", F.unix_seconds("start").alias("start"), F.hex("src_addr").alias("src"), F.hex("dst_addr").alias("dst"))
 
 
 def stream_events(spark, d):
     """The whole window job over a stream: masks, thresholds, drop rules, percentiles, rows."""
     spec = MetricSpec("app", 5, DAY, PCTS, drop=("k_x*",), thresholds={"value": 100.0}, drop_event=("key=error",))
-    return _long(store.flatten_events(streams.run_to_end(streams.window_events(_sample_stream(spark, d), spec, ["host"]))))
+    return _long(store.flatten_events(streams.run_to_end(streams.window_events(_sample_stream(spark, d), spec, ["host"], "0 seconds"))))
 
 
 def stream_known_events(spark, d):
     """The whole job with zeros for known series, by percentiles; dt of empty windows is told by the scrape."""
     spec = MetricSpec("app", 5, DAY, (50,), zero_fill=True, drop_event=("k_util>90",))
     with streams.state_in_rocksdb(spark):
-        return _long(store.flatten_events(streams.run_to_end(streams.window_events(_sample_stream(spark, d), spec, ["host"]))))
+        return _long(store.flatten_events(streams.run_to_end(streams.window_events(_sample_stream(spark, d), spec, ["host"], "0 seconds"))))
 
 
 def stream_push(spark, d):
@@ -493,13 +537,13 @@ def stream_push(spark, d):
     p = json_points.points_from_json(p, "payload")
     spec = MetricSpec("app", DAY, DAY, (), push=True, zero_fill=True, keep=("util",))
     with streams.state_in_rocksdb(spark):
-        return _long(store.flatten_events(streams.run_to_end(streams.window_events(p, spec, ["host"]))))
+        return _long(store.flatten_events(streams.run_to_end(streams.window_events(p, spec, ["host"], "0 seconds"))))
 
 
 def stream_fan_out(spark, d):
     """Micro-batches to metric tables and to a plain target."""
     one, two = fresh_path(spark, "target"), fresh_path(spark, "target")
-    events = streams.window_events(_sample_stream(spark, d), MetricSpec("app", 5, DAY, (50,)), ["host"])
+    events = streams.window_events(_sample_stream(spark, d), MetricSpec("app", 5, DAY, (50,)), ["host"], "0 seconds")
     rows = store.stamp(store.flatten_events(events), F.timestamp_seconds(F.lit(0))).withColumn("metric", F.col("key"))
     streams.to_sinks(rows, [store.metric_sink(one), store.table_sink(two)], fresh_path(spark, "state"))
     return audit.target_parity({"one": store.read_metric(spark, one), "two": spark.read.parquet(two)})
@@ -511,13 +555,27 @@ def stream_pairs(spark, d):
     path, root = fresh_path(spark, "points"), fresh_path(spark, "pairs")
     t.write.parquet(path)
     p = spark.readStream.schema(t.schema).parquet(path)
-    events = streams.window_events(p, MetricSpec("netflow", 300, 3600, ()), ["host"])
+    events = streams.window_events(p, MetricSpec("netflow", 300, 3600, ()), ["host"], "0 seconds")
     rows = store.stamp(store.flatten_events(events), F.timestamp_seconds(F.lit(0)))
     streams.to_sinks(rows, [store.table_sink(root, flows.netflow_pairs)], fresh_path(spark, "state"))
-    r = spark.read.parquet(root)
+    return _pair_rows(spark.read.parquet(root))
+
+
+def _pair_rows(r: DataFrame) -> DataFrame:
     return r.select("host", F.unix_seconds("dts").alias("dts"), "iface", "proto", "src_ip", "src_port", "dst_ip", "dst_port", "bytes", "packets", F.col("flows").alias("n_flows"))
 
 
+def stream_netflow(spark, d):
+    """The whole netflow job over a stream of packets: starts, totals, the largest, pairs."""
+    tops, root = fresh_path(spark, "tops"), fresh_path(spark, "pairs")
+    spec = MetricSpec("netflow", 300, 3600, ())
+    packets = fx.packets_of(streams.table_stream(spark, d, "lineitem"))
+    streams.netflow_tops(packets, spec, tops, fresh_path(spark, "state"), "0 seconds", ["eth*"])
+    found = spark.readStream.schema(spark.read.parquet(tops).schema).parquet(tops)
+    streams.netflow_pairs(found, spec, root, fresh_path(spark, "state"), "0 seconds")
+    return _pair_rows(spark.read.parquet(root))
+
+
 def queries() -> dict:
     named = [
         window_last_pct, window_last_only, window_zero_fill, window_dt, flatten_rows, filter_drop_vars, drop_event_key, drop_event_var,
@@ -526,6 +584,7 @@ def queries() -> dict:
         packets_from_frames, netflow_pairs, pair_lookup, pair_search, latest_value, latest_values, recent_rows, delivery_audit, dt_audit,
         non_last_audit, host_ip_audit, throughput, retention_keep, route_roundtrip, fan_out_parity, stream_window, stream_zero_fill, stream_udp_flows,
         event_log, foreign_events, retention_removed, overflow_rejects, custom_source, two_definitions, emit_filter, resampled, first_error, metric_tables, kinds, ipv6_pairs,
-        stream_disk_rates, stream_events, stream_known_events, stream_push, stream_fan_out, stream_pairs,
+        stream_disk_rates, stream_events, stream_known_events, stream_push, stream_fan_out, stream_pairs, stream_netflow,
+        stream_net_rates, stream_net_stack, stream_kernel_rates, stream_process_iops, stream_silent_worker,
     ]
     return {f.__name__: f for f in named} | {"json_points": json_point_rows}

@@ -10,100 +10,142 @@ from pyspark.sql.streaming import StatefulProcessor
 
 
 class KnownSeries(StatefulProcessor):
-    """Per worker: every series seen so far, and the last window's end.
+    """Per worker: every series seen so far with the last window it had samples in, and the last
+    window's end.
 
     A row comes for each closed window with samples, holding its aggregates. It goes on with
-    those and a zero for each known series it lacks; windows without any row, between the last
-    one and this, are made of zeros. What comes out is one row for a window and key.
+    those and a zero for each known series it lacks. Windows without any row are made of zeros:
+    those before the next row when it comes, those of a silent worker by a timer, as soon as the
+    watermark passes their end. What comes out is one row for a window and key, a frame a window.
+
+    ``forget_us``: a series without samples for longer ends, and a worker without series has no
+    timer. None keeps them for good.
     """
 
-    def __init__(self, by: list[str], send_us: int, names: list[str]):
-        self.by, self.send, self.names = by, send_us, names
+    def __init__(self, by: list[str], send_us: int, names: list[str], forget_us: int | None = None):
+        self.by, self.send, self.names, self.forget = by, send_us, names, forget_us
 
     def init(self, handle) -> None:
-        self.known = handle.getMapState("known", "key string, var string", "percent boolean")
+        self.handle = handle
+        self.known = handle.getMapState("known", "key string, var string", "percent boolean, seen bigint")
         self.last = handle.getValueState("last", "end bigint")
 
-    def _window(self, worker, end: int, first, have: dict, known: dict) -> Iterator[tuple]:
-        zero = [0.0] * len(self.names)
+    def _alarm(self, end: int) -> int:
+        # Timers before the watermark ring; a window is closed at its end, hence the millisecond less.
+        return (end + self.send) // 1000 - 1
+
+    def _window(self, worker, end: int, first, have: dict, known: dict) -> Iterator[pd.DataFrame]:
+        if self.forget is not None:
+            for name in [n for n, (_, seen) in known.items() if end - seen > self.forget]:
+                del known[name]
+                self.known.removeKey(name)
+        zero = dict.fromkeys(self.names, 0.0)
         by_key: dict[str, list] = {}
-        for (key, var), percent in sorted(known.items()):
-            values = have.get((key, var))
-            cell = {"var": var, "is_percent": percent, "n": 0, **dict(zip(self.names, zero, strict=True))} if values is None else values
-            by_key.setdefault(key, []).append(cell)
-        for key, cells in by_key.items():
-            yield (*worker, pd.Timestamp(end, unit="us"), first, key, cells)
+        for (key, var), (percent, _) in sorted(known.items()):
+            by_key.setdefault(key, []).append(have.get((key, var)) or {"var": var, "is_percent": percent, "n": 0, **zero})
+        rows = [(*worker, pd.Timestamp(end, unit="us"), first, key, cells) for key, cells in by_key.items()]
+        if rows:
+            yield pd.DataFrame(rows, columns=[*self.by, "send_at", "first_ts", "key", "cells"])
+
+    def _held(self) -> tuple[dict, int | None]:
+        known = {tuple(k): (bool(v[0]), v[1]) for k, v in self.known.iterator()}
+        return known, self.last.get()[0] if self.last.exists() else None
 
     def handleInputRows(self, worker, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        known = {tuple(k): bool(v[0]) for k, v in self.known.iterator()}
-        last = self.last.get()[0] if self.last.exists() else None
+        known, last = self._held()
+        if last is not None:
+            self.handle.deleteTimer(self._alarm(last))
         windows = [(r.send_at.value // 1000, r.first_ts, r.cells) for batch in rows for r in batch.itertuples(index=False)]
-        out = []
         for end, first, cells in sorted(windows, key=lambda w: w[0]):
-            while last is not None and last + self.send < end:
+            while known and last is not None and last + self.send < end:
                 last += self.send
-                out += self._window(worker, last, None, {}, known)
+                yield from self._window(worker, last, pd.NaT, {}, known)
             have = {}
             for c in cells:
                 c = c.asDict() if hasattr(c, "asDict") else dict(c)
                 name = (c.pop("key"), c["var"])
                 have[name] = c
-                if known.get(name) != bool(c["is_percent"]):
-                    known[name] = bool(c["is_percent"])
-                    self.known.updateValue(name, (known[name],))
-            out += self._window(worker, end, first, have, known)
+                known[name] = (bool(c["is_percent"]), end)
+                self.known.updateValue(name, known[name])
+            yield from self._window(worker, end, first, have, known)
             last = end
         if last is not None:
             self.last.update((last,))
-        yield pd.DataFrame(out, columns=[*self.by, "send_at", "first_ts", "key", "cells"])
+            self.handle.registerTimer(self._alarm(last))
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        """The worker's empty windows up to the watermark."""
+        known, last = self._held()
+        closed = timerValues.getCurrentWatermarkInMs() * 1000
+        while known and last + self.send <= closed:
+            last += self.send
+            yield from self._window(key, last, pd.NaT, {}, known)
+        self.last.update((last,))
+        if known:
+            self.handle.registerTimer(self._alarm(last))
 
     def close(self) -> None:
         pass
 
 
 class PreviousScrapes(StatefulProcessor):
-    """Per host: the counters of the scrape before the newest, and of the newest, whose rows may
-    still be coming. Rows of older scrapes come out marked ``late``, without a previous row."""
+    """Per host: the times of the newest scrape and the one before, and of each entity its counters
+    in its last scrape and the one before that (rows of the newest may still be coming).
+
+    Only entities of the batch are written, and those in neither of the two scrapes removed. Rows
+    of older scrapes come out marked ``late``, without a previous row; a null entity makes a scrape
+    and nothing else.
+    """
 
     def __init__(self, counters: list[str], entity: str, columns: list[str]):
         self.counters, self.entity, self.columns = counters, entity, columns
 
     def init(self, handle) -> None:
-        values = ", ".join(f"c{k} double" for k in range(len(self.counters)))
-        self.before = handle.getMapState("before", "entity string", values)
-        self.newest = handle.getMapState("newest", "entity string", values)
+        values = ", ".join(f"at{i} bigint, " + ", ".join(f"c{i}_{k} double" for k in range(len(self.counters))) for i in (0, 1))
+        self.seen = handle.getMapState("seen", "entity string", values)
         self.times = handle.getValueState("times", "before bigint, newest bigint")
 
+    def _with_old(self, scrape: pd.DataFrame, olds: list, **more) -> pd.DataFrame:
+        made = scrape.assign(has_prev=[o is not None for o in olds], **more)
+        for k, c in enumerate(self.counters):
+            made[f"prev_{c}"] = pd.Series([None if o is None else o[k] for o in olds], dtype="float64", index=scrape.index)
+        return made
+
     def handleInputRows(self, host, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         batches = [b for b in rows if len(b)]
-        out = []
-        if batches:
-            d = pd.concat(batches).sort_values(["ts", self.entity], kind="stable")
-            at, now = (self.times.get() if self.times.exists() else (None, None))
-            before = {k[0]: tuple(v) for k, v in self.before.iterator()}
-            newest = {k[0]: tuple(v) for k, v in self.newest.iterator()}
-            for ts, scrape in d.groupby("ts", sort=True):
-                us = ts.value // 1000
-                if now is not None and us < now:
-                    none = {f"prev_{c}": pd.Series([None] * len(scrape), dtype="float64", index=scrape.index) for c in self.counters}
-                    out.append(scrape.assign(seconds=0.0, has_prev=False, late=True, **none))
+        if not batches:
+            return
+        d = pd.concat(batches).sort_values(["ts", self.entity], kind="stable")
+        at, now = self.times.get() if self.times.exists() else (None, None)
+        m = len(self.counters) + 1
+        held = {k[0]: (tuple(v[:m]), tuple(v[m:])) for k, v in self.seen.iterator()}
+        changed, none, out = set(), (None,) * m, []
+        for ts, scrape in d.groupby("ts", sort=True):
+            us = ts.value // 1000
+            if now is not None and us < now:
+                out.append(self._with_old(scrape, [None] * len(scrape), seconds=0.0, late=True))
+                continue
+            if us != now:
+                at, now = now, us
+            olds = []
+            for e, *values in zip(scrape[self.entity], *(scrape[c].astype(float) for c in self.counters), strict=True):
+                if e is None:
+                    olds.append(None)
                     continue
-                if us != now:
-                    before, newest, at, now = newest, {}, now, us
-                seconds = 0.0 if at is None else (now - at) / 1e6
-                values = list(zip(*(scrape[c].astype(float) for c in self.counters), strict=True))
-                olds = [before.get(e) for e in scrape[self.entity]]
-                made = scrape.assign(seconds=seconds, has_prev=[o is not None for o in olds], late=False)
-                for k, c in enumerate(self.counters):
-                    made[f"prev_{c}"] = pd.Series([None if o is None else o[k] for o in olds], dtype="float64", index=scrape.index)
-                newest.update(zip(scrape[self.entity], values, strict=True))
-                out.append(made)
-            for state, held in ((self.before, before), (self.newest, newest)):
-                state.clear()
-                for k, v in held.items():
-                    state.updateValue((k,), v)
-            self.times.update((at, now))
-        yield pd.concat(out)[self.columns] if out else pd.DataFrame(columns=self.columns)
+                last, before = held.get(e, (none, none))
+                if last[0] != now:
+                    before = last
+                held[e] = ((now, *values), before)
+                changed.add(e)
+                olds.append(before[1:] if at is not None and before[0] == at else None)
+            out.append(self._with_old(scrape, olds, seconds=0.0 if at is None else (now - at) / 1e6, late=False))
+        for e, (last, before) in held.items():
+            if last[0] not in (at, now):
+                self.seen.removeKey((e,))
+            elif e in changed:
+                self.seen.updateValue((e,), (*last, *before))
+        self.times.update((at, now))
+        yield pd.concat(out)[self.columns]
 
     def close(self) -> None:
         pass

@@ -220,5 +220,5 @@ def test_rows_of_late_scrapes_are_kept_apart(spark, tmp_path):
     df.filter("ts = timestamp_seconds(10)").coalesce(1).write.parquet(f"{tmp_path}/1")
     with streams.state_in_rocksdb(spark):
         made = streams.run_to_end(streams.disk_points(stream())).filter("var = 'rx_bytes'").count()
-        late = streams.run_to_end(streams.late_disk_rows(stream())).collect()
+        late = streams.run_to_end(streams.late_rows(stream(), counters.DISK, ["device"])).collect()
     assert made + len(late) == 4 and [r.ts for r in late] == [r.ts for r in df.filter("ts = timestamp_seconds(10)").collect()]

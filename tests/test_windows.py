@@ -197,7 +197,7 @@ def test_streams_take_nan_and_null(spark, tmp_path):
     d.write.parquet(f"{tmp_path}/p")
     spec = MetricSpec("m", 60, 60, zero_fill=True)
     with streams.state_in_rocksdb(spark):
-        made = streams.run_to_end(streams.window_events(spark.readStream.schema(d.schema).parquet(f"{tmp_path}/p"), spec, ["host"]))
+        made = streams.run_to_end(streams.window_events(spark.readStream.schema(d.schema).parquet(f"{tmp_path}/p"), spec, ["host"], "0 seconds"))
     key = lambda r: (r.key, r.dts, r.dt, sorted((v, sorted(a.items())) for v, a in r.data.items()))
     want = window.window_events(d.filter("ts < timestamp_seconds(120)"), spec, ["host"])
     assert sorted(map(key, made.collect())) == sorted(map(key, want.collect()))
