@@ -71,10 +71,16 @@ def rule_condition(rule: Rule, metric: str = "metric", key: str = "key", data: s
     return F.coalesce(compared, F.lit(False))  # a missing variable never matches
 
 
-def drop_events(events: DataFrame, rules: Iterable[str]) -> DataFrame:
-    """Events for which no rule holds."""
+def dropped_by(rules: Iterable[str]) -> Column | None:
+    """Whether some rule holds for an event; None without rules."""
     dropped = None
     for text in rules:
         condition = rule_condition(parse_rule(text))
         dropped = condition if dropped is None else dropped | condition
-    return events if dropped is None else events.filter(~F.coalesce(dropped, F.lit(False)))
+    return None if dropped is None else F.coalesce(dropped, F.lit(False))
+
+
+def drop_events(events: DataFrame, rules: Iterable[str]) -> DataFrame:
+    """Events for which no rule holds."""
+    dropped = dropped_by(rules)
+    return events if dropped is None else events.filter(~dropped)

@@ -86,6 +86,57 @@ def read_metric(spark: SparkSession, root: str, metric: str | None = None, since
     return d if until is None else d.filter(F.col("day") <= F.lit(until).cast("date"))
 
 
+def day_folders(spark: SparkSession, root: str, metric: str) -> list[str]:
+    """The days of a metric that have a folder, newest first. Only names are read."""
+    fs, folder = _folder(spark, f"{root}/metric={metric}")
+    if not fs.exists(folder):
+        return []
+    names = [s.getPath().getName() for s in fs.listStatus(folder)]
+    return sorted((n.split("=", 1)[1] for n in names if n.startswith("day=")), reverse=True)
+
+
+def read_days(spark: SparkSession, root: str, metric: str, days: Sequence[str]) -> DataFrame:
+    """The rows of these day folders; no other folder is listed."""
+    paths = [f"{root}/metric={metric}/day={d}" for d in days]
+    d = spark.read.schema(METRIC_ROWS).option("basePath", root)
+    return d.parquet(*paths) if paths else spark.createDataFrame([], METRIC_ROWS)
+
+
+def newest_days(spark: SparkSession, root: str, metric: str, condition: Column, n: int = 1) -> list[str]:
+    """The days to read for the newest ``n`` rows (by dt) for which the condition holds.
+
+    A day's rows are all newer than those of the days before, so folders are read from the newest
+    backwards, each time as many as so far, until they hold n. Of each only the count is taken.
+    """
+    days = day_folders(spark, root, metric)
+    taken = found = 0
+    while taken < len(days) and found < n:
+        more = days[taken : max(1, 2 * taken)]
+        found += read_days(spark, root, metric, more).filter(condition).limit(n - found).count()
+        taken += len(more)
+    return days[:taken]
+
+
+def recent_rows(spark: SparkSession, root: str, metric: str, n: int, *then: str, condition: Column | None = None) -> DataFrame:
+    """The newest n rows of a metric, without reading the days before theirs."""
+    condition = F.lit(True) if condition is None else condition
+    d = read_days(spark, root, metric, newest_days(spark, root, metric, condition, n))
+    return d.filter(condition).orderBy(F.desc("dt"), *then).limit(n)
+
+
+def latest_row(spark: SparkSession, root: str, metric: str, condition: Column, longest_send: int) -> DataFrame:
+    """The row of the last send time (then of the last dt) for which the condition holds.
+
+    The newest days that have such a row give a candidate. One with a later send time has its dt
+    less than ``longest_send`` seconds before that, which tells how far back to read.
+    """
+    days = newest_days(spark, root, metric, condition)
+    top = read_days(spark, root, metric, days).filter(condition).agg(F.max("dts").alias("dts"))
+    since = top.select((F.to_date(F.col("dts") - F.make_dt_interval(secs=F.lit(longest_send)))).cast("string")).first()[0]
+    chosen = [] if since is None else [d for d in day_folders(spark, root, metric) if d >= min(since, days[-1])]
+    return read_days(spark, root, metric, chosen).filter(condition).orderBy(F.desc("dts"), F.desc("dt")).limit(1)
+
+
 def apply_retention(rows: DataFrame, as_of: Column, months: int = KEEP_MONTHS) -> DataFrame:
     """Rows whose time plus the retention is still ahead; the day bound prunes folders."""
     limit = as_of.cast("timestamp") - F.make_interval(months=F.lit(months))

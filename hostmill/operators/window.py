@@ -8,13 +8,14 @@ window is filled, and of one row a worker for its last window.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.rules import drop_events
+from ..functions.masks import allowed
+from ..functions.rules import drop_events, dropped_by
 from ..functions.values import before_send, normalised
 from ..plans.spec import MetricSpec
 from .points import normalised_names, select_vars
@@ -70,13 +71,15 @@ def stored(aggregates: DataFrame, percentiles: Sequence[int]) -> DataFrame:
     return d.withColumn("last", normalised(F.col("last"), F.col("is_percent")))
 
 
-def zero_filled(aggregates: DataFrame, send: str, percentiles: Sequence[int], by: Sequence[str], until: Column | None = None) -> DataFrame:
+def zero_filled(
+    aggregates: DataFrame, send: str | Column, percentiles: Sequence[int], by: Sequence[str], until: Column | None = None, where: Column | None = None
+) -> DataFrame:
     """Every series in each window from its first one to the worker's last (or ``until``).
 
     Each window is followed by those up to the series' next one; these have 0 everywhere and a
-    null first time.
+    null first time. Rows that aren't in ``where`` stay as they are.
     """
-    step = F.expr(f"interval {send}")
+    step = F.expr(f"interval {send}") if isinstance(send, str) else send
     if until is None:
         # The worker's last window, from one row a worker: no window over all its series.
         d = joined(aggregates, aggregates.groupBy(*by).agg(F.max("send_at").alias("to_")), by)
@@ -84,6 +87,8 @@ def zero_filled(aggregates: DataFrame, send: str, percentiles: Sequence[int], by
         d = aggregates.withColumn("to_", until)
     series_ = Window.partitionBy(*by, "key", "var").orderBy("send_at")
     stop = F.coalesce(F.lead("send_at").over(series_) - step, F.greatest("send_at", "to_"))
+    if where is not None:
+        stop = F.when(where, stop).otherwise(F.col("send_at"))
     d = d.withColumn("stop", stop).withColumn("slot", F.explode(F.sequence("send_at", "stop", step)))
     own = F.col("slot") == F.col("send_at")
     zero = {c: F.when(own, F.col(c)).otherwise(F.lit(0)) for c in ("n", "last", "raw_max", *[f"p{p}" for p in percentiles])}
@@ -95,7 +100,7 @@ def window_times(aggregates: DataFrame, by: Sequence[str]) -> DataFrame:
     return aggregates.groupBy(*by, "send_at").agg(F.min("first_ts").alias("first_ts"))
 
 
-def timed(d: DataFrame, fallback_ms: int) -> DataFrame:
+def timed(d: DataFrame, fallback_ms: int | Column) -> DataFrame:
     """dt (ms) and dts (s) from first_ts and send_at: the first time, or send - fallback, always
     below the send second."""
     sent = F.unix_millis("send_at")
@@ -186,5 +191,62 @@ def window_events(points: DataFrame, spec: MetricSpec, by: Sequence[str]) -> Dat
     return assembled(made, spec)
 
 
+def _by_definition(specs: Mapping[str, MetricSpec], value: Callable[[MetricSpec], object]) -> Column:
+    """A column with ``value`` of the row's own definition."""
+    chosen = F.lit(None)
+    for name, spec in specs.items():
+        v = value(spec)
+        chosen = F.when(F.col("instance") == name, v if isinstance(v, Column) else F.lit(v)).otherwise(chosen)
+    return chosen
+
+
+def definition_events(points: DataFrame, specs: Mapping[str, MetricSpec], by: Sequence[str]) -> DataFrame:
+    """``window_events`` of several definitions of a metric at once; ``instance`` is the
+    definition's name in ``specs``.
+
+    Each point is taken once for every definition that wants its variable, with the definition
+    and its own window in the key, so that one scan and the two shuffles of a single definition
+    serve all of them (zeros cost what they cost there).
+    """
+    wanted = [F.when(allowed(F.col("var"), s.keep, s.drop), F.lit(name)) for name, s in specs.items()]
+    d = normalised_names(points).withColumn("instance", F.explode(F.filter(F.array(*wanted), lambda x: x.isNotNull())))
+    us = F.unix_micros("ts")
+    step = _by_definition(specs, lambda s: 1_000_000 * s.send)
+    d = d.withColumn("send_at", F.timestamp_micros(us - F.pmod(us, step) + step))
+    order = F.struct("ts", "seq")
+    used: dict[int, list[str]] = {}
+    for name, s in specs.items():
+        for p in s.percentiles:
+            used.setdefault(p, []).append(name)
+    ranked = [F.expr(f"percentile_disc({p}/100D) WITHIN GROUP (ORDER BY raw_{p})").alias(f"p{p}") for p in used]
+    d = d.withColumns({f"raw_{p}": F.when(F.col("instance").isin(names), F.col("raw")) for p, names in used.items()})
+    agg = d.groupBy(*by, "instance", "key", "var", "send_at").agg(
+        F.max_by("raw", order).alias("last"), F.max_by("is_percent", order).alias("is_percent"), F.count(F.lit(1)).alias("n"),
+        F.max("raw").alias("raw_max"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"), *ranked,
+    )
+    one = _by_definition(specs, lambda s: s.last_only)
+    agg = agg.withColumns(
+        {"n": F.when(one, F.lit(1).cast("bigint")).otherwise(F.col("n")), "raw_max": F.when(one, F.col("last")).otherwise(F.col("raw_max")), "first_ts": F.when(one, F.col("last_ts")).otherwise(F.col("first_ts"))}
+    ).drop("last_ts")
+    by = [*by, "instance"]
+    if any(s.zero_fill for s in specs.values()):
+        seconds = F.make_dt_interval(secs=_by_definition(specs, lambda s: s.send))
+        agg = zero_filled(agg, seconds, tuple(used), by, where=_by_definition(specs, lambda s: s.zero_fill))
+    first = F.min("first_ts").over(Window.partitionBy(*by, "send_at"))
+    cells = F.collect_list(_by_definition(specs, lambda s: series_cell(s.percentiles))).alias("cells")
+    made = stored(agg, tuple(used)).withColumn("first_ts", first).groupBy(*by, "key", "send_at")
+    d = timed(made.agg(cells, F.min("first_ts").alias("first_ts")), _by_definition(specs, lambda s: s.fallback_ms))
+    d = d.filter(_by_definition(specs, lambda s: True if s.thresholds is None else reaches(F.col("cells"), s.thresholds)))
+    d = d.filter(_by_definition(specs, lambda s: True if s.emit is None else s.emit(F.col("key"), F.col("cells"))))
+    pairs = F.transform("cells", lambda c: F.struct(c["var"], c["aggs"]))
+    d = d.withColumn("data", F.map_from_entries(pairs)).drop("cells", "send_at").withColumn("metric", _by_definition(specs, lambda s: s.metric))
+
+    def stays(s: MetricSpec):
+        dropped = dropped_by(s.drop_event)
+        return True if dropped is None else ~dropped
+
+    return d.filter(_by_definition(specs, stays))
+
+
 def metric_rows(points: DataFrame, spec: MetricSpec, by: Sequence[str], stamped_at: Column | None = None) -> DataFrame:
     return stamp(flatten_events(window_events(points, spec, by)), stamped_at)

@@ -124,6 +124,7 @@ def oracle_sql() -> dict[str, str]:
     last_only = f"WITH {_V1}, {_agg('6 hours', ())}"
     found = {
         "window_last_pct": _A + " SELECT host, key, var, dts, last, p50, p90, p99 FROM a",
+        "window_large_series": f"WITH {_V1}, vb AS (SELECT * REPLACE ('h' AS host, 'all' AS key) FROM v1), {_agg('60 days', (50, 90, 99), 'vb')}" + " SELECT host, key, var, dts, n::BIGINT AS n, last, p50, p90, p99 FROM a",
         "window_last_only": last_only + " SELECT host, key, var, dts, last FROM a",
         "window_zero_fill": f"""WITH {_V1}, {_agg('1 hour', (50,))},
             k AS (SELECT host, key, var, min(dts) AS f FROM a GROUP BY 1, 2, 3), t AS (SELECT host, max(dts) AS t FROM a GROUP BY 1),
@@ -229,11 +230,34 @@ def oracle_sql() -> dict[str, str]:
         + f""", p AS (SELECT host, at_s, substr(entity, 1, 1) AS key, unnest(['cpu_util', 'ram_util', 'iops']) AS var, unnest([5, 25 / 200 * 100, {_rate("(dc + db)")}])::DOUBLE AS raw FROM x)
         SELECT host, at_s::BIGINT AS at_s, key, var, round(raw, 6) AS raw, var <> 'iops' AS is_percent FROM p"""
     )
+    found |= {"stored_recent": found["recent_rows"], "stored_latest": found["latest_value"], "ten_definitions": _definitions()}
     for name in ("net_rates", "net_stack", "kernel_rates", "process_iops"):
         found[f"stream_{name}"] = found[name]
     return found
 
 
+def _definitions() -> str:
+    """Rows of each definition of ``ten_definitions``, one after the other."""
+    parts = []
+
+    def add(name, hours, pcts, first="min", where="true", cte="", source="a"):
+        values = ["last", *[f"p{p}" for p in pcts]]
+        parts.append(f"""(WITH {_V1}, {_agg(f"{hours} hours", pcts, first=first)}{cte} SELECT '{name}' AS instance, host, key, var, unnest({values}) AS agg, unnest([{', '.join(values)}])::BIGINT AS value, dt, dts
+            FROM {source} WHERE {where})""")
+
+    for k, hours in enumerate((6, 8, 12, 24)):
+        add(f"p{k}", hours, (50, 90) if k % 2 else (99,), where="var = 'value'" if k == 3 else "true")
+        add(f"l{k}", hours, (), "max", "var = 'value'" if k == 2 else "true")
+    good = ", good AS (SELECT host, key, dts FROM a WHERE key <> 'error' GROUP BY 1, 2, 3 HAVING max(CASE WHEN var = 'value' THEN raw_max END) >= 100)"
+    add("t", 6, (50,), cte=good, source="a JOIN good USING (host, key, dts)")
+    zeros = """, k AS (SELECT host, key, var, min(dts) AS f FROM a GROUP BY 1, 2, 3), t AS (SELECT host, max(dts) AS t FROM a GROUP BY 1),
+        grid AS (SELECT host, key, var, unnest(range(f, t + 1, 21600)) AS dts FROM k JOIN t USING (host)), w AS (SELECT DISTINCT host, dts, dt FROM a),
+        z AS (SELECT grid.host, grid.key, grid.var, grid.dts, coalesce(w.dt, grid.dts * 1000 - 5000) AS dt, coalesce(last, 0) AS last, coalesce(p50, 0) AS p50
+              FROM grid LEFT JOIN a USING (host, key, var, dts) LEFT JOIN w ON grid.host = w.host AND grid.dts = w.dts)"""
+    add("z", 6, (50,), cte=zeros, source="z")
+    return " UNION ALL ".join(parts)
+
+
 _CLOSED = "m AS (SELECT epoch_us(max(ts)) / 1000000 AS at_s FROM events)"
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import addresses
 from ..functions.values import device_path, is_base_disk, kind_is_percent
-from ..operators import audit, counters, flows, points, store, window
+from ..operators import audit, counters, flows, points, ranks, store, window
 from ..scratch import fresh_path
 from ..sources import frames, hosts, json_points, procfs, prometheus
 from ..streaming import streams
@@ -33,6 +33,13 @@ def window_last_pct(spark: SparkSession, d: str) -> DataFrame:
     return _dts(s).select("host", "key", "var", "dts", "last", "p50", "p90", "p99")
 
 
+def window_large_series(spark, d):
+    """One series that holds the values of all events of 60 days, by exact ranks."""
+    p = fx.samples(spark, d).withColumns({"host": F.lit("h"), "key": F.lit("all")})
+    s = window.stored(ranks.large_series(p, "60 days", PCTS, ["host"], 64), PCTS)
+    return _dts(s).select("host", "key", "var", "dts", "n", "last", "p50", "p90", "p99")
+
+
 def window_last_only(spark, d):
     s = window.stored(_series(spark, d, ()), ())
     return _dts(s).select("host", "key", "var", "dts", "last")
@@ -360,6 +367,25 @@ def route_roundtrip(spark, d):
     return r.groupBy("metric", "host", "agg").agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total"))
 
 
+def _stored_rows(spark, d) -> str:
+    root = fresh_path(spark, "rows")
+    store.write_metric_rows(_rows(spark, d).withColumn("metric", F.lit("app")), root)
+    return root
+
+
+def stored_recent(spark, d):
+    """The newest 50 stored rows of a kind, from the newest days alone."""
+    r = store.recent_rows(spark, _stored_rows(spark, d), "app", 50, "host", "key", condition=F.expr("var = 'value' AND agg = 'last'"))
+    return r.select("host", "key", "value", F.unix_millis("dt").alias("dt"))
+
+
+def stored_latest(spark, d):
+    """The latest stored value of one series, from the newest days alone."""
+    own = F.expr("host = 'h1' AND key = 'click' AND var = 'value' AND agg = 'p90'")
+    r = store.latest_row(spark, _stored_rows(spark, d), "app", own, DAY)
+    return r.select("host", "key", "var", "agg", "value", F.unix_seconds("dts").alias("dts"))
+
+
 def fan_out_parity(spark, d):
     roots = {"one": fresh_path(spark, "target"), "two": fresh_path(spark, "target")}
     store.fan_out(_rows(spark, d), [store.table_sink(r) for r in roots.values()])
@@ -419,11 +445,22 @@ def custom_source(spark, d):
 
 def two_definitions(spark, d):
     """One metric defined twice, with other windows and percentiles each."""
-    p = fx.samples(spark, d)
-    one = window.metric_rows(p, MetricSpec.of("app", send=DAY, percentiles=[90, 50], defaults=[99]), ["host"], F.timestamp_seconds(F.lit(0)))
-    two = window.metric_rows(p, MetricSpec.of("app", send=4 * DAY, percentiles=[]), ["host"], F.timestamp_seconds(F.lit(0)))
-    both = one.withColumn("of", F.lit("six hours")).unionByName(two.withColumn("of", F.lit("a day")))
-    return both.select("of", "host", "key", "var", "agg", "value", F.unix_seconds("dts").alias("dts"))
+    specs = {"six hours": MetricSpec.of("app", send=DAY, percentiles=[90, 50], defaults=[99]), "a day": MetricSpec.of("app", send=4 * DAY, percentiles=[])}
+    r = store.flatten_events(window.definition_events(fx.samples(spark, d), specs, ["host"]))
+    return r.select(F.col("instance").alias("of"), "host", "key", "var", "agg", "value", "dts")
+
+
+def ten_definitions(spark, d):
+    """Ten definitions of a metric in one scan: windows of 6 to 24 hours, with and without
+    percentiles, masks, thresholds, rules and zeros."""
+    specs = {}
+    for k, hours in enumerate((6, 8, 12, 24)):
+        specs[f"p{k}"] = MetricSpec("app", 5, hours * 3600, (50, 90) if k % 2 else (99,), drop=("k_*",) if k == 3 else ())
+        specs[f"l{k}"] = MetricSpec("app", hours * 3600, hours * 3600, (), keep=("value",) if k == 2 else ())
+    specs["t"] = MetricSpec("app", 5, DAY, (50,), thresholds={"value": 100.0}, drop_event=("key=error",))
+    specs["z"] = MetricSpec("app", 5, DAY, (50,), zero_fill=True)
+    r = store.flatten_events(window.definition_events(fx.samples(spark, d), specs, ["host"]))
+    return r.select("instance", "host", "key", "var", "agg", "value", "dt", "dts")
 
 
 def emit_filter(spark, d):
@@ -578,12 +615,12 @@ def stream_netflow(spark, d):
 
 def queries() -> dict:
     named = [
-        window_last_pct, window_last_only, window_zero_fill, window_dt, flatten_rows, filter_drop_vars, drop_event_key, drop_event_var,
+        window_last_pct, window_large_series, window_last_only, window_zero_fill, window_dt, flatten_rows, filter_drop_vars, drop_event_key, drop_event_var,
         drop_event_numeric, process_threshold, json_rejects, prom_points, prom_short, prom_type_asof, disk_rates, net_rates, net_stack,
         kernel_rates, process_iops, base_disks, cpu_points, ram_swap_points, fs_points, proc_sections, kernel_capture, kernel_rejects, prometheus_rejects, tcp_cc, flows_topn,
         packets_from_frames, netflow_pairs, pair_lookup, pair_search, latest_value, latest_values, recent_rows, delivery_audit, dt_audit,
         non_last_audit, host_ip_audit, throughput, retention_keep, route_roundtrip, fan_out_parity, stream_window, stream_zero_fill, stream_udp_flows,
-        event_log, foreign_events, retention_removed, overflow_rejects, custom_source, two_definitions, emit_filter, resampled, first_error, metric_tables, kinds, ipv6_pairs,
+        event_log, foreign_events, retention_removed, overflow_rejects, custom_source, two_definitions, ten_definitions, stored_recent, stored_latest, emit_filter, resampled, first_error, metric_tables, kinds, ipv6_pairs,
         stream_disk_rates, stream_events, stream_known_events, stream_push, stream_fan_out, stream_pairs, stream_netflow,
         stream_net_rates, stream_net_stack, stream_kernel_rates, stream_process_iops, stream_silent_worker,
     ]
