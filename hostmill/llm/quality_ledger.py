@@ -156,7 +156,14 @@ def op1_quality_ledger(spark, sf_dir: str) -> DataFrame:
     return apply_policy(ledger(table(spark, sf_dir, "documents")))
 
 
-OP1_SQL = r"""
+def quality_ablations(spark, sf_dir: str) -> DataFrame:
+    """What each rule of the policy drops, from the ledger of all documents."""
+    from .common import table
+
+    return ablations(ledger(table(spark, sf_dir, "documents")))
+
+
+_LEDGER_SQL = r"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t,
                   regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
 win AS (SELECT doc_id, i, w[i:i+4] AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 3)) AS i FROM d)),
@@ -175,7 +182,15 @@ f AS (SELECT *, ((n_words < 10)::INT + (100 * n_repeat_words > 20 * n_words)::IN
         + (100 * n_symbols > 10 * n_words)::INT * 4 + (100 * n_dup_lines > 30 * n_lines)::INT * 8
         + (100 * n_exclaim > 20 * n_words)::INT * 16 + (word_chars < 2 * n_words)::INT * 32
         + (word_chars > 20 * n_words)::INT * 64)::BIGINT AS fail_bits FROM b)
+"""
+OP1_SQL = _LEDGER_SQL + """
 SELECT doc_id, n_words, word_chars, n_symbols, n_exclaim, n_lines, n_dup_lines, n_repeat_words, fail_bits,
        (fail_bits & 3) <> 0 AS base_failed, fail_bits = 0 AS kept
 FROM f
 """
+
+ABLATIONS_SQL = _LEDGER_SQL + f"""
+SELECT rule, count(*) FILTER (fail_bits & bit <> 0)::BIGINT AS n_failed, count(*) FILTER (fail_bits = bit)::BIGINT AS n_only,
+       count(*) FILTER (fail_bits & (127 - bit) = 0)::BIGINT AS n_kept_without
+FROM f, (SELECT unnest({list(RULES)}) AS rule, unnest([1, 2, 4, 8, 16, 32, 64]) AS bit) GROUP BY rule
+"""

@@ -24,6 +24,7 @@ SELECT d.doc_id, coalesce(any_value(n.n), 0)::BIGINT AS n_shingles, min(r.c) AS
 def queries() -> dict:
     return {
         "op1_quality_ledger": quality_ledger.op1_quality_ledger,
+        "quality_ablations": quality_ledger.quality_ablations,
         "op2_url_gbt": url_gbt.op2_url_gbt,
         "op3_bpe_count": bpe_count.op3_bpe_count,
         "op4_decontaminate": decontaminate.op4_decontaminate,
@@ -42,6 +43,7 @@ def queries() -> dict:
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_quality_ledger": quality_ledger.OP1_SQL,
+        "quality_ablations": quality_ledger.ABLATIONS_SQL,
         "op4_decontaminate": decontaminate.OP4_SQL,
         "op6_substring_dedup": substring_dedup.OP6_SQL,
         "op7_ngram_join": OP7_SQL,
