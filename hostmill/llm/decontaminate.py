@@ -1,7 +1,7 @@
 """Benchmark decontamination by a broadcast hash set of normalised benchmark n-grams.
 
 Documents are scanned window by window. A window whose fingerprint may be in the set (a
-bitmap of fixed size, part of the scan, made from wholly lower-cased words with one sigma, and
+bitmap sized by the counted n-grams up to a bound, part of the scan, made from wholly lower-cased words with one sigma, and
 so without misses: equal words are equal there too) becomes a candidate and carries its words; the candidates are then verified word for
 word against the benchmark's n-grams. Only verified hits count. The n-gram table is broadcast while its measured size is under
 ``BROADCAST_BYTES``; beyond that the same join is shuffled.
@@ -24,8 +24,10 @@ from pyspark.sql import functions as F
 from .common import ascii_lower, own_columns, packed, table, unpacked
 
 N = 10
-#: Bits of the scan's bitmap: a fixed size whatever the benchmark's.
-BITMAP_BITS = 1 << 20
+#: Bits of the scan's bitmap: at least 32 for each n-gram of the benchmark, in powers of two between
+#: these bounds (128 KB and 8 MB). Above 2 million n-grams the share of windows that pass it without
+#: being any grows, to 12 % with 8 million; all are verified, so results don't change.
+BITMAP_BITS, MOST_BITS, BITS_A_GRAM = 1 << 20, 1 << 26, 32
 #: The n-gram table is broadcast only when its measured text is smaller.
 BROADCAST_BYTES = 32 << 20
 
@@ -45,12 +47,17 @@ def _fingerprint(words: Column, start: Column, length: Column | int) -> Column:
     return F.xxhash64(F.slice(words, start, length))
 
 
-def _bit(fingerprint: Column) -> Column:
-    return F.pmod(fingerprint, F.lit(BITMAP_BITS)).cast("int")
+def bitmap_bits(n_grams: int) -> int:
+    """The bitmap's size for so many different n-grams."""
+    return min(MOST_BITS, max(BITMAP_BITS, 1 << max(0, BITS_A_GRAM * n_grams - 1).bit_length()))
+
+
+def _bit(fingerprint: Column, bits: int) -> Column:
+    return F.pmod(fingerprint, F.lit(bits)).cast("int")
 
 
 def benchmark_ngrams(benchmark: DataFrame, n: int = N) -> DataFrame:
-    """(item, len, gram, bit), one row for each different window of an item."""
+    """(item, len, gram, print), one row for each different window of an item."""
     items = own_columns(benchmark, "item_id", "text").select(
         F.coalesce(F.col("item_id").cast("string"), F.lit("null")).alias("item"),
         words_of(F.col("text")).alias("own"),
@@ -62,14 +69,14 @@ def benchmark_ngrams(benchmark: DataFrame, n: int = N) -> DataFrame:
         "item",
         "len",
         ascii_lower(F.array_join(F.slice("own", F.col("i"), F.col("len")), " ")).alias("gram"),
-        _bit(_fingerprint(F.col("w"), F.col("i"), F.col("len"))).alias("bit"),
+        _fingerprint(F.col("w"), F.col("i"), F.col("len")).alias("print"),
     ).distinct()
 
 
-def _window_bits(length: int) -> Column:
+def _window_bits(length: int, n: int) -> Column:
     """The bitmap position of every window of ``length`` words of ``w``."""
     starts = F.sequence(F.lit(1), F.size("w") - (length - 1))
-    bits = F.transform(starts, lambda i: _bit(_fingerprint(F.col("w"), i, length)))
+    bits = F.transform(starts, lambda i: _bit(_fingerprint(F.col("w"), i, length), n))
     return F.when(F.size("w") >= length, bits)
 
 
@@ -97,14 +104,15 @@ def hits(docs: DataFrame, benchmark: DataFrame, n: int = N) -> DataFrame:
     """One row per document: doc_id, the hash of its text, n_words, and ``found``, an array of
     (p, len, item) of verified windows (start positions from 1)."""
     grams = benchmark_ngrams(benchmark, n)
-    # Bounded by construction: 64-bit words of a fixed bitmap, and at most n lengths.
-    words = grams.groupBy((F.col("bit") / 64).cast("int").alias("k")).agg(
+    size = grams.agg(F.sum(F.octet_length("gram") + 64), F.collect_set("len"), F.count(F.lit(1))).first()
+    n_bits = bitmap_bits(size[2])
+    # Bounded by construction: 64-bit words of a bitmap of at most MOST_BITS, and at most n lengths.
+    words = grams.withColumn("bit", _bit(F.col("print"), n_bits)).groupBy((F.col("bit") / 64).cast("int").alias("k")).agg(
         F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("bit") % 64)).alias("bits")
     )
-    bitmap = [0] * (BITMAP_BITS // 64)
+    bitmap = [0] * (n_bits // 64)
     for r in words.collect():
         bitmap[r["k"]] = r["bits"]
-    size = grams.agg(F.sum(F.octet_length("gram") + 64), F.collect_set("len")).first()
     lengths = sorted(size[1])
     by_gram = grams.groupBy("gram", "len").agg(F.collect_set("item").alias("items"))
     by_gram = by_gram.select(F.col("gram").alias("g"), F.col("len").alias("g_len"), "items")
@@ -112,8 +120,9 @@ def hits(docs: DataFrame, benchmark: DataFrame, n: int = N) -> DataFrame:
         by_gram = F.broadcast(by_gram)
     keys = ["doc_id", "text_key", "n_words"]
     d = own_columns(docs, "doc_id", "text").select("doc_id", "text", F.xxhash64("text").alias("text_key"), words_of(folded(F.col("text"))).alias("w"))
-    set_bits = F.lit(bitmap).cast("array<bigint>")
-    d = d.select("doc_id", "text_key", "text", "w", *[_window_bits(ln).alias(f"b{ln}") for ln in lengths])
+    # One literal, folded once: an array of literals would be a million of them.
+    set_bits = F.split(F.lit(",".join(map(str, bitmap))), ",").cast("array<bigint>")
+    d = d.select("doc_id", "text_key", "text", "w", *[_window_bits(ln, n_bits).alias(f"b{ln}") for ln in lengths])
     d = d.select("doc_id", "text_key", "text", F.size("w").cast("long").alias("n_words"), *[_starts(set_bits, ln).alias(f"s{ln}") for ln in lengths])
     found = [_windows(ln) for ln in lengths]
     some = F.array_max(F.array(F.lit(0), *[F.coalesce(F.size(f"s{ln}"), F.lit(0)) for ln in lengths])) > 0

@@ -219,6 +219,19 @@ def test_decontamination_against_a_model(spark, docs, texts, no_docs, same_colum
     assert {r.doc_id for r in kept.collect()} == {i for i, r in got.items() if not r.contaminated}
 
 
+def test_the_bitmap_grows_with_the_benchmark(spark, docs, monkeypatch):
+    """Sizes by the count of n-grams; whichever it has, the report is the same."""
+    sizes = [decontaminate.bitmap_bits(n) for n in (0, 1, 32768, 32769, 1 << 21, 3_000_000, 1 << 30)]
+    assert sizes == [1 << 20, 1 << 20, 1 << 20, 1 << 21, 1 << 26, 1 << 26, 1 << 26]
+    bench = docs.filter("text IS NOT NULL").selectExpr("doc_id AS item_id", "text")
+    report = lambda: sorted(map(repr, decontaminate.report(docs, bench).collect()))
+    small = report()
+    for bits in (1 << 12, 1 << 26):
+        monkeypatch.setattr(decontaminate, "BITMAP_BITS", bits)
+        monkeypatch.setattr(decontaminate, "BITS_A_GRAM", 1)
+        assert report() == small
+
+
 def test_decontamination_of_greek_capitals(spark):
     """A capital sigma is a letter like any other, whatever stands beside it."""
     words = [f"ΑΡΣ{k}ΤΥ" for k in range(4)] + ["ΟΔΟΣ", "Α", "ΡΣ", "ΤΥ", "ΟΣ", "ΒΣ", "ΓΣ"]
