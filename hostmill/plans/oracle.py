@@ -297,7 +297,7 @@ def _more() -> dict[str, str]:
         "resampled": f"""WITH {_V1} SELECT host, key, var, arg_max(raw, row(ts, seq)) AS raw, epoch_us(max(ts)) AS us, arg_max(seq, row(ts, seq)) AS seq
             FROM v1 GROUP BY host, key, var, time_bucket(INTERVAL '1 day', ts, TIMESTAMP '1970-01-01')""",
         "first_error": _LONG + ", h AS (SELECT host, count(*)::BIGINT AS n FROM r GROUP BY 1) SELECT host, n, 'out of reach' AS error FROM h UNION ALL SELECT host, n, 'out of reach' FROM h",
-        "metric_tables": _LONG + " SELECT key AS metric, host, agg, count(*)::BIGINT AS n, sum(value)::BIGINT AS total FROM r WHERE key IN ('click', 'view') GROUP BY 1, 2, 3",
+        "metric_tables": _LONG + " SELECT key AS metric, host, agg, count(*)::BIGINT AS n, sum(value)::BIGINT AS total FROM r GROUP BY 1, 2, 3",
         "kinds": "SELECT event_type, CASE WHEN event_type = 'view' THEN false WHEN event_type <> 'error' THEN true END AS is_percent, count(*)::BIGINT AS n FROM events GROUP BY 1, 2",
         "ipv6_pairs": """SELECT CASE WHEN k = 0 THEN '2001:db8::' ELSE concat('2001:db8::', k) END AS ip, sum(n)::BIGINT AS n
             FROM (SELECT l_suppkey % 5 AS k, CAST(trunc(l_quantity) AS BIGINT) AS n FROM lineitem) GROUP BY k""",

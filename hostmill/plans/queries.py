@@ -491,17 +491,20 @@ def first_error(spark, d):
 
 
 def metric_tables(spark, d):
-    """Tables by metric, filled with the rows whose key is their name."""
+    """Tables by metric, filled with the rows whose key is their name; dropped when counted."""
     name = "m" + fresh_path(spark, "x")[-32:]
-    made = store.create_metric_tables(spark, name, ["click", "view"])
+    keys = ("click", "error", "purchase", "signup", "view")
     r = _rows(spark, d)
     counted = None
-    for table, key in zip(made, ("click", "view"), strict=True):
+    for table, key in zip(store.create_metric_tables(spark, name, keys), keys, strict=True):
         own = r.filter(F.col("key") == key)
         own.select(*spark.table(table).columns).write.mode("append").insertInto(table)
         n = spark.table(table).groupBy("host", "agg").agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total")).withColumn("metric", F.lit(key))
         counted = n if counted is None else counted.unionByName(n)
-    return counted
+    path = fresh_path(spark, "counted")
+    counted.write.parquet(path)
+    spark.sql(f"DROP DATABASE {name} CASCADE")
+    return spark.read.parquet(path)
 
 
 def kinds(spark, d):
