@@ -5,6 +5,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql.streaming import StatefulProcessor
 
@@ -88,64 +89,64 @@ class KnownSeries(StatefulProcessor):
         pass
 
 
-class PreviousScrapes(StatefulProcessor):
-    """Per host: the times of the newest scrape and the one before, and of each entity its counters
-    in its last scrape and the one before that (rows of the newest may still be coming).
+#: A time that isn't there.
+_NEVER = -(1 << 63)
 
-    Only entities of the batch are written, and those in neither of the two scrapes removed. Rows
-    of older scrapes come out marked ``late``, without a previous row; a null entity makes a scrape
-    and nothing else.
+
+class PreviousScrapes:
+    """Per host: the times of the newest scrape and the one before, and the counters of the entities
+    in these two (rows of the newest may still be coming).
+
+    It is called with all rows of a host in a micro-batch and matches them at once: state comes and
+    goes with the rows, so that a host costs no more calls than its rows do. Rows of older scrapes
+    come out marked ``late``, without a previous row; a null entity makes a scrape and nothing else.
+    ``at``: the column of a row's time in microseconds.
     """
 
-    def __init__(self, counters: list[str], entity: str, columns: list[str]):
-        self.counters, self.entity, self.columns = counters, entity, columns
+    def __init__(self, counters: list[str], entity: str, at: str, columns: list[str]):
+        self.counters, self.entity, self.at, self.columns = counters, entity, at, columns
+        self.state = "before bigint, newest bigint, entity array<string>, at array<bigint>" + "".join(f", c{k} array<double>" for k in range(len(counters)))
 
-    def init(self, handle) -> None:
-        values = ", ".join(f"at{i} bigint, " + ", ".join(f"c{i}_{k} double" for k in range(len(self.counters))) for i in (0, 1))
-        self.seen = handle.getMapState("seen", "entity string", values)
-        self.times = handle.getValueState("times", "before bigint, newest bigint")
-
-    def _with_old(self, scrape: pd.DataFrame, olds: list, **more) -> pd.DataFrame:
-        made = scrape.assign(has_prev=[o is not None for o in olds], **more)
-        for k, c in enumerate(self.counters):
-            made[f"prev_{c}"] = pd.Series([None if o is None else o[k] for o in olds], dtype="float64", index=scrape.index)
-        return made
-
-    def handleInputRows(self, host, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        batches = [b for b in rows if len(b)]
+    def __call__(self, host, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        batches = [b for b in frames if len(b)]
         if not batches:
             return
-        d = pd.concat(batches).sort_values(["ts", self.entity], kind="stable")
-        at, now = self.times.get() if self.times.exists() else (None, None)
-        m = len(self.counters) + 1
-        held = {k[0]: (tuple(v[:m]), tuple(v[m:])) for k, v in self.seen.iterator()}
-        changed, none, out = set(), (None,) * m, []
-        for ts, scrape in d.groupby("ts", sort=True):
-            us = ts.value // 1000
-            if now is not None and us < now:
-                out.append(self._with_old(scrape, [None] * len(scrape), seconds=0.0, late=True))
-                continue
-            if us != now:
-                at, now = now, us
-            olds = []
-            for e, *values in zip(scrape[self.entity], *(scrape[c].astype(float) for c in self.counters), strict=True):
-                if e is None:
-                    olds.append(None)
-                    continue
-                last, before = held.get(e, (none, none))
-                if last[0] != now:
-                    before = last
-                held[e] = ((now, *values), before)
-                changed.add(e)
-                olds.append(before[1:] if at is not None and before[0] == at else None)
-            out.append(self._with_old(scrape, olds, seconds=0.0 if at is None else (now - at) / 1e6, late=False))
-        for e, (last, before) in held.items():
-            if last[0] not in (at, now):
-                self.seen.removeKey((e,))
-            elif e in changed:
-                self.seen.updateValue((e,), (*last, *before))
-        self.times.update((at, now))
-        yield pd.concat(out)[self.columns]
-
-    def close(self) -> None:
-        pass
+        d = batches[0] if len(batches) == 1 else pd.concat(batches)
+        d = d[d[self.at].notna()]
+        if not len(d):
+            return
+        before, newest, names, ats, *held = state.get if state.exists else (_NEVER, _NEVER, [], [], *[[] for _ in self.counters])
+        m = len(names)
+        at = np.concatenate([np.array(ats, np.int64), d[self.at].to_numpy(np.int64)])
+        values = [np.concatenate([np.array(old, float), d[c].to_numpy(float, na_value=np.nan)]) for old, c in zip(held, self.counters, strict=True)]
+        entity = np.concatenate([np.array(names, object), d[self.entity].to_numpy(object)])
+        code = pd.factorize(entity)[0]  # -1: null
+        late = at < newest
+        late[:m] = False
+        times = np.unique(at[m:][~late[m:]])
+        if len(times):
+            priors = np.concatenate([[before if times[0] == newest else newest], times[:-1]])
+            prior = priors[np.minimum(np.searchsorted(times, at), len(times) - 1)]
+        else:
+            prior = np.full(len(at), _NEVER)
+        # Rows of one entity and time in a row; the last of them counts for the next time.
+        order = np.lexsort((at, code))
+        order = order[(code[order] >= 0) & ~late[order]]
+        new = np.ones(len(order), bool)
+        new[1:] = (code[order[1:]] != code[order[:-1]]) | (at[order[1:]] != at[order[:-1]])
+        start = np.flatnonzero(new)
+        last = order[np.append(start[1:], len(order)) - 1] if len(order) else order
+        old = np.full(len(last), -1)
+        old[1:] = np.where(code[last[1:]] == code[last[:-1]], last[:-1], -1)
+        old = np.where((old >= 0) & (at[old] == prior[last]), old, -1)
+        match = np.full(len(at), -1)
+        match[order] = old[np.cumsum(new) - 1]
+        match, prior, late = match[m:], prior[m:], late[m:]
+        seconds = np.where(late | (prior == _NEVER), 0.0, (at[m:] - np.where(prior == _NEVER, at[m:], prior)) / 1e6)
+        made = {"seconds": seconds, "has_prev": match >= 0, "late": late}
+        made |= {f"prev_{c}": np.where(match >= 0, v[match], np.nan) for c, v in zip(self.counters, values, strict=True)}
+        if len(times):
+            before, newest = int(priors[-1]), int(times[-1])
+            kept = last[(at[last] == before) | (at[last] == newest)]
+            state.update((before, newest, entity[kept].tolist(), at[kept].tolist(), *[v[kept].tolist() for v in values]))
+        yield pd.concat([d, pd.DataFrame(made, index=d.index)], axis=1)[self.columns]

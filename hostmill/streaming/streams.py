@@ -8,6 +8,7 @@ from collections.abc import Iterable, Iterator, Sequence
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupStateTimeout
 from pyspark.sql.types import StructType
 
 from ..functions.values import is_base_disk
@@ -92,11 +93,17 @@ def with_previous(snapshots: DataFrame, names: Sequence[str], entity: Sequence[s
     previous row of any other."""
     cloudpickle.register_pickle_by_value(known)
     name = F.to_json(F.struct(*entity)) if entity else F.lit("")
-    d = snapshots.withColumn("entity_of", name if counted is None else F.when(counted, name))
+    d = snapshots.withColumns({"entity_of": name if counted is None else F.when(counted, name), "at_us": F.unix_micros("ts")}).drop("ts")
     more = StructType.fromDDL(", ".join(["seconds double", "has_prev boolean", "late boolean", *[f"prev_{c} double" for c in names]])).fields
-    schema = StructType(d.schema.fields + more)
-    state = known.PreviousScrapes(list(names), "entity_of", schema.names)
-    return d.groupBy("host").transformWithStateInPandas(state, schema, "Append", "None").drop("entity_of")
+    schema = StructType([f for f in d.schema.fields if f.name != "entity_of"] + more)
+    match = known.PreviousScrapes(list(names), "entity_of", "at_us", schema.names)
+
+    def run(host, frames, state):
+        yield from match(host, frames, state)
+
+    # Times pass as numbers: pandas has them in local time, where an hour comes twice.
+    d = d.groupBy("host").applyInPandasWithState(run, schema, match.state, "append", GroupStateTimeout.NoTimeout)
+    return d.withColumn("ts", F.timestamp_micros("at_us")).select(*snapshots.columns, *[f.name for f in more])
 
 
 def _on_time(d: DataFrame) -> DataFrame:

@@ -3,12 +3,13 @@
 import random
 from datetime import datetime, timezone
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from hostmill.operators import counters, flows, ranks, store, window
 from hostmill.plans.spec import MetricSpec
-from hostmill.streaming import streams
+from hostmill.streaming import known, streams
 
 POINT = "host string, key string, var string, raw double, is_percent boolean, ts timestamp, seq bigint"
 PACKET = "host string, iface string, proto int, src_addr binary, dst_addr binary, src_v4 boolean, dst_v4 boolean, src_port int, dst_port int, bytes bigint, tcp_start boolean, ts timestamp, seq bigint"
@@ -84,6 +85,66 @@ def test_process_streams_in_batches_equal_the_table(spark, tmp_path):
     assert got == rows(counters.process_points(spark.createDataFrame(sum(scrapes, []), schema)))
 
 
+class _State:
+    """A host's state that counts how often it is read and written."""
+
+    def __init__(self):
+        self.value, self.calls = None, 0
+
+    @property
+    def exists(self):
+        return self.value is not None
+
+    @property
+    def get(self):
+        self.calls += 1
+        return self.value
+
+    def update(self, value):
+        self.calls += 1
+        self.value = value
+
+
+def test_scrapes_of_a_host_are_matched_at_once(spark):
+    """Late rows, repeated rows, scrapes over several batches and null entities and counters,
+    against rows taken one by one. A batch reads and writes its host's state once at most."""
+    dice = random.Random(3)
+    match = known.PreviousScrapes(["c"], "e", "at", ["n", "at", "e", "c", "seconds", "has_prev", "late", "prev_c"])
+    state, seen, newest, before, nan = _State(), {}, None, None, float("nan")
+    clean = lambda x: "null" if x != x else x
+    for batch in range(200):
+        rows = [(n, max(0, batch * 3 + dice.randrange(-4, 5)) * 500_000, dice.choice(("a", "b", "c", None)), dice.choice((dice.randrange(99) * 1.0, nan))) for n in range(dice.randrange(1, 12))]
+        calls = state.calls
+        got = pd.concat(match(("h",), iter([pd.DataFrame(rows[:4], columns=["n", "at", "e", "c"]), pd.DataFrame(rows[4:], columns=["n", "at", "e", "c"])]), state))
+        assert state.calls - calls <= 2
+        want = {}
+        for n, at, e, c in sorted(rows, key=lambda r: r[1]):
+            if newest is not None and at < newest:
+                want[n] = (0.0, False, True, "null")
+                continue
+            if at != newest:
+                before, newest = newest, at
+            old = None if e is None else seen.get((e, before))
+            want[n] = (0.0 if before is None else (at - before) / 1e6, old is not None, False, "null" if old is None else clean(old))
+            if e is not None:
+                seen[e, at] = c
+        assert {r.n: (r.seconds, r.has_prev, r.late, clean(r.prev_c)) for r in got.itertuples()} == want
+
+
+def test_streams_tell_scrapes_apart_when_clocks_go_back(spark, tmp_path):
+    """Two scrapes of one local time, an hour apart."""
+    schema = "host string, ts timestamp, ctxt bigint, intr bigint, softirq bigint, forks bigint"
+    scrapes = [[("h", at(1729989000 + s), n, n, n, n)] for s, n in ((0, 0), (3600, 7200))]
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "Europe/Berlin")
+    try:
+        with streams.state_in_rocksdb(spark):
+            got = streams.run_to_end(streams.with_previous(in_batches(spark, tmp_path / "s", schema, *scrapes), counters.KERNEL, [])).withColumn("us", F.unix_micros("ts")).collect()
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
+    assert sorted((r.us, r.ctxt, r.seconds, r.prev_ctxt) for r in got) == [(1729989000_000000, 0, 0.0, None), (1729992600_000000, 7200, 3600.0, 0.0)]
+
+
 def _stored(spark, root, days):
     rows = [(f"2024-01-{d:02d} 12:00:{n:02d}", send, f"h{n}", key, d * 100 + n) for d, n, send, key in days]
     r = spark.createDataFrame(rows, "at string, send int, host string, key string, value bigint")
