@@ -297,8 +297,8 @@ def with_group(rows: DataFrame, *aggs, again) -> DataFrame:
 
 
 def prefix_rows(sets: DataFrame, alike: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(shingle, part, node, n, common) of the prefixes of the sets of ``alike``, in the order of
-    the shingles' counts among them; shingles of one set alone are left out. And per node a
+    """(shingle, part, node, n, common, k) of the prefixes of the sets of ``alike``, in the order of
+    the shingles' counts among them, k being the place; shingles of one set alone are left out. And per node a
     sketch: the number of its shingles that others of these sets have, and BITS bits of them."""
     d = sets.join(alike.hint("merge"), "node").select(F.explode("set").alias("shingle"), F.pmod("node", F.lit(SALTS)).alias("part"), "node", "n", "common")
     d = written(with_group(written(d, "tokens"), F.count(F.lit(1)).alias("m"), again=[F.sum("m").alias("m")]), "tokens")
@@ -307,7 +307,7 @@ def prefix_rows(sets: DataFrame, alike: DataFrame) -> tuple[DataFrame, DataFrame
     bit = F.pmod("shingle", F.lit(BITS))
     words = [F.bit_or(F.when(F.floor(bit / 64) == j, F.expr("shiftleft(1L, cast(pmod(shingle, 64) as int))")).otherwise(F.lit(0).cast("long"))).alias(f"w{j}") for j in range(BITS // 64)]
     sketch = d.filter("m > 1").groupBy("node").agg(F.count(F.lit(1)).alias("met"), *words)
-    return written(rows.select("shingle", "part", "node", "n", "common"), "rows"), sketch
+    return written(rows.select("shingle", "part", "node", "n", "common", "k"), "rows"), sketch
 
 
 def star_pairs(rows: DataFrame) -> DataFrame:
@@ -335,14 +335,16 @@ def star_pairs(rows: DataFrame) -> DataFrame:
 def pairs_across(rows: DataFrame, labels: DataFrame, sketch: DataFrame) -> DataFrame:
     """Pairs of prefix rows in different components that may still be similar: their sizes allow
     it, both have enough common shingles, and enough are left without those whose bit the other
-    set lacks.
+    set lacks. What a pair shares lies behind the first shingle that it shares, in both sets: rows
+    with fewer shingles from their place on than the pair needs don't meet.
 
-    rows: shingle, part, node, n and common, the number of common shingles in the node's set. A
-    node with so few of them that it needs a smaller partner than its shingle has is left out.
+    rows: shingle, part, node, n, k and common, the number of common shingles in the node's set. A
+    node with so few of them, or so few from its place on, that it needs a smaller partner than its
+    shingle has is left out.
     """
     d = rows.join(labels.select(F.col("node").alias("of"), "label").hint("merge"), F.col("node") == F.col("of"), "left")
-    d = d.select("shingle", "part", "node", "n", "common", F.coalesce("label", "node").alias("label"))
-    d = with_group(written(d, "labelled"), F.min("n").alias("least"), again=[F.min("least").alias("least")]).filter("7 * common - 3 * n >= 3 * least").drop("least")
+    d = d.select("shingle", "part", "node", "n", "common", "k", F.coalesce("label", "node").alias("label"))
+    d = with_group(written(d, "labelled"), F.min("n").alias("least"), again=[F.min("least").alias("least")]).filter("7 * least(common, n - k + 1) - 3 * n >= 3 * least").drop("least")
     ends = [F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("m")]
     d = with_group(written(d, "able"), *ends, again=[F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.sum("m").alias("m")]).filter("lo <> hi").drop("lo", "hi")
     # Rows of one side meet those of the other in tasks of about PART rows of a shingle.
@@ -350,7 +352,7 @@ def pairs_across(rows: DataFrame, labels: DataFrame, sketch: DataFrame) -> DataF
     words = [f"w{j}" for j in range(BITS // 64)]
 
     def side(x: str) -> list:
-        return ["shingle", F.col("node").alias(x)] + [F.col(c).alias(f"{c}_{x}") for c in ("label", "common", "met", *words)] + [F.col("n").alias(f"n{x}")]
+        return ["shingle", F.col("node").alias(x)] + [F.col(c).alias(f"{c}_{x}") for c in ("label", "common", "met", "k", *words)] + [F.col("n").alias(f"n{x}")]
 
     def left(x: str, y: str):
         """The shingles of x that y may share."""
@@ -359,7 +361,8 @@ def pairs_across(rows: DataFrame, labels: DataFrame, sketch: DataFrame) -> DataF
 
     a = d.select(*side("a"), F.expr("cast(pmod(xxhash64(node), salts) as int)").alias("salt"))
     b = d.select(*side("b"), F.explode(F.expr("sequence(0, salts - 1)")).alias("salt"))
-    most = F.least("common_a", "common_b", left("a", "b"), left("b", "a"))
+    behind = [F.col(f"n{x}") - F.col(f"k_{x}") + 1 for x in ("a", "b")]
+    most = F.least("common_a", "common_b", left("a", "b"), left("b", "a"), *behind)
     may = (F.col("a") < F.col("b")) & (F.col("label_a") != F.col("label_b")) & (most >= F.expr(NEED))
     return a.join(b.hint("merge"), ["shingle", "salt"]).filter(may).select("a", "b").distinct()
 

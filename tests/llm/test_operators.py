@@ -468,6 +468,21 @@ def test_join_of_nothing_and_of_repeats(docs, no_docs):
     assert set(map(tuple, ngram_join.join(again).collect())) == set(map(tuple, ngram_join.join(docs).collect()))
 
 
+def test_sets_across_components_meet_where_they_can_be_similar(spark):
+    """Thirty sets of 28 share 21 shingles, the first of them in the last place of their prefixes,
+    and their sketches are alike: no two of them are a candidate. Two that share 25 are one."""
+    common = [512 * (1000 + k) + 100 + k for k in range(21)]
+    sets = [(i, common + [512 * (i // 2 + 1) + j for j in range(7)]) for i in range(0, 60, 2)]
+    sets += [(i + 1, [512 * (i // 2 + 1) + j for j in range(7)]) for i in range(0, 60, 2)]  # no shingle is of one set alone
+    both = [512 * 5000 + 7 + j for j in range(4)]
+    sets += [(100 + i, common + both + [512 * (6000 + i) + j for j in range(3)]) for i in range(2)]
+    alike = spark.createDataFrame([(i, len(s), len(s)) for i, s in sets], "node long, n long, common long")
+    d = spark.createDataFrame([(i, sorted(s)) for i, s in sets], "node long, set array<long>")
+    rows, sketch = ngram_join.prefix_rows(d, alike)
+    none = spark.createDataFrame([], "node long, label long")
+    assert [(r.a, r.b) for r in ngram_join.pairs_across(rows, none, sketch).collect()] == [(100, 101)]
+
+
 def test_common_chains_and_hot_groups(spark):
     """A chain of neighbours each like the next, and a group around one common text."""
     base = [f"w{k}" for k in range(60)]
