@@ -9,6 +9,8 @@ window is filled, and of one row a worker for its last window.
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -204,26 +206,36 @@ def definition_events(points: DataFrame, specs: Mapping[str, MetricSpec], by: Se
     """``window_events`` of several definitions of a metric at once; ``instance`` is the
     definition's name in ``specs``.
 
-    Each point is taken once for every definition that wants its variable, with the definition
-    and its own window in the key, so that one scan and the two shuffles of a single definition
-    serve all of them (zeros cost what they cost there).
+    Each point is taken once for every window length of the definitions that want its variable,
+    with the length and its own window in the key; the aggregates of a window are then dealt to
+    the definitions. So one scan and the two shuffles of a single definition serve all of them
+    (zeros cost what they cost there), and definitions of one length share what is shuffled.
     """
-    wanted = [F.when(allowed(F.col("var"), s.keep, s.drop), F.lit(name)) for name, s in specs.items()]
-    d = normalised_names(points).withColumn("instance", F.explode(F.filter(F.array(*wanted), lambda x: x.isNotNull())))
-    us = F.unix_micros("ts")
-    step = _by_definition(specs, lambda s: 1_000_000 * s.send)
+    lengths: dict[int, list[MetricSpec]] = {}
+    for s in specs.values():
+        lengths.setdefault(s.send, []).append(s)
+
+    def wants(s: MetricSpec) -> Column:
+        return allowed(F.col("var"), s.keep, s.drop)
+
+    def dealt(d: DataFrame, name: str, *values: Column) -> DataFrame:
+        return d.withColumn(name, F.explode(F.filter(F.array(*values), lambda x: x.isNotNull())))
+
+    d = normalised_names(points)
+    d = dealt(d, "length", *[F.when(reduce(or_, map(wants, own)), F.lit(send).cast("bigint")) for send, own in lengths.items()])
+    us, step = F.unix_micros("ts"), 1_000_000 * F.col("length")
     d = d.withColumn("send_at", F.timestamp_micros(us - F.pmod(us, step) + step))
     order = F.struct("ts", "seq")
-    used: dict[int, list[str]] = {}
-    for name, s in specs.items():
+    used: dict[int, set[int]] = {}
+    for s in specs.values():
         for p in s.percentiles:
-            used.setdefault(p, []).append(name)
-    ranked = [F.expr(f"percentile_disc({p}/100D) WITHIN GROUP (ORDER BY raw_{p})").alias(f"p{p}") for p in used]
-    d = d.withColumns({f"raw_{p}": F.when(F.col("instance").isin(names), F.col("raw")) for p, names in used.items()})
-    agg = d.groupBy(*by, "instance", "key", "var", "send_at").agg(
+            used.setdefault(p, set()).add(s.send)
+    ranked = [F.expr(f"percentile_disc({p}/100D) WITHIN GROUP (ORDER BY raw) FILTER (WHERE length IN ({', '.join(map(str, sorted(of)))}))").alias(f"p{p}") for p, of in used.items()]
+    agg = d.groupBy(*by, "length", "key", "var", "send_at").agg(
         F.max_by("raw", order).alias("last"), F.max_by("is_percent", order).alias("is_percent"), F.count(F.lit(1)).alias("n"),
         F.max("raw").alias("raw_max"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"), *ranked,
     )
+    agg = dealt(agg, "instance", *[F.when((F.col("length") == s.send) & wants(s), F.lit(name)) for name, s in specs.items()]).drop("length")
     one = _by_definition(specs, lambda s: s.last_only)
     agg = agg.withColumns(
         {"n": F.when(one, F.lit(1).cast("bigint")).otherwise(F.col("n")), "raw_max": F.when(one, F.col("last")).otherwise(F.col("raw_max")), "first_ts": F.when(one, F.col("last_ts")).otherwise(F.col("first_ts"))}

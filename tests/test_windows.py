@@ -243,6 +243,25 @@ def test_windows_take_one_scan_and_few_shuffles(spark, data):
         spark.conf.unset("spark.sql.adaptive.enabled")
 
 
+def test_definitions_of_one_length_share_their_rows(spark, data):
+    """Definitions with the same windows take each point once, whatever their masks and percentiles."""
+    from hostmill.operators import window
+    from hostmill.plans import fixtures as fx
+    from hostmill.plans.spec import MetricSpec
+
+    p = fx.samples(spark, data)
+    specs = {"a": MetricSpec("m", 5, 21600, (50,)), "b": MetricSpec("m", 5, 21600, (90,), drop=("k_*",)), "c": MetricSpec("m", 21600, 21600), "d": MetricSpec("m", 5, 3600, (50, 90), keep=("value",))}
+    d = window.definition_events(p, specs, ["host"])
+    rows = lambda x: sorted(map(repr, x.collect()))
+    for name, spec in specs.items():
+        own = d.filter(F.col("instance") == name)
+        alone = window.window_events(p, spec, ["host"])
+        assert rows(own.select(sorted(alone.columns))) == rows(alone.select(sorted(alone.columns)))
+    text = d._jdf.queryExecution().optimizedPlan().toString()
+    inner = [line for line in text.splitlines() if "explode(filter(" in line][-1]
+    assert inner.count("21600") == 1  # one copy for the three of six hours
+
+
 def test_counters_of_a_null_host_are_kept(spark):
     from hostmill.operators import counters
 
