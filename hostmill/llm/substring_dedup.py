@@ -311,7 +311,9 @@ def remove(docs: DataFrame) -> DataFrame:
         return pd.Series(out, dtype=object)
 
     d = with_spans(packed(docs, "doc_id", "text"), removed_spans(docs))
-    d = d.withColumn("cut", F.when(F.col("spans").isNull(), F.col("text")).otherwise(cut("text", "spans")))
+    # Only texts that lose something go to the workers, whose batches hold many texts at once.
+    sent = F.when(F.col("spans").isNotNull(), F.col("text"))
+    d = d.withColumn("cut", F.when(F.col("spans").isNull(), F.col("text")).otherwise(cut(sent, "spans")))
     d = d.filter("cut IS NOT NULL OR text IS NULL").withColumn("text", F.col("cut"))
     if "n_chars" not in names:
         return unpacked(d, names, "doc_id", "text")

@@ -468,6 +468,15 @@ def test_join_of_nothing_and_of_repeats(docs, no_docs):
     assert set(map(tuple, ngram_join.join(again).collect())) == set(map(tuple, ngram_join.join(docs).collect()))
 
 
+def test_texts_that_lose_nothing_stay_out_of_python(spark):
+    long = " ".join(f"w{k}" for k in range(30))
+    d = spark.createDataFrame([(1, long), (2, long + " end"), (3, "alone"), (4, None)], "doc_id long, text string")
+    r = substring_dedup.remove(d)
+    assert sorted((x.doc_id, x.text) for x in r.collect()) == [(1, long), (2, "end"), (3, "alone"), (4, None)]
+    plan = r._jdf.queryExecution().optimizedPlan().toString()
+    assert "[cut(CASE WHEN isnotnull(spans" in plan or "isnotnull(spans" in plan.split("ArrowEvalPython [")[1].split("\n")[0]
+
+
 def test_sets_across_components_meet_where_they_can_be_similar(spark):
     """Thirty sets of 28 share 21 shingles, the first of them in the last place of their prefixes,
     and their sketches are alike: no two of them are a candidate. Two that share 25 are one."""
