@@ -6,8 +6,9 @@ count is the initial symbols minus the merges; no identifiers are made. A charac
 no piece counts as its UTF-8 bytes and never merges.
 
 Texts are cut before runs of spaces: no piece holds a space mark after another character
-(checked on load), so no merge crosses such a place. Counts of units are remembered in each
-Python worker, up to ``REMEMBERED`` units of ``UNIT_CHARS`` characters at most.
+(checked on load), so no merge crosses such a place. Counts of units are remembered while a
+task lasts, up to ``REMEMBERED`` units of ``UNIT_CHARS`` characters at most; the Python worker
+lives on for other work, and what a task remembered would stay in its memory.
 
 Defined cases: a null text counts as empty, an empty text has no token; special strings
 inside texts are ordinary text; equal rows give equal counts; an empty table gives no rows;
@@ -26,6 +27,7 @@ from pyspark.sql import functions as F
 
 from ..shipping import ship
 from .common import own_columns, table
+from .shingles import give_back
 
 MODEL = "piece_bpe_32k.model"
 LIMIT = 4096
@@ -64,34 +66,38 @@ def merge_count(unit: str, ranks: dict[str, int]) -> int:
     for c in symbols:
         if c not in ranks:
             total += len(c.encode()) - 1
-    heap = []
+    rank_of = ranks.get
+    heap = []  # rank * n + place: in order of rank, then of place
     for i in range(n - 1):
-        pair = symbols[i] + symbols[i + 1]
-        if pair in ranks:
-            heap.append((ranks[pair], i, pair))
+        rank = rank_of(symbols[i] + symbols[i + 1])
+        if rank is not None:
+            heap.append(rank * n + i)
     if not heap:
         return total
     heapq.heapify(heap)
     after = list(range(1, n + 1))
     before = list(range(-1, n - 1))
     while heap:
-        _, i, pair = heapq.heappop(heap)
+        rank, i = divmod(heapq.heappop(heap), n)
         left, j = symbols[i], after[i]
-        if left is None or j >= n or left + symbols[j] != pair:
+        if left is None or j >= n:
+            continue
+        pair = left + symbols[j]
+        if rank_of(pair) != rank:
             continue  # one of the two has been merged since
         symbols[i], symbols[j] = pair, None
         total -= 1
         k = after[i] = after[j]
         if k < n:
             before[k] = i
-            new = pair + symbols[k]
-            if new in ranks:
-                heapq.heappush(heap, (ranks[new], i, new))
+            rank = rank_of(pair + symbols[k])
+            if rank is not None:
+                heapq.heappush(heap, rank * n + i)
         h = before[i]
         if h >= 0:
-            new = symbols[h] + pair
-            if new in ranks:
-                heapq.heappush(heap, (ranks[new], h, new))
+            rank = rank_of(symbols[h] + pair)
+            if rank is not None:
+                heapq.heappush(heap, rank * n + h)
     return total
 
 
@@ -128,6 +134,10 @@ class Counter:
         marked = SPACE + text.replace(" ", SPACE)
         return sum(map(self.plain.__getitem__, _UNITS.findall(marked)))
 
+    def forget(self) -> None:
+        self.plain.clear()
+        self.words.clear()
+
     def lines(self, unit: str) -> int:
         """A line end is no part of any piece: it counts one and cuts the unit."""
         if "\n" not in unit:
@@ -152,8 +162,12 @@ def n_tokens(docs: DataFrame, model: str = MODEL) -> Column:
     @F.pandas_udf("long")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         count = counter(model_path(model))
-        for batch in batches:
-            yield pd.Series([count(x) for x in batch], dtype="int64")
+        try:
+            for batch in batches:
+                yield pd.Series([count(x) for x in batch], dtype="int64")
+        finally:
+            count.forget()
+            give_back()
 
     return run(F.col("`text`"))
 

@@ -103,7 +103,7 @@ def profiles(docs: DataFrame) -> DataFrame:
             cols = [pa.array([x[k] for x in found], pa.int64()) for k in range(3)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), batch.column("row"), *cols], names=["doc_id", "row", "node", "check", "n"])
 
-    return own_columns(docs, "doc_id", "text").withColumn("row", F.xxhash64("text")).mapInArrow(run, _PROFILE)
+    return own_columns(docs, "doc_id", "text").withColumn("row", F.xxhash64("text")).mapInArrow(S.tidy(run), _PROFILE)
 
 
 def least_overlap(n):
@@ -178,7 +178,7 @@ def base_rows(docs: DataFrame) -> DataFrame:
         for batch in batches:
             yield from dealt(sets(batch), base_length)
 
-    return own_columns(docs, "doc_id", "text").select("text").mapInArrow(run, _DEALT)
+    return own_columns(docs, "doc_id", "text").select("text").mapInArrow(S.tidy(run), _DEALT)
 
 
 def rows_of_sets(sets: DataFrame, length: Callable[[int], int]) -> DataFrame:
@@ -187,7 +187,7 @@ def rows_of_sets(sets: DataFrame, length: Callable[[int], int]) -> DataFrame:
             lists = (x.values.to_numpy().view(np.uint64) for x in batch.column("set"))
             yield from dealt(zip(batch.column("node").to_pylist(), lists, strict=True), length)
 
-    return sets.select("node", "set").mapInArrow(run, _DEALT)
+    return sets.select("node", "set").mapInArrow(S.tidy(run), _DEALT)
 
 
 _MET = "kind int, a long, b long, na int, nb int, c long"
@@ -262,7 +262,7 @@ def meetings(rows: DataFrame) -> DataFrame:
                     yield made(0, node[x], node[y], n[x], n[y], np.ones(len(x)))
                 step += 1
 
-    met = d.mapInArrow(run, _MET)
+    met = d.mapInArrow(S.tidy(run), _MET)
     met = met.groupBy("kind", "a", "b").agg(F.first("na").alias("na"), F.first("nb").alias("nb"), F.sum("c").alias("c"))
     return written(met, "met")
 
@@ -381,7 +381,7 @@ def compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
                 keep[i] = 100 * shared >= 75 * (len(x) + len(y) - shared)
             yield batch.select(["a", "b"]).filter(pa.array(keep))
 
-    return pairs.hint("merge").join(right, "b").hint("merge").join(left, "a").select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
+    return pairs.hint("merge").join(right, "b").hint("merge").join(left, "a").select("a", "b", "sa", "sb").mapInArrow(S.tidy(run), "a long, b long")
 
 
 def forest(links: DataFrame) -> DataFrame:
@@ -408,7 +408,7 @@ def forest(links: DataFrame) -> DataFrame:
                 parent[max(x, y)] = min(x, y)
             yield batch.filter(pa.array(keep, pa.bool_()))
 
-    return links.select("a", "b").repartition(tasks).mapInArrow(run, "a long, b long")
+    return links.select("a", "b").repartition(tasks).mapInArrow(S.tidy(run), "a long, b long")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -451,9 +451,9 @@ def needed_sets(docs: DataFrame, classes: DataFrame, nodes: DataFrame) -> DataFr
             yield made.filter(pc.equal(nodes, batch.column("node"))) if "node" in batch.schema.names else made
 
     made = "node long, set array<long>"
-    bare = d.filter("doc_id IS NULL").select("text").mapInArrow(run, made)
+    bare = d.filter("doc_id IS NULL").select("text").mapInArrow(S.tidy(run), made)
     bare = bare.join(wanted.filter("id IS NULL").select("node"), "node", "left_semi")
-    return bucketed(texts.mapInArrow(run, made).unionByName(bare), "sets", "node")
+    return bucketed(texts.mapInArrow(S.tidy(run), made).unionByName(bare), "sets", "node")
 
 
 def nodes_of(pairs: DataFrame) -> DataFrame:

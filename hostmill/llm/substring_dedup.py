@@ -138,7 +138,7 @@ def chunks(docs: DataFrame) -> DataFrame:
                 cols = [np.append(x, y) for x, y in ((m, marked), (c, least), (doc, none), (row, none), (span, none), (what, none + MARK))]
                 yield pa.RecordBatch.from_arrays([pa.array(x.astype(t.to_pandas_dtype())) for x, t in zip(cols, _CHUNK_ARROW.types, strict=True)], schema=_CHUNK_ARROW)
 
-    return documents(docs).mapInArrow(run, _CHUNK)
+    return documents(docs).mapInArrow(S.tidy(run), _CHUNK)
 
 
 def copies(m, c, doc, row, span) -> tuple[np.ndarray, np.ndarray]:
@@ -184,7 +184,7 @@ def settled(rows: DataFrame) -> DataFrame:
             head = int(np.flatnonzero(first)[-1])
             kept, kept_opened = [x[head : head + 1] for x in cols], bool(open_[-1])
 
-    return rows.select("m", "c", "doc_id", "row", "span", "what").mapInArrow(run, "doc_id long, row long, span long, gone boolean")
+    return rows.select("m", "c", "doc_id", "row", "span", "what").mapInArrow(S.tidy(run), "doc_id long, row long, span long, gone boolean")
 
 
 def window_rows(docs: DataFrame, opened: DataFrame) -> DataFrame:
@@ -213,7 +213,7 @@ def window_rows(docs: DataFrame, opened: DataFrame) -> DataFrame:
                 cols = [np.concatenate(h1).view(np.int64), np.concatenate(h2).view(np.int64), *map(np.concatenate, (doc, row, at))]
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in cols], schema=schema)
 
-    return d.mapInArrow(run, "h1 long, h2 long, doc_id long, row long, at long")
+    return d.mapInArrow(S.tidy(run), "h1 long, h2 long, doc_id long, row long, at long")
 
 
 def removed_spans(docs: DataFrame) -> DataFrame:
@@ -283,7 +283,7 @@ def digests(docs: DataFrame, spans: DataFrame) -> DataFrame:
             cols = [batch.column("doc_id"), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(sha, pa.string())]
             yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "n_words", "n_removed", "kept_sha256"])
 
-    return d.mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_sha256 string")
+    return d.mapInArrow(S.tidy(run), "doc_id long, n_words long, n_removed long, kept_sha256 string")
 
 
 def remove(docs: DataFrame) -> DataFrame:
@@ -310,6 +310,8 @@ def remove(docs: DataFrame) -> DataFrame:
             out.append(kept.decode().rstrip(" \t\n\x0b\x0c\r") if kept else None)
         return pd.Series(out, dtype=object)
 
+    # Spark repeats what it takes for deterministic in the filter below: two workers a task, for twice the work.
+    cut = cut.asNondeterministic()
     d = with_spans(packed(docs, "doc_id", "text"), removed_spans(docs))
     # Only texts that lose something go to the workers, whose batches hold many texts at once.
     sent = F.when(F.col("spans").isNotNull(), F.col("text"))
@@ -399,7 +401,7 @@ def against_reference(docs: DataFrame, reference: DataFrame, least: int = W, sha
                 spans.append([(i - least + 1) * 256 + least - W + 1 for i, n in enumerate(ends) if n >= least])
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(spans, pa.list_(pa.int64()))], names=["doc_id", "spans"])
 
-    return own_columns(docs, "doc_id", "text").mapInArrow(run, "doc_id long, spans array<long>").filter(F.size("spans") > 0)
+    return own_columns(docs, "doc_id", "text").mapInArrow(S.tidy(run), "doc_id long, spans array<long>").filter(F.size("spans") > 0)
 
 
 def op6_substring_dedup(spark, sf_dir: str) -> DataFrame:
