@@ -6,9 +6,9 @@ count is the initial symbols minus the merges; no identifiers are made. A charac
 no piece counts as its UTF-8 bytes and never merges.
 
 Texts are cut before runs of spaces: no piece holds a space mark after another character
-(checked on load), so no merge crosses such a place. Counts of units are remembered while a
-task lasts, up to ``REMEMBERED`` units of ``UNIT_CHARS`` characters at most; the Python worker
-lives on for other work, and what a task remembered would stay in its memory.
+(checked on load), so no merge crosses such a place. Counts of units are remembered in each
+Python worker, up to ``REMEMBERED`` units of ``UNIT_CHARS`` characters at most, until other
+work begins there.
 
 Defined cases: a null text counts as empty, an empty text has no token; special strings
 inside texts are ordinary text; equal rows give equal counts; an empty table gives no rows;
@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from ..shipping import ship
 from .common import own_columns, table
-from .shingles import give_back
+from .shingles import forgetting, give_back
 
 MODEL = "piece_bpe_32k.model"
 LIMIT = 4096
@@ -134,10 +134,6 @@ class Counter:
         marked = SPACE + text.replace(" ", SPACE)
         return sum(map(self.plain.__getitem__, _UNITS.findall(marked)))
 
-    def forget(self) -> None:
-        self.plain.clear()
-        self.words.clear()
-
     def lines(self, unit: str) -> int:
         """A line end is no part of any piece: it counts one and cuts the unit."""
         if "\n" not in unit:
@@ -147,6 +143,7 @@ class Counter:
 
 
 _counters: dict[str, Counter] = {}
+forgetting.append(_counters.clear)
 
 
 def counter(path: str) -> Counter:
@@ -162,12 +159,9 @@ def n_tokens(docs: DataFrame, model: str = MODEL) -> Column:
     @F.pandas_udf("long")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         count = counter(model_path(model))
-        try:
-            for batch in batches:
-                yield pd.Series([count(x) for x in batch], dtype="int64")
-        finally:
-            count.forget()
-            give_back()
+        for batch in batches:
+            yield pd.Series([count(x) for x in batch], dtype="int64")
+        give_back()
 
     return run(F.col("`text`"))
 
